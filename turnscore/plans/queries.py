@@ -57,3 +57,135 @@ register("mean_baseline_overall", "AG8", round_sql(
            stddev_pop(m.mu - p.label) AS std_of_errors
     FROM predictions_wide p JOIN m USING (topic)""",
     ["mse", "mae", "std_of_errors"]))(_mean_baseline_overall)
+
+
+# ------------------------------------------------------- ranks, folds, subsets
+from turnscore import schemas as S  # noqa: E402
+from turnscore.operators import models as ML  # noqa: E402
+from turnscore.operators import sampling as SA  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def _folded_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return SA.kfold(X.predictions_wide(spark, sf), ["example_id"])
+
+
+def _fold_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models' predictions tagged with the example's fold (folds assigned
+    before the model explode, so no join)."""
+    w = _folded_wide(spark, sf)
+    both = F.explode(F.array(
+        F.struct(F.lit("base").alias("model"), F.col("pred_base").alias("pred")),
+        F.struct(F.lit("tuned").alias("model"), F.col("pred_tuned").alias("pred"))))
+    return w.select("example_id", "fold", "topic", "label", both.alias("m")) \
+        .select("example_id", F.col("m.model").alias("model"), "fold", "topic", "label",
+                F.col("m.pred").alias("pred"))
+
+
+FOLDED_SQL = X.with_views("predictions_wide") + f""", ranked AS (
+    SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', CAST(example_id AS VARCHAR), '{S.SEED}')),
+                                 example_id) AS rnk,
+           count(*) OVER () AS n_total FROM predictions_wide),
+folded AS (SELECT *, CAST(CASE WHEN rnk - 1 < (n_total % {S.N_FOLDS}) * (n_total // {S.N_FOLDS} + 1)
+        THEN (rnk - 1) // (n_total // {S.N_FOLDS} + 1)
+        ELSE n_total % {S.N_FOLDS} + (rnk - 1 - (n_total % {S.N_FOLDS}) * (n_total // {S.N_FOLDS} + 1))
+             // (n_total // {S.N_FOLDS}) END AS INTEGER) AS fold FROM ranked),
+fold_predictions AS (
+    SELECT example_id, 'base' AS model, fold, topic, label, pred_base AS pred FROM folded
+    UNION ALL SELECT example_id, 'tuned' AS model, fold, topic, label, pred_tuned AS pred FROM folded)
+"""
+
+
+@register("exact_rank", "WI5 SO5", FOLDED_SQL + "SELECT example_id, rnk AS rank FROM ranked")
+def _exact_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return SA.exact_rank(X.predictions_wide(spark, sf), ["example_id"]).select("example_id", "rank")
+
+
+@register("kfold_assign", "WI3 FI10", FOLDED_SQL + "SELECT example_id, fold FROM folded")
+def _kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return _folded_wide(spark, sf).select("example_id", "fold")
+
+
+EVAL_FOLDS_SQL = FOLDED_SQL + f"""SELECT model, fold, CASE WHEN GROUPING(topic) = 1 THEN 'ALL' ELSE topic END AS topic,
+    {METRICS_SQL} FROM fold_predictions GROUP BY GROUPING SETS ((model, fold), (model, fold, topic))"""
+
+
+@register("eval_by_fold_topic", "AG9 AG10 AG20 SE1 FI8 ML6", round_sql(EVAL_FOLDS_SQL, METRIC_COLS))
+def _eval_by_fold_topic(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(M.evaluate_folds(_fold_predictions(spark, sf), ["model"]))
+
+
+@register("cross_fold_summary", "AG11 SE2", round_sql(
+    FOLDED_SQL + f""", fm AS (SELECT model, fold, CASE WHEN GROUPING(topic) = 1 THEN 'ALL' ELSE topic END AS topic,
+    {METRICS_SQL} FROM fold_predictions GROUP BY GROUPING SETS ((model, fold), (model, fold, topic))),
+    lng AS (UNPIVOT fm ON mse, mae, strict_acc, tolerant_acc INTO NAME metric VALUE value)
+    SELECT model, topic, metric, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n_folds
+    FROM lng GROUP BY model, topic, metric""", ["mean", "std"]))
+def _cross_fold_summary(spark: SparkSession, sf: str) -> DataFrame:
+    fm = M.evaluate_folds(_fold_predictions(spark, sf), ["model"])
+    return round_doubles(M.cross_fold(fm, ["model", "topic"]))
+
+
+def _frac_case(rank: str, n: str) -> str:
+    whens = " ".join(f"WHEN {rank} <= floor(CAST({n} AS DOUBLE) * CAST({f!r} AS DOUBLE)) THEN {i}"
+                     for i, f in enumerate(S.FRACTIONS))
+    return f"CASE {whens} END"
+
+
+POOL_SQL = FOLDED_SQL + f""", pool AS (
+    SELECT f.*, o.outer_fold,
+           row_number() OVER (PARTITION BY o.outer_fold ORDER BY md5(concat_ws(':', CAST(f.example_id AS VARCHAR),
+               CAST(o.outer_fold AS VARCHAR), '{S.SEED}:pool')), f.example_id) AS pool_rank
+    FROM folded f JOIN (SELECT CAST(range AS INTEGER) AS outer_fold FROM range({S.N_FOLDS})) o
+      ON f.fold <> o.outer_fold),
+pool_idx AS (SELECT *, {_frac_case('pool_rank', 'n_total')} AS frac_idx FROM pool)
+"""
+
+
+@register("nested_prefix", "WI4 R8", POOL_SQL + "SELECT example_id, outer_fold, pool_rank, frac_idx FROM pool_idx")
+def _nested_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return SA.nested_prefix(_folded_wide(spark, sf), ["example_id"]) \
+        .select("example_id", "outer_fold", "pool_rank", "frac_idx")
+
+
+@register("topic_mean_cv", "ML1 ML8", round_sql(FOLDED_SQL + f""", folds AS (SELECT DISTINCT fold FROM folded),
+    tm AS (SELECT v.fold, t.topic, avg(t.label) AS mu FROM folds v JOIN folded t ON t.fold <> v.fold
+           GROUP BY v.fold, t.topic),
+    gm AS (SELECT v.fold, avg(t.label) AS mu FROM folds v JOIN folded t ON t.fold <> v.fold GROUP BY v.fold),
+    pr AS (SELECT f.fold, f.topic, f.label, coalesce(tm.mu, gm.mu) AS pred FROM folded f
+           LEFT JOIN tm ON tm.fold = f.fold AND tm.topic = f.topic JOIN gm ON gm.fold = f.fold)
+    SELECT fold, topic, max(pred) AS train_mean, {METRICS_SQL} FROM pr GROUP BY fold, topic
+    UNION ALL SELECT fold, 'ALL' AS topic, CAST(NULL AS DOUBLE) AS train_mean, {METRICS_SQL} FROM pr GROUP BY fold""",
+    ["train_mean", *METRIC_COLS]))
+def _topic_mean_cv(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(ML.topic_mean_cv(_folded_wide(spark, sf)))
+
+
+_FRAC_VALUES = ", ".join(f"({i}, CAST({f!r} AS DOUBLE))" for i, f in enumerate(S.FRACTIONS))
+CURVE_SQL = POOL_SQL + f""", fr AS (SELECT * FROM (VALUES {_FRAC_VALUES}) t(frac_idx, fraction)),
+    tr AS (SELECT p.outer_fold, fr.frac_idx, p.topic, p.label FROM pool_idx p JOIN fr ON p.frac_idx <= fr.frac_idx),
+    tm AS (SELECT outer_fold, frac_idx, topic, avg(label) AS mu FROM tr GROUP BY ALL),
+    gm AS (SELECT outer_fold, frac_idx, avg(label) AS mu FROM tr GROUP BY ALL),
+    va AS (SELECT f.fold AS outer_fold, fr.frac_idx, fr.fraction, f.topic, f.label FROM folded f, fr),
+    sc AS (SELECT va.*, CAST(least(6e0, greatest(0e0, round_even(coalesce(tm.mu, gm.mu), 0))) AS INTEGER) AS s
+           FROM va LEFT JOIN tm USING (outer_fold, frac_idx, topic) LEFT JOIN gm USING (outer_fold, frac_idx)),
+    curve AS (SELECT CAST(outer_fold + 1 AS INTEGER) AS outer_fold, fraction, topic,
+           avg(CASE WHEN s = label THEN 1e0 ELSE 0e0 END) AS strict_acc,
+           avg(CASE WHEN abs(s - label) <= 1 THEN 1e0 ELSE 0e0 END) AS flexible_acc
+           FROM sc GROUP BY outer_fold, fraction, topic)
+"""
+
+
+@register("learning_curve_mean", "ML7 AG14 PR19", round_sql(CURVE_SQL + "SELECT * FROM curve",
+                                                           ["fraction", "strict_acc", "flexible_acc"]))
+def _learning_curve_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(ML.learning_curve_mean(_folded_wide(spark, sf), ["example_id"]))
+
+
+@register("learning_curve_agg", "AG18 ST3 UD2", round_sql(CURVE_SQL + """SELECT fraction, topic,
+    avg(strict_acc) AS strict_acc, avg(flexible_acc) AS flexible_acc,
+    stddev_pop(strict_acc) / sqrt(count(strict_acc)) AS strict_sem,
+    stddev_pop(flexible_acc) / sqrt(count(flexible_acc)) AS flexible_sem FROM curve GROUP BY fraction, topic""",
+    ["fraction", "strict_acc", "flexible_acc", "strict_sem", "flexible_sem"]))
+def _learning_curve_agg(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(ML.learning_curve_agg(ML.learning_curve_mean(_folded_wide(spark, sf), ["example_id"])))

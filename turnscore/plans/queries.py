@@ -189,3 +189,120 @@ def _learning_curve_mean(spark: SparkSession, sf: str) -> DataFrame:
     ["fraction", "strict_acc", "flexible_acc", "strict_sem", "flexible_sem"]))
 def _learning_curve_agg(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(ML.learning_curve_agg(ML.learning_curve_mean(_folded_wide(spark, sf), ["example_id"])))
+
+
+# ------------------------------------------------------- turns and dialogues
+from turnscore.operators import dialogue as DG  # noqa: E402
+from turnscore.operators import scores as SC  # noqa: E402
+from turnscore.operators import turns as TU  # noqa: E402
+
+NL = "chr(10)"
+WS_CLASS = "'[ \\t\\n\\r\\f\\x0B]+'"
+CLEAN_SQL = "replace(replace(coalesce(text, ''), 'Vielen Dank', 'mhm'), 'Amen', 'mhm')"
+
+
+def _merge_sql(view: str, global_order: bool) -> str:
+    if global_order:
+        w = "OVER (ORDER BY seq)"
+        cont = (f"coalesce(lag(subject) {w} = subject AND lag(speaker) {w} = speaker "
+                f"AND seq - lag(seq) {w} = 1, false)")
+        run = "sum(brk) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+        grp = "run_id"
+    else:
+        w = "OVER (PARTITION BY subject ORDER BY seq)"
+        cont = f"coalesce(lag(speaker) {w} = speaker, false)"
+        run = "sum(brk) OVER (PARTITION BY subject ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+        grp = "subject, run_id"
+    return X.with_views(view) + f""", c AS (SELECT subject, speaker, {CLEAN_SQL} AS text, seq FROM {view}),
+    l AS (SELECT *, CASE WHEN {cont} THEN 0 ELSE 1 END AS brk FROM c),
+    r AS (SELECT *, {run} AS run_id FROM l),
+    f AS (SELECT *, min(seq) OVER (PARTITION BY {grp}) AS fs FROM r)
+    SELECT arg_min(subject, seq) AS subject, arg_min(speaker, seq) AS speaker,
+           arg_min(text, seq) || coalesce(' ' || string_agg(CASE WHEN seq <> fs AND text <> '' THEN text END, ' '
+                                                            ORDER BY seq), '') AS text,
+           CAST(run_id AS BIGINT) AS run_id, min(seq) AS first_seq, count(*) AS n_turns
+    FROM f GROUP BY {grp}"""
+
+
+@register("merge_turns", "AG1 WI1 WI2 PR6 PR7 SC1 R1 R2", _merge_sql("turns", True))
+def _merge_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return TU.merge_turns(X.turns(spark, sf), order="global")
+
+
+@register("merge_turns_by_subject", "AG1 WI1 WI2", _merge_sql("conversation_turns", False))
+def _merge_turns_by_subject(spark: SparkSession, sf: str) -> DataFrame:
+    return TU.merge_turns(X.conversation_turns(spark, sf), order="subject")
+
+
+def _strip_sql(expr: str) -> str:
+    return f"regexp_replace(regexp_replace({expr}, '^' || {WS_CLASS}, ''), {WS_CLASS} || '$', '')"
+
+
+DIALOGUE_SQL = X.with_views("scored_turns") + f""", d AS (
+    SELECT subject, topic,
+           string_agg(CASE WHEN speaker = 'SPEAKER_00' THEN 'Interviewer' ELSE 'Patient' END || ': '
+                      || coalesce(text, ''), {NL} ORDER BY seq) AS body,
+           arg_min(score, seq) FILTER (WHERE speaker = 'SPEAKER_01' AND score IS NOT NULL AND NOT isnan(score)) AS ps
+    FROM scored_turns GROUP BY subject, topic),
+ex AS (SELECT subject, topic,
+       'Topic: ' || topic || ' ' || {NL} || {_strip_sql(f"'Dialogue:' || {NL} || body")} || {NL} || {NL} AS input,
+       'Score: ' || CAST(ps AS VARCHAR) AS output FROM d WHERE ps IS NOT NULL)
+"""
+
+
+@register("dialogue_examples", "AG2 AG4 PR8 PR9 PR10 PR11 FI6 FI7", DIALOGUE_SQL + "SELECT * FROM ex")
+def _dialogue_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return DG.build_examples(X.scored_turns(spark, sf))
+
+
+@register("parse_examples", "PR12 PR13 UD1", DIALOGUE_SQL + f"""SELECT subject, topic,
+    CAST(trunc(CAST({_strip_sql("split_part(output, ':', 2)")} AS DOUBLE)) AS INTEGER) AS label,
+    CASE WHEN contains(input, 'Topic:') THEN {_strip_sql(f"replace(split_part(input, {NL}, 1), 'Topic:', '')")}
+         ELSE 'Unknown' END AS parsed_topic FROM ex""")
+def _parse_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return DG.parse_examples(DG.build_examples(X.scored_turns(spark, sf))) \
+        .select("subject", "topic", "label", "parsed_topic")
+
+
+@register("first_score_any", "AG3 PR14 FI6", X.with_views("scored_turns") + """SELECT topic, subject,
+    CAST(trunc(arg_min(score, seq)) AS INTEGER) AS score FROM scored_turns
+    WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY topic, subject""")
+def _first_score_any(spark: SparkSession, sf: str) -> DataFrame:
+    return DG.first_score(X.scored_turns(spark, sf))
+
+
+@register("first_score_patient", "AG4 FI6", X.with_views("scored_turns") + """SELECT subject, topic,
+    CAST(trunc(arg_min(score, seq)) AS INTEGER) AS score FROM scored_turns
+    WHERE score IS NOT NULL AND NOT isnan(score) AND speaker = 'SPEAKER_01' GROUP BY subject, topic""")
+def _first_score_patient(spark: SparkSession, sf: str) -> DataFrame:
+    return DG.first_score(X.scored_turns(spark, sf), ["subject", "topic"], speaker=S.PATIENT_SPEAKER)
+
+
+TOPIC_DIM_SQL = "(VALUES " + ", ".join(
+    f"({i}, '{t}', '{label}')" for i, (t, label) in enumerate(S.TOPICS, start=1)) + ") AS td(rank, topic, label_en)"
+
+
+@register("histogram_real_synthetic", "AG5 PR15 PR16 JO2 JO7 FI5 SE4 SO2", X.with_views("scored_turns") + f""",
+    fs AS (SELECT topic, subject, CAST(trunc(arg_min(score, seq)) AS INTEGER) AS score FROM scored_turns
+           WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY topic, subject),
+    sp AS (SELECT td.*, CAST(s.range AS INTEGER) AS score FROM {TOPIC_DIM_SQL} CROSS JOIN range(0, 7) s),
+    ct AS (SELECT topic, score, CAST(sum(CASE WHEN subject LIKE '%\\_Syn' ESCAPE '\\' THEN 0 ELSE 1 END) AS BIGINT) AS real,
+                  CAST(sum(CASE WHEN subject LIKE '%\\_Syn' ESCAPE '\\' THEN 1 ELSE 0 END) AS BIGINT) AS synthetic
+           FROM fs GROUP BY topic, score)
+    SELECT CAST(sp.rank AS INTEGER) AS rank, sp.topic, sp.label_en, sp.score,
+           coalesce(ct.real, 0) AS real, coalesce(ct.synthetic, 0) AS synthetic,
+           coalesce(ct.real, 0) + coalesce(ct.synthetic, 0) AS total
+    FROM sp LEFT JOIN ct USING (topic, score)""")
+def _histogram_real_synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.histogram_real_synthetic(DG.first_score(X.scored_turns(spark, sf)), S.topic_dim(spark))
+
+
+@register("histogram_topic", "AG6 JO7", X.with_views("scored_turns") + """,
+    fs AS (SELECT subject, topic, CAST(trunc(arg_min(score, seq)) AS INTEGER) AS score FROM scored_turns
+           WHERE score IS NOT NULL AND NOT isnan(score) AND speaker = 'SPEAKER_01' GROUP BY subject, topic),
+    ct AS (SELECT topic, score, count(*) AS cnt FROM fs GROUP BY topic, score),
+    sp AS (SELECT t.topic, CAST(s.range AS INTEGER) AS score FROM (SELECT DISTINCT topic FROM ct) t CROSS JOIN range(0, 7) s)
+    SELECT sp.topic, sp.score, coalesce(ct.cnt, 0) AS count FROM sp LEFT JOIN ct USING (topic, score)""")
+def _histogram_topic(spark: SparkSession, sf: str) -> DataFrame:
+    fs = DG.first_score(X.scored_turns(spark, sf), ["subject", "topic"], speaker=S.PATIENT_SPEAKER)
+    return SC.histogram_topic(fs)

@@ -306,3 +306,130 @@ def _histogram_real_synthetic(spark: SparkSession, sf: str) -> DataFrame:
 def _histogram_topic(spark: SparkSession, sf: str) -> DataFrame:
     fs = DG.first_score(X.scored_turns(spark, sf), ["subject", "topic"], speaker=S.PATIENT_SPEAKER)
     return SC.histogram_topic(fs)
+
+
+# ------------------------------------------------- confusion and comparisons
+from turnscore.operators import compare as CP  # noqa: E402
+from turnscore.operators import confusion as CF  # noqa: E402
+
+TOPIC_LIST_SQL = "(" + ", ".join(f"'{t}'" for t, _ in S.TOPICS) + ")"
+CONFUSION_SQL = X.with_views("predictions") + f""", r AS (
+    SELECT model, topic, label, CAST(least(6e0, greatest(0e0, round_even(pred, 0))) AS INTEGER) AS s
+    FROM predictions WHERE topic IN {TOPIC_LIST_SQL}),
+x AS (SELECT model, topic, 'strict' AS rule, label AS true_score, s AS pred_score FROM r
+      UNION ALL SELECT model, topic, 'flexible' AS rule, label AS true_score,
+                       CASE WHEN abs(s - label) <= 1 THEN label ELSE s END AS pred_score FROM r),
+ct AS (SELECT model, topic, rule, true_score, pred_score, count(*) AS n FROM x
+       WHERE true_score BETWEEN 0 AND 6 AND pred_score BETWEEN 0 AND 6 GROUP BY ALL),
+sp AS (SELECT m.model, m.topic, ru.rule, CAST(a.range AS INTEGER) AS true_score, CAST(b.range AS INTEGER) AS pred_score
+       FROM (SELECT DISTINCT model, topic FROM ct) m CROSS JOIN (VALUES ('strict'), ('flexible')) ru(rule)
+       CROSS JOIN range(7) a CROSS JOIN range(7) b),
+dense AS (SELECT sp.*, coalesce(ct.n, 0) AS n FROM sp LEFT JOIN ct USING (model, topic, rule, true_score, pred_score)),
+tr AS (SELECT model, topic, rule, CAST(sum(CASE WHEN true_score = pred_score THEN n ELSE 0 END) AS BIGINT) AS correct,
+              CAST(sum(n) AS BIGINT) AS total FROM dense GROUP BY model, topic, rule)
+"""
+
+
+def _dense_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return CF.confusion(X.predictions(spark, sf), S.topic_dim(spark))
+
+
+@register("confusion_matrices", "AG12 AG13 PR18 JO7 FI5 SE3", CONFUSION_SQL + "SELECT * FROM dense")
+def _confusion_matrices(spark: SparkSession, sf: str) -> DataFrame:
+    return _dense_confusion(spark, sf)
+
+
+@register("confusion_trace", "AG15", CONFUSION_SQL + "SELECT *, total - correct AS errors FROM tr")
+def _confusion_trace(spark: SparkSession, sf: str) -> DataFrame:
+    return CF.trace(_dense_confusion(spark, sf))
+
+
+@register("tolerant_predictions", "PR17 PR18", X.with_views("predictions") + """, r AS (
+    SELECT example_id, model, label, CAST(least(6e0, greatest(0e0, round_even(pred, 0))) AS INTEGER) AS strict
+    FROM predictions)
+    SELECT example_id, model, label, strict, CASE WHEN abs(strict - label) <= 1 THEN label ELSE strict END AS flexible
+    FROM r""")
+def _tolerant_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return CF.with_rules(X.predictions(spark, sf)).select("example_id", "model", "label", "strict", "flexible")
+
+
+SPEC_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', '{a}', '{b}')" for i, (n, a, b) in
+                                  enumerate(S.COMPARISONS, start=1)) + ") AS spec(cmp_rank, comparison, rule_a, rule_b)"
+
+
+def _mcnemar_sql(b: str, c: str) -> str:
+    n, k = f"({b} + {c})", f"least({b}, {c})"
+    return (f"(SELECT least(1e0, 2e0 * sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1)"
+            f" - {n} * ln(2e0)))) FROM generate_series(0, {k}) t(i))")
+
+
+MARGINAL_SQL = CONFUSION_SQL + f""", cells AS (
+    SELECT spec.cmp_rank, spec.comparison, a.topic, spec.rule_a, spec.rule_b, a.correct AS ca, b.correct AS cb,
+           a.total AS total, least(a.correct, b.correct) AS n11, a.correct - least(a.correct, b.correct) AS n10,
+           b.correct - least(a.correct, b.correct) AS n01,
+           a.total - a.correct - b.correct + least(a.correct, b.correct) AS n00
+    FROM {SPEC_SQL} JOIN tr a ON a.model = 'base' AND a.rule = spec.rule_a
+    LEFT JOIN tr b ON b.model = 'tuned' AND b.rule = spec.rule_b AND b.topic = a.topic),
+    td AS (SELECT * FROM {TOPIC_DIM_SQL})
+"""
+
+
+def _test_cols_sql(src: str) -> str:
+    return f"""tests AS (SELECT c.*, CAST(td.rank AS INTEGER) AS rank, td.label_en, {_mcnemar_sql('c.n10', 'c.n01')} AS p_value
+                FROM {src} c JOIN td USING (topic)),
+    adj AS (SELECT *, least(1e0, p_value * count(*) OVER (PARTITION BY comparison)) AS p_adj FROM tests)"""
+
+
+_P_DISPLAY_SQL = "CASE WHEN p_adj < 1e-4 THEN 'P < 0.0001' ELSE printf('P = %.4f', p_adj) END"
+
+
+@register("model_comparisons", "ST1 ST2 ST4 AG16 JO3 WI6 PR21 SK5", round_sql(MARGINAL_SQL + "," + _test_cols_sql("cells") + f"""
+    SELECT *, {_P_DISPLAY_SQL} AS p_display,
+           sum(total - ca) OVER (PARTITION BY comparison ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum_errors_a,
+           sum(total - cb) OVER (PARTITION BY comparison ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum_errors_b
+    FROM adj""", ["p_value", "p_adj"]))
+def _model_comparisons(spark: SparkSession, sf: str) -> DataFrame:
+    tr = CF.trace(_dense_confusion(spark, sf))
+    a = tr.where(F.col("model") == "base").drop("model")
+    b = tr.where(F.col("model") == "tuned").drop("model")
+    out = CP.marginal_comparisons(a, b, S.comparison_spec(spark), S.topic_dim(spark))
+    return round_doubles(out)
+
+
+@register("error_reduction", "AG17", round_sql(MARGINAL_SQL + """SELECT cmp_rank, comparison,
+    CAST(sum(total - ca) AS BIGINT) AS errors_a, CAST(sum(total - cb) AS BIGINT) AS errors_b,
+    CAST(sum(total) AS BIGINT) AS total_samples,
+    CASE WHEN sum(total - ca) > 0 THEN CAST(sum(total - ca) - sum(total - cb) AS DOUBLE) / sum(total - ca) * 1e2
+         ELSE 0e0 END AS error_reduction_pct
+    FROM cells JOIN td USING (topic) GROUP BY cmp_rank, comparison""", ["error_reduction_pct"]))
+def _error_reduction(spark: SparkSession, sf: str) -> DataFrame:
+    tr = CF.trace(_dense_confusion(spark, sf))
+    a = tr.where(F.col("model") == "base").drop("model")
+    b = tr.where(F.col("model") == "tuned").drop("model")
+    return round_doubles(CP.error_reduction(a, b, S.comparison_spec(spark), S.topic_dim(spark)))
+
+
+@register("paired_comparisons", "ST5 JO4 ST1 ST2", round_sql(X.with_views("predictions") + f""",
+    r AS (SELECT example_id, model, topic, label, CAST(least(6e0, greatest(0e0, round_even(pred, 0))) AS INTEGER) AS s
+          FROM predictions WHERE topic IN {TOPIC_LIST_SQL}),
+    j AS (SELECT a.topic, a.s = a.label AS a_strict, abs(a.s - a.label) <= 1 AS a_flexible,
+                 b.s = a.label AS b_strict, abs(b.s - a.label) <= 1 AS b_flexible
+          FROM r a JOIN r b ON a.example_id = b.example_id AND a.model = 'base' AND b.model = 'tuned'),
+    o AS (SELECT spec.cmp_rank, spec.comparison, spec.rule_a, spec.rule_b, j.topic,
+                 CASE WHEN spec.rule_a = 'strict' THEN a_strict ELSE a_flexible END AS oka,
+                 CASE WHEN spec.rule_b = 'strict' THEN b_strict ELSE b_flexible END AS okb
+          FROM j CROSS JOIN {SPEC_SQL}),
+    cells AS (SELECT cmp_rank, comparison, topic, rule_a, rule_b,
+                 CAST(sum(CASE WHEN oka AND okb THEN 1 ELSE 0 END) AS BIGINT) AS n11,
+                 CAST(sum(CASE WHEN oka AND NOT okb THEN 1 ELSE 0 END) AS BIGINT) AS n10,
+                 CAST(sum(CASE WHEN NOT oka AND okb THEN 1 ELSE 0 END) AS BIGINT) AS n01,
+                 CAST(sum(CASE WHEN NOT oka AND NOT okb THEN 1 ELSE 0 END) AS BIGINT) AS n00
+          FROM o GROUP BY ALL),
+    td AS (SELECT * FROM {TOPIC_DIM_SQL}),
+    {_test_cols_sql("cells")}
+    SELECT *, {_P_DISPLAY_SQL} AS p_display FROM adj""", ["p_value", "p_adj"]))
+def _paired_comparisons(spark: SparkSession, sf: str) -> DataFrame:
+    p = X.predictions(spark, sf)
+    a = p.where(F.col("model") == "base").drop("model")
+    b = p.where(F.col("model") == "tuned").drop("model")
+    return round_doubles(CP.paired_comparisons(a, b, S.COMPARISONS, S.topic_dim(spark)))

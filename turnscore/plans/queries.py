@@ -433,3 +433,65 @@ def _paired_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     a = p.where(F.col("model") == "base").drop("model")
     b = p.where(F.col("model") == "tuned").drop("model")
     return round_doubles(CP.paired_comparisons(a, b, S.COMPARISONS, S.topic_dim(spark)))
+
+
+# ------------------------------------------------------------------ similarity
+from turnscore.operators import similarity as SI  # noqa: E402
+
+COS_SQL = X.with_views("text_pairs") + """, u AS (SELECT id, score, synthetic, CAST(emb AS DOUBLE[]) AS e FROM text_pairs),
+p AS (SELECT r.id AS rid, s.id AS sid, r.score AS rscore, s.score AS sscore,
+             CASE WHEN list_dot_product(r.e, r.e) > 0 AND list_dot_product(s.e, s.e) > 0
+                  THEN list_dot_product(r.e, s.e) / (sqrt(list_dot_product(r.e, r.e)) * sqrt(list_dot_product(s.e, s.e)))
+                  ELSE 0e0 END AS cos
+      FROM u r JOIN u s ON NOT r.synthetic AND s.synthetic)
+"""
+
+
+@register("cosine_mean", "SI1 JO5 SC3", round_sql(COS_SQL + """SELECT count(DISTINCT rid) AS n_real,
+    count(DISTINCT sid) AS n_synthetic, avg(cos) AS mean_cosine FROM p""", ["mean_cosine"]))
+def _cosine_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(SI.cosine_mean(X.text_pairs(spark, sf)))
+
+
+@register("cosine_by_score", "SI2 JO6 FI9 SO3 AG19", round_sql(COS_SQL + """SELECT rscore AS score,
+    count(DISTINCT rid) AS n_real, count(DISTINCT sid) AS n_synthetic, avg(cos) AS mean_cosine
+    FROM p WHERE rscore = sscore GROUP BY rscore""", ["mean_cosine"]))
+def _cosine_by_score(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(SI.cosine_mean(X.text_pairs(spark, sf), by=["score"]))
+
+
+@register("cosine_extremes", "SI3 SO4", round_sql(COS_SQL + """SELECT max(cos) AS max_cosine,
+    arg_max(rid, cos) AS max_real_id, arg_max(sid, cos) AS max_synthetic_id,
+    min(cos) AS min_cosine, arg_min(rid, cos) AS min_real_id, arg_min(sid, cos) AS min_synthetic_id,
+    count(*) AS pairs_examined FROM p""", ["max_cosine", "min_cosine"]))
+def _cosine_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    e = SI.cosine_extremes(X.text_pairs(spark, sf), block_rows=128)
+    return round_doubles(e.select(
+        "max_cosine", F.col("max_pair.real_id").alias("max_real_id"),
+        F.col("max_pair.synthetic_id").alias("max_synthetic_id"), "min_cosine",
+        F.col("min_pair.real_id").alias("min_real_id"), F.col("min_pair.synthetic_id").alias("min_synthetic_id"),
+        "pairs_examined"))
+
+
+@register("near_pairs", "SI4")
+def _near_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(SI.near_pairs(X.text_pairs(spark, sf), threshold=0.4))
+
+
+@register("text_cosine_by_score", "SI5 SI2", round_sql(X.with_views("regression_docs") + """,
+    d AS (SELECT example_id AS id, label AS score, example_id % 2 = 1 AS synthetic, text FROM regression_docs),
+    t AS (SELECT id, score, synthetic, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM d),
+    tf AS (SELECT id, score, synthetic, term, count(*) AS c FROM t WHERE term <> '' GROUP BY ALL),
+    w AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM tf),
+    pt AS (SELECT score, term, sum(CASE WHEN NOT synthetic THEN w END) AS sr, sum(CASE WHEN synthetic THEN w END) AS ss
+           FROM w GROUP BY score, term),
+    dt AS (SELECT score, sum(coalesce(sr, 0) * coalesce(ss, 0)) AS dot FROM pt GROUP BY score),
+    ct AS (SELECT score, count(*) FILTER (WHERE NOT synthetic) AS n_real, count(*) FILTER (WHERE synthetic) AS n_synthetic
+           FROM d GROUP BY score)
+    SELECT ct.score, n_real, n_synthetic, coalesce(dot, 0) / (n_real * n_synthetic) AS mean_cosine
+    FROM ct LEFT JOIN dt USING (score) WHERE n_real > 0 AND n_synthetic > 0""", ["mean_cosine"]))
+def _text_cosine_by_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = X.regression_docs(spark, sf).select(
+        "example_id", "text", F.col("label").alias("score"), (F.col("example_id") % 2 == 1).alias("synthetic"))
+    w = SI.term_weights(docs, "example_id", "text", keep=["score", "synthetic"])
+    return round_doubles(SI.cosine_mean_terms(docs, w, by=["score"]))

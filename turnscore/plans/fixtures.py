@@ -114,6 +114,36 @@ def bench_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") * F.lit(60.0)).alias("pred"))
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recording paths built from document ids (one per document)."""
+    d = table(spark, sf_dir, "documents")
+    code = F.concat(F.lit("MC_1"), F.col("doc_id").cast("string"))
+    path = F.concat(F.lit("Video/"), code, F.lit("/"), code, F.lit("_MADRS.mp4"))
+    return d.select(F.col("doc_id"), path.alias("path"))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects already processed: documents with doc_id % 3 = 0."""
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0)
+    return d.select(F.concat(F.lit("MC_1"), F.col("doc_id").cast("string")).alias("subject"))
+
+
+def _micros_of_day(ts) -> F.Column:
+    sec = F.date_part(F.lit("SECOND"), ts)  # decimal seconds with microseconds
+    return ((F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * 1000000
+            + (sec * 1000000).cast("bigint"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diarization-like segments: start = seconds of day of ts, length value/10 s."""
+    e = table(spark, sf_dir, "events")
+    start = _micros_of_day(F.col("ts")).cast("double") / F.lit(1e6)
+    return e.select(F.col("event_id").alias("id"),
+                    F.concat(F.lit("MC_"), F.col("user_id").cast("string")).alias("subject"),
+                    _speaker(F.col("event_type")).alias("speaker"),
+                    start.alias("start_s"), (start + F.col("value") / F.lit(10.0)).alias("end_s"))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB twins (CTE bodies). Tables are the driver's pre-registered views.
 # ---------------------------------------------------------------------------
@@ -150,6 +180,12 @@ SQL = {
     "bench_predictions": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
         'T' || CAST(l_suppkey % 10 AS VARCHAR) AS topic, CAST(l_linenumber - 1 AS INTEGER) AS label,
         l_discount * 60e0 AS pred FROM lineitem""",
+    "manifest": """SELECT doc_id, 'Video/MC_1' || CAST(doc_id AS VARCHAR) || '/MC_1' || CAST(doc_id AS VARCHAR)
+        || '_MADRS.mp4' AS path FROM documents""",
+    "ledger": """SELECT 'MC_1' || CAST(doc_id AS VARCHAR) AS subject FROM documents WHERE doc_id % 3 = 0""",
+    "segments": f"""SELECT event_id AS id, 'MC_' || CAST(user_id AS VARCHAR) AS subject, {_SPEAKER_SQL} AS speaker,
+        CAST(epoch_us(ts) % 86400000000 AS DOUBLE) / 1e6 AS start_s,
+        CAST(epoch_us(ts) % 86400000000 AS DOUBLE) / 1e6 + value / 10e0 AS end_s FROM events""",
 }
 
 # Which fixture CTEs a fixture depends on (emitted in this order).

@@ -495,3 +495,88 @@ def _text_cosine_by_score(spark: SparkSession, sf: str) -> DataFrame:
         "example_id", "text", F.col("label").alias("score"), (F.col("example_id") % 2 == 1).alias("synthetic"))
     w = SI.term_weights(docs, "example_id", "text", keep=["score", "synthetic"])
     return round_doubles(SI.cosine_mean_terms(docs, w, by=["score"]))
+
+
+# ------------------------------------------- manifest, ledger, keys, segments
+from turnscore.functions import text as TX  # noqa: E402
+from turnscore.streaming import ingest as IN  # noqa: E402
+
+
+def _manifest_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    m = X.manifest(spark, sf)
+    return m.withColumn("file_name", TX.base_name(F.col("path"))) \
+        .withColumn("subject", TX.subject_key(F.col("file_name")))
+
+
+@register("ledger_pending", "JO1 FI2 FI3 FI1 SC8", X.with_views("manifest", "ledger") + """SELECT path,
+    split_part(regexp_extract(path, '[^/]+$'), '_', 1) || '_' || split_part(regexp_extract(path, '[^/]+$'), '_', 2)
+      AS subject FROM manifest
+    WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.subject = split_part(regexp_extract(path, '[^/]+$'), '_', 1)
+                      || '_' || split_part(regexp_extract(path, '[^/]+$'), '_', 2))
+      AND starts_with(split_part(path, '/', 2), 'MC_1') AND ends_with(path, '_MADRS.mp4')""")
+def _ledger_pending(spark: SparkSession, sf: str) -> DataFrame:
+    m = _manifest_keyed(spark, sf)
+    parent = F.element_at(F.split(F.col("path"), "/"), -2)
+    m = m.where(parent.startswith("MC_1") & F.col("path").endswith("_MADRS.mp4"))
+    return IN.pending(m, X.ledger(spark, sf)).select("path", "subject")
+
+
+@register("subject_keys", "PR1 PR2 PR3", X.with_views("manifest") + """, n AS (
+    SELECT path, regexp_extract(path, '[^/]+$') AS file_name FROM manifest)
+    SELECT path, split_part(file_name, '_', 1) || '_' || split_part(file_name, '_', 2) AS subject,
+           split_part(file_name, '_', 1) || '_' || split_part(file_name, '_', 2) || '_MADRS.wav' AS audio_name,
+           'f_' || replace(file_name, '.mp4', '.wav') AS filtered_name,
+           array_to_string(string_split('f_' || replace(file_name, '.mp4', '.wav'), '_')[2:4], '_') AS subject_variant
+    FROM n""")
+def _subject_keys(spark: SparkSession, sf: str) -> DataFrame:
+    m = _manifest_keyed(spark, sf)
+    filtered = TX.filtered_audio_name(F.col("file_name"))
+    return m.select("path", "subject", TX.audio_name(F.col("subject")).alias("audio_name"),
+                    filtered.alias("filtered_name"), TX.subject_key_parts(filtered).alias("subject_variant"))
+
+
+@register("segment_keys", "PR4 PR5", X.with_views("segments") + """, m AS (
+    SELECT id, subject, speaker, CAST(trunc(start_s * 1000e0) AS BIGINT) AS start_ms,
+           CAST(trunc(end_s * 1000e0) AS BIGINT) AS end_ms FROM segments)
+    SELECT id, start_ms, end_ms, subject || '_' || speaker || '_' || CAST(start_ms AS VARCHAR) || '_'
+           || CAST(end_ms AS VARCHAR) || '.wav' AS segment_key FROM m""")
+def _segment_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return TU.segments_ms(X.segments(spark, sf)).select("id", "start_ms", "end_ms", "segment_key")
+
+
+@register("segment_align", "JO8", X.with_views("segments") + """, s AS (
+    SELECT id, subject, CAST(trunc(start_s * 1000e0) AS BIGINT) AS a, CAST(trunc(end_s * 1000e0) AS BIGINT) AS b
+    FROM segments),
+    t AS (SELECT id, subject, CAST(trunc((start_s + 0.5e0) * 1000e0) AS BIGINT) AS a,
+                 CAST(trunc((end_s + 0.5e0) * 1000e0) AS BIGINT) AS b FROM segments)
+    SELECT t.id AS turn_id, s.id AS segment_id, least(t.b, s.b) - greatest(t.a, s.a) AS overlap_ms
+    FROM t JOIN s ON t.subject = s.subject AND greatest(t.a, s.a) < least(t.b, s.b)""")
+def _segment_align(spark: SparkSession, sf: str) -> DataFrame:
+    seg = X.segments(spark, sf)
+    s = TU.segments_ms(seg).select("id", "subject", "start_ms", "end_ms")
+    t = seg.select("id", "subject", TX.seconds_to_ms(F.col("start_s") + F.lit(0.5)).alias("start_ms"),
+                   TX.seconds_to_ms(F.col("end_s") + F.lit(0.5)).alias("end_ms"))
+    j = TU.align_segments(t, s)
+    return j.select(F.col("t_id").alias("turn_id"), F.col("s_id").alias("segment_id"), "overlap_ms")
+
+
+@register("ingest_ledger", "SS1 SS2 SK7 SK8", X.with_views("manifest") + """SELECT DISTINCT
+    split_part(regexp_extract(path, '[^/]+$'), '_', 1) || '_' || split_part(regexp_extract(path, '[^/]+$'), '_', 2)
+    AS subject FROM manifest""")
+def _ingest_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Stream the documents table through the ledgered ingest (availableNow) with a
+    ledger pre-seeded by the fixture's processed subjects; returns the final ledger."""
+    from turnscore.session import shared_path
+    base = shared_path(spark, "ingest")
+    ledger_path, sink, ckpt = f"{base}/ledger", f"{base}/data", f"{base}/checkpoint"
+    X.ledger(spark, sf).withColumn("processed_at", F.current_timestamp()) \
+        .write.mode("overwrite").parquet(f"{ledger_path}/batch_id=-1")
+    docs_schema = X.table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(docs_schema).option("pathGlobFilter", "documents.parquet") \
+        .option("maxFilesPerTrigger", 1).parquet(sf)
+    code = F.concat(F.lit("MC_1"), F.col("doc_id").cast("string"))
+    rows = stream.select(F.concat(F.lit("Video/"), code, F.lit("/"), code, F.lit("_MADRS.mp4")).alias("path")) \
+        .withColumn("subject", TX.subject_key(F.col("path")))
+    q = IN.ingest_stream(rows, ledger_path, sink, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(ledger_path).select("subject").distinct()

@@ -150,3 +150,72 @@ def batch_map(df: DataFrame, load: Callable[[], object],
         for batch in batches:
             yield predict(model, batch)
     return df.mapInPandas(run, schema)
+
+
+# ------------------------------------------------------- Spark ML per fold
+def _features(folded: DataFrame, text: str, num_features: int) -> DataFrame:
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    from turnscore.operators.similarity import TOKEN_SPLIT
+    tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_SPLIT, gaps=True,
+                         toLowercase=True, minTokenLength=1)
+    tf = HashingTF(inputCol="_tokens", outputCol="tf", numFeatures=num_features)
+    return tf.transform(tok.transform(folded)).drop("_tokens")
+
+
+def text_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "text",
+                       label: str = "label", topic: str = "topic", k: int = S.N_FOLDS,
+                       num_features: int = 1 << 14, reg_param: float = 0.1,
+                       model_name: str = "text_linear") -> DataFrame:
+    """Out-of-fold predictions of a text regression with squared-error loss
+    (ML2): tokens -> hashed term frequencies -> IDF fitted on the training
+    folds only -> ridge LinearRegression. Features are computed once and
+    persisted (recomputed from lineage if an executor is lost); each fold is
+    one distributed fit. Output is the prediction table (ML8)."""
+    from functools import reduce
+
+    from pyspark import StorageLevel
+    from pyspark.ml.feature import IDF
+    from pyspark.ml.regression import LinearRegression
+    feats = _features(folded.select(key, "fold", topic, label, text), text, num_features) \
+        .drop(text).persist(StorageLevel.MEMORY_AND_DISK)
+    outs = []
+    for f in range(k):
+        train = feats.where(F.col("fold") != f)
+        val = feats.where(F.col("fold") == f)
+        idf = IDF(inputCol="tf", outputCol="features").fit(train)
+        lr = LinearRegression(featuresCol="features", labelCol=label, regParam=reg_param,
+                              elasticNetParam=0.0, maxIter=50)
+        model = lr.fit(idf.transform(train))
+        outs.append(model.transform(idf.transform(val)).select(
+            key, F.lit(model_name).alias("model"), F.col("fold").cast("int").alias("fold"),
+            F.col(topic).alias("topic"), F.col(label).cast("int").alias("label"),
+            F.col("prediction").alias("pred")))
+    return reduce(lambda a, b: a.unionByName(b), outs)
+
+
+def gbt_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "text",
+                      label: str = "label", topic: str = "topic", k: int = S.N_FOLDS,
+                      num_features: int = 256, loss: str = "absolute", max_iter: int = 20,
+                      validation_tol: float = 0.01, model_name: str = "text_gbt") -> DataFrame:
+    """Out-of-fold predictions of gradient-boosted trees (ML3 / ML4) with early
+    stopping on the validation fold (``validationIndicatorCol``: the held-out
+    fold is scored during boosting and boosting stops when it stops improving,
+    as the study keeps the best epoch on its evaluation fold) and squared or
+    absolute loss."""
+    from functools import reduce
+
+    from pyspark import StorageLevel
+    from pyspark.ml.regression import GBTRegressor
+    feats = _features(folded.select(key, "fold", topic, label, text), text, num_features) \
+        .drop(text).persist(StorageLevel.MEMORY_AND_DISK)
+    outs = []
+    for f in range(k):
+        data = feats.withColumn("is_val", F.col("fold") == f)
+        gbt = GBTRegressor(featuresCol="tf", labelCol=label, lossType=loss, maxIter=max_iter, maxDepth=3,
+                           validationIndicatorCol="is_val", validationTol=validation_tol, seed=S.SEED)
+        model = gbt.fit(data)
+        outs.append(model.transform(feats.where(F.col("fold") == f)).select(
+            key, F.lit(model_name).alias("model"), F.col("fold").cast("int").alias("fold"),
+            F.col(topic).alias("topic"), F.col(label).cast("int").alias("label"),
+            F.col("prediction").alias("pred")))
+    return reduce(lambda a, b: a.unionByName(b), outs)

@@ -580,3 +580,60 @@ def _ingest_ledger(spark: SparkSession, sf: str) -> DataFrame:
     q = IN.ingest_stream(rows, ledger_path, sink, ckpt)
     q.awaitTermination()
     return spark.read.parquet(ledger_path).select("subject").distinct()
+
+
+# ------------------------------------------------------ models and reports
+from turnscore.operators import report as RP  # noqa: E402
+
+
+def _folded_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return SA.kfold(X.regression_docs(spark, sf), ["example_id"])
+
+
+@register("text_regression_cv", "ML2 ML8 SK9")
+def _text_regression_cv(spark: SparkSession, sf: str) -> DataFrame:
+    preds = ML.text_regression_cv(_folded_docs(spark, sf))
+    return round_doubles(M.evaluate_folds(preds, ["model"]))
+
+
+@register("gbt_regression_cv", "ML3 ML4")
+def _gbt_regression_cv(spark: SparkSession, sf: str) -> DataFrame:
+    preds = ML.gbt_regression_cv(_folded_docs(spark, sf))
+    return round_doubles(M.evaluate_folds(preds, ["model"]))
+
+
+TOKEN_RE = r"[\p{L}\p{N}]+"
+
+
+def _load_tokenizer():
+    import regex
+    return regex.compile(TOKEN_RE)
+
+
+def _count_tokens(model, batch):
+    import pandas as pd
+    texts = batch["text"].fillna("")
+    return pd.DataFrame({"doc_id": batch["doc_id"],
+                         "n_tokens": texts.map(lambda t: len(model.findall(t))).astype("int64"),
+                         "n_chars": texts.map(len).astype("int64")})
+
+
+@register("batch_map_tokens", "ML5 UD1", """SELECT doc_id,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+')) AS BIGINT) AS n_tokens,
+    CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents""")
+def _batch_map_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    docs = X.table(spark, sf, "documents").select("doc_id", "text")
+    return ML.batch_map(docs, _load_tokenizer, _count_tokens, "doc_id LONG, n_tokens LONG, n_chars LONG")
+
+
+@register("report_lines", "SK5 PR20 PR21 PR22")
+def _report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    tr = CF.trace(_dense_confusion(spark, sf))
+    a = tr.where(F.col("model") == "base").drop("model")
+    b = tr.where(F.col("model") == "tuned").drop("model")
+    spec, td = S.comparison_spec(spark), S.topic_dim(spark)
+    tests = CP.marginal_comparisons(a, b, spec, td)
+    errors = CP.error_reduction(a, b, spec, td)
+    lines = RP.comparison_report(tests, errors)
+    return lines.withColumn("side_a", TX.side_name(F.col("comparison"), 1)) \
+        .withColumn("side_b", TX.side_name(F.col("comparison"), 2))

@@ -36,7 +36,9 @@ def round_doubles(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name).cast("double"), decimals) + F.lit(0.0)).alias(f.name))
+            scale = F.lit(float(10 ** decimals))
+            # round(x * 10^d) / 10^d in IEEE steps, as DuckDB's round(x, d) does
+            cols.append((F.round(F.col(f.name).cast("double") * scale, 0) / scale + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

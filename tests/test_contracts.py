@@ -88,15 +88,16 @@ def test_nested_prefixes(spark):
 
 
 def test_contingency_and_error_reduction(spark):
-    a = spark.createDataFrame([("Schlaf", "strict", 10, 20)], "topic STRING, rule STRING, correct LONG, total LONG")
-    b = spark.createDataFrame([("Schlaf", "strict", 14, 20)], "topic STRING, rule STRING, correct LONG, total LONG")
-    spec = S.comparison_spec(spark, [("X vs. Y", "strict", "strict")])
-    cells = CP.marginal_cells(a, b, spec).first()
+    tr = spark.createDataFrame([("base", "Schlaf", "strict", 10, 20), ("tuned", "Schlaf", "strict", 14, 20)],
+                               "model STRING, topic STRING, rule STRING, correct LONG, total LONG")
+    spec = [("X vs. Y", "strict", "strict")]
+    cells = CP.marginal_cells(tr, spec).first()
     assert (cells.n11, cells.n10, cells.n01, cells.n00) == (10, 0, 4, 6)
-    er = CP.error_reduction(a, b, spec, S.topic_dim(spark)).first()
+    er = CP.error_reduction(tr, S.topic_dim(spark), spec).first()
     assert er.errors_a == 10 and er.errors_b == 6 and er.error_reduction_pct == pytest.approx(40.0)
-    z = spark.createDataFrame([("Schlaf", "strict", 20, 20)], "topic STRING, rule STRING, correct LONG, total LONG")
-    assert CP.error_reduction(z, z, spec, S.topic_dim(spark)).first().error_reduction_pct == 0.0
+    z = spark.createDataFrame([("base", "Schlaf", "strict", 20, 20), ("tuned", "Schlaf", "strict", 20, 20)],
+                              "model STRING, topic STRING, rule STRING, correct LONG, total LONG")
+    assert CP.error_reduction(z, S.topic_dim(spark), spec).first().error_reduction_pct == 0.0
 
 
 def test_confusion_properties_and_document_roundtrip(spark):

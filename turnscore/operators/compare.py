@@ -1,14 +1,14 @@
 """Model comparison: 2x2 contingency tables (from marginals as in the study, or
 from paired rows), exact McNemar tests, Bonferroni correction, error reduction.
 
-All comparisons of a spec table run in one plan; every table here is small
+All comparisons of a spec list run in one plan; every table here is small
 (comparisons x topics) except the paired join of two prediction tables, which
 is an equi-join on the example key followed by a map-side-combined count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnscore import schemas as S
@@ -25,15 +25,31 @@ def _tests(cells: DataFrame, topic_dim: DataFrame) -> DataFrame:
     return out.join(F.broadcast(topic_dim), "topic").withColumn("p_display", p_display(F.col("p_adj")))
 
 
-def marginal_cells(trace_a: DataFrame, trace_b: DataFrame, spec: DataFrame) -> DataFrame:
+def _spec_rows(spec) -> Column:
+    """The comparison spec (list of (name, rule_a, rule_b)) as an exploded literal."""
+    return F.explode(F.array(*[
+        F.struct(F.lit(i).alias("cmp_rank"), F.lit(n).alias("comparison"), F.lit(ra).alias("rule_a"),
+                 F.lit(rb).alias("rule_b")) for i, (n, ra, rb) in enumerate(spec, start=1)]))
+
+
+def marginal_cells(trace: DataFrame, spec=S.COMPARISONS, model_a: str = "base",
+                   model_b: str = "tuned") -> DataFrame:
     """The study's table from marginals only: both = min(correct_a, correct_b),
     a_only = correct_a - both, b_only = correct_b - both, neither = total_a - rest.
-    Driven by A's topics; a topic missing on the B side yields null cells
-    (the study raises an error there)."""
-    a = trace_a.select("topic", F.col("rule").alias("rule_a"), F.col("correct").alias("ca"),
-                       F.col("total").alias("total"))
-    b = trace_b.select("topic", F.col("rule").alias("rule_b"), F.col("correct").alias("cb"))
-    j = F.broadcast(spec).join(a, "rule_a").join(b, ["topic", "rule_b"], "left")
+
+    ``trace``: (model, topic, rule, correct, total). One aggregation gathers each
+    topic's (model, rule) counts into a map; the spec is applied by explode, so
+    every comparison is answered from that single small table. Driven by A's
+    topics; a topic missing on the B side yields null cells (the study raises
+    an error there)."""
+    per_topic = trace.groupBy("topic").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws(":", "model", "rule"), F.struct("correct", "total")))).alias("m"))
+    x = per_topic.select("topic", "m", _spec_rows(spec).alias("sp")).select("topic", "m", "sp.*")
+    a = F.col("m")[F.concat(F.lit(model_a + ":"), F.col("rule_a"))]
+    b = F.col("m")[F.concat(F.lit(model_b + ":"), F.col("rule_b"))]
+    j = x.where(a.isNotNull()).select(
+        "cmp_rank", "comparison", "topic", "rule_a", "rule_b",
+        a["correct"].alias("ca"), b["correct"].alias("cb"), a["total"].alias("total"))
     both = F.least("ca", "cb")
     return j.select(
         "cmp_rank", "comparison", "topic", "rule_a", "rule_b", "ca", "cb", "total",
@@ -41,22 +57,23 @@ def marginal_cells(trace_a: DataFrame, trace_b: DataFrame, spec: DataFrame) -> D
         (F.col("total") - F.col("ca") - F.col("cb") + both).alias("n00"))
 
 
-def marginal_comparisons(trace_a: DataFrame, trace_b: DataFrame, spec: DataFrame,
-                         topic_dim: DataFrame) -> DataFrame:
+def marginal_comparisons(trace: DataFrame, topic_dim: DataFrame, spec=S.COMPARISONS,
+                         model_a: str = "base", model_b: str = "tuned") -> DataFrame:
     """Per (comparison, topic): contingency cells, p, corrected p, running error totals."""
-    cells = marginal_cells(trace_a, trace_b, spec)
+    cells = marginal_cells(trace, spec, model_a, model_b)
     out = _tests(cells, topic_dim)
     run = Window.partitionBy("comparison").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("cum_errors_a", F.sum(F.col("total") - F.col("ca")).over(run)) \
         .withColumn("cum_errors_b", F.sum(F.col("total") - F.col("cb")).over(run))
 
 
-def error_reduction(trace_a: DataFrame, trace_b: DataFrame, spec: DataFrame,
-                    topic_dim: DataFrame) -> DataFrame:
+def error_reduction(trace: DataFrame, topic_dim: DataFrame, spec=S.COMPARISONS,
+                    model_a: str = "base", model_b: str = "tuned") -> DataFrame:
     """Per comparison: total errors of A and B over the evaluated topics (B's errors
     measured against A's totals), reduction % = (eA - eB) / eA * 100 (0 when eA = 0),
     total samples."""
-    cells = marginal_cells(trace_a, trace_b, spec).join(F.broadcast(topic_dim.select("topic")), "topic")
+    cells = marginal_cells(trace, spec, model_a, model_b) \
+        .join(F.broadcast(topic_dim.select("topic")), "topic")  # fixed 9 rows
     agg = cells.groupBy("cmp_rank", "comparison").agg(
         F.sum(F.col("total") - F.col("ca")).cast("bigint").alias("errors_a"),
         F.sum(F.col("total") - F.col("cb")).cast("bigint").alias("errors_b"),
@@ -85,10 +102,7 @@ def paired_cells(preds_a: DataFrame, preds_b: DataFrame, spec, topic_dim: DataFr
     b_s, b_f = ok("sb")
     flags = j.groupBy("topic", a_s.alias("a_strict"), a_f.alias("a_flexible"),
                       b_s.alias("b_strict"), b_f.alias("b_flexible")).agg(F.count(F.lit(1)).alias("cnt"))
-    specs = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("cmp_rank"), F.lit(n).alias("comparison"), F.lit(ra).alias("rule_a"),
-                 F.lit(rb).alias("rule_b")) for i, (n, ra, rb) in enumerate(spec, start=1)]))
-    x = flags.select("*", specs.alias("sp")).select("*", "sp.*").drop("sp")
+    x = flags.select("*", _spec_rows(spec).alias("sp")).select("*", "sp.*").drop("sp")
     oka = F.when(F.col("rule_a") == "strict", F.col("a_strict")).otherwise(F.col("a_flexible"))
     okb = F.when(F.col("rule_b") == "strict", F.col("b_strict")).otherwise(F.col("b_flexible"))
 

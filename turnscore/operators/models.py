@@ -92,7 +92,7 @@ def topic_mean_cv_predictions(folded: DataFrame, key: str = "example_id", topic:
 
 def learning_curve_mean(folded: DataFrame, keys: Sequence[str], topic: str = "topic",
                         label: str = "label", k: int = S.N_FOLDS, seed=S.SEED,
-                        fractions: Sequence[float] = S.FRACTIONS) -> DataFrame:
+                        fractions: Sequence[float] = S.FRACTIONS, materialize: bool = True) -> DataFrame:
     """Nested-subset learning curve of the per-topic mean predictor in one pass.
 
     Each pool row gets the smallest fraction whose prefix holds it; sums per
@@ -105,6 +105,9 @@ def learning_curve_mean(folded: DataFrame, keys: Sequence[str], topic: str = "to
     train = pools.where(F.col("frac_idx").isNotNull()).groupBy(
         "outer_fold", "frac_idx", F.col(topic).alias("topic")).agg(
         F.sum(F.col(label).cast("long")).alias("s"), F.count(F.lit(1)).alias("c"))
+    if materialize:  # small (folds x fractions x topics) and read by two branches
+        from turnscore.session import materialize as _m
+        train = _m(train, "curve-train")
     spine = train.select("outer_fold", "topic").distinct() \
         .withColumn("frac_idx", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))))
     cum_w = Window.partitionBy("outer_fold", "topic").orderBy("frac_idx") \

@@ -67,7 +67,10 @@ from pyspark.sql import functions as F  # noqa: E402
 
 
 def _folded_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return SA.kfold(X.predictions_wide(spark, sf), ["example_id"])
+    """Fold assignment, computed once and written to the shared checkpoint folder
+    (several branches of the fold queries read it)."""
+    from turnscore.session import materialize
+    return materialize(SA.kfold(X.predictions_wide(spark, sf), ["example_id"]), "folds")
 
 
 def _fold_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -390,10 +393,7 @@ _P_DISPLAY_SQL = "CASE WHEN p_adj < 1e-4 THEN 'P < 0.0001' ELSE printf('P = %.4f
     FROM adj""", ["p_value", "p_adj"]))
 def _model_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     tr = CF.trace(_dense_confusion(spark, sf))
-    a = tr.where(F.col("model") == "base").drop("model")
-    b = tr.where(F.col("model") == "tuned").drop("model")
-    out = CP.marginal_comparisons(a, b, S.comparison_spec(spark), S.topic_dim(spark))
-    return round_doubles(out)
+    return round_doubles(CP.marginal_comparisons(tr, S.topic_dim(spark)))
 
 
 @register("error_reduction", "AG17", round_sql(MARGINAL_SQL + """SELECT cmp_rank, comparison,
@@ -404,9 +404,7 @@ def _model_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     FROM cells JOIN td USING (topic) GROUP BY cmp_rank, comparison""", ["error_reduction_pct"]))
 def _error_reduction(spark: SparkSession, sf: str) -> DataFrame:
     tr = CF.trace(_dense_confusion(spark, sf))
-    a = tr.where(F.col("model") == "base").drop("model")
-    b = tr.where(F.col("model") == "tuned").drop("model")
-    return round_doubles(CP.error_reduction(a, b, S.comparison_spec(spark), S.topic_dim(spark)))
+    return round_doubles(CP.error_reduction(tr, S.topic_dim(spark)))
 
 
 @register("paired_comparisons", "ST5 JO4 ST1 ST2", round_sql(X.with_views("predictions") + f""",
@@ -628,12 +626,11 @@ def _batch_map_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("report_lines", "SK5 PR20 PR21 PR22")
 def _report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    tr = CF.trace(_dense_confusion(spark, sf))
-    a = tr.where(F.col("model") == "base").drop("model")
-    b = tr.where(F.col("model") == "tuned").drop("model")
-    spec, td = S.comparison_spec(spark), S.topic_dim(spark)
-    tests = CP.marginal_comparisons(a, b, spec, td)
-    errors = CP.error_reduction(a, b, spec, td)
+    from turnscore.session import materialize
+    tr = materialize(CF.trace(_dense_confusion(spark, sf)), "trace")  # tiny, read twice
+    td = S.topic_dim(spark)
+    tests = CP.marginal_comparisons(tr, td)
+    errors = CP.error_reduction(tr, td)
     lines = RP.comparison_report(tests, errors)
     return lines.withColumn("side_a", TX.side_name(F.col("comparison"), 1)) \
         .withColumn("side_b", TX.side_name(F.col("comparison"), 2))

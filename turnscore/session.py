@@ -56,3 +56,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/turnscore-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "table"):
+    """Compute ``df`` once into a parquet table below ``spark.checkpoint.dir`` and
+    read it back: a derived table referenced by several branches of a plan is
+    not recomputed per branch, its lineage is cut, and it survives the loss of
+    the executors that computed it (the files are in shared storage)."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

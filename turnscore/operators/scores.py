@@ -36,3 +36,9 @@ def histogram_topic(first_scores: DataFrame) -> DataFrame:
     spine = score_spine(counts.select("topic").distinct())
     return spine.join(counts, ["topic", "score"], "left") \
         .select("topic", "score", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("count"))
+
+
+def rubric_lookup(scores: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Attach description and criterion text (``schemas.RUBRIC``) per (topic, score).
+    The rubric is a dimension of at most topics x 7 rows, so it is broadcast."""
+    return scores.join(F.broadcast(rubric), ["topic", "score"], "left")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnscore import schemas as S
 from turnscore.functions.text import clean_text, replace_phrases, seconds_to_ms
-from turnscore.operators.ordered import DEFAULT_BUCKET_ROWS, bucket_of, runs
+from turnscore.operators.ordered import DEFAULT_BUCKET_ROWS, _all_equal, bucket_of
 
 
 def clean_turns(df: DataFrame, text: str = "text", phrases=None) -> DataFrame:
@@ -26,36 +26,85 @@ def merge_turns(df: DataFrame, subject: str = "subject", speaker: str = "speaker
     phrase replacement). A run keeps its first text even when empty; later
     texts are appended with one blank only when non-empty.
 
-    Output: subject, speaker, text, run_id, first_seq, n_turns."""
+    Plan (one shuffle of the turns, one window pass):
+      1. window per (part, seq bucket): break flags and the local run index;
+      2. aggregate local runs on the same partitioning (no shuffle): sorted
+         texts, first / last row keys;
+      3. one row per bucket: whether its first local run continues the
+         previous bucket's last run, run-id offsets (windows over buckets only);
+      4. local runs get dense run ids and are grouped per run, partial texts
+         joined in order.
+    Output: subject, speaker, text, run_id (1.. per part), first_seq, n_turns."""
     if order not in ("global", "subject"):
         raise ValueError("order must be 'global' or 'subject'")
     d = clean_turns(df, text, phrases if phrases is not None else S.PHRASES)
     if order == "global":
-        part, r = [], runs(d, [subject, speaker], seq, [], adjacency=True, bucket_rows=bucket_rows)
+        part, same, adjacency = [], [subject, speaker], True
     else:
-        part, r = [subject], runs(d, [speaker], seq, [subject], adjacency=False, bucket_rows=bucket_rows)
-    # level 1: per (run, seq bucket) on the window's partitioning (no shuffle)
+        part, same, adjacency = [subject], [speaker], False
+    carry = [c for c in (subject, speaker) if c not in part]
+    d = d.withColumn("_b", bucket_of(seq, bucket_rows))
+    wb = Window.partitionBy(*part, "_b").orderBy(seq)
+    brk = ~_all_equal([F.col(c) for c in same], [F.lag(F.col(c)).over(wb) for c in same])
+    if adjacency:
+        brk = brk | (F.col(seq) - F.lag(F.col(seq)).over(wb) > 1)
+    first_in_bucket = F.lag(F.col(seq)).over(wb).isNull()
+    d = d.withColumn("_brk", F.when(first_in_bucket, F.lit(0)).otherwise(brk.cast("int")))
+    d = d.withColumn("_cum", F.sum("_brk").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+
+    # 2. local runs (keys constant inside a local run)
     xs = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t"))))
-    lvl1 = r.groupBy(*part, "run_id", "_b").agg(
-        xs.alias("_xs"), F.first(subject).alias("_subj"), F.first(speaker).alias("_spk"))
-    rest_of = F.filter(F.transform(F.slice("_xs", 2, F.greatest(F.size("_xs"), F.lit(1))), lambda x: x["t"]),
-                       lambda t: t != "")
-    lvl1 = lvl1.select(*part, "run_id", "_subj", "_spk", F.struct(
-        F.col("_b").alias("b"), F.col("_xs")[0]["s"].alias("fs"), F.col("_xs")[0]["t"].alias("ft"),
-        F.array_join(rest_of, " ").alias("rest"), F.size("_xs").alias("n")).alias("p"))
-    # level 2: partials of one run in bucket order
-    lvl2 = lvl1.groupBy(*part, "run_id").agg(
-        F.array_sort(F.collect_list("p")).alias("_ps"), F.first("_subj").alias("_subj"),
-        F.first("_spk").alias("_spk"))
+    loc = d.groupBy(*part, "_b", "_cum").agg(xs.alias("_xs"), *[F.first(c).alias(c) for c in carry])
+    rest = F.filter(F.transform(F.slice("_xs", 2, F.greatest(F.size("_xs"), F.lit(1))), lambda x: x["t"]),
+                    lambda t: t != "")
+    keys = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(same)])
+    loc = loc.select(*part, "_b", "_cum", *carry, keys.alias("_k"),
+                     F.col("_xs")[0]["s"].alias("_fs"), F.element_at("_xs", -1)["s"].alias("_ls"),
+                     F.col("_xs")[0]["t"].alias("_ft"), F.array_join(rest, " ").alias("_rest"),
+                     F.size("_xs").alias("_n"))
+
+    # 3. one row per bucket
+    bk = loc.groupBy(*part, "_b").agg(
+        F.min_by(F.struct("_k", "_fs"), F.col("_cum")).alias("_first"),
+        F.max_by(F.struct("_k", "_ls"), F.col("_cum")).alias("_last"),
+        F.max("_cum").alias("_mx"))
+    wk = Window.partitionBy(*part).orderBy("_b")
+    before = wk.rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.lag("_last").over(wk)
+    cont = prev.isNotNull() & _all_equal([F.col("_first._k")[f"k{i}"] for i in range(len(same))],
+                                         [prev["_k"][f"k{i}"] for i in range(len(same))])
+    if adjacency:
+        cont = cont & (F.col("_first._fs") - prev["_ls"] == 1)
+    bk = bk.withColumn("_c0", cont.cast("int"))
+    bk = bk.withColumn("_off", F.coalesce(F.sum(F.col("_mx") + 1 - F.col("_c0")).over(before), F.lit(0)))
+    last_start = F.when((F.col("_mx") > 0) | (F.col("_c0") == 0),
+                        F.col("_off") + F.col("_mx") - F.col("_c0") + 1)
+    bk = bk.withColumn("_ls_id", last_start)
+    bk = bk.select(*[F.col(c).alias(f"_bk_{c}") for c in [*part, "_b"]], "_c0", "_off",
+                   F.last("_ls_id", ignorenulls=True).over(before).alias("_r0"))
+
+    # 4. dense run ids, then runs. Null-safe keys: a null subject keeps its rows,
+    # and no not-null filter is inferred into one branch only, so both branches
+    # share the turns shuffle (ReusedExchange) instead of shuffling twice.
+    run_id = F.when((F.col("_cum") == 0) & (F.col("_c0") == 1), F.col("_r0")) \
+        .otherwise(F.col("_off") + F.col("_cum") - F.col("_c0") + 1).cast("bigint")
+    on = F.lit(True)
+    for c in [*part, "_b"]:
+        on = on & loc[c].eqNullSafe(bk[f"_bk_{c}"])
+    loc = loc.join(bk, on).drop(*[f"_bk_{c}" for c in [*part, "_b"]]).withColumn("run_id", run_id)
+    p = F.struct(F.col("_b").alias("b"), F.col("_cum").alias("c"), F.col("_fs").alias("fs"),
+                 F.col("_ft").alias("ft"), F.col("_rest").alias("rest"), F.col("_n").alias("n"))
+    runs_ = loc.groupBy(*part, "run_id").agg(
+        F.array_sort(F.collect_list(p)).alias("_ps"), *[F.first(c).alias(c) for c in carry])
     head = F.col("_ps")[0]
     later = F.transform(F.slice("_ps", 2, F.greatest(F.size("_ps"), F.lit(1))),
-                        lambda p: F.array_join(F.filter(F.array(p["ft"], p["rest"]), lambda x: x != ""), " "))
+                        lambda q: F.array_join(F.filter(F.array(q["ft"], q["rest"]), lambda x: x != ""), " "))
     pieces = F.array_join(F.filter(F.concat(F.array(head["rest"]), later), lambda x: x != ""), " ")
     merged = F.concat(head["ft"], F.when(pieces != "", F.concat(F.lit(" "), pieces)).otherwise(F.lit("")))
-    return lvl2.select(
-        F.col("_subj").alias("subject"), F.col("_spk").alias("speaker"), merged.alias("text"),
+    return runs_.select(
+        F.col(subject).alias("subject"), F.col(speaker).alias("speaker"), merged.alias("text"),
         "run_id", head["fs"].alias("first_seq"),
-        F.aggregate(F.col("_ps"), F.lit(0), lambda acc, p: acc + p["n"]).cast("bigint").alias("n_turns"))
+        F.aggregate(F.col("_ps"), F.lit(0), lambda acc, q: acc + q["n"]).cast("bigint").alias("n_turns"))
 
 
 def segments_ms(segments: DataFrame, start: str = "start_s", end: str = "end_s") -> DataFrame:
@@ -90,4 +139,4 @@ def align_segments(turns: DataFrame, segments: DataFrame, key: str = "subject",
         .drop("_bin").withColumn("overlap_ms", hi - lo)
 
 
-__all__ = ["clean_turns", "merge_turns", "segments_ms", "align_segments", "bucket_of"]
+__all__ = ["clean_turns", "merge_turns", "segments_ms", "align_segments"]

@@ -128,3 +128,11 @@ def test_merge_plan_has_no_unpartitioned_data_window(spark):
     plan = TU.merge_turns(df, bucket_rows=100)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 100])
+def test_merge_by_subject_null_subject_rows_stay_apart(spark, bucket_rows):
+    rows = [(None, "0", "a", 0), (None, "0", "b", 1), ("A", "0", "c", 0), ("A", "0", "d", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.subject or "", r.text) for r in TU.merge_turns(df, order="subject", bucket_rows=bucket_rows).collect())
+    assert got == [("", "a"), ("", "b"), ("A", "c d")]

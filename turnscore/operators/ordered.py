@@ -67,10 +67,13 @@ def runs(df: DataFrame, same: Sequence[str], seq: str = "seq", part: Sequence[st
     summary = summary.withColumn("_fb", first_brk.cast("int")) \
         .withColumn("_tot", F.col("_fb") + F.col("_inner"))
     summary = summary.select(
-        *part, b, "_fb",
+        *[F.col(c).alias(f"_s_{c}") for c in [*part, b]], "_fb",
         F.coalesce(F.sum("_tot").over(wbk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         .alias("_off"))
-    out = d.join(summary, [*part, b])
+    on = F.lit(True)
+    for c in [*part, b]:  # null-safe: null keys keep their rows
+        on = on & d[c].eqNullSafe(summary[f"_s_{c}"])
+    out = d.join(summary, on).drop(*[f"_s_{c}" for c in [*part, b]])
     return out.withColumn(run_col, (F.col("_off") + F.col("_fb") + F.col("_cum")).cast("bigint")) \
         .drop("_first", "_brk", "_cum", "_fb", "_off")
 

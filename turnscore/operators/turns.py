@@ -41,7 +41,7 @@ def merge_turns(df: DataFrame, subject: str = "subject", speaker: str = "speaker
     if order == "global":
         part, same, adjacency = [], [subject, speaker], True
     else:
-        part, same, adjacency = [subject], [speaker], False
+        part, same, adjacency = [subject], [subject, speaker], False  # null subject never equal
     carry = [c for c in (subject, speaker) if c not in part]
     d = d.withColumn("_b", bucket_of(seq, bucket_rows))
     wb = Window.partitionBy(*part, "_b").orderBy(seq)

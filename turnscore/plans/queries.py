@@ -634,3 +634,69 @@ def _report_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = RP.comparison_report(tests, errors)
     return lines.withColumn("side_a", TX.side_name(F.col("comparison"), 1)) \
         .withColumn("side_b", TX.side_name(F.col("comparison"), 2))
+
+
+# --------------------------------------- sources and sinks through the gate
+from turnscore.session import shared_path  # noqa: E402
+from turnscore.sources import readers as RD  # noqa: E402
+from turnscore.sources import writers as WR  # noqa: E402
+
+
+@register("examples_jsonl_roundtrip", "SK2 SC4 PR12 PR13")
+def _examples_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "examples-jsonl")
+    ex = DG.build_examples(X.scored_turns(spark, sf))
+    WR.write_examples(ex.select("input", "output"), path)
+    back = DG.parse_examples(RD.read_examples(spark, path))
+    return back.select(F.col("parsed_topic").alias("topic"), "label", "output")
+
+
+@register("confusion_doc_roundtrip", "SK4 SC5")
+def _confusion_doc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "confusion-docs")
+    WR.write_confusion_docs(CF.confusion_document(_dense_confusion(spark, sf)), path)
+    parts = []
+    for model in ("base", "tuned"):
+        parts.append(RD.read_confusion_doc(spark, f"{path}/model={model}").withColumn("model", F.lit(model)))
+    out = parts[0].unionByName(parts[1])
+    return out.select("model", "topic", "rule", F.col("true_score").cast("int").alias("true_score"),
+                      F.col("pred_score").cast("int").alias("pred_score"), "n")
+
+
+@register("predictions_roundtrip", "SK3 SE1")
+def _predictions_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "predictions")
+    WR.write_predictions(X.predictions(spark, sf), path)
+    return round_doubles(M.evaluate(spark.read.parquet(path), ["model", "topic"]))
+
+
+@register("learning_curve_csv_roundtrip", "SK6 SC6")
+def _learning_curve_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "curve-csv")
+    WR.write_table(ML.learning_curve_mean(_folded_wide(spark, sf), ["example_id"]), path, fmt="csv")
+    return round_doubles(ML.learning_curve_agg(RD.read_learning_curve(spark, path)))
+
+
+@register("turns_csv_roundtrip", "SC1 SK1 R1")
+def _turns_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns written as CSV without seq (range-partitioned files in seq order), read
+    back with the source-order seq derived at ingest, then merged."""
+    path = shared_path(spark, "turns-csv")
+    t = X.turns(spark, sf)
+    n_files = max(1, spark.sparkContext.defaultParallelism)
+    WR.write_table(t.repartitionByRange(n_files, "seq").sortWithinPartitions("seq")
+                   .select("subject", "speaker", "text"), path, fmt="csv")
+    return TU.merge_turns(RD.read_turns(spark, path, fmt="csv", seq=None), order="global")
+
+
+# Oracles of the round trips: the same rows as the direct queries.
+from turnscore.plans.registry import REGISTRY as _R  # noqa: E402
+
+_R["examples_jsonl_roundtrip"].sql = DIALOGUE_SQL + f"""SELECT
+    CASE WHEN contains(input, 'Topic:') THEN {_strip_sql(f"replace(split_part(input, {NL}, 1), 'Topic:', '')")}
+         ELSE 'Unknown' END AS topic,
+    CAST(trunc(CAST({_strip_sql("split_part(output, ':', 2)")} AS DOUBLE)) AS INTEGER) AS label, output FROM ex"""
+_R["confusion_doc_roundtrip"].sql = _R["confusion_matrices"].sql
+_R["predictions_roundtrip"].sql = _R["eval_by_topic"].sql
+_R["learning_curve_csv_roundtrip"].sql = _R["learning_curve_agg"].sql
+_R["turns_csv_roundtrip"].sql = _R["merge_turns"].sql

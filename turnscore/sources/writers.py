@@ -14,8 +14,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if fmt == "csv":
-        w.option("header", True).csv(path)
+    if fmt == "csv":  # RFC 4180 quoting (doubled quotes), as the readers expect
+        w.option("header", True).option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 

@@ -60,7 +60,7 @@ def topic_mean_cv_means(folded: DataFrame, topic: str = "topic", label: str = "l
     means = means.select(
         "fold", "topic",
         F.when(F.col("c_t") > 0, F.col("s_t") / F.col("c_t"))
-        .otherwise(F.col("s_all") / F.col("c_all")).alias("train_mean"))
+        .otherwise(F.try_divide(F.col("s_all"), F.col("c_all"))).alias("train_mean"))
     return hist, means
 
 

@@ -700,3 +700,14 @@ _R["confusion_doc_roundtrip"].sql = _R["confusion_matrices"].sql
 _R["predictions_roundtrip"].sql = _R["eval_by_topic"].sql
 _R["learning_curve_csv_roundtrip"].sql = _R["learning_curve_agg"].sql
 _R["turns_csv_roundtrip"].sql = _R["merge_turns"].sql
+
+
+@register("media_manifest", "SC7 FI1 PR1")
+def _media_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The binaryFile manifest over the table folder itself: every parquet file
+    under folders named like the scale-factor folder (content never read)."""
+    import os
+    root = os.path.dirname(sf.rstrip("/"))
+    prefix = os.path.basename(sf.rstrip("/"))
+    return RD.media_manifest(spark, root, folder_prefix=prefix, suffix=".parquet") \
+        .select("path", "length", "file_name", "subject")

@@ -63,14 +63,14 @@ def ingest_stream(stream: DataFrame, ledger_path: str, sink_path: str, checkpoin
 
 
 def merge_touched(turns_path: str, merged_path: str, spark: SparkSession, touched: DataFrame,
-                  bucket_count: int = 64) -> None:
+                  bucket_count: int = 1024) -> None:
     """SS2: re-merge the full turn history of the subject hash-buckets touched by a
     batch and overwrite only those buckets (dynamic partition overwrite).
     ``turns_path`` holds every turn appended so far (subject, speaker, text, seq)."""
     sb = F.pmod(F.xxhash64("subject"), F.lit(bucket_count)).cast("int")
     buckets = touched.select(sb.alias("sbucket")).distinct()
     turns = spark.read.parquet(turns_path).withColumn("sbucket", sb)
-    mine = turns.join(F.broadcast(buckets), "sbucket", "left_semi")  # <= bucket_count rows
+    mine = turns.join(F.broadcast(buckets), "sbucket", "left_semi")  # at most bucket_count rows
     merged = merge_turns(mine.drop("sbucket"), order="subject").withColumn("sbucket", sb)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("sbucket").parquet(merged_path)

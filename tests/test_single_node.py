@@ -1,0 +1,33 @@
+"""The single-node, reference-style computations used by bench.py agree with
+the Spark operators on the same data (sf0.001)."""
+
+import os
+import sys
+
+import __spark_entry__ as E
+from tests.conftest import SF001
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+import single_node as SN  # noqa: E402
+
+
+def test_merge_and_dialogue_equal(spark):
+    df = SN.turns_frame(SF001)
+    loop = SN.merge_loop(df)
+    sp = [(r.subject, r.speaker, r.text) for r in E.queries()["merge_turns"](spark, SF001).orderBy("first_seq").collect()]
+    assert loop == sp
+    d = SN.dialogue_loop(df)
+    dd = {(r.subject.replace("_Syn", ""), r.topic): (r.input, r.output)
+          for r in E.queries()["dialogue_examples"](spark, SF001).collect()}
+    assert len(d) == len(dd) and all(dd[(a, b)] == (c, e) for a, b, c, e in d)
+
+
+def test_metrics_and_cosine_equal(spark):
+    m = SN.metrics_masks(SF001)
+    for r in E.queries()["eval_by_topic"](spark, SF001).collect():
+        for i, v in enumerate((r.mse, r.mae, r.strict_acc, r.tolerant_acc)):
+            assert abs(round(m[(r.model, r.topic)][i], 6) - v) < 2e-6
+    mean, mx, mn = SN.cosine_matrix(SF001)
+    assert abs(E.queries()["cosine_mean"](spark, SF001).first().mean_cosine - round(mean, 6)) < 2e-6
+    ext = E.queries()["cosine_extremes"](spark, SF001).first()
+    assert abs(ext.max_cosine - round(mx, 6)) < 2e-6 and abs(ext.min_cosine - round(mn, 6)) < 2e-6

@@ -26,23 +26,26 @@ def with_source_order(df: DataFrame, col: str = "seq") -> DataFrame:
     inside a split come from the id's lower bits. Persist the result: the
     position is the order of the files as listed."""
     d = df.withColumn("_file", F.input_file_name()).withColumn("_mid", F.monotonically_increasing_id())
-    d = d.withColumn("_split", F.shiftright("_mid", 33))
+    d = d.withColumn("_split", F.shiftright("_mid", 33)).withColumn("_fh", F.xxhash64("_file"))
     from pyspark.sql import Window
-    sizes = d.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_min"))
+    sizes = d.groupBy("_file", "_fh", "_split").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_min"))
     running = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", "_split", "_min",
+    offsets = sizes.select("_fh", "_split", "_min",
                            F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
-    out = d.join(F.broadcast(offsets), ["_file", "_split"])  # one row per input split
+    # one row of four longs per (file, input split): ~32 MB at 100 TB in 128 MB splits
+    out = d.join(F.broadcast(offsets), ["_fh", "_split"])
     return out.withColumn(col, (F.col("_off") + F.col("_mid") - F.col("_min")).cast("bigint")) \
-        .drop("_file", "_mid", "_split", "_min", "_off")
+        .drop("_file", "_fh", "_mid", "_split", "_min", "_off")
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
-               fmt: str = "parquet", header: bool = True) -> DataFrame:
+               fmt: str = "parquet", header: bool = True, multi_line: bool = False) -> DataFrame:
+    """Explicit-schema scan. CSV stays splittable unless ``multi_line`` (quoted
+    line breaks) is asked for, which makes every file one partition."""
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", header).option("multiLine", True).option("escape", '"').csv(paths)
+        return reader.option("header", header).option("multiLine", multi_line).option("escape", '"').csv(paths)
     if fmt == "json":
         return reader.json(paths)
     return reader.format(fmt).load(paths)

@@ -73,17 +73,43 @@ def prefix_sizes(n_total: Column, fractions: Sequence[float]) -> Column:
 def nested_prefix(folded: DataFrame, keys: Sequence[str], k: int = S.N_FOLDS, seed=S.SEED,
                   fractions: Sequence[float] = S.FRACTIONS, fold_col: str = "fold",
                   hex_digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
-    """For every outer fold f, the training pool (rows not in f) in its own
-    shuffled order; ``pool_rank`` and ``frac_idx`` = index of the smallest
-    fraction whose prefix ``int(N*frac)`` (N = whole data set) contains the row
-    (null when none does). Prefixes are nested by construction.
+    """For every outer fold f, the training pool (rows not in f) in a shuffled
+    order, ``pool_rank`` (1-based) and ``frac_idx`` = index of the smallest fraction
+    whose prefix ``int(N*frac)`` (N = whole data set) contains the row (null when
+    none does). Prefixes are nested by construction.
+
+    All pools share one seeded order (md5 of ``key:seed:pool``); a row's rank in
+    pool f is its rank in that order minus the fold-f rows ahead of it. So the
+    rows are ranked once - bucket counts per fold give offsets, one window per
+    md5 bucket gives positions and running fold counts - and each row is
+    expanded to its k-1 pools only after ranking.
 
     Input must carry ``fold`` and ``n_total`` (from ``kfold``)."""
-    pools = folded.withColumn(
-        "outer_fold", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(k - 1)), F.col(fold_col))))
-    ranked = exact_rank(pools.drop("rank"), keys, f"{seed}:pool", partition_by=["outer_fold"],
-                        rank_col="pool_rank", total_col="pool_size", hex_digits=hex_digits,
-                        extra_hash_keys=["outer_fold"])
+    h = folded.withColumn("_h", shuffle_key(keys, f"{seed}:pool")) \
+        .withColumn("_b", F.substring("_h", 1, hex_digits))
+    in_fold = [F.when(F.col(fold_col) == f, 1).otherwise(0) for f in range(k)]
+    counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"),
+                                 *[F.sum(c).alias(f"_c{f}") for f, c in enumerate(in_fold)])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", *[F.coalesce(F.sum(f"_c{f}").over(before), F.lit(0)).alias(f"_o{f}")
+                                    for f in range(k)],
+                            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_o"))
+    # bounded: at most 16**hex_digits rows
+    ranked = h.join(F.broadcast(offsets), "_b")
+    w = Window.partitionBy("_b").orderBy("_h", *keys)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_r", F.col("_o") + F.row_number().over(w))
+    for f, c in enumerate(in_fold):
+        ranked = ranked.withColumn(f"_a{f}", F.col(f"_o{f}") + F.sum(c).over(upto))
+    pools = F.filter(F.array(*[F.struct(F.lit(f).alias("outer_fold"),
+                                        (F.col("_r") - F.col(f"_a{f}")).alias("pool_rank"))
+                               for f in range(k)]),
+                     lambda p: p["outer_fold"] != F.col(fold_col))
+    out = ranked.withColumn("_p", F.explode(pools)) \
+        .withColumn("outer_fold", F.col("_p.outer_fold")) \
+        .withColumn("pool_rank", F.col("_p.pool_rank").cast("bigint"))
+    out = out.drop("_p", "_h", "_b", "_r", "_o", "_cnt", *[f"_o{f}" for f in range(k)],
+                   *[f"_a{f}" for f in range(k)], *[f"_c{f}" for f in range(k)])
     sizes = prefix_sizes(F.col("n_total"), fractions)
     below = F.size(F.filter(sizes, lambda s: s < F.col("pool_rank")))
-    return ranked.withColumn("frac_idx", F.when(below < len(fractions), below).cast("int"))
+    return out.withColumn("frac_idx", F.when(below < len(fractions), below).cast("int"))

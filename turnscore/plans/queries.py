@@ -138,7 +138,7 @@ def _frac_case(rank: str, n: str) -> str:
 POOL_SQL = FOLDED_SQL + f""", pool AS (
     SELECT f.*, o.outer_fold,
            row_number() OVER (PARTITION BY o.outer_fold ORDER BY md5(concat_ws(':', CAST(f.example_id AS VARCHAR),
-               CAST(o.outer_fold AS VARCHAR), '{S.SEED}:pool')), f.example_id) AS pool_rank
+               '{S.SEED}:pool')), f.example_id) AS pool_rank
     FROM folded f JOIN (SELECT CAST(range AS INTEGER) AS outer_fold FROM range({S.N_FOLDS})) o
       ON f.fold <> o.outer_fold),
 pool_idx AS (SELECT *, {_frac_case('pool_rank', 'n_total')} AS frac_idx FROM pool)

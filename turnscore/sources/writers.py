@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: Sequence[str] = ()) -> None:
-    """SK1 / SK6: one table, optionally partitioned."""
-    w = df.write.mode(mode)
+                partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
+    """SK1 / SK6: one table, optionally partitioned, optionally sorted (SO1: the
+    only place a global order is produced)."""
+    w = (df.orderBy(*sort_by) if sort_by else df).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":  # RFC 4180 quoting (doubled quotes), as the readers expect
@@ -20,9 +21,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.format(fmt).save(path)
 
 
-def write_examples(examples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SK2: JSON lines with keys input, output (UTF-8, not ASCII-escaped)."""
-    examples.select("input", "output").write.mode(mode).json(path)
+def write_examples(examples: DataFrame, path: str, mode: str = "overwrite",
+                   sort_by: Sequence[str] = ()) -> None:
+    """SK2: JSON lines with keys input, output (UTF-8, not ASCII-escaped).
+    ``sort_by`` (e.g. subject, topic - SO1) orders the files and lines: a
+    range-partitioned sort, done only here at the sink."""
+    out = examples.orderBy(*sort_by) if sort_by else examples
+    out.select("input", "output").write.mode(mode).json(path)
 
 
 def write_predictions(preds: DataFrame, path: str, mode: str = "overwrite") -> None:

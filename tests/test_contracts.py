@@ -146,3 +146,16 @@ def test_text_helpers(spark):
                   p_display(F.col("q")).alias("pd"), p_display(F.lit(0.5)).alias("pd2")).first()
     assert (r.k, r.k2, r.s, r.a, r.b, r.fl, r.pd, r.pd2) == (
         "MC_1234", "MC_1234_MADRS.wav", "a_vs_bc", "A", "B.c", "5%", "P < 0.0001", "P = 0.5000")
+
+
+def test_text_regression_cv_predicts_every_example_once(spark):
+    from tests.conftest import SF001
+    from turnscore.operators import models as ML
+    from turnscore.plans import fixtures as X
+    folded = SA.kfold(X.regression_docs(spark, SF001), ["example_id"])
+    preds = ML.text_regression_cv(folded, num_features=1 << 10).cache()
+    n = folded.count()
+    assert preds.count() == n and preds.select("example_id").distinct().count() == n
+    m = M.evaluate(preds).first()
+    assert m.n == n and math.isfinite(m.mse) and 0.0 <= m.strict_acc <= m.tolerant_acc <= 1.0
+    preds.unpersist()

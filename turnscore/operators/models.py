@@ -165,10 +165,20 @@ def _features(folded: DataFrame, text: str, num_features: int) -> DataFrame:
     return tf.transform(tok.transform(folded)).drop("_tokens")
 
 
+def _per_fold(fit_one, k: int, parallel: int) -> list:
+    """Run ``fit_one(f)`` for every fold; with ``parallel`` > 1 the fits are
+    submitted from a driver thread pool so their Spark jobs share the cluster."""
+    if parallel <= 1:
+        return [fit_one(f) for f in range(k)]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(parallel, k)) as pool:
+        return list(pool.map(fit_one, range(k)))
+
+
 def text_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "text",
                        label: str = "label", topic: str = "topic", k: int = S.N_FOLDS,
                        num_features: int = 1 << 14, reg_param: float = 0.1,
-                       model_name: str = "text_linear") -> DataFrame:
+                       model_name: str = "text_linear", parallel: int = S.N_FOLDS) -> DataFrame:
     """Out-of-fold predictions of a text regression with squared-error loss
     (ML2): tokens -> hashed term frequencies -> IDF fitted on the training
     folds only -> ridge LinearRegression. Features are computed once and
@@ -181,25 +191,25 @@ def text_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "
     from pyspark.ml.regression import LinearRegression
     feats = _features(folded.select(key, "fold", topic, label, text), text, num_features) \
         .drop(text).persist(StorageLevel.MEMORY_AND_DISK)
-    outs = []
-    for f in range(k):
+    def fit_one(f: int) -> DataFrame:
         train = feats.where(F.col("fold") != f)
         val = feats.where(F.col("fold") == f)
         idf = IDF(inputCol="tf", outputCol="features").fit(train)
         lr = LinearRegression(featuresCol="features", labelCol=label, regParam=reg_param,
                               elasticNetParam=0.0, maxIter=50)
         model = lr.fit(idf.transform(train))
-        outs.append(model.transform(idf.transform(val)).select(
+        return model.transform(idf.transform(val)).select(
             key, F.lit(model_name).alias("model"), F.col("fold").cast("int").alias("fold"),
             F.col(topic).alias("topic"), F.col(label).cast("int").alias("label"),
-            F.col("prediction").alias("pred")))
-    return reduce(lambda a, b: a.unionByName(b), outs)
+            F.col("prediction").alias("pred"))
+    return reduce(lambda a, b: a.unionByName(b), _per_fold(fit_one, k, parallel))
 
 
 def gbt_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "text",
                       label: str = "label", topic: str = "topic", k: int = S.N_FOLDS,
                       num_features: int = 256, loss: str = "absolute", max_iter: int = 20,
-                      validation_tol: float = 0.01, model_name: str = "text_gbt") -> DataFrame:
+                      validation_tol: float = 0.01, model_name: str = "text_gbt",
+                      parallel: int = S.N_FOLDS) -> DataFrame:
     """Out-of-fold predictions of gradient-boosted trees (ML3 / ML4) with early
     stopping on the validation fold (``validationIndicatorCol``: the held-out
     fold is scored during boosting and boosting stops when it stops improving,
@@ -211,14 +221,13 @@ def gbt_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "t
     from pyspark.ml.regression import GBTRegressor
     feats = _features(folded.select(key, "fold", topic, label, text), text, num_features) \
         .drop(text).persist(StorageLevel.MEMORY_AND_DISK)
-    outs = []
-    for f in range(k):
+    def fit_one(f: int) -> DataFrame:
         data = feats.withColumn("is_val", F.col("fold") == f)
         gbt = GBTRegressor(featuresCol="tf", labelCol=label, lossType=loss, maxIter=max_iter, maxDepth=3,
                            validationIndicatorCol="is_val", validationTol=validation_tol, seed=S.SEED)
         model = gbt.fit(data)
-        outs.append(model.transform(feats.where(F.col("fold") == f)).select(
+        return model.transform(feats.where(F.col("fold") == f)).select(
             key, F.lit(model_name).alias("model"), F.col("fold").cast("int").alias("fold"),
             F.col(topic).alias("topic"), F.col(label).cast("int").alias("label"),
-            F.col("prediction").alias("pred")))
-    return reduce(lambda a, b: a.unionByName(b), outs)
+            F.col("prediction").alias("pred"))
+    return reduce(lambda a, b: a.unionByName(b), _per_fold(fit_one, k, parallel))

@@ -118,23 +118,34 @@ def segments_ms(segments: DataFrame, start: str = "start_s", end: str = "end_s")
 def align_segments(turns: DataFrame, segments: DataFrame, key: str = "subject",
                    t_start: str = "start_ms", t_end: str = "end_ms",
                    s_start: str = "start_ms", s_end: str = "end_ms",
-                   bin_ms: int = 60_000) -> DataFrame:
+                   bin_ms: int | None = None) -> DataFrame:
     """Interval join: each turn with every segment of the same key whose time
-    range overlaps it. Both sides are exploded to fixed time bins so the join
-    is an equi-join on (key, bin) and never a theta join; a pair is emitted only
-    in the first bin both share, so overlaps are not duplicated. ``bin_ms``
-    should be near the typical segment length (each row is copied
-    length/bin_ms + 1 times)."""
+    range overlaps it (overlap_ms > 0).
+
+    Both sides are exploded to fixed time bins, so the join is an equi-join on
+    (key, bin), never a theta join. A pair is emitted only in the first bin both
+    share, so overlaps are not duplicated. The bin width defaults to the 90th
+    percentile of segment length (a one-value scalar subquery, at least 1 ms):
+    a typical interval spans one or two bins and a bin holds about one interval
+    per key, so candidate pairs stay proportional to real overlaps even when a
+    key has very many intervals."""
+    if bin_ms is None:
+        q = segments.select(F.percentile_approx(F.col(s_end) - F.col(s_start), 0.9).alias("q")) \
+            .select(F.greatest(F.coalesce(F.col("q"), F.lit(1)), F.lit(1)).cast("bigint").alias("q"))
+        width = q.scalar()
+    else:
+        width = F.lit(int(bin_ms))
+
     def binned(df, s, e, prefix):
         cols = [F.col(c).alias(f"{prefix}{c}") for c in df.columns]
         return df.select(*cols, F.explode(F.sequence(
-            F.floor(F.col(s) / bin_ms).cast("bigint"), F.floor(F.col(e) / bin_ms).cast("bigint"))).alias("_bin"))
+            F.floor(F.col(s) / width).cast("bigint"), F.floor(F.col(e) / width).cast("bigint"))).alias("_bin"))
     t = binned(turns, t_start, t_end, "t_")
     s = binned(segments, s_start, s_end, "s_")
     j = t.join(s, (t[f"t_{key}"] == s[f"s_{key}"]) & (t["_bin"] == s["_bin"]))
     lo = F.greatest(F.col(f"t_{t_start}"), F.col(f"s_{s_start}"))
     hi = F.least(F.col(f"t_{t_end}"), F.col(f"s_{s_end}"))
-    first_shared = F.greatest(F.floor(F.col(f"t_{t_start}") / bin_ms), F.floor(F.col(f"s_{s_start}") / bin_ms))
+    first_shared = F.greatest(F.floor(F.col(f"t_{t_start}") / width), F.floor(F.col(f"s_{s_start}") / width))
     return j.where((lo < hi) & (t["_bin"] == first_shared)) \
         .drop("_bin").withColumn("overlap_ms", hi - lo)
 

@@ -66,17 +66,21 @@ from turnscore.operators import sampling as SA  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
-def _folded_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Fold assignment, computed once and written to the shared checkpoint folder
-    (several branches of the fold queries read it)."""
+def _folded_wide(spark: SparkSession, sf: str, reused: bool = True) -> DataFrame:
+    """Fold assignment. When several branches of a plan read it (``reused``), it is
+    computed once and written to the shared checkpoint folder; a single reader
+    keeps it in the plan."""
+    folded = SA.kfold(X.predictions_wide(spark, sf), ["example_id"])
+    if not reused:
+        return folded
     from turnscore.session import materialize
-    return materialize(SA.kfold(X.predictions_wide(spark, sf), ["example_id"]), "folds")
+    return materialize(folded, "folds")
 
 
 def _fold_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Two models' predictions tagged with the example's fold (folds assigned
     before the model explode, so no join)."""
-    w = _folded_wide(spark, sf)
+    w = _folded_wide(spark, sf, reused=False)
     both = F.explode(F.array(
         F.struct(F.lit("base").alias("model"), F.col("pred_base").alias("pred")),
         F.struct(F.lit("tuned").alias("model"), F.col("pred_tuned").alias("pred"))))
@@ -106,7 +110,7 @@ def _exact_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("kfold_assign", "WI3 FI10", FOLDED_SQL + "SELECT example_id, fold FROM folded")
 def _kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return _folded_wide(spark, sf).select("example_id", "fold")
+    return _folded_wide(spark, sf, reused=False).select("example_id", "fold")
 
 
 EVAL_FOLDS_SQL = FOLDED_SQL + f"""SELECT model, fold, CASE WHEN GROUPING(topic) = 1 THEN 'ALL' ELSE topic END AS topic,

@@ -58,6 +58,7 @@ def runs(df: DataFrame, same: Sequence[str], seq: str = "seq", part: Sequence[st
     summary = d.groupBy(*part, b).agg(
         F.min_by(row, F.col(seq)).alias("_fr"), F.max_by(row, F.col(seq)).alias("_lr"),
         F.sum("_brk").alias("_inner"))
+    # one summary row per non-empty bucket: a hot key has at most N / bucket_rows
     wbk = Window.partitionBy(*part).orderBy(b)
     prev_last = F.lag(F.col("_lr")).over(wbk)
     first_brk = prev_last.isNull() | ~_all_equal(

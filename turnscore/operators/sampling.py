@@ -35,6 +35,7 @@ def exact_rank(df: DataFrame, keys: Sequence[str], seed=S.SEED, partition_by: Se
     h = df.withColumn("_h", shuffle_key([*keys, *extra_hash_keys], seed)) \
         .withColumn("_b", F.substring("_h", 1, hex_digits))
     counts = h.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    # windows over the bucket counts only: at most 16**hex_digits rows per partition value
     running = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offsets = counts.select(
         *part, "_b",
@@ -90,6 +91,7 @@ def nested_prefix(folded: DataFrame, keys: Sequence[str], k: int = S.N_FOLDS, se
     in_fold = [F.when(F.col(fold_col) == f, 1).otherwise(0) for f in range(k)]
     counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"),
                                  *[F.sum(c).alias(f"_c{f}") for f, c in enumerate(in_fold)])
+    # window over the bucket counts only: at most 16**hex_digits rows
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", *[F.coalesce(F.sum(f"_c{f}").over(before), F.lit(0)).alias(f"_o{f}")
                                     for f in range(k)],

@@ -68,6 +68,7 @@ def merge_turns(df: DataFrame, subject: str = "subject", speaker: str = "speaker
         F.min_by(F.struct("_k", "_fs"), F.col("_cum")).alias("_first"),
         F.max_by(F.struct("_k", "_ls"), F.col("_cum")).alias("_last"),
         F.max("_cum").alias("_mx"))
+    # one row per non-empty bucket: a hot subject has at most N / bucket_rows of them
     wk = Window.partitionBy(*part).orderBy("_b")
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
     prev = F.lag("_last").over(wk)

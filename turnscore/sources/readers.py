@@ -29,6 +29,7 @@ def with_source_order(df: DataFrame, col: str = "seq") -> DataFrame:
     d = d.withColumn("_split", F.shiftright("_mid", 33)).withColumn("_fh", F.xxhash64("_file"))
     from pyspark.sql import Window
     sizes = d.groupBy("_file", "_fh", "_split").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_min"))
+    # one row per (file, input split): the only rows this window sees
     running = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_fh", "_split", "_min",
                            F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))

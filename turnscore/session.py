@@ -67,3 +67,21 @@ def materialize(df, name: str = "table"):
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster, sized from the input volume: ~256 MB scan
+    splits and shuffle partitions (AQE coalesces small ones and splits skewed
+    ones at run time; joins are converted to broadcast only when the runtime
+    size of a side is below the threshold)."""
+    parts = max(200, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }

@@ -392,8 +392,10 @@ _P_DISPLAY_SQL = "CASE WHEN p_adj < 1e-4 THEN 'P < 0.0001' ELSE printf('P = %.4f
 
 @register("model_comparisons", "ST1 ST2 ST4 AG16 JO3 WI6 PR21 SK5", round_sql(MARGINAL_SQL + "," + _test_cols_sql("cells") + f"""
     SELECT *, {_P_DISPLAY_SQL} AS p_display,
-           sum(total - ca) OVER (PARTITION BY comparison ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum_errors_a,
-           sum(total - cb) OVER (PARTITION BY comparison ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum_errors_b
+           CAST(sum(total - ca) OVER (PARTITION BY comparison ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT)
+             AS cum_errors_a,
+           CAST(sum(total - cb) OVER (PARTITION BY comparison ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT)
+             AS cum_errors_b
     FROM adj""", ["p_value", "p_adj"]))
 def _model_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     tr = CF.trace(_dense_confusion(spark, sf))

@@ -35,6 +35,19 @@ def con():
     return c
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", list(E.oracle_sql()))
+def test_column_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF001)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    assert spark_types == duck_types
+
+
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0

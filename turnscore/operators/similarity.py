@@ -130,8 +130,10 @@ def term_weights(df: DataFrame, idc: str, text: str, keep: Sequence[str] = ()) -
     Whole texts are tokenised (lower case, split on non letter/digit runs); the
     per-document norm is a window over one document's terms only."""
     keep = list(keep)
-    toks = df.select(F.col(idc).alias("id"), *keep,
-                     F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("term")) \
+    # one shuffle of the documents by id: the (id, term) counts and the
+    # per-document norm window then run on that partitioning without another
+    docs = df.select(F.col(idc).alias("id"), *keep, F.col(text)).repartition("id")
+    toks = docs.select("id", *keep, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("term")) \
         .where(F.col("term") != "")
     tf = toks.groupBy("id", *keep, "term").agg(F.count(F.lit(1)).alias("c"))
     from pyspark.sql import Window

@@ -146,6 +146,9 @@ def cosine_mean_terms(docs: DataFrame, weights: DataFrame, by: Sequence[str] = (
     """Mean cosine of all (real, synthetic) document pairs per group from sparse
     term weights (which carry ``by`` and ``side``). Document counts come from
     ``docs`` so empty texts (zero vectors, cosine 0) still count."""
+    if not by:  # one group: a constant key keeps the final step an equi-join
+        docs, weights = docs.withColumn("_g", F.lit(0)), weights.withColumn("_g", F.lit(0))
+        return cosine_mean_terms(docs, weights, ["_g"], side).drop("_g")
     by = list(by)
     per_term = weights.groupBy(*by, "term").agg(
         F.sum(F.when(~F.col(side), F.col("w"))).alias("sr"), F.sum(F.when(F.col(side), F.col("w"))).alias("ss"))

@@ -60,3 +60,32 @@ def test_similarity_and_register_flows(spark):
     assert [r.subject for r in new.collect()] == ["MC_1002"]
     again = flows.register_recordings(spark, f"{d}/video", f"{d}/ledger", f"{d}/manifest")
     assert again.count() == 0
+
+
+def test_register_stream_and_text_map(spark):
+    d = _dir()
+    for code in ("MC_1001", "MC_1002"):
+        os.makedirs(f"{d}/video/{code}")
+        open(f"{d}/video/{code}/{code}_MADRS.mp4", "wb").write(b"x")
+    os.makedirs(f"{d}/video/XX_9")
+    open(f"{d}/video/XX_9/XX_9_MADRS.mp4", "wb").write(b"x")  # folder prefix filtered out
+    args = (f"{d}/video", f"{d}/ledger", f"{d}/manifest", f"{d}/ckpt")
+    flows.register_recordings_stream(spark, *args)
+    assert sorted(r.subject for r in spark.read.parquet(f"{d}/ledger").collect()) == ["MC_1001", "MC_1002"]
+    flows.register_recordings_stream(spark, *args)  # nothing new
+    assert spark.read.parquet(f"{d}/manifest").count() == 2
+    os.makedirs(f"{d}/video/MC_1003")
+    open(f"{d}/video/MC_1003/MC_1003_MADRS.mp4", "wb").write(b"x")
+    flows.register_recordings_stream(spark, *args)
+    assert spark.read.parquet(f"{d}/manifest").select("subject").distinct().count() == 3
+
+    X.turns(spark, SF001).write.parquet(f"{d}/turns")
+
+    def load():
+        return str.upper
+
+    def predict(model, batch):
+        return batch.assign(text=batch["text"].map(model))[["subject", "speaker", "text", "seq"]]
+    out = flows.map_texts(spark, f"{d}/turns", f"{d}/upper", load, predict,
+                          "subject STRING, speaker STRING, text STRING, seq LONG")
+    assert out.count() == 1000 and out.where(F.col("text") != F.upper("text")).count() == 0

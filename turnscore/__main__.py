@@ -14,6 +14,7 @@ def main(argv=None) -> None:
     sub = p.add_subparsers(dest="step", required=True)
     a = sub.add_parser("register", help="append new recordings to manifest and ledger")
     a.add_argument("video_root"), a.add_argument("ledger"), a.add_argument("manifest_out")
+    a.add_argument("--checkpoint", help="run as an availableNow file stream with this checkpoint")
     a = sub.add_parser("clean", help="merge consecutive turns")
     a.add_argument("turns"), a.add_argument("out"), a.add_argument("--fmt", default="parquet")
     a.add_argument("--order", default="global", choices=["global", "subject"])
@@ -37,7 +38,9 @@ def main(argv=None) -> None:
 
     from pyspark.sql import SparkSession
     spark = SparkSession.builder.appName(f"turnscore-{args.step}").getOrCreate()
-    if args.step == "register":
+    if args.step == "register" and args.checkpoint:
+        flows.register_recordings_stream(spark, args.video_root, args.ledger, args.manifest_out, args.checkpoint)
+    elif args.step == "register":
         flows.register_recordings(spark, args.video_root, args.ledger, args.manifest_out)
     elif args.step == "clean":
         flows.clean_transcripts(spark, args.turns, args.out, args.fmt, args.order)

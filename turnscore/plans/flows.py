@@ -38,6 +38,26 @@ def register_recordings(spark: SparkSession, video_root: str, ledger_path: str,
     return new
 
 
+BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+
+
+def register_recordings_stream(spark: SparkSession, video_root: str, ledger_path: str, manifest_out: str,
+                               checkpoint: str, folder_prefix: str = "MC_1", suffix: str = "_MADRS.mp4"):
+    """Streaming form of ``register_recordings`` (SS1): a file-source stream over
+    ``<video_root>/<folder_prefix>*/*<suffix>`` (contents never read), processed
+    with ``trigger(availableNow=True)``; the ledgered ``foreachBatch`` writes new
+    subjects to ``manifest_out/batch_id=N`` and then to the ledger. The
+    checkpoint makes a rerun pick up only files that arrived since."""
+    from turnscore.functions.text import subject_key
+    stream = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA) \
+        .option("pathGlobFilter", f"*{suffix}").load(f"{video_root.rstrip('/')}/{folder_prefix}*/")
+    rows = stream.select("path", "length", "modificationTime") \
+        .withColumn("subject", subject_key(F.col("path")))
+    q = IN.ingest_stream(rows, ledger_path, manifest_out, checkpoint)
+    q.awaitTermination()
+    return q
+
+
 def clean_transcripts(spark: SparkSession, turns_path: str, out_path: str, fmt: str = "parquet",
                       order: str = "global") -> DataFrame:
     """Phrase replacement and merge of consecutive same-speaker turns (step 02)."""
@@ -47,6 +67,15 @@ def clean_transcripts(spark: SparkSession, turns_path: str, out_path: str, fmt:
     return spark.read.parquet(out_path)
 
 
+def map_texts(spark: SparkSession, in_path: str, out_path: str, load, predict, schema) -> DataFrame:
+    """A user text model over a table in Arrow batches (ML5; e.g. a grammar
+    corrector over merged turns): ``load()`` once per task, ``predict(model,
+    pandas_batch) -> pandas_batch`` per batch, output ``schema`` declared."""
+    out = ML.batch_map(spark.read.parquet(in_path), load, predict, schema)
+    W.write_table(out, out_path)
+    return spark.read.parquet(out_path)
+
+
 def score_distribution(spark: SparkSession, scored_path: str, out_path: str) -> DataFrame:
     """First valid score per (topic, subject), real vs synthetic counts 0..6 per
     evaluated topic (step 03), written as CSV in display order."""
@@ -67,10 +96,11 @@ def prepare_examples(spark: SparkSession, scored_path: str, examples_out: str, h
 
 
 def _labelled_examples(spark: SparkSession, examples_path: str) -> DataFrame:
-    ex = DG.parse_examples(R.read_examples(spark, examples_path))
-    ex = ex.select(F.xxhash64("input", "output").alias("example_id"), "input",
-                   F.col("parsed_topic").alias("topic"), "label")
-    return ex
+    """Examples with label, topic and a stable id: the line position in the
+    JSON-lines files (identical examples stay distinct)."""
+    ex = R.with_source_order(R.read_examples(spark, examples_path), "example_id")
+    ex = DG.parse_examples(ex)
+    return ex.select("example_id", "input", F.col("parsed_topic").alias("topic"), "label")
 
 
 def evaluate(spark: SparkSession, predictions: DataFrame, out_dir: str) -> None:

@@ -20,14 +20,17 @@ def _log_factorial_stirling(m: Column) -> Column:
             + F.lit(1.0) / (F.lit(1260.0) * F.pow(z, 5)))
 
 
-def mcnemar_exact(b, c, exact_terms: int = 100_000) -> Column:
+def mcnemar_exact(b, c, exact_terms: int = 100_000, max_window: int = 4_000_000) -> Column:
     """Exact (binomial) McNemar p-value for discordant counts b, c.
 
     p = min(1, 2 * P[X <= min(b, c)]), X ~ Binomial(b + c, 1/2); b = c = 0 gives 1.
     The lower tail is summed downward from k = min(b, c) with the term ratio
     i / (n - i + 1) in a bounded window (terms beyond 40 sqrt(n) steps are below
     double precision), and ln C(n, k) is an exact log-sum for k <= ``exact_terms``
-    and the Stirling series above. Per-row work is O(min(k, 40 sqrt(n))).
+    and the Stirling series above. Per-row work is O(min(k, 40 sqrt(n),
+    max_window)); the cap only binds above n = 1e10 discordant pairs, where the
+    dropped tail is below exp(-2 max_window^2 / n) of the sum (< 1e-13 up to
+    n = 1e12).
     """
     n = (_c(b) + _c(c)).cast("bigint")
     k = F.least(_c(b), _c(c)).cast("bigint")
@@ -38,7 +41,8 @@ def mcnemar_exact(b, c, exact_terms: int = 100_000) -> Column:
                       - _log_factorial_stirling(n - k))
     log_choose = F.when(k == 0, F.lit(0.0)) \
         .when(k <= F.lit(exact_terms), log_choose_exact).otherwise(log_choose_big)
-    window = F.least(k, (F.ceil(F.lit(40.0) * F.sqrt(n.cast("double"))) + F.lit(100)).cast("bigint"))
+    window = F.least(k, (F.ceil(F.lit(40.0) * F.sqrt(n.cast("double"))) + F.lit(100)).cast("bigint"),
+                     F.lit(max_window).cast("bigint"))
     init = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s"))
     series = F.aggregate(
         F.sequence(F.lit(1).cast("bigint"), window), init,

@@ -182,15 +182,17 @@ def text_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "
     """Out-of-fold predictions of a text regression with squared-error loss
     (ML2): tokens -> hashed term frequencies -> IDF fitted on the training
     folds only -> ridge LinearRegression. Features are computed once and
-    persisted (recomputed from lineage if an executor is lost); each fold is
-    one distributed fit. Output is the prediction table (ML8)."""
+    written to the shared checkpoint folder (no cache to release, nothing to
+    recompute after an executor loss); each fold is one distributed fit.
+    Output is the prediction table (ML8)."""
     from functools import reduce
 
-    from pyspark import StorageLevel
     from pyspark.ml.feature import IDF
     from pyspark.ml.regression import LinearRegression
-    feats = _features(folded.select(key, "fold", topic, label, text), text, num_features) \
-        .drop(text).persist(StorageLevel.MEMORY_AND_DISK)
+
+    from turnscore.session import materialize
+    feats = materialize(_features(folded.select(key, "fold", topic, label, text), text, num_features)
+                        .drop(text), "text-features")
     def fit_one(f: int) -> DataFrame:
         train = feats.where(F.col("fold") != f)
         val = feats.where(F.col("fold") == f)
@@ -217,10 +219,11 @@ def gbt_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "t
     absolute loss."""
     from functools import reduce
 
-    from pyspark import StorageLevel
     from pyspark.ml.regression import GBTRegressor
-    feats = _features(folded.select(key, "fold", topic, label, text), text, num_features) \
-        .drop(text).persist(StorageLevel.MEMORY_AND_DISK)
+
+    from turnscore.session import materialize
+    feats = materialize(_features(folded.select(key, "fold", topic, label, text), text, num_features)
+                        .drop(text), "gbt-features")
     def fit_one(f: int) -> DataFrame:
         data = feats.withColumn("is_val", F.col("fold") == f)
         gbt = GBTRegressor(featuresCol="tf", labelCol=label, lossType=loss, maxIter=max_iter, maxDepth=3,

@@ -110,3 +110,44 @@ def test_text_pairs_reader(spark):
     df = R.read_text_pairs(spark, f"{base}/r", f"{base}/s")
     assert sorted((r.text, r.synthetic) for r in df.collect()) == [("a", False), ("x", True)]
     assert df.where(F.col("synthetic")).count() == 1
+
+
+def test_source_order_seq_across_files(spark):
+    base = _scratch()
+    os.makedirs(f"{base}/csv")
+    expected = []
+    for f in range(3):
+        with open(f"{base}/csv/part-{f:05d}.csv", "w") as fh:
+            fh.write("Subject Code,Speaker,Transcription\n")
+            for i in range(40 + 7 * f):
+                fh.write(f"S{f},SPEAKER_00,file {f} line {i}\n")
+                expected.append(f"file {f} line {i}")
+    df = R.read_turns(spark, f"{base}/csv", fmt="csv", seq=None)
+    rows = sorted(df.collect(), key=lambda r: r.seq)
+    assert [r.seq for r in rows] == list(range(len(expected)))
+    assert [r.text for r in rows] == expected
+
+
+def test_source_order_seq_with_many_splits_per_file(spark):
+    base = _scratch()
+    os.makedirs(f"{base}/csv")
+    expected = []
+    for f in range(2):
+        with open(f"{base}/csv/part-{f:05d}.csv", "w") as fh:
+            fh.write("Subject Code,Speaker,Transcription\n")
+            for i in range(300):
+                fh.write(f"S{i % 4},SPEAKER_0{i % 2},file {f} line {i}\n")
+                expected.append(f"file {f} line {i}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    old_open = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = R.read_turns(spark, f"{base}/csv", fmt="csv", seq=None)
+        assert df.rdd.getNumPartitions() > 4
+        rows = sorted(df.collect(), key=lambda r: r.seq)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", old_open)
+    assert [r.seq for r in rows] == list(range(len(expected)))
+    assert [r.text for r in rows] == expected

@@ -154,3 +154,23 @@ def test_align_segments_matches_brute_force(spark, bin_ms):
     exp = sorted((t[0], s[0], min(t[3], s[3]) - max(t[2], s[2])) for t in turns for s in segs
                  if t[1] == s[1] and max(t[2], s[2]) < min(t[3], s[3]))
     assert got == exp
+
+
+def test_hot_subject_is_split_across_buckets(spark):
+    """One subject holds a third of all rows: the data shuffles of the run merge
+    and the dialogue assembly are keyed by (group, seq bucket), so the hot
+    subject is spread over many tasks instead of one."""
+    n = 3000
+    rows = [("HOT" if i % 3 == 0 else f"S{i % 50}", f"SPEAKER_0{(i // 7) % 2}", f"t{i}", i) for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    merged = TU.merge_turns(df, order="subject", bucket_rows=64)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"hashpartitioning\(subject#\d+, _b#\d+L?, \d+\)", plan)
+    from turnscore.operators.ordered import bucket_of
+    hot_buckets = df.where("subject = 'HOT'").select(bucket_of("seq", 64).alias("b")).distinct().count()
+    assert hot_buckets >= (n // 64) - 1
+    scored = df.withColumn("topic", F.lit("T")).withColumn("score", F.lit(None).cast("double"))
+    dplan = DG.dialogues(scored, bucket_rows=64)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(subject#\d+, [^,]+, _b#\d+L?, \d+\)", dplan)
+    assert sum(r.n_turns for r in merged.collect()) == n

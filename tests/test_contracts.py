@@ -135,6 +135,10 @@ def test_cosine_zero_vector_and_brute_force(spark):
     assert ext.max_cosine == pytest.approx(float((real @ syn.T).max()))
     assert ext.min_cosine == pytest.approx(float((real @ syn.T).min()))
     assert ext.pairs_examined == 400
+    sims = real @ syn.T
+    near = sorted((r.real_id, r.synthetic_id) for r in SI.near_pairs(df, 0.3, block_rows=3).collect())
+    exp = sorted((2 * i, 2 * j + 1) for i, j in zip(*np.nonzero(sims >= 0.3)))
+    assert near == exp and len(exp) > 0
 
 
 def test_text_helpers(spark):

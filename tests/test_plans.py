@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF001
 
-PYTHON_ALLOWED = {"batch_map_tokens", "cosine_extremes"}
-SKIP = {"text_regression_cv", "gbt_regression_cv", "near_pairs"}  # Spark ML internals
+PYTHON_ALLOWED = {"batch_map_tokens", "cosine_extremes", "near_pairs"}
+SKIP = {"text_regression_cv", "gbt_regression_cv"}  # Spark ML internals
 
 
 def _plan(df):

@@ -6,7 +6,8 @@
 * Exact max / min over all pairs is inherently n x m; it runs as a grid of
   bounded blocks (at most ``block_rows`` vectors per block), each block pair is
   reduced to its max / min inside one Arrow batch, so no pair row is emitted.
-* Near pairs above a threshold use Spark ML LSH (approximate).
+* Pairs above a threshold come from the same block grid, emitting only the
+  pairs that pass (output proportional to the answer).
 """
 
 from __future__ import annotations
@@ -64,13 +65,10 @@ def _blocks(df: DataFrame, side: str, idc: str, emb: str, block_rows: int) -> Da
                                              F.collect_list("u").alias("us"))
 
 
-def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb: str = "emb",
-                    block_rows: int = 1024) -> DataFrame:
-    """Exact max and min cosine over all (real, synthetic) pairs, with the ids of
-    one maximising and one minimising pair. Work is n*m dot products in blocks:
-    every real block meets every synthetic block once (equi-join on the
-    synthetic block number; the block count is a scalar subquery); each pair of
-    blocks is one matrix product in numpy and yields one row."""
+def _block_pairs(df: DataFrame, side: str, idc: str, emb: str, block_rows: int) -> DataFrame:
+    """Every (real block, synthetic block) once: real blocks are paired with the
+    synthetic block numbers 0..nb-1 (nb from a scalar subquery) and joined to the
+    synthetic blocks on that number. Rows: ids_r, us_r, ids_s, us_s."""
     blocks = _blocks(df, side, idc, emb, block_rows)
     s = blocks.where(F.col(side)).select(F.col("blk").alias("blk_s"), F.col("ids").alias("ids_s"),
                                          F.col("us").alias("us_s"))
@@ -78,15 +76,27 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
     r = blocks.where(~F.col(side)).select(
         F.col("ids").alias("ids_r"), F.col("us").alias("us_r"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), nb_s - 1)).alias("blk_s"))
-    pairs = r.join(s, "blk_s")
+    return r.join(s, "blk_s").select("ids_r", "us_r", "ids_s", "us_s")
+
+
+def _stack(vectors) -> np.ndarray:
+    return np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
+
+
+def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb: str = "emb",
+                    block_rows: int = 1024) -> DataFrame:
+    """Exact max and min cosine over all (real, synthetic) pairs, with the ids of
+    one maximising and one minimising pair. Work is n*m dot products in blocks:
+    every real block meets every synthetic block once (equi-join on the
+    synthetic block number; the block count is a scalar subquery); each pair of
+    blocks is one matrix product in numpy and yields one row."""
+    pairs = _block_pairs(df, side, idc, emb, block_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for ids_r, us_r, ids_s, us_s in zip(b["ids_r"], b["us_r"], b["ids_s"], b["us_s"]):
-                a = np.stack([np.asarray(x, dtype=np.float64) for x in us_r])
-                c = np.stack([np.asarray(x, dtype=np.float64) for x in us_s])
-                m = a @ c.T
+                m = _stack(us_r) @ _stack(us_s).T
                 i_max = np.unravel_index(int(np.argmax(m)), m.shape)
                 i_min = np.unravel_index(int(np.argmin(m)), m.shape)
                 out.append((float(m[i_max]), int(ids_r[i_max[0]]), int(ids_s[i_max[1]]),
@@ -105,19 +115,28 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
 
 
 def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: str = "id",
-               emb: str = "emb", bucket_length: float = 0.5, num_hash_tables: int = 4) -> DataFrame:
-    """Approximate (real, synthetic) pairs with cosine >= threshold via Euclidean
-    LSH on unit vectors (|u - v|^2 = 2 - 2 cos)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    u = with_unit(df.select(F.col(idc).alias("id"), side, emb), emb) \
-        .select("id", side, array_to_vector("u").alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=42).fit(u)
-    dist = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    j = lsh.approxSimilarityJoin(u.where(~F.col(side)), u.where(F.col(side)), dist, "d")
-    return j.select(F.col("datasetA.id").alias("real_id"), F.col("datasetB.id").alias("synthetic_id"),
-                    (F.lit(1.0) - F.col("d") * F.col("d") / 2.0).alias("cosine"))
+               emb: str = "emb", block_rows: int = 1024) -> DataFrame:
+    """All (real, synthetic) pairs with cosine >= ``threshold``, exactly (SI4).
+
+    Runs on the same bounded block grid as ``cosine_extremes``; each block pair is
+    one matrix product and emits only the pairs at or above the threshold, so
+    the output is proportional to the answer, never to the candidate count."""
+    pairs = _block_pairs(df, side, idc, emb, block_rows)
+    thr = float(threshold)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rid, sid, cos = [], [], []
+            for ids_r, us_r, ids_s, us_s in zip(b["ids_r"], b["us_r"], b["ids_s"], b["us_s"]):
+                m = _stack(us_r) @ _stack(us_s).T
+                i, j = np.nonzero(m >= thr)
+                rid.extend(np.asarray(ids_r, dtype=np.int64)[i].tolist())
+                sid.extend(np.asarray(ids_s, dtype=np.int64)[j].tolist())
+                cos.extend(m[i, j].tolist())
+            yield pd.DataFrame({"real_id": pd.Series(rid, dtype="int64"),
+                                "synthetic_id": pd.Series(sid, dtype="int64"),
+                                "cosine": pd.Series(cos, dtype="float64")})
+    return pairs.mapInPandas(run, "real_id LONG, synthetic_id LONG, cosine DOUBLE")
 
 
 # Token pattern: maximal runs of letters or digits (Unicode classes).

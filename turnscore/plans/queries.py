@@ -477,9 +477,10 @@ def _cosine_extremes(spark: SparkSession, sf: str) -> DataFrame:
         "pairs_examined"))
 
 
-@register("near_pairs", "SI4")
+@register("near_pairs", "SI4", round_sql(COS_SQL + """SELECT rid AS real_id, sid AS synthetic_id, cos AS cosine
+    FROM p WHERE cos >= 0.4e0""", ["cosine"]))
 def _near_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(SI.near_pairs(X.text_pairs(spark, sf), threshold=0.4))
+    return round_doubles(SI.near_pairs(X.text_pairs(spark, sf), threshold=0.4, block_rows=128))
 
 
 @register("text_cosine_by_score", "SI5 SI2", round_sql(X.with_views("regression_docs") + """,

@@ -92,7 +92,10 @@ def test_contingency_and_error_reduction(spark):
                                "model STRING, topic STRING, rule STRING, correct LONG, total LONG")
     spec = [("X vs. Y", "strict", "strict")]
     cells = CP.marginal_cells(tr, spec).first()
-    assert (cells.n11, cells.n10, cells.n01, cells.n00) == (10, 0, 4, 6)
+    assert (cells.n11, cells.n10, cells.n01, cells.n00) == (10, 0, 4, 6) and not cells.missing_in_b
+    only_a = tr.where("model = 'base'").union(
+        spark.createDataFrame([("tuned", "Suizid", "strict", 1, 2)], tr.schema))
+    assert CP.marginal_cells(only_a, spec).first().missing_in_b
     er = CP.error_reduction(tr, S.topic_dim(spark), spec).first()
     assert er.errors_a == 10 and er.errors_b == 6 and er.error_reduction_pct == pytest.approx(40.0)
     z = spark.createDataFrame([("base", "Schlaf", "strict", 20, 20), ("tuned", "Schlaf", "strict", 20, 20)],

@@ -54,7 +54,8 @@ def marginal_cells(trace: DataFrame, spec=S.COMPARISONS, model_a: str = "base",
     return j.select(
         "cmp_rank", "comparison", "topic", "rule_a", "rule_b", "ca", "cb", "total",
         both.alias("n11"), (F.col("ca") - both).alias("n10"), (F.col("cb") - both).alias("n01"),
-        (F.col("total") - F.col("ca") - F.col("cb") + both).alias("n00"))
+        (F.col("total") - F.col("ca") - F.col("cb") + both).alias("n00"),
+        F.col("cb").isNull().alias("missing_in_b"))  # the study stops with an error here
 
 
 def marginal_comparisons(trace: DataFrame, topic_dim: DataFrame, spec=S.COMPARISONS,

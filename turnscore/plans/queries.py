@@ -374,7 +374,8 @@ MARGINAL_SQL = CONFUSION_SQL + f""", cells AS (
     SELECT spec.cmp_rank, spec.comparison, a.topic, spec.rule_a, spec.rule_b, a.correct AS ca, b.correct AS cb,
            a.total AS total, least(a.correct, b.correct) AS n11, a.correct - least(a.correct, b.correct) AS n10,
            b.correct - least(a.correct, b.correct) AS n01,
-           a.total - a.correct - b.correct + least(a.correct, b.correct) AS n00
+           a.total - a.correct - b.correct + least(a.correct, b.correct) AS n00,
+           b.correct IS NULL AS missing_in_b
     FROM {SPEC_SQL} JOIN tr a ON a.model = 'base' AND a.rule = spec.rule_a
     LEFT JOIN tr b ON b.model = 'tuned' AND b.rule = spec.rule_b AND b.topic = a.topic),
     td AS (SELECT * FROM {TOPIC_DIM_SQL})

@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from turnscore import schemas as S
+from turnscore.functions import text as TX
 from turnscore.operators import metrics as M
+from turnscore.operators import compare as CP
+from turnscore.operators import confusion as CF
+from turnscore.operators import dialogue as DG
+from turnscore.operators import models as ML
+from turnscore.operators import report as RP
+from turnscore.operators import sampling as SA
+from turnscore.operators import scores as SC
+from turnscore.operators import similarity as SI
+from turnscore.operators import turns as TU
 from turnscore.plans import fixtures as X
-from turnscore.plans.registry import register, round_doubles, round_sql
+from turnscore.plans.registry import REGISTRY as _R, register, round_doubles, round_sql
+from turnscore.session import shared_path
+from turnscore.sources import readers as RD
+from turnscore.sources import writers as WR
+from turnscore.streaming import ingest as IN
 
 # Strict ordinal prediction and hit tests in DuckDB (round half-even, clip 0..6).
 STRICT_SQL = "CAST(least(6e0, greatest(0e0, round_even(pred, 0))) AS INTEGER)"
@@ -60,10 +76,6 @@ register("mean_baseline_overall", "AG8", round_sql(
 
 
 # ------------------------------------------------------- ranks, folds, subsets
-from turnscore import schemas as S  # noqa: E402
-from turnscore.operators import models as ML  # noqa: E402
-from turnscore.operators import sampling as SA  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 
 def _folded_wide(spark: SparkSession, sf: str, reused: bool = True) -> DataFrame:
@@ -199,9 +211,6 @@ def _learning_curve_agg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------- turns and dialogues
-from turnscore.operators import dialogue as DG  # noqa: E402
-from turnscore.operators import scores as SC  # noqa: E402
-from turnscore.operators import turns as TU  # noqa: E402
 
 NL = "chr(10)"
 WS_CLASS = "'[ \\t\\n\\r\\f\\x0B]+'"
@@ -316,8 +325,6 @@ def _histogram_topic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------- confusion and comparisons
-from turnscore.operators import compare as CP  # noqa: E402
-from turnscore.operators import confusion as CF  # noqa: E402
 
 TOPIC_LIST_SQL = "(" + ", ".join(f"'{t}'" for t, _ in S.TOPICS) + ")"
 CONFUSION_SQL = X.with_views("predictions") + f""", r AS (
@@ -441,7 +448,6 @@ def _paired_comparisons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ similarity
-from turnscore.operators import similarity as SI  # noqa: E402
 
 COS_SQL = X.with_views("text_pairs") + """, u AS (SELECT id, score, synthetic, CAST(emb AS DOUBLE[]) AS e FROM text_pairs),
 p AS (SELECT r.id AS rid, s.id AS sid, r.score AS rscore, s.score AS sscore,
@@ -504,8 +510,6 @@ def _text_cosine_by_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------- manifest, ledger, keys, segments
-from turnscore.functions import text as TX  # noqa: E402
-from turnscore.streaming import ingest as IN  # noqa: E402
 
 
 def _manifest_keyed(spark: SparkSession, sf: str) -> DataFrame:
@@ -589,7 +593,6 @@ def _ingest_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------ models and reports
-from turnscore.operators import report as RP  # noqa: E402
 
 
 def _folded_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -645,9 +648,6 @@ def _report_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --------------------------------------- sources and sinks through the gate
-from turnscore.session import shared_path  # noqa: E402
-from turnscore.sources import readers as RD  # noqa: E402
-from turnscore.sources import writers as WR  # noqa: E402
 
 
 @register("examples_jsonl_roundtrip", "SK2 SC4 PR12 PR13")
@@ -698,7 +698,6 @@ def _turns_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Oracles of the round trips: the same rows as the direct queries.
-from turnscore.plans.registry import REGISTRY as _R  # noqa: E402
 
 _R["examples_jsonl_roundtrip"].sql = DIALOGUE_SQL + f"""SELECT
     CASE WHEN contains(input, 'Topic:') THEN {_strip_sql(f"replace(split_part(input, {NL}, 1), 'Topic:', '')")}

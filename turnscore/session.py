@@ -84,4 +84,6 @@ def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20)
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        # per-fold model fits are submitted concurrently from driver threads
+        "spark.scheduler.mode": "FAIR",
     }

@@ -151,3 +151,19 @@ def test_source_order_seq_with_many_splits_per_file(spark):
         spark.conf.set("spark.sql.files.openCostInBytes", old_open)
     assert [r.seq for r in rows] == list(range(len(expected)))
     assert [r.text for r in rows] == expected
+
+
+def test_segments_and_rubric_readers(spark):
+    from turnscore.operators import scores as SC
+    from turnscore.operators import turns as TU
+    base = _scratch()
+    spark.createDataFrame([("MC_1", "SPEAKER_00", 1.2345, 2.5)], "subject STRING, speaker STRING, start_s DOUBLE, "
+                          "end_s DOUBLE").write.parquet(f"{base}/seg")
+    seg = TU.segments_ms(R.read_segments(spark, f"{base}/seg")).first()
+    assert (seg.start_ms, seg.end_ms, seg.segment_key) == (1234, 2500, "MC_1_SPEAKER_00_1234_2500.wav")
+    with open(f"{base}/rubric.json", "w", encoding="utf-8") as fh:
+        fh.write('{"topic": "Schlaf", "score": 2, "description": "d", "criterion": "c"}\n')
+    scores = spark.createDataFrame([("Schlaf", 2), ("Schlaf", 3)], "topic STRING, score INT")
+    got = sorted((r.score, r.criterion) for r in SC.rubric_lookup(scores, R.read_rubric(spark, f"{base}/rubric.json"))
+                 .collect())
+    assert got == [(2, "c"), (3, None)]

@@ -119,3 +119,14 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], S.LEDGER)
         raise
+
+
+def read_segments(spark: SparkSession, path, fmt: str = "parquet") -> DataFrame:
+    """Diarization segments (subject, speaker, start_s, end_s) - the input of the
+    millisecond keys (PR4, PR5) and of the interval alignment (JO8)."""
+    return read_table(spark, path, S.SEGMENTS, fmt)
+
+
+def read_rubric(spark: SparkSession, path, fmt: str = "json") -> DataFrame:
+    """Rubric dimension (topic, score, description, criterion) for ``rubric_lookup``."""
+    return read_table(spark, path, S.RUBRIC, fmt)

@@ -137,7 +137,7 @@ def test_cosine_zero_vector_and_brute_force(spark):
     ext = SI.cosine_extremes(df, block_rows=4).first()
     assert ext.max_cosine == pytest.approx(float((real @ syn.T).max()))
     assert ext.min_cosine == pytest.approx(float((real @ syn.T).min()))
-    assert ext.pairs_examined == 400
+    assert ext.n_pairs == 400 and 0 < ext.pairs_examined <= 400
     sims = real @ syn.T
     near = sorted((r.real_id, r.synthetic_id) for r in SI.near_pairs(df, 0.3, block_rows=3).collect())
     exp = sorted((2 * i, 2 * j + 1) for i, j in zip(*np.nonzero(sims >= 0.3)))
@@ -166,3 +166,25 @@ def test_text_regression_cv_predicts_every_example_once(spark):
     m = M.evaluate(preds).first()
     assert m.n == n and math.isfinite(m.mse) and 0.0 <= m.strict_acc <= m.tolerant_acc <= 1.0
     preds.unpersist()
+
+
+def test_cosine_block_pruning_on_clustered_vectors(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(6, 16))
+    rows, vecs = [], []
+    for i in range(600):
+        v = centers[i % 6] + 0.005 * rng.normal(size=16)
+        vecs.append(v)
+        rows.append((i, v.tolist(), 0, i % 2 == 1))
+    df = spark.createDataFrame(rows, "id LONG, emb ARRAY<DOUBLE>, score INT, synthetic BOOLEAN")
+    a = np.array(vecs)
+    u = a / np.linalg.norm(a, axis=1, keepdims=True)
+    sims = u[0::2] @ u[1::2].T
+    ext = SI.cosine_extremes(df, block_rows=16).first()
+    assert ext.max_cosine == pytest.approx(float(sims.max()))
+    assert ext.min_cosine == pytest.approx(float(sims.min()))
+    assert ext.n_pairs == 90000 and ext.pairs_examined < 90000 // 2
+    near = SI.near_pairs(df, 0.999, block_rows=16).collect()
+    exp = int((sims >= 0.999).sum())
+    assert len(near) == exp

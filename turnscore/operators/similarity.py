@@ -3,20 +3,23 @@
 * Mean over all pairs (overall or per score group) uses
   mean_{i,j} u_i . v_j = (sum_i u_i) . (sum_j v_j) / (n m) on unit vectors:
   two linear aggregations, no pair is ever formed.
-* Exact max / min over all pairs is inherently n x m; it runs as a grid of
-  bounded blocks (at most ``block_rows`` vectors per block), each block pair is
-  reduced to its max / min inside one Arrow batch, so no pair row is emitted.
+* Exact max / min over all pairs is n x m in the worst case. Vectors are put in
+  bounded blocks of nearby directions; per-block centroid and radius bound the
+  cosine of every pair between two blocks, and only block pairs whose bounds
+  can hold an extreme are multiplied (one matrix product per block pair in an
+  Arrow batch, one output row), so no pair row is emitted.
 * Pairs above a threshold come from the same block grid, emitting only the
   pairs that pass (output proportional to the answer).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,44 +56,121 @@ def cosine_mean(df: DataFrame, by: Sequence[str] = (), side: str = "synthetic",
         (F.col("dot") / (F.col("n_real") * F.col("n_synthetic"))).alias("mean_cosine"))
 
 
-def _blocks(df: DataFrame, side: str, idc: str, emb: str, block_rows: int) -> DataFrame:
+LSH_BITS = 10     # at most 2**10 sign-of-projection cells per side
+_SLACK = 1e-9     # rounding slack that keeps the block bounds conservative
+
+
+def _dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _blocks(df: DataFrame, side: str, idc: str, emb: str, block_rows: int, bits: int = LSH_BITS) -> DataFrame:
     """One row per (side, block): ids and unit vectors of at most ~block_rows rows.
-    Blocks are hash splits sized from per-side counts (a bounded table)."""
+
+    Rows fall into cells by the signs of their first coordinates (cutting planes
+    through the origin, so a block holds nearby directions and has a smaller
+    angular radius).
+    The number of sign bits used is log2(largest side / block_rows) + 2, clamped
+    to 0..``bits`` (a scalar subquery), so cells hold about a quarter block; a cell is
+    hash-split into ceil(n / block_rows) blocks. Blocks are numbered 0..nb-1 per
+    side from the cell counts (at most 2 x 2**bits rows, broadcast)."""
     u = with_unit(df.select(side, F.col(idc).alias("id"), emb), emb).drop(emb)
-    n = u.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
-    nb = n.select(side, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).alias("_nb"))
-    u = u.join(F.broadcast(nb), side)  # one row per side value
-    u = u.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_nb")))
+
+    sig = F.lit(0)
+    for j in range(bits):  # sign of coordinate j: axis-aligned cutting planes, codegen-friendly
+        sig = sig + F.when(F.try_element_at("u", F.lit(j + 1)) > 0, F.lit(1 << j)).otherwise(F.lit(0))
+    largest = df.groupBy(side).count().select(F.max("count").alias("n"))
+    nbits = largest.select(F.greatest(F.lit(0), F.least(F.lit(bits), F.floor(
+        F.log2(F.col("n") / F.lit(float(block_rows)))) + 2)).cast("int").alias("b")).scalar()
+    u = u.withColumn("_cell", sig.bitwiseAND(F.pow(F.lit(2.0), nbits).cast("int") - F.lit(1)))
+    cells = u.groupBy(side, "_cell").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_sub", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("bigint"))
+    before = Window.partitionBy(side).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(side, "_cell", "_sub",
+                         F.coalesce(F.sum("_sub").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_sub").over(Window.partitionBy(side)).alias("_nb"))
+    cells = cells.select(*[F.col(c).alias(f"_k{c}") for c in (side, "_cell")], "_sub", "_off", "_nb")
+    # null-safe keys: no not-null filter is inferred and pushed below the unit-vector projection
+    on = u[side].eqNullSafe(cells[f"_k{side}"]) & u["_cell"].eqNullSafe(cells["_k_cell"])
+    u = u.join(F.broadcast(cells), on).drop(f"_k{side}", "_k_cell")
+    u = u.withColumn("blk", F.col("_off") + F.pmod(F.xxhash64("id"), F.col("_sub")))
     return u.groupBy(side, "blk", "_nb").agg(F.collect_list("id").alias("ids"),
                                              F.collect_list("u").alias("us"))
 
 
-def _block_pairs(df: DataFrame, side: str, idc: str, emb: str, block_rows: int) -> DataFrame:
-    """Every (real block, synthetic block) once: real blocks are paired with the
-    synthetic block numbers 0..nb-1 (nb from a scalar subquery) and joined to the
-    synthetic blocks on that number. Rows: ids_r, us_r, ids_s, us_s."""
-    blocks = _blocks(df, side, idc, emb, block_rows)
+def _summaries(blocks: DataFrame) -> DataFrame:
+    """Per block: unit centroid ``c`` and angular radius ``r`` (largest angle of a
+    member to the centroid); built from the block's own arrays."""
+    zero = F.transform(F.col("us")[0], lambda x: x * 0.0)
+    s = blocks.withColumn("_sum", F.aggregate("us", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)))
+    s = s.withColumn("_norm", F.sqrt(_dot(F.col("_sum"), F.col("_sum"))))
+    s = s.withColumn("c", F.when(F.col("_norm") > 0, F.transform("_sum", lambda x: x / F.col("_norm")))
+                     .otherwise(F.transform("_sum", lambda x: x * 0.0)))
+    s = s.withColumn("_mind", F.aggregate("us", F.lit(1.0), lambda acc, v: F.least(acc, _dot(v, F.col("c")))))
+    r = F.when(F.col("_norm") > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_mind"))))) \
+        .otherwise(F.lit(math.pi))
+    return s.select("blk", "c", r.alias("r"))
+
+
+def _block_bounds(blocks: DataFrame, side: str) -> DataFrame:
+    """Every (real block, synthetic block) with bounds on the cosine of any pair
+    between them: ``ub`` >= every pair's cosine >= ``lb`` (angle of the centroids
+    minus / plus both radii). Summary rows only: the vectors are not touched."""
+    summ_r = _summaries(blocks.where(~F.col(side))).select(
+        F.col("blk").alias("blk_r"), F.col("c").alias("c_r"), F.col("r").alias("r_r"))
+    summ_s = _summaries(blocks.where(F.col(side))).select(
+        F.col("blk").alias("blk_s"), F.col("c").alias("c_s"), F.col("r").alias("r_s"))
+    nb_s = blocks.where(F.col(side)).select(F.max("_nb")).scalar()
+    pairs = summ_r.withColumn("blk_s", F.explode(F.sequence(F.lit(0).cast("bigint"), nb_s - 1))) \
+        .join(summ_s, "blk_s")
+    theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(F.col("c_r"), F.col("c_s")))))
+    spread = F.col("r_r") + F.col("r_s")
+    return pairs.select(
+        "blk_r", "blk_s",
+        (F.cos(F.greatest(F.lit(0.0), theta - spread)) + F.lit(_SLACK)).alias("ub"),
+        (F.cos(F.least(F.lit(math.pi), theta + spread)) - F.lit(_SLACK)).alias("lb"))
+
+
+def _candidate_pairs(df: DataFrame, side: str, idc: str, emb: str, block_rows: int, keep) -> DataFrame:
+    """Block pairs that survive ``keep(bounds)`` joined to their data: rows
+    ids_r, us_r, ids_s, us_s. Blocks and bounds are written once to the shared
+    checkpoint folder (each is read by several branches)."""
+    from turnscore.session import materialize
+    blocks = materialize(_blocks(df, side, idc, emb, block_rows), "cos-blocks")
+    bounds = materialize(_block_bounds(blocks, side), "cos-bounds")
+    cand = keep(bounds).select("blk_r", "blk_s")
+    r = blocks.where(~F.col(side)).select(F.col("blk").alias("blk_r"), F.col("ids").alias("ids_r"),
+                                          F.col("us").alias("us_r"))
     s = blocks.where(F.col(side)).select(F.col("blk").alias("blk_s"), F.col("ids").alias("ids_s"),
                                          F.col("us").alias("us_s"))
-    nb_s = blocks.where(F.col(side)).select(F.max("_nb")).scalar()
-    r = blocks.where(~F.col(side)).select(
-        F.col("ids").alias("ids_r"), F.col("us").alias("us_r"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), nb_s - 1)).alias("blk_s"))
-    return r.join(s, "blk_s").select("ids_r", "us_r", "ids_s", "us_s")
+    return cand.join(r, "blk_r").join(s, "blk_s").select("ids_r", "us_r", "ids_s", "us_s")
 
 
 def _stack(vectors) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
 
 
+def _pair_count(df: DataFrame, side: str) -> Column:
+    """n_real * n_synthetic as one scalar subquery."""
+    return df.select((F.count(F.when(~F.col(side), F.lit(1))) * F.count(F.when(F.col(side), F.lit(1))))
+                     .alias("n")).scalar()
+
+
 def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb: str = "emb",
                     block_rows: int = 1024) -> DataFrame:
     """Exact max and min cosine over all (real, synthetic) pairs, with the ids of
-    one maximising and one minimising pair. Work is n*m dot products in blocks:
-    every real block meets every synthetic block once (equi-join on the
-    synthetic block number; the block count is a scalar subquery); each pair of
-    blocks is one matrix product in numpy and yields one row."""
-    pairs = _block_pairs(df, side, idc, emb, block_rows)
+    one maximising and one minimising pair.
+
+    Pruned block grid: from the block bounds, L = max lower bound (the max is at
+    least L) and U = min upper bound (the min is at most U); only block pairs
+    with ub >= L or lb <= U can hold an extreme, and only those are multiplied
+    (one numpy matrix product per block pair, one output row). The worst case
+    (no pruning) is every block pair; ``pairs_examined`` reports the work and
+    ``n_pairs`` the number of (real, synthetic) pairs the extremes are over."""
+    def keep(bounds: DataFrame) -> DataFrame:
+        lim = bounds.select(F.struct(F.max("lb").alias("lo_max"), F.min("ub").alias("hi_min"))).scalar()
+        return bounds.where((F.col("ub") >= lim["lo_max"]) | (F.col("lb") <= lim["hi_min"]))
+    pairs = _candidate_pairs(df, side, idc, emb, block_rows, keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,18 +191,20 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
         F.min("mn").alias("min_cosine"),
         F.min_by(F.struct(F.col("mn_r").alias("real_id"), F.col("mn_s").alias("synthetic_id")),
                  F.col("mn")).alias("min_pair"),
-        F.sum("pairs").alias("pairs_examined"))
+        F.sum("pairs").alias("pairs_examined")) \
+        .withColumn("n_pairs", _pair_count(df, side))
 
 
 def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: str = "id",
                emb: str = "emb", block_rows: int = 1024) -> DataFrame:
     """All (real, synthetic) pairs with cosine >= ``threshold``, exactly (SI4).
 
-    Runs on the same bounded block grid as ``cosine_extremes``; each block pair is
-    one matrix product and emits only the pairs at or above the threshold, so
-    the output is proportional to the answer, never to the candidate count."""
-    pairs = _block_pairs(df, side, idc, emb, block_rows)
+    Runs on the same blocks as ``cosine_extremes``: block pairs whose upper bound
+    is below the threshold are skipped; each remaining block pair is one matrix
+    product and emits only the pairs at or above the threshold, so the output is
+    proportional to the answer, never to the candidate count."""
     thr = float(threshold)
+    pairs = _candidate_pairs(df, side, idc, emb, block_rows, lambda b: b.where(F.col("ub") >= F.lit(thr)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -474,14 +474,14 @@ def _cosine_by_score(spark: SparkSession, sf: str) -> DataFrame:
 @register("cosine_extremes", "SI3 SO4", round_sql(COS_SQL + """SELECT max(cos) AS max_cosine,
     arg_max(rid, cos) AS max_real_id, arg_max(sid, cos) AS max_synthetic_id,
     min(cos) AS min_cosine, arg_min(rid, cos) AS min_real_id, arg_min(sid, cos) AS min_synthetic_id,
-    count(*) AS pairs_examined FROM p""", ["max_cosine", "min_cosine"]))
+    count(*) AS n_pairs FROM p""", ["max_cosine", "min_cosine"]))
 def _cosine_extremes(spark: SparkSession, sf: str) -> DataFrame:
     e = SI.cosine_extremes(X.text_pairs(spark, sf), block_rows=128)
     return round_doubles(e.select(
         "max_cosine", F.col("max_pair.real_id").alias("max_real_id"),
         F.col("max_pair.synthetic_id").alias("max_synthetic_id"), "min_cosine",
         F.col("min_pair.real_id").alias("min_real_id"), F.col("min_pair.synthetic_id").alias("min_synthetic_id"),
-        "pairs_examined"))
+        "n_pairs"))
 
 
 @register("near_pairs", "SI4", round_sql(COS_SQL + """SELECT rid AS real_id, sid AS synthetic_id, cos AS cosine

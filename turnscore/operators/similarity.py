@@ -146,10 +146,6 @@ def _candidate_pairs(df: DataFrame, side: str, idc: str, emb: str, block_rows: i
     return cand.join(r, "blk_r").join(s, "blk_s").select("ids_r", "us_r", "ids_s", "us_s")
 
 
-def _stack(vectors) -> np.ndarray:
-    return np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
-
-
 def _pair_count(df: DataFrame, side: str) -> Column:
     """n_real * n_synthetic as one scalar subquery."""
     return df.select((F.count(F.when(~F.col(side), F.lit(1))) * F.count(F.when(F.col(side), F.lit(1))))
@@ -173,10 +169,13 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
     pairs = _candidate_pairs(df, side, idc, emb, block_rows, keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # self-contained (numpy / pandas only): workers need no import of this package
+        def stack(vectors):
+            return np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
         for b in batches:
             out = []
             for ids_r, us_r, ids_s, us_s in zip(b["ids_r"], b["us_r"], b["ids_s"], b["us_s"]):
-                m = _stack(us_r) @ _stack(us_s).T
+                m = stack(us_r) @ stack(us_s).T
                 i_max = np.unravel_index(int(np.argmax(m)), m.shape)
                 i_min = np.unravel_index(int(np.argmin(m)), m.shape)
                 out.append((float(m[i_max]), int(ids_r[i_max[0]]), int(ids_s[i_max[1]]),
@@ -207,10 +206,12 @@ def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: st
     pairs = _candidate_pairs(df, side, idc, emb, block_rows, lambda b: b.where(F.col("ub") >= F.lit(thr)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def stack(vectors):
+            return np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
         for b in batches:
             rid, sid, cos = [], [], []
             for ids_r, us_r, ids_s, us_s in zip(b["ids_r"], b["us_r"], b["ids_s"], b["us_s"]):
-                m = _stack(us_r) @ _stack(us_s).T
+                m = stack(us_r) @ stack(us_s).T
                 i, j = np.nonzero(m >= thr)
                 rid.extend(np.asarray(ids_r, dtype=np.int64)[i].tolist())
                 sid.extend(np.asarray(ids_s, dtype=np.int64)[j].tolist())

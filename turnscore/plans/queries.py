@@ -611,28 +611,24 @@ def _gbt_regression_cv(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(M.evaluate_folds(preds, ["model"]))
 
 
-TOKEN_RE = r"[\p{L}\p{N}]+"
-
-
-def _load_tokenizer():
-    import regex
-    return regex.compile(TOKEN_RE)
-
-
-def _count_tokens(model, batch):
-    import pandas as pd
-    texts = batch["text"].fillna("")
-    return pd.DataFrame({"doc_id": batch["doc_id"],
-                         "n_tokens": texts.map(lambda t: len(model.findall(t))).astype("int64"),
-                         "n_chars": texts.map(len).astype("int64")})
-
-
 @register("batch_map_tokens", "ML5 UD1", """SELECT doc_id,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+')) AS BIGINT) AS n_tokens,
     CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents""")
 def _batch_map_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    # load / predict are defined here so they are shipped by value: the Python
+    # workers need no import of this package
+    def load():
+        import regex
+        return regex.compile(r"[\p{L}\p{N}]+")
+
+    def predict(model, batch):
+        import pandas as pd
+        texts = batch["text"].fillna("")
+        return pd.DataFrame({"doc_id": batch["doc_id"],
+                             "n_tokens": texts.map(lambda t: len(model.findall(t))).astype("int64"),
+                             "n_chars": texts.map(len).astype("int64")})
     docs = X.table(spark, sf, "documents").select("doc_id", "text")
-    return ML.batch_map(docs, _load_tokenizer, _count_tokens, "doc_id LONG, n_tokens LONG, n_chars LONG")
+    return ML.batch_map(docs, load, predict, "doc_id LONG, n_tokens LONG, n_chars LONG")
 
 
 @register("report_lines", "SK5 PR20 PR21 PR22")

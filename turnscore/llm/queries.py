@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from turnscore.llm.common import read_table
 from turnscore.llm.exact_dedup import exact_dedup
+from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
 
 SQL_EXACT = r"""
@@ -16,3 +17,13 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)"""
 @query("op3_exact_dedup", SQL_EXACT)
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark, sf_dir):
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())

@@ -6,6 +6,7 @@ from turnscore.llm.common import read_table
 from turnscore.llm.exact_dedup import exact_dedup
 from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
+from turnscore.llm.suffix_dedup import remove_repeats
 
 SQL_EXACT = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -27,3 +28,8 @@ def tokenizer_path() -> str:
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    return remove_repeats(read_table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from turnscore.llm.common import read_table
 from turnscore.llm.exact_dedup import exact_dedup
+from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
 from turnscore.llm.suffix_dedup import remove_repeats
@@ -33,3 +34,8 @@ def op5_best_fit_packing(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_ngram_join")
+def op9_ngram_join(spark, sf_dir):
+    return similar_groups(read_table(spark, sf_dir, "documents"))

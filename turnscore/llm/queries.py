@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from turnscore.llm.common import read_table
+from turnscore.llm.decontamination import leaks
 from turnscore.llm.exact_dedup import exact_dedup
 from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
@@ -39,3 +40,8 @@ def op10_suffix_dedup(spark, sf_dir):
 @query("op9_ngram_join")
 def op9_ngram_join(spark, sf_dir):
     return similar_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark, sf_dir):
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")

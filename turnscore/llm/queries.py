@@ -5,6 +5,7 @@ from __future__ import annotations
 from turnscore.llm.common import read_table
 from turnscore.llm.decontamination import leaks
 from turnscore.llm.exact_dedup import exact_dedup
+from turnscore.llm.line_dedup import dedup_lines
 from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
@@ -45,3 +46,30 @@ def op9_ngram_join(spark, sf_dir):
 @query("op7_decontamination")
 def op7_decontamination(spark, sf_dir):
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+#: A line is a later copy if long and seen before, or inside three lines seen before.
+SQL_LINES = r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS i FROM parts),
+seqs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq FROM lines
+         WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+next AS (SELECT *, lead(x, 1) OVER d AS y, lead(x, 2) OVER d AS z FROM seqs WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
+marks AS (SELECT *, length(x) >= 200 AND row_number() OVER (PARTITION BY x ORDER BY doc_id, seq) > 1 AS alone,
+          z IS NOT NULL AND row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, seq) > 1 AS begins FROM next),
+gone AS (SELECT * FROM (SELECT *, alone OR bool_or(begins) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 2 PRECEDING
+         AND CURRENT ROW) AS g FROM marks) AS t WHERE g),
+spans AS (SELECT doc_id, min(i) AS a, max(i) AS b, count(*) AS n
+          FROM (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM gone) AS t
+          GROUP BY doc_id, island),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS text FROM lines AS l
+         WHERE NOT EXISTS (SELECT 1 FROM spans AS s WHERE s.doc_id = l.doc_id AND l.i BETWEEN s.a AND s.b) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(n) AS n, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT p.doc_id, CAST(len(p.a) AS BIGINT) AS n_lines, CAST(coalesce(s.n, 0) AS BIGINT) AS n_deleted,
+       CAST(coalesce(s.c, 0) AS BIGINT) AS n_spans, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM parts AS p LEFT JOIN sums AS s USING (doc_id) LEFT JOIN kept AS k USING (doc_id)"""
+
+
+@query("op8_line_dedup", SQL_LINES)
+def op8_line_dedup(spark, sf_dir):
+    return dedup_lines(read_table(spark, sf_dir, "documents"), report=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from turnscore.llm.common import read_table
 from turnscore.llm.decontamination import leaks
 from turnscore.llm.exact_dedup import exact_dedup
+from turnscore.llm import toxicity
+from turnscore.llm.licenses import scan_licenses
 from turnscore.llm.line_dedup import dedup_lines
 from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
@@ -73,3 +75,14 @@ FROM parts AS p LEFT JOIN sums AS s USING (doc_id) LEFT JOIN kept AS k USING (do
 @query("op8_line_dedup", SQL_LINES)
 def op8_line_dedup(spark, sf_dir):
     return dedup_lines(read_table(spark, sf_dir, "documents"), report=True)
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))

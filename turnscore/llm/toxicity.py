@@ -180,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                              ["lid", "toxic", "packed"])
 
     def learn(frames):
-        f = pd.concat(list(frames), ignore_index=True)
+        frames = list(frames)
+        if not frames:
+            return
+        f = pd.concat(frames, ignore_index=True)
         f = f.sort_values(["lid", "packed"]).drop_duplicates("packed").groupby("toxic").head(2 * sample)
         rows = [np.frombuffer(x, np.uint64) for x in f["packed"]]
         toxic = f["toxic"].to_numpy() > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from turnscore.llm.common import read_table
 from turnscore.llm.decontamination import leaks
 from turnscore.llm.exact_dedup import exact_dedup
@@ -12,6 +14,7 @@ from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
 from turnscore.llm.suffix_dedup import remove_repeats
+from turnscore.llm.tool_calls import TOOLS, link_tool_calls
 
 SQL_EXACT = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -86,3 +89,48 @@ def op1_license_scan(spark, sf_dir):
 def op2_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+#: Tools of the calls that op6 derives from conversations: every user turn is a call, the
+#: assistant's next turn its result; "lookup" is no known tool, "search" knows no chars,
+#: and late turns give their number as text.
+OP6_TOOLS = [("answer", [("question", "string", True), ("chars", "integer", True), ("turn", "integer", False)]),
+             ("search", [("question", "string", True), ("turn", "integer", True)])]
+
+SQL_CALLS = r"""
+WITH RECURSIVE calls AS (
+  SELECT conv_id, 'c' || conv_id || '-' || turn AS id, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS wanted,
+         CASE turn % 5 WHEN 4 THEN 'lookup' WHEN 3 THEN 'search' ELSE 'answer' END AS name, turn >= 5 AS late, length(text) AS chars,
+         text, turn FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS id, text AS result FROM conversations WHERE role <> 'user'),
+linked AS (SELECT c.*, p.id AS parent FROM calls AS c LEFT JOIN calls AS p ON p.conv_id = c.conv_id AND p.id = c.wanted),
+ordered AS (SELECT conv_id, id, 0 AS depth FROM linked WHERE parent IS NULL
+            UNION ALL SELECT l.conv_id, l.id, o.depth + 1 FROM linked AS l JOIN ordered AS o ON l.conv_id = o.conv_id AND l.parent = o.id),
+both_sides AS (
+  SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.id, r.id) AS call_id, o.depth, l.name, l.wanted, l.parent, l.late, l.chars,
+         l.text, l.turn, r.result, r.id IS NOT NULL AS has_result, l.id IS NOT NULL AS is_call
+  FROM linked AS l JOIN ordered AS o USING (conv_id, id) FULL JOIN results AS r ON r.conv_id = l.conv_id AND r.id = l.id),
+noted AS (
+  SELECT *, concat_ws('; ', CASE WHEN name = 'search' THEN 'unknown chars' END, CASE WHEN wanted IS NOT NULL AND parent IS NULL THEN 'unknown parent' END,
+                      CASE WHEN name = 'lookup' THEN 'unknown tool' END, CASE WHEN late AND name <> 'lookup' THEN 'wrong type turn' END) AS errors FROM both_sides)
+SELECT conv_id, call_id, CAST(depth AS BIGINT) AS depth, name, errors,
+  CASE WHEN NOT is_call THEN 'orphan_result' WHEN errors <> '' THEN 'invalid' WHEN NOT has_result THEN 'no_result' ELSE 'ok' END AS status,
+  CASE WHEN is_call THEN '{"arguments":{"chars":' || chars || ',"question":' || to_json(text) || ',"turn":' ||
+         CASE WHEN late THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END || '},"depth":' || depth || ',"id":"' || call_id || '","name":"' || name || '"'
+         || coalesce(',"parent":"' || parent || '"', '') || coalesce(',"result":' || to_json(result), '') || ',"type":"tool_call"}'
+       ELSE '{"id":"' || call_id || '","result":' || to_json(result) || ',"type":"tool_result"}' END AS message
+FROM noted"""
+
+
+@query("op6_tool_calls", SQL_CALLS)
+def op6_tool_calls(spark, sf_dir):
+    turns = read_table(spark, sf_dir, "conversations")
+    name = F.expr("CASE turn % 5 WHEN 4 THEN 'lookup' WHEN 3 THEN 'search' ELSE 'answer' END")
+    call_id = lambda back: F.format_string("c%d-%d", "conv_id", F.col("turn") - back)
+    arguments = [F.to_json(F.struct(t.alias("turn"), F.col("text").alias("question"), F.length("text").alias("chars")))
+                 for t in (F.col("turn"), F.col("turn").cast("string"))]
+    calls = turns.where("role = 'user'").select(
+        "conv_id", call_id(0).alias("call_id"), F.when(F.col("turn") >= 2, call_id(2)).alias("parent_id"), name.alias("name"),
+        F.when(F.col("turn") >= 5, arguments[1]).otherwise(arguments[0]).alias("arguments"))
+    results = turns.where("role <> 'user'").select("conv_id", call_id(1).alias("call_id"), F.col("text").alias("content"))
+    return link_tool_calls(calls, results, spark.createDataFrame(OP6_TOOLS, TOOLS))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscore.session import materialize
 
-__all__ = ["materialize", "read_table", "ship", "text_or_empty", "connected_components"]
+__all__ = ["materialize", "read_table", "ship", "text_or_empty", "hash_bitmap", "connected_components"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def hash_bitmap(df: DataFrame, col: str, bits: int) -> np.ndarray:
+    """Which values modulo ``bits`` (a multiple of 2**15) the column has, as packed little-endian
+    bits. Its size is ``bits`` whatever the data: a filter that may pass too much, never too little."""
+    out = np.zeros(bits // 8, np.uint8)
+    for r in (df.select((F.pmod(col, F.lit(bits)) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toLocalIterator()):
+        out[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import kernels
-from turnscore.llm.common import materialize, ship, text_or_empty
+from turnscore.llm.common import hash_bitmap, materialize, ship, text_or_empty
 
 WINDOW, SUBSTITUTED = 13, 2
 #: 1 is a word that counts, 0 one that may differ; lossless for WINDOW and SUBSTITUTED (see tests).
@@ -78,11 +78,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 ["item", "seed", "place", "words"])
 
     test = materialize(items.mapInArrow(item_seeds, f"item {item_kind}, seed long, place long, words binary"), "seeds")
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in (test.select((F.pmod("seed", F.lit(BITS)) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
-              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toLocalIterator()):
-        bits[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    shared_bits = spark.sparkContext.broadcast(bits)
+    shared_bits = spark.sparkContext.broadcast(hash_bitmap(test, "seed", BITS))
     lengths = {r.n for r in test.where(F.length("words") < 8 * window).select((F.length("words") / 8).cast("int").alias("n"))
                .distinct().collect()}
     all_masks = [*masks, *(m for m in short_masks(window) if len(m) in lengths)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import kernels
-from turnscore.llm.common import connected_components, materialize, ship, text_or_empty
+from turnscore.llm.common import connected_components, hash_bitmap, materialize, ship, text_or_empty
 
 #: Shingles of a cluster that are searched in one task; larger clusters are cut into blocks.
 CLUSTER_SHINGLES = 1 << 23
@@ -257,20 +257,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .sortWithinPartitions("bucket").mapInArrow(across, "u long, v long")))
     clusters = materialize(connected_components(edges, "u", "v"), "clusters")
 
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in (clusters.select((F.pmod("node", F.lit(BITS)) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
-              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()):
-        bits[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    one = spark.sparkContext.broadcast(np.unpackbits(bits, bitorder="little"))
+    shared_bits = spark.sparkContext.broadcast(hash_bitmap(clusters, "node", BITS))
 
     def clustered_sets(batches):
+        one = shared_bits.value
         for batch in batches:
             data, off = kernels.buffers(batch.column("text"))
             fp, packed, seen = [], [], set()
             for _, part, o in kernels.blocks(data, off):
                 for s in kernels.shingle_sets(part, o, kernels.NONSPACE, width):
                     f = fingerprint(s)
-                    if len(s) and one.value[f % BITS] and f not in seen:
+                    if len(s) and one[f % BITS >> 3] >> (f % 8) & 1 and f not in seen:
                         seen.add(f), fp.append(f), packed.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(packed, pa.binary())],
                                              ["node", "packed"])

@@ -14,6 +14,7 @@ from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
 from turnscore.llm.suffix_dedup import remove_repeats
+from turnscore.llm.surrogates import replace_entities
 from turnscore.llm.tool_calls import TOOLS, link_tool_calls
 
 SQL_EXACT = r"""
@@ -134,3 +135,8 @@ def op6_tool_calls(spark, sf_dir):
         F.when(F.col("turn") >= 5, arguments[1]).otherwise(arguments[0]).alias("arguments"))
     results = turns.where("role <> 'user'").select("conv_id", call_id(1).alias("call_id"), F.col("text").alias("content"))
     return link_tool_calls(calls, results, spark.createDataFrame(OP6_TOOLS, TOOLS))
+
+
+@query("op4_pii_surrogates")
+def op4_pii_surrogates(spark, sf_dir):
+    return replace_entities(read_table(spark, sf_dir, "documents"), key=b"op4 surrogate key")

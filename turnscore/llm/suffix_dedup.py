@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import kernels
-from turnscore.llm.common import materialize, ship, text_or_empty
+from turnscore.llm.common import hash_bitmap, materialize, ship, text_or_empty
 
 LENGTH = 400
 #: Strings of a part that are sorted together in a task; larger parts are counted by hash instead.
@@ -157,25 +157,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, part_limit: int = PART
     reps = (classes.join(contested.select("anchor"), "anchor", "left_semi")
             .groupBy("one.id", "one.th").agg(F.collect_list(F.struct("one.s0", "one.s1", "one.a", "n")).alias("at")))
     reps = materialize(reps, "contested")
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in (reps.select((F.pmod("th", F.lit(BITS)) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
-              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()):
-        bits[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    shared_bits = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits, bitorder="little"))
+    shared_bits = docs.sparkSession.sparkContext.broadcast(hash_bitmap(reps, "th", BITS))
 
     def likely(batches):
         one = shared_bits.value
         for batch in batches:
-            yield batch.filter(pa.array(one[batch.column("th").to_numpy() % BITS] == 1))
+            th = batch.column("th").to_numpy() % BITS
+            yield batch.filter(pa.array((one[th >> 3] >> (th & 7) & 1) == 1))
 
     span = max(1, (length - k) // 3)
 
     def flanks(batches):
         for batch in batches:
             out = {n: [] for n in ("key", "id", "lo", "first", "left", "right", "n")}
-            texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary())
-            for i, (text, at) in enumerate(zip(texts.to_pylist(), batch.column("at").to_pylist())):
-                for x in at:
+            for i, (text, at) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("at"))):
+                text = text.as_py()
+                for x in at.as_py():
                     s0, s1, a = x["s0"], x["s1"], x["a"]
                     for b in range((a - s1) // (span + 1), (a - s0) // (span + 1) + 1):
                         near, far = b * (span + 1), b * (span + 1) + span  # distances from start to anchor
@@ -268,10 +265,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         for batch in batches:
             n_bytes, removed, n_spans, sha, kept = [], [], [], [], []
-            texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary())
-            for text, at in zip(texts.to_pylist(), batch.column("spans").to_pylist()):
+            for text, at in zip(batch.column("text").cast(pa.binary()), batch.column("spans")):
+                text = text.as_py()
                 pieces, last, count = [], 0, 0
-                for x in sorted(at or (), key=lambda x: (x["start"], x["end"])):
+                for x in sorted(at.as_py() or (), key=lambda x: (x["start"], x["end"])):
                     if not count or x["start"] > last:
                         pieces.append(text[last:x["start"]])
                         count += 1

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from turnscore.llm.ngram_join import Parts, divide_skip, signatures, similar_groups, similar_links
+from turnscore.llm.ngram_join import Parts, divide_skip, signatures, keep_one_of_each_group, similar_groups, similar_links
 from turnscore.llm.queries import op9_ngram_join
 
 
@@ -112,3 +112,18 @@ def test_query_whole_table(spark):
     want = brute([(d.doc_id, d.text) for d in docs], 3, 90, 100)
     assert result(op9_ngram_join(spark, "/root/testdata/sf0.01")) == want
     assert any(r[0] != r[2] for r in want)
+
+
+def test_one_of_each_group_stays(spark):
+    rows = make(9, 120)
+    df = spark.createDataFrame([(t, i, 1) for i, t in rows], "text string, doc_id long, root int")
+    out = keep_one_of_each_group(df, width=3, num=90)
+    assert out.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    groups = brute(rows, 3, 90, 100)
+    full = {d: g for d, n, g in groups if n and d is not None}
+    empty = [(i, t) for i, t in rows if not (t or "").split()]
+    null_only = {"a b c d"} if not any(full.get(i) is not None and t == "a b c d" for i, t in rows) else set()
+    assert [k for k in kept if k[0] is not None] == sorted(
+        [(i, t) for i, t in dict(rows).items() if i is not None and (i in full and full[i] == i or (i, t) in empty)], key=str)
+    assert [t for i, t in kept if i is None] == sorted(null_only)

@@ -179,18 +179,9 @@ def similar_links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
     return links
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90,
-                   den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
-
-    Words are runs of characters that are not ASCII white space, A-Z lower-cased; a
-    set holds the distinct shingles of ``width`` words, or the whole sequence where
-    there are fewer words. Rows link when den * intersection >= num * union;
-    component_id is the smallest id reachable by links. Null or blank text has an
-    empty set and links with nothing. Rows that repeat an id are rows of their own;
-    null ids take part but are never smallest, so component_id is null only where all
-    ids of a group are. An empty table gives no rows. Other columns are not read."""
-    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """(id, th, n, root) of every row of ``own`` (id, text, th): n shingles, and a root that is the same for
+    linked sets; it is null for an empty set."""
     spark = own.sparkSession
     kind = own.schema["id"].dataType.simpleString()
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -219,12 +210,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         bucket.append(k), packed.append(pairs[edge[k]:edge[k + 1]].tobytes())
             more = len(bucket) - n
             ids = pa.concat_arrays([batch.column("id"), pa.nulls(more, batch.column("id").type)])
+            th = pa.concat_arrays([batch.column("th"), pa.nulls(more, pa.int64())])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.array(fp + [0] * more, np.uint64).view(np.int64)), pa.array(size + [0] * more, pa.int64()),
-                 pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["id", "fp", "n", "bucket", "packed"])
+                [ids, th, pa.array(np.array(fp + [0] * more, np.uint64).view(np.int64)), pa.array(size + [0] * more, pa.int64()),
+                 pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["id", "th", "fp", "n", "bucket", "packed"])
 
-    scanned = materialize(own.mapInArrow(scan, f"id {kind}, fp long, n long, bucket int, packed binary"), "signatures")
-    rows = scanned.where("bucket = -2").select("id", "fp", "n")
+    scanned = materialize(own.mapInArrow(scan, f"id {kind}, th long, fp long, n long, bucket int, packed binary"), "signatures")
+    rows = scanned.where("bucket = -2").select("id", "th", "fp", "n")
 
     def pairs_out(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
@@ -307,12 +299,50 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         .mapInArrow(search, "u long, v long"), "links")
     groups = connected_components(links, "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
-    grouped = (rows.where("n > 0").join(groups, "fp", "left")
-               .select("id", "n", F.coalesce("root", "fp").alias("root")))
-    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    return (grouped.join(least, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-            .unionByName(rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                                                    F.col("id").alias("component_id"))))
+    return materialize(rows.join(groups, "fp", "left").select(
+        "id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root")), "grouped")
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90,
+                   den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id.
+
+    Words are runs of characters that are not ASCII white space, A-Z lower-cased; a
+    set holds the distinct shingles of ``width`` words, or the whole sequence where
+    there are fewer words. Rows link when den * intersection >= num * union;
+    component_id is the smallest id reachable by links. Null or blank text has an
+    empty set and links with nothing. Rows that repeat an id are rows of their own;
+    null ids take part but are never smallest, so component_id is null only where all
+    ids of a group are. An empty table gives no rows. Other columns are not read."""
+    grouped = grouped_rows(_own(docs, id_col, text_col), width, num, den, cluster_shingles)
+    # written first, so that the join below is a plain one whose skewed groups can be split
+    least = materialize(grouped.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    linked = grouped.where("n > 0").join(least, "root").select("id", "n", "component_id")
+    return linked.unionByName(grouped.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80,
+                           den: int = 100) -> DataFrame:
+    """``docs``, all columns, with one row of each group of ``similar_groups``: the least by id (null ids
+    last) and text hash; of rows that repeat both, any one. Rows with an empty set all stay."""
+    grouped = grouped_rows(_own(docs, id_col, text_col), width, num, den).where("n > 0")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    best = materialize(grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1"), "best")
+    lost = materialize(grouped.join(best, "root").where(order > F.col("best")).select(
+        F.col("id").alias("_nj_id"), F.col("th").alias("_nj_th")).distinct(), "lost")
+    twice = materialize(grouped.join(best, "root").where(order == F.col("best")).groupBy("id", "th").count().where("count > 1")
+                        .select(F.col("id").alias("_nj_id"), F.col("th").alias("_nj_th")), "twice")
+    same = (F.xxhash64(text_or_empty(text_col)) == F.col("_nj_th")) & F.col(id_col).eqNullSafe(F.col("_nj_id"))
+    kept = docs.join(lost, same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, same, "left_anti").unionByName(
+        kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 ship(__name__)

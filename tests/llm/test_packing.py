@@ -10,6 +10,7 @@ from turnscore.llm.queries import op5_best_fit_packing, tokenizer_path
 import pyarrow as pa
 
 ODD = [None, "", " ", "a", "a  b ", "\t\n x", "x  y é z 　 q", "<|endoftext|> it's, foo. bar's  z",
+       "a,\nB.c d.\n\ne. f,, g., 1, \n h.\ti\n", ",a", "é.\nx\u0085\ny \u2003\nz", "it's.\n's a.<|endoftext|>,\n",
        "x " * 5000, "é " * 40, "a\u0085 b", "1 2 3\r\n 4", "᠎ a ᠎"]
 
 

@@ -30,9 +30,10 @@ CACHE = 1 << 20
 class BatchTokenizer:
     """Ids of whole texts by the ``tokenizers`` library, each distinct piece encoded once.
 
-    A byte-level BPE splits before a single space between two characters that are
-    not white space, whatever stands around it, so texts are cut there and the
-    ids of the pieces are joined."""
+    A byte-level BPE of this kind splits before a single space or line break between
+    two characters that are not white space, after such a line break, and between an
+    ASCII letter and a comma or full stop. Texts are cut there and the ids of the
+    pieces are joined."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,26 +47,36 @@ class BatchTokenizer:
         self.ids = np.zeros(0, np.uint32)
 
     @staticmethod
-    def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Places of the spaces to cut before. A neighbour that may belong to a
-        white-space character (also a non-ASCII one) prevents the cut."""
+    def starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Places where pieces begin. A neighbour that may belong to a white-space
+        character (also a non-ASCII one) prevents a cut."""
         space = np.zeros(256, bool)
         space[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
         lead = np.zeros(256, bool)
         lead[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-        at = np.flatnonzero(data == 0x20)
-        at = at[(at > 0) & (at < len(data) - 1)]
-        at = at[~np.isin(at, off) & ~np.isin(at + 1, off)]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[off] = True
+        begin = edge.copy()
+        at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        at = at[~edge[at] & ~edge[at + 1]]
         before, after = data[at - 1], data[at + 1]
         bad = space[before] | space[after] | lead[after]
         bad |= (before >= 0x80) & (data[np.maximum(at - 2, 0)] == 0xC2)
         bad |= (before >= 0x80) & lead[data[np.maximum(at - 3, 0)]]
-        return at[~bad]
+        at = at[~bad]
+        begin[at] = True
+        begin[at[data[at] == 0x0A] + 1] = True
+        at = np.flatnonzero((data == 0x2C) | (data == 0x2E))
+        at = at[~edge[at]]
+        letter = data[at - 1] | np.uint8(0x20)
+        at = at[(letter >= 0x61) & (letter <= 0x7A)]
+        after = np.append(data, np.uint8(0x20))[at + 1]
+        begin[at[edge[at + 1] | (after == 0x20) | (after == 0x0A)]] = True
+        return np.flatnonzero(begin[:-1])
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin."""
-        full = off[:-1][off[1:] > off[:-1]]
-        start = np.union1d(full, self.cuts(data, off))
+        start = self.starts(data, off)
         end = np.append(start[1:], len(data))
         key = kernels.mix(kernels.span_hash(kernels.prefix(data), start, end) + (end - start).astype(np.uint64))
         uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
@@ -108,7 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
         for batch in batches:
             data, off = kernels.buffers(batch.column("text"))
             names = batch.column("doc_id")
-            for at, part, o in kernels.blocks(data, off):
+            for at, part, o in kernels.blocks(data, off, 4 << 20):
                 ids, begun = encode(part, o)
                 doc, piece, first, length, crc = [], [], [], [], []
                 for d in range(len(o) - 1):

@@ -43,13 +43,54 @@ def test_mcnemar_fixture_values(spark):
     assert got == pytest.approx([1.0, 0.0625, 0.09228515625, 1.0], rel=1e-12)
 
 
-def test_mcnemar_large_counts_stirling(spark):
-    df = spark.createDataFrame([(150_000, 151_000)], "b LONG, c LONG")
-    p = df.select(mcnemar_exact(F.col("b"), F.col("c")).alias("p")).first().p
-    # normal approximation with continuity correction is accurate at this size
-    z = (abs(150_000 - 151_000) - 1) / math.sqrt(301_000)
-    approx = math.erfc(z / math.sqrt(2))
-    assert p == pytest.approx(approx, rel=2e-2)
+def exact_p(b, c):
+    """The p-value with 50 digits: log-factorials by their asymptotic series, and the tail ratio by ratio."""
+    from decimal import Decimal as D, getcontext
+    getcontext().prec = 50
+    pi = D("3.14159265358979323846264338327950288419716939937510")
+    bernoulli = [D(1) / 6, D(-1) / 30, D(1) / 42, D(-1) / 30, D(5) / 66, D(-691) / 2730, D(7) / 6]
+
+    def log_factorial(m):
+        m = D(m)
+        return (m + D("0.5")) * m.ln() - m + (2 * pi).ln() / 2 + sum(
+            x / (2 * (i + 1) * (2 * i + 1) * m ** (2 * i + 1)) for i, x in enumerate(bernoulli))
+
+    n, k = b + c, min(b, c)
+    term = (log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * D(2).ln()).exp()
+    total, i = D(0), k
+    while i >= 0 and term > total * D("1e-25"):
+        total += term
+        term = term * i / (n - i + 1)
+        i -= 1
+    return float(min(D(1), 2 * total))
+
+
+@pytest.mark.parametrize("b,c", [(150_000, 151_000), (99_000, 101_000), (1_000_000, 1_003_000), (400_000, 900_000),
+                                 (2_000_000_000, 2_000_100_000), (4_999_999_000, 5_000_000_000), (70, 1_000_000)])
+def test_mcnemar_large_counts_are_exact(spark, b, c):
+    df = spark.createDataFrame([(b, c), (c, b)], "b LONG, c LONG")
+    want = exact_p(b, c)
+    for r in df.select(mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect():
+        assert r.p == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_mcnemar_equal_and_null_counts(spark):
+    df = spark.createDataFrame([(n, n) for n in (0, 1, 5_000, 5_000_000_000, 5_000_000_000_000)] + [(7, 8), (None, 3), (3, None)],
+                               "b LONG, c LONG")
+    assert [r.p for r in df.select(mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()] == [1.0] * 6 + [None, None]
+
+
+def test_topic_that_the_second_side_lacks(spark):
+    """Equal models on the only topic they share: no reduction, one test, and nothing invented for the other topic."""
+    tr = spark.createDataFrame([("base", "Schlaf", "strict", 10, 20), ("base", "Suizid", "strict", 50, 75), ("tuned", "Schlaf", "strict", 10, 20)],
+                               "model STRING, topic STRING, rule STRING, correct LONG, total LONG")
+    spec = [("X vs. Y", "base", "strict", "tuned", "strict")]
+    er = CP.error_reduction(tr, S.topic_dim(spark), spec).first()
+    assert (er.errors_a, er.errors_b, er.total_samples, er.missing_topics, er.error_reduction_pct) == (10, 10, 20, 1, 0.0)
+    rows = {r.topic: r for r in CP.marginal_comparisons(tr, S.topic_dim(spark), spec).collect()}
+    lost, kept = rows["Suizid"], rows["Schlaf"]
+    assert lost.missing_in_b and {lost[c] for c in ("cb", "n11", "n10", "n01", "n00", "p_value", "p_adj", "p_display")} == {None}
+    assert (kept.p_value, kept.p_adj, kept.cum_errors_a, lost.cum_errors_a, lost.cum_errors_b) == (1.0, 1.0, 10, 10, 10)
 
 
 def test_bonferroni(spark):
@@ -90,7 +131,7 @@ def test_nested_prefixes(spark):
 def test_contingency_and_error_reduction(spark):
     tr = spark.createDataFrame([("base", "Schlaf", "strict", 10, 20), ("tuned", "Schlaf", "strict", 14, 20)],
                                "model STRING, topic STRING, rule STRING, correct LONG, total LONG")
-    spec = [("X vs. Y", "strict", "strict")]
+    spec = [("X vs. Y", "base", "strict", "tuned", "strict")]
     cells = CP.marginal_cells(tr, spec).first()
     assert (cells.n11, cells.n10, cells.n01, cells.n00) == (10, 0, 4, 6) and not cells.missing_in_b
     only_a = tr.where("model = 'base'").union(

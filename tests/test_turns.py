@@ -1,5 +1,5 @@
-"""Run merging and dialogue assembly against a row loop of the study's rules,
-with tiny seq buckets so every bucket-border case is exercised."""
+"""Run merging and dialogue assembly on hand-written rows, with tiny seq buckets so
+every bucket-border case is exercised."""
 
 import random
 
@@ -8,30 +8,10 @@ from pyspark.sql import functions as F
 
 from turnscore.operators import dialogue as DG
 from turnscore.operators import turns as TU
-from turnscore.operators.ordered import ordered_join, runs
 
 SCHEMA = "subject STRING, speaker STRING, text STRING, seq BIGINT"
 
 
-def loop_merge(rows):
-    """The study's loop: file order, same subject and speaker merge."""
-    out, prev_subj, prev_spk, merged = [], None, None, ""
-    for subj, spk, text, _ in rows:
-        t = "" if text is None else str(text)
-        t = t.replace("Vielen Dank", "mhm").replace("Amen", "mhm")
-        if subj is not None and spk is not None and subj == prev_subj and spk == prev_spk:
-            if t:
-                merged += " " + t
-        else:
-            if prev_subj is not None and prev_spk is not None:
-                out.append((prev_subj, prev_spk, merged))
-            merged = t
-        prev_subj, prev_spk = subj, spk
-    if prev_subj is not None and prev_spk is not None:
-        out.append((prev_subj, prev_spk, merged))
-    return out
-
-
 def merged_rows(df):
     return [(r.subject, r.speaker, r.text) for r in df.orderBy("first_seq").collect()]
 
@@ -53,35 +33,40 @@ def test_merge_contract(spark, cases, bucket_rows):
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 3, 7, 50])
-def test_merge_matches_loop_random(spark, bucket_rows):
+def test_merge_does_not_depend_on_buckets_or_gaps(spark, bucket_rows):
     rng = random.Random(7)
     rows = []
     for i in range(400):
         subj = rng.choice(["A", "B", None]) if rng.random() < 0.05 else rng.choice(["A", "A", "A", "B"])
         spk = rng.choice(["SPEAKER_00", "SPEAKER_01"]) if rng.random() < 0.4 else "SPEAKER_00"
-        text = rng.choice(["", None, "Amen", "hallo", "ja", "Vielen Dank"])
-        rows.append((subj, spk, text, i))
-    expected = loop_merge(rows)
-    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = TU.merge_turns(df, bucket_rows=bucket_rows)
-    # null subjects form their own runs; the loop drops runs with None keys
-    got = [r for r in merged_rows(got) if r[0] is not None and r[1] is not None]
-    assert got == expected
-
-
-@pytest.mark.parametrize("bucket_rows", [1, 4, 1000])
-def test_runs_per_subject_sparse_seq(spark, bucket_rows):
-    rows = [("A", "0", "a", 3), ("A", "0", "b", 10), ("A", "1", "c", 11), ("B", "0", "d", 1),
-            ("A", "1", "e", 40), ("B", "0", "f", 2), ("A", "0", "g", 41)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    r = runs(df, ["speaker"], "seq", ["subject"], bucket_rows=bucket_rows)
-    got = sorted((x.subject, x.seq, x.run_id) for x in r.collect())
-    assert got == [("A", 3, 1), ("A", 10, 1), ("A", 11, 2), ("A", 40, 2), ("A", 41, 3),
-                   ("B", 1, 1), ("B", 2, 1)]
+        rows.append((subj, spk, rng.choice(["", None, "Amen", "hallo", "ja", "Vielen Dank"]), i))
+    one = merged_rows(TU.merge_turns(spark.createDataFrame(rows, SCHEMA)))
+    sparse = [(a, b, c, i * 1_000_003 + (i % 5) ** 7) for a, b, c, i in rows]
+    assert merged_rows(TU.merge_turns(spark.createDataFrame(rows, SCHEMA).repartition(5), bucket_rows=bucket_rows)) == one
+    assert merged_rows(TU.merge_turns(spark.createDataFrame(sparse, SCHEMA).repartition(5), bucket_rows=bucket_rows)) == one
+
+
+def test_gaps_in_seq_do_not_break_runs(spark):
+    df = spark.createDataFrame([("A", "0", "x", 0), ("A", "0", "y", 2), ("A", "0", "z", 5_000_000)], SCHEMA)
+    assert merged_rows(TU.merge_turns(df)) == [("A", "0", "x y z")]
+
+
+def test_a_sparse_seq_has_full_buckets(spark):
+    from turnscore.operators.ordered import bucket_of, bucket_width
+    df = spark.range(10_000).select((F.col("id") * 86_400_000).alias("seq"))
+    n = df.select(bucket_of("seq", bucket_width(df, "seq", 100)).alias("b")).distinct().count()
+    assert 95 <= n <= 105
+
+
+def test_null_keys_belong_to_no_group(spark):
+    rows = [("S", "T", "SPEAKER_01", "a", 2.0, 0), (None, "T", "SPEAKER_01", "b", 3.0, 1), ("S", None, "SPEAKER_01", "c", 4.0, 2)]
+    df = spark.createDataFrame(rows, "subject STRING, topic STRING, speaker STRING, text STRING, score DOUBLE, seq BIGINT")
+    assert [(r.subject, r.topic) for r in DG.dialogues(df).collect()] == [("S", "T")]
+    assert [(r.topic, r.subject, r.score) for r in DG.first_score(df).collect()] == [("T", "S", 2)]
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 2, 100])
-def test_ordered_join_and_dialogue(spark, bucket_rows):
+def test_dialogue(spark, bucket_rows):
     rows = [("S", "T", "SPEAKER_00", "Wie geht es?", None, 5),
             ("S", "T", "SPEAKER_01", "gut", 3.0, 7),
             ("S", "T", "SPEAKER_00", "und?", 1.0, 6),
@@ -99,8 +84,6 @@ def test_ordered_join_and_dialogue(spark, bucket_rows):
     assert ex[0].input == ("Topic: T \nDialogue:\nInterviewer: Wie geht es?\nInterviewer: und?\n"
                            "Patient: gut\nPatient:\n\n")
     assert ex[0].output == "Score: 3.0"
-    j = ordered_join(df, ["subject"], "text", bucket_rows=bucket_rows, sep="|").collect()
-    assert j[0].n_rows == 5
 
 
 def test_example_text_contract(spark):

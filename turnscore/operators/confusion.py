@@ -42,14 +42,15 @@ def confusion(preds: DataFrame, topic_dim: DataFrame, by: Sequence[str] = ("mode
                                                                 both.alias("x")) \
         .select(*by, "topic", F.col("x.rule").alias("rule"), "true_score", F.col("x.p").alias("pred_score")) \
         .where(F.col("pred_score").between(S.SCORE_MIN, S.SCORE_MAX))
-    counts = cells.groupBy(*by, "topic", "rule", "true_score", "pred_score").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = cells.groupBy(*by, "topic", "rule", "true_score", "pred_score").agg(F.count(F.lit(1)).alias("n"))
+    # at most 2 x 49 cells per group: gathered into a map and looked up, so nothing is scanned or joined again
+    cell = F.concat_ws(":", "rule", "true_score", "pred_score")
+    group = counts.groupBy(*by, "topic").agg(F.map_from_entries(F.collect_list(F.struct(cell, "n"))).alias("cells"))
     scores = F.sequence(F.lit(S.SCORE_MIN), F.lit(S.SCORE_MAX))
-    spine = counts.select(*by, "topic").distinct() \
-        .withColumn("rule", F.explode(F.array(*[F.lit(r) for r in RULES]))) \
+    spine = group.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in RULES]))) \
         .withColumn("true_score", F.explode(scores)).withColumn("pred_score", F.explode(scores))
-    return spine.join(counts, [*by, "topic", "rule", "true_score", "pred_score"], "left") \
-        .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    return spine.select(*by, "topic", "rule", "true_score", "pred_score",
+                        F.coalesce(F.try_element_at("cells", cell), F.lit(0)).cast("bigint").alias("n"))
 
 
 def trace(dense: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -11,7 +11,7 @@ from turnscore import schemas as S
 from turnscore.functions.ordinal import nan_to_null, score_int
 from turnscore.functions.text import (clean_text, dialogue_line, example_input, parse_score,
                                       parse_topic, score_output, speaker_role)
-from turnscore.operators.ordered import DEFAULT_BUCKET_ROWS, bucket_of
+from turnscore.operators.ordered import DEFAULT_BUCKET_ROWS, bucket_of, bucket_width
 
 
 def _first_valid(value: Column, seq: Column, cond: Column) -> tuple[Column, Column]:
@@ -28,14 +28,16 @@ def dialogues(df: DataFrame, keys: Sequence[str] = ("subject", "topic"), seq: st
 
     Two-level: sorted partials per (group, seq bucket), then partials in bucket
     order, so a hot group is spread over its buckets. ``min_by`` partials merge
-    associatively. Null text becomes '' (``nan_text=True``: the text 'nan')."""
+    associatively. Null text becomes '' (``nan_text=True``: the text 'nan').
+    Rows with a null key belong to no group and are dropped."""
     keys = list(keys)
+    df = df.dropna(subset=keys)
     txt = F.coalesce(F.col(text).cast("string"), F.lit("nan")) if nan_text else clean_text(F.col(text))
     sc = nan_to_null(F.col(score))
     line = dialogue_line(speaker_role(F.col(speaker)), txt)
     any_v, any_s = _first_valid(sc, F.col(seq), F.lit(True))
     pat_v, pat_s = _first_valid(sc, F.col(seq), F.col(speaker) == F.lit(S.PATIENT_SPEAKER))
-    lvl1 = df.withColumn("_b", bucket_of(seq, bucket_rows)).groupBy(*keys, "_b").agg(
+    lvl1 = df.withColumn("_b", bucket_of(seq, bucket_width(df, seq, bucket_rows))).groupBy(*keys, "_b").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"),
                                                                       line.alias("t")))),
                                  lambda x: x["t"]), "\n").alias("_p"),
@@ -74,10 +76,10 @@ def first_score(df: DataFrame, keys: Sequence[str] = ("topic", "subject"), seq:
                 score: str = "score", speaker: str | None = None) -> DataFrame:
     """First valid score per group in seq order (``speaker`` given: only that
     speaker's rows count), as the truncated integer ``score``. Groups without a
-    valid score are absent. A plain partial aggregation: hot groups are
+    valid score are absent, and so are rows with a null key. A plain partial aggregation: hot groups are
     combined map-side."""
     sc = nan_to_null(F.col(score))
-    d = df.where(sc.isNotNull())
+    d = df.dropna(subset=list(keys)).where(sc.isNotNull())
     if speaker is not None:
         d = d.where(F.col("speaker") == F.lit(speaker))
     return d.groupBy(*keys).agg(score_int(F.min_by(sc, F.col(seq))).alias("score"))

@@ -1,9 +1,8 @@
 """Order-dependent operators that stay parallel when one group is huge.
 
-Row order is an explicit integer ``seq`` (unique within a partition key). Every
-window below is partitioned by a *bucket* of ``seq`` (``seq div bucket_rows``)
-so no task ever holds more than ``bucket_rows`` rows of one key, however hot
-the key. What crosses a bucket border (the previous row, running counts) is
+Row order is an explicit integer ``seq`` (unique within a partition key). Windows
+are partitioned by a *bucket* of ``seq`` of about ``bucket_rows`` rows, so no
+task holds many more rows of one key, however hot the key. What crosses a bucket border (the previous row, running counts) is
 carried by a per-bucket summary of one row per non-empty bucket.
 """
 
@@ -11,14 +10,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_ROWS = 1 << 16
 
 
-def bucket_of(seq: str, bucket_rows: int) -> Column:
-    return F.floor(F.col(seq) / F.lit(bucket_rows)).cast("bigint")
+def bucket_of(seq: str, width) -> Column:
+    return F.floor(F.col(seq) / (F.lit(width) if isinstance(width, int) else width)).cast("bigint")
+
+
+def bucket_width(df: DataFrame, seq: str, bucket_rows: int) -> Column:
+    """How much of ``seq`` a bucket spans: ``bucket_rows`` where it is dense, and proportionally
+    more where it is sparse (e.g. a timestamp), so that a bucket has about ``bucket_rows``
+    rows. A one-value subquery over the ``seq`` column alone."""
+    lo, hi, n = F.min(seq), F.max(seq), F.count(seq)
+    span = F.ceil((hi - lo + 1).cast("double") * bucket_rows / F.greatest(n, F.lit(1))).cast("bigint")
+    return df.select(F.greatest(F.lit(bucket_rows).cast("bigint"), F.coalesce(span, F.lit(1).cast("bigint"))).alias("w")).scalar()
 
 
 def _all_equal(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -27,71 +35,3 @@ def _all_equal(a: Sequence[Column], b: Sequence[Column]) -> Column:
     for x, y in zip(a, b):
         cond = cond & F.coalesce(x == y, F.lit(False))
     return cond
-
-
-def runs(df: DataFrame, same: Sequence[str], seq: str = "seq", part: Sequence[str] = (),
-         adjacency: bool = False, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-         run_col: str = "run_id") -> DataFrame:
-    """Gaps-and-islands: number maximal runs of consecutive rows (``seq`` order
-    within ``part``) whose ``same`` columns are equal. With ``adjacency`` a gap in
-    ``seq`` (a row of another key in between, for a dense global ``seq``) also
-    breaks a run. Adds ``run_col`` (1.. per ``part``) and ``_b`` (the bucket).
-
-    Plan: one shuffle by (part, bucket) for the in-bucket window; the bucket
-    summary (first row, last row, break count) is aggregated on the same
-    partitioning, a window over buckets carries the previous bucket's last row
-    and the break offset, and the summary is joined back on (part, bucket)."""
-    part = list(part)
-    same = list(same)
-    b = "_b"
-    d = df.withColumn(b, bucket_of(seq, bucket_rows))
-    wb = Window.partitionBy(*part, b).orderBy(seq)
-    prev_seq = F.lag(F.col(seq)).over(wb)
-    brk_inner = ~_all_equal([F.col(c) for c in same], [F.lag(F.col(c)).over(wb) for c in same])
-    if adjacency:
-        brk_inner = brk_inner | (F.col(seq) - prev_seq > 1)
-    d = d.withColumn("_first", prev_seq.isNull()) \
-        .withColumn("_brk", F.when(F.col("_first"), F.lit(0)).otherwise(brk_inner.cast("int")))
-    d = d.withColumn("_cum", F.sum("_brk").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-
-    row = F.struct(F.col(seq).alias("s"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(same)])
-    summary = d.groupBy(*part, b).agg(
-        F.min_by(row, F.col(seq)).alias("_fr"), F.max_by(row, F.col(seq)).alias("_lr"),
-        F.sum("_brk").alias("_inner"))
-    # one summary row per non-empty bucket: a hot key has at most N / bucket_rows
-    wbk = Window.partitionBy(*part).orderBy(b)
-    prev_last = F.lag(F.col("_lr")).over(wbk)
-    first_brk = prev_last.isNull() | ~_all_equal(
-        [F.col("_fr")[f"k{i}"] for i in range(len(same))], [prev_last[f"k{i}"] for i in range(len(same))])
-    if adjacency:
-        first_brk = first_brk | (F.col("_fr")["s"] - prev_last["s"] > 1)
-    summary = summary.withColumn("_fb", first_brk.cast("int")) \
-        .withColumn("_tot", F.col("_fb") + F.col("_inner"))
-    summary = summary.select(
-        *[F.col(c).alias(f"_s_{c}") for c in [*part, b]], "_fb",
-        F.coalesce(F.sum("_tot").over(wbk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_off"))
-    on = F.lit(True)
-    for c in [*part, b]:  # null-safe: null keys keep their rows
-        on = on & d[c].eqNullSafe(summary[f"_s_{c}"])
-    out = d.join(summary, on).drop(*[f"_s_{c}" for c in [*part, b]])
-    return out.withColumn(run_col, (F.col("_off") + F.col("_fb") + F.col("_cum")).cast("bigint")) \
-        .drop("_first", "_brk", "_cum", "_fb", "_off")
-
-
-def ordered_join(df: DataFrame, keys: Sequence[str], text: str, seq: str = "seq", sep: str = "\n",
-                 bucket_rows: int = DEFAULT_BUCKET_ROWS, out: str = "joined") -> DataFrame:
-    """``sep``.join(text in seq order) per group of ``keys``, in two levels: sorted
-    partial strings per (keys, seq bucket), then partials in bucket order. No
-    task sorts more than ``bucket_rows`` rows of one group."""
-    keys = list(keys)
-    lvl1 = df.withColumn("_b", bucket_of(seq, bucket_rows)).groupBy(*keys, "_b").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"),
-                                                                      F.col(text).alias("t")))),
-                                 lambda x: x["t"]), sep).alias("_p"),
-        F.count(F.lit(1)).alias("_n"))
-    return lvl1.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"),
-                                                                      F.col("_p").alias("p")))),
-                                 lambda x: x["p"]), sep).alias(out),
-        F.sum("_n").alias("n_rows"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnscore import schemas as S
 from turnscore.functions.text import clean_text, replace_phrases, seconds_to_ms
-from turnscore.operators.ordered import DEFAULT_BUCKET_ROWS, _all_equal, bucket_of
+from turnscore.operators.ordered import DEFAULT_BUCKET_ROWS, _all_equal, bucket_of, bucket_width
 
 
 def clean_turns(df: DataFrame, text: str = "text", phrases=None) -> DataFrame:
@@ -20,9 +20,9 @@ def merge_turns(df: DataFrame, subject: str = "subject", speaker: str = "speaker
                 bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Merge runs of consecutive turns with equal subject and speaker.
 
-    ``order='global'``: ``seq`` is the row position in the source (a run also
-    breaks when another subject's row lies between); ``order='subject'``: ``seq``
-    orders turns within a subject only. Text is cleaned first (null -> '',
+    ``order='global'``: ``seq`` orders the rows of the source (a run also breaks
+    when another subject's row lies between); ``order='subject'``: ``seq`` orders
+    turns within a subject only. Gaps in ``seq`` mean nothing. Text is cleaned first (null -> '',
     phrase replacement). A run keeps its first text even when empty; later
     texts are appended with one blank only when non-empty.
 
@@ -39,15 +39,13 @@ def merge_turns(df: DataFrame, subject: str = "subject", speaker: str = "speaker
         raise ValueError("order must be 'global' or 'subject'")
     d = clean_turns(df, text, phrases if phrases is not None else S.PHRASES)
     if order == "global":
-        part, same, adjacency = [], [subject, speaker], True
+        part, same = [], [subject, speaker]
     else:
-        part, same, adjacency = [subject], [subject, speaker], False  # null subject never equal
+        part, same = [subject], [subject, speaker]  # null subject never equal
     carry = [c for c in (subject, speaker) if c not in part]
-    d = d.withColumn("_b", bucket_of(seq, bucket_rows))
+    d = d.withColumn("_b", bucket_of(seq, bucket_width(df, seq, bucket_rows)))
     wb = Window.partitionBy(*part, "_b").orderBy(seq)
     brk = ~_all_equal([F.col(c) for c in same], [F.lag(F.col(c)).over(wb) for c in same])
-    if adjacency:
-        brk = brk | (F.col(seq) - F.lag(F.col(seq)).over(wb) > 1)
     first_in_bucket = F.lag(F.col(seq)).over(wb).isNull()
     d = d.withColumn("_brk", F.when(first_in_bucket, F.lit(0)).otherwise(brk.cast("int")))
     d = d.withColumn("_cum", F.sum("_brk").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
@@ -74,8 +72,6 @@ def merge_turns(df: DataFrame, subject: str = "subject", speaker: str = "speaker
     prev = F.lag("_last").over(wk)
     cont = prev.isNotNull() & _all_equal([F.col("_first._k")[f"k{i}"] for i in range(len(same))],
                                          [prev["_k"][f"k{i}"] for i in range(len(same))])
-    if adjacency:
-        cont = cont & (F.col("_first._fs") - prev["_ls"] == 1)
     bk = bk.withColumn("_c0", cont.cast("int"))
     bk = bk.withColumn("_off", F.coalesce(F.sum(F.col("_mx") + 1 - F.col("_c0")).over(before), F.lit(0)))
     last_start = F.when((F.col("_mx") > 0) | (F.col("_c0") == 0),

@@ -7,61 +7,67 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+#: Terms summed by one inner loop; the loops' arrays have a fixed size, or one entry per such loop.
+CHUNK = 4096
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _log_factorial_stirling(m: Column) -> Column:
-    """ln(m!) by the Stirling series of ln Gamma(m+1); used only for m > 1e5."""
-    z = m.cast("double") + F.lit(1.0)
-    return ((z - F.lit(0.5)) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi))
-            + F.lit(1.0) / (F.lit(12.0) * z) - F.lit(1.0) / (F.lit(360.0) * F.pow(z, 3))
-            + F.lit(1.0) / (F.lit(1260.0) * F.pow(z, 5)))
-
-
-def mcnemar_exact(b, c, exact_terms: int = 100_000, max_window: int = 4_000_000) -> Column:
-    """Exact (binomial) McNemar p-value for discordant counts b, c.
-
-    p = min(1, 2 * P[X <= min(b, c)]), X ~ Binomial(b + c, 1/2); b = c = 0 gives 1.
-    The lower tail is summed downward from k = min(b, c) with the term ratio
-    i / (n - i + 1) in a bounded window (terms beyond 40 sqrt(n) steps are below
-    double precision), and ln C(n, k) is an exact log-sum for k <= ``exact_terms``
-    and the Stirling series above. Per-row work is O(min(k, 40 sqrt(n),
-    max_window)); the cap only binds above n = 1e10 discordant pairs, where the
-    dropped tail is below exp(-2 max_window^2 / n) of the sum (< 1e-13 up to
-    n = 1e12).
-    """
-    n = (_c(b) + _c(c)).cast("bigint")
-    k = F.least(_c(b), _c(c)).cast("bigint")
-    log_choose_exact = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), k), F.lit(0.0),
-        lambda acc, j: acc + F.log((n - k + j).cast("double")) - F.log(j.cast("double")))
-    log_choose_big = (_log_factorial_stirling(n) - _log_factorial_stirling(k)
-                      - _log_factorial_stirling(n - k))
-    log_choose = F.when(k == 0, F.lit(0.0)) \
-        .when(k <= F.lit(exact_terms), log_choose_exact).otherwise(log_choose_big)
-    window = F.least(k, (F.ceil(F.lit(40.0) * F.sqrt(n.cast("double"))) + F.lit(100)).cast("bigint"),
-                     F.lit(max_window).cast("bigint"))
-    init = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s"))
-    series = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), window), init,
-        lambda acc, j: F.struct(
-            (acc["r"] * (k - j + 1).cast("double") / (n - k + j).cast("double")).alias("r"),
-            (acc["s"] + acc["r"] * (k - j + 1).cast("double") / (n - k + j).cast("double")).alias("s")),
-        lambda acc: acc["s"])
-    tail_sum = F.when(k == 0, F.lit(1.0)).otherwise(series)
-    log_tail = log_choose - n.cast("double") * F.lit(math.log(2.0)) + F.log(tail_sum)
-    return F.least(F.lit(1.0), F.lit(2.0) * F.exp(log_tail))
+def _stirling_rest(m: Column) -> Column:
+    """ln(m!) - ((m + 1/2) ln m - m + ln(2 pi) / 2) for m >= 1: exact values up to 15, then the series."""
+    small = [math.lgamma(i + 1) - ((i + 0.5) * math.log(i) - i + 0.5 * math.log(2 * math.pi)) for i in range(1, 16)]
+    x = m.cast("double")
+    y = F.lit(1.0) / (x * x)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y * (1 / 1188))))) / x
+    return F.when(m <= 15, F.element_at(F.array(*map(F.lit, small)), F.greatest(F.lit(1), F.least(F.lit(15), m)).cast("int"))
+                  ).otherwise(series)
 
 
-def bonferroni(p, partition_by) -> Column:
-    """min(1, p * m) with m = number of tests in the partition (one comparison)."""
-    cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*cols))
-    return F.least(F.lit(1.0), _c(p) * m)
+def _deviance(d: Column) -> Column:
+    """(1 - d) ln(1 - d) + (1 + d) ln(1 + d) for 0 <= d < 1, without cancellation near 0."""
+    s = d * d
+    near = F.lit(0.0)
+    for j in range(12, 0, -1):
+        near = F.lit(1.0 / (j * (2 * j - 1))) + s * near
+    return F.when(d < 0.1, s * near).otherwise((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+
+
+def mcnemar_exact(b, c) -> Column:
+    """Exact (binomial) McNemar p-value for discordant counts b, c; null where one is null.
 
+    p = min(1, 2 P[X <= k]), k = min(b, c), X ~ Binomial(n = b + c, 1/2). By symmetry it is 1 where
+    b and c differ by one at most. ln P[X = k] is in deviance form, whose parts do not cancel,
+    and the tail below k is the sum of the ratios i / (n - i + 1) downward from k until terms
+    no longer change a double: after j steps a term is below exp(-j^2 / n), so 40 sqrt(n)
+    steps hold all that is not 0, and summing ends sooner once terms are below 1e-18 of the
+    sum. Work per row is O(min(k, sqrt(n))); no array holds more than CHUNK entries or one
+    for each chunk."""
+    b, c = _c(b).cast("bigint"), _c(c).cast("bigint")
+    n, k = b + c, F.least(b, c)
+    d = F.abs(b - c).cast("double") / n
+    log_pmf = F.when(k == 0, -n * F.lit(math.log(2.0))).otherwise(
+        _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - n.cast("double") / 2 * _deviance(d)
+        - F.lit(0.5) * (F.lit(math.log(2 * math.pi)) + F.log(k.cast("double")) + F.log1p(-k.cast("double") / n)))
+    steps = F.least(k, (F.ceil(F.lit(40.0) * F.sqrt(n.cast("double"))) + F.lit(100)).cast("bigint"))
+    inner = F.sequence(F.lit(1).cast("bigint"), F.lit(CHUNK).cast("bigint"))
 
-def sem_pop(col) -> Column:
-    """Standard error of the mean with ddof=0: stddev_pop / sqrt(n)."""
-    return F.stddev_pop(_c(col)) / F.sqrt(F.count(_c(col)).cast("double"))
+    def chunk(acc: Column, i: Column) -> Column:
+        def term(a: Column, j: Column) -> Column:
+            at = i * CHUNK + j
+            r = a["r"] * F.greatest(k - at + 1, F.lit(0)).cast("double") / (n - k + at).cast("double")
+            return F.struct(r.alias("r"), (a["s"] + r).alias("s"))
+        return F.when(acc["r"] <= acc["s"] * 1e-18, acc).otherwise(F.aggregate(inner, acc, term))
+
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.floor(steps / CHUNK).cast("bigint")),
+                       F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s")), chunk, lambda acc: acc["s"])
+    return F.when(b.isNull() | c.isNull(), F.lit(None).cast("double")).when(F.abs(b - c) <= 1, F.lit(1.0)).otherwise(
+        F.least(F.lit(1.0), F.lit(2.0) * F.exp(log_pmf + F.log(tail))))
+
+
+def bonferroni(p, partition_by) -> Column:
+    """min(1, p * m) with m = number of tests (p not null) in the partition; null p stays null."""
+    cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    m = F.count(_c(p)).over(Window.partitionBy(*cols))
+    return F.when(_c(p).isNotNull(), F.least(F.lit(1.0), _c(p) * m))

@@ -128,7 +128,7 @@ def slug(name) -> Column:
 
 def p_display(p_adj) -> Column:
     return F.when(_c(p_adj) < F.lit(1e-4), F.lit("P < 0.0001")) \
-        .otherwise(F.format_string("P = %.4f", _c(p_adj)))
+        .when(_c(p_adj).isNotNull(), F.format_string("P = %.4f", _c(p_adj)))
 
 
 def side_name(name, side: int) -> Column:

@@ -37,22 +37,25 @@ def _text(event_type, event_id, props) -> F.Column:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gapped ``seq``; no subject for every 53rd user."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.concat(F.lit("MC_"), F.col("user_id").cast("string")).alias("subject"),
+        F.when(F.col("user_id") % 53 != 0, F.concat(F.lit("MC_"), F.col("user_id").cast("string"))).alias("subject"),
         _speaker(F.col("event_type")).alias("speaker"),
         _text(F.col("event_type"), F.col("event_id"), F.col("props")).alias("text"),
-        F.col("event_id").alias("seq"))
+        (F.col("event_id") + 5 * F.floor(F.col("event_id") / 7)).alias("seq"))
 
 
 def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No subject for every 53rd user, no topic for every 47th event."""
     e = table(spark, sf_dir, "events")
     subject = F.concat(F.lit("MC_"), F.col("user_id").cast("string"),
                        F.when(F.col("user_id") % 3 == 0, F.lit("_Syn")).otherwise(F.lit("")))
     score = F.when(F.col("event_type") == "signup", F.lit(None).cast("double")) \
         .otherwise((F.floor("value").cast("bigint") % 7).cast("double"))
     return e.select(
-        subject.alias("subject"), _topic(F.col("event_id")).alias("topic"),
+        F.when(F.col("user_id") % 53 != 0, subject).alias("subject"),
+        F.when(F.col("event_id") % 47 != 0, _topic(F.col("event_id"))).alias("topic"),
         _speaker(F.col("event_type")).alias("speaker"),
         _text(F.col("event_type"), F.col("event_id"), F.col("props")).alias("text"),
         score.alias("score"), F.col("event_id").alias("seq"))
@@ -105,15 +108,6 @@ def regression_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text"), label.cast("int").alias("label"))
 
 
-def bench_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(
-        F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-        F.concat(F.lit("T"), (F.col("l_suppkey") % 10).cast("string")).alias("topic"),
-        (F.col("l_linenumber") - 1).cast("int").alias("label"),
-        (F.col("l_discount") * F.lit(60.0)).alias("pred"))
-
-
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recording paths built from document ids (one per document)."""
     d = table(spark, sf_dir, "documents")
@@ -154,11 +148,12 @@ _TEXT_SQL = ("CASE event_type WHEN 'error' THEN 'Vielen Dank' WHEN 'signup' THEN
              "ELSE event_type || ' ' || CAST(event_id AS VARCHAR) END")
 
 SQL = {
-    "turns": f"""SELECT 'MC_' || CAST(user_id AS VARCHAR) AS subject, {_SPEAKER_SQL} AS speaker,
-        {_TEXT_SQL} AS text, event_id AS seq FROM events""",
-    "scored_turns": f"""SELECT 'MC_' || CAST(user_id AS VARCHAR)
-            || CASE WHEN user_id % 3 = 0 THEN '_Syn' ELSE '' END AS subject,
-        {_TOPIC_SQL} AS topic, {_SPEAKER_SQL} AS speaker, {_TEXT_SQL} AS text,
+    "turns": f"""SELECT CASE WHEN user_id % 53 <> 0 THEN 'MC_' || CAST(user_id AS VARCHAR) END AS subject, {_SPEAKER_SQL} AS speaker,
+        {_TEXT_SQL} AS text, event_id + 5 * (event_id // 7) AS seq FROM events""",
+    "dense_turns": """SELECT subject, speaker, text, row_number() OVER (ORDER BY seq) - 1 AS seq FROM turns""",
+    "scored_turns": f"""SELECT CASE WHEN user_id % 53 <> 0 THEN 'MC_' || CAST(user_id AS VARCHAR)
+            || CASE WHEN user_id % 3 = 0 THEN '_Syn' ELSE '' END END AS subject,
+        CASE WHEN event_id % 47 <> 0 THEN {_TOPIC_SQL} END AS topic, {_SPEAKER_SQL} AS speaker, {_TEXT_SQL} AS text,
         CASE WHEN event_type = 'signup' THEN NULL
              ELSE CAST(CAST(floor(value) AS BIGINT) % 7 AS DOUBLE) END AS score,
         event_id AS seq FROM events""",
@@ -177,9 +172,6 @@ SQL = {
     "regression_docs": """SELECT doc_id AS example_id, lang AS topic, text,
         CAST(greatest(0, least(6, CAST(floor(ln(CAST(n_chars AS DOUBLE))) AS INTEGER) - 4)) AS INTEGER)
           AS label FROM documents""",
-    "bench_predictions": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-        'T' || CAST(l_suppkey % 10 AS VARCHAR) AS topic, CAST(l_linenumber - 1 AS INTEGER) AS label,
-        l_discount * 60e0 AS pred FROM lineitem""",
     "manifest": """SELECT doc_id, 'Video/MC_1' || CAST(doc_id AS VARCHAR) || '/MC_1' || CAST(doc_id AS VARCHAR)
         || '_MADRS.mp4' AS path FROM documents""",
     "ledger": """SELECT 'MC_1' || CAST(doc_id AS VARCHAR) AS subject FROM documents WHERE doc_id % 3 = 0""",
@@ -189,7 +181,7 @@ SQL = {
 }
 
 # Which fixture CTEs a fixture depends on (emitted in this order).
-_DEPS = {"predictions": ["predictions_wide"]}
+_DEPS = {"predictions": ["predictions_wide"], "dense_turns": ["turns"]}
 
 
 def with_views(*names: str) -> str:

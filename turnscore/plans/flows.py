@@ -113,7 +113,8 @@ def evaluate(spark: SparkSession, predictions: DataFrame, out_dir: str) -> None:
     W.write_table(folds, f"{out_dir}/fold_metrics")
     summary = M.cross_fold(folds, ["model", "topic"])
     W.write_table(summary, f"{out_dir}/cross_fold_summary")
-    W.write_lines(RP.fold_summary_lines(summary).orderBy("model", "topic", "metric"), f"{out_dir}/summary_lines")
+    RP.fold_summary_lines(summary).orderBy("model", "topic", "line_no").select("model", F.col("line").alias("value")) \
+        .write.mode("overwrite").partitionBy("model").text(f"{out_dir}/summary_lines")
     W.write_predictions(preds, f"{out_dir}/predictions")
     dense = CF.confusion(preds, S.topic_dim(spark))
     W.write_confusion_docs(CF.confusion_document(dense), f"{out_dir}/confusion_docs")
@@ -125,6 +126,8 @@ def mean_baseline(spark: SparkSession, examples_path: str, out_dir: str) -> None
     ex = _labelled_examples(spark, examples_path)
     W.write_table(M.mean_baseline_topic(ex), f"{out_dir}/baseline_topic")
     W.write_table(M.mean_baseline_overall(ex), f"{out_dir}/baseline_overall")
+    lines = RP.baseline_lines(spark.read.parquet(f"{out_dir}/baseline_topic"), spark.read.parquet(f"{out_dir}/baseline_overall"))
+    W.write_lines(lines.orderBy("line_no"), f"{out_dir}/baseline_lines")
 
 
 def cross_validate(spark: SparkSession, examples_path: str, out_dir: str, k: int = S.N_FOLDS,

@@ -14,7 +14,7 @@ from turnscore.llm.common import ship
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; bounds the memory of a kernel call.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 ALNUM = np.zeros(256, bool)  # [^\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing A-Z
 for _a, _b in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):

@@ -6,12 +6,12 @@ import sys
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscore.session import materialize
 
-__all__ = ["materialize", "read_table", "ship", "text_or_empty", "hash_bitmap", "connected_components"]
+__all__ = ["materialize", "read_table", "ship", "text_or_empty", "hash_bitmap", "split_likely", "connected_components"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,20 @@ def hash_bitmap(df: DataFrame, col: str, bits: int) -> np.ndarray:
     return out
 
 
+def split_likely(docs: DataFrame, key: Column, wanted: DataFrame, wanted_col: str, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` may be in ``wanted``, rows whose key is surely not), so that only the first
+    need a join that shuffles them. The bitmap in between has bits / 2**15 rows of 4 KB, whatever the data."""
+    p = F.pmod(F.col(wanted_col), F.lit(bits)) + 1
+    rows = materialize(wanted.select(p.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bm_bucket"))
+                       .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bm_bits")), "bitmap")
+    place = F.pmod(key, F.lit(bits))
+    byte = F.conv(F.hex(F.substr("_bm_bits", (F.floor(place % 32768 / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")), F.lit(0)) == 1
+    marked = docs.join(F.broadcast(rows), F.floor(place / 32768) + 1 == F.col("_bm_bucket"), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(hit).select(*columns), marked.where(~hit).select(*columns)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``.
 

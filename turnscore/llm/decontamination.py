@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import kernels
-from turnscore.llm.common import hash_bitmap, materialize, ship, text_or_empty
+from turnscore.llm.common import hash_bitmap, materialize, ship, split_likely, text_or_empty
 
 WINDOW, SUBSTITUTED = 13, 2
 #: 1 is a word that counts, 0 one that may differ; lossless for WINDOW and SUBSTITUTED (see tests).
@@ -144,7 +144,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     bad = materialize(leaks(docs, benchmark, id_col, text_col, **options), "leaks")
     bad = bad.select(F.col(id_col).alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
     hashed = F.xxhash64(text_or_empty(text_col))
-    return docs.join(bad, (hashed == F.col("_leak_hash")) & F.col(id_col).eqNullSafe(F.col("_leak_id")), "left_anti")
+    some, rest = split_likely(docs, hashed, bad, "_leak_hash")
+    return rest.unionByName(some.join(bad, (hashed == F.col("_leak_hash")) & F.col(id_col).eqNullSafe(F.col("_leak_id")), "left_anti"))
 
 
 ship(__name__)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnscore.llm.common import materialize, text_or_empty
+from turnscore.llm.common import materialize, split_likely, text_or_empty
 
 MIN_LINES = 3
 MIN_CHARS = 200
@@ -92,7 +92,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     spans = materialize(deleted_spans(own, min_lines, min_chars), "spans").select(
         F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th"), F.col("n_deleted").alias("_ld_n"), F.col("spans").alias("_ld_spans"))
-    both = docs.join(spans, (F.xxhash64(text) == F.col("_ld_th")) & F.col(id_col).eqNullSafe(F.col("_ld_id")), "left")
+    some, rest = split_likely(docs, F.xxhash64(text), spans, "_ld_th")
+    both = (some.join(spans, (F.xxhash64(text) == F.col("_ld_th")) & F.col(id_col).eqNullSafe(F.col("_ld_id")), "left")
+            .unionByName(rest, allowMissingColumns=True))
     lines = F.split(text, "\n", -1)
     begin = F.concat(F.array(F.lit(0)), F.transform("_ld_spans", lambda s: s.end + 1))
     stop = F.concat(F.transform("_ld_spans", lambda s: s.start), F.array(F.size(lines)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import kernels
-from turnscore.llm.common import connected_components, hash_bitmap, materialize, ship, text_or_empty
+from turnscore.llm.common import connected_components, hash_bitmap, materialize, ship, split_likely, text_or_empty
 
 #: Shingles of a cluster that are searched in one task; larger clusters are cut into blocks.
 CLUSTER_SHINGLES = 1 << 23
@@ -338,11 +338,10 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     twice = materialize(grouped.join(best, "root").where(order == F.col("best")).groupBy("id", "th").count().where("count > 1")
                         .select(F.col("id").alias("_nj_id"), F.col("th").alias("_nj_th")), "twice")
     same = (F.xxhash64(text_or_empty(text_col)) == F.col("_nj_th")) & F.col(id_col).eqNullSafe(F.col("_nj_id"))
-    kept = docs.join(lost, same, "left_anti")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, same, "left_anti").unionByName(
-        kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    some, rest = split_likely(docs, F.xxhash64(text_or_empty(text_col)), lost.unionByName(twice), "_nj_th")
+    some = some.join(lost, same, "left_anti")
+    return rest.unionByName(some.join(twice, same, "left_anti")).unionByName(
+        some.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 ship(__name__)

@@ -55,7 +55,7 @@ def test_similarity_and_register_flows(spark):
         os.makedirs(f"{d}/video/{code}")
         open(f"{d}/video/{code}/{code}_MADRS.mp4", "wb").write(b"x")
     spark.createDataFrame([("MC_1001",)], "subject STRING").withColumn("processed_at", F.current_timestamp()) \
-        .write.parquet(f"{d}/ledger")
+        .write.parquet(f"{d}/ledger/batch_id=-1")
     new = flows.register_recordings(spark, f"{d}/video", f"{d}/ledger", f"{d}/manifest")
     assert [r.subject for r in new.collect()] == ["MC_1002"]
     again = flows.register_recordings(spark, f"{d}/video", f"{d}/ledger", f"{d}/manifest")
@@ -79,6 +79,19 @@ def test_register_stream_and_text_map(spark):
     flows.register_recordings_stream(spark, *args)
     assert spark.read.parquet(f"{d}/manifest").select("subject").distinct().count() == 3
 
+    # batch and stream share one ledger and one manifest, in either order
+    for code in ("MC_1004", "MC_1005"):
+        os.makedirs(f"{d}/video/{code}")
+        open(f"{d}/video/{code}/{code}_MADRS.mp4", "wb").write(b"x")
+        if code == "MC_1004":
+            assert [r.subject for r in flows.register_recordings(spark, *args[:3]).collect()] == ["MC_1004"]
+    flows.register_recordings_stream(spark, *args)
+    assert flows.register_recordings(spark, *args[:3]).count() == 0
+    for table in ("ledger", "manifest"):
+        rows = spark.read.parquet(f"{d}/{table}").collect()
+        assert sorted(r.subject for r in rows) == [f"MC_100{i}" for i in range(1, 6)]
+        assert [r.batch_id for r in rows if r.subject == "MC_1004"] == [-1] and all(r.batch_id >= 0 for r in rows if r.subject != "MC_1004")
+
     X.turns(spark, SF001).write.parquet(f"{d}/turns")
 
     def load():

@@ -51,14 +51,55 @@ def test_batch_replay_is_idempotent(spark):
     assert spark.read.parquet(ledger).select("subject").distinct().count() == 2
 
 
-def test_merge_touched(spark):
+def test_merge_stream_touches_only_the_buckets_of_a_batch(spark):
     base = _scratch()
-    turns = spark.createDataFrame([("A", "0", "x", 0), ("A", "0", "y", 1), ("B", "1", "z", 0)],
-                                  "subject STRING, speaker STRING, text STRING, seq LONG")
-    turns.write.parquet(f"{base}/turns")
-    IN.merge_touched(f"{base}/turns", f"{base}/merged", spark, turns.select("subject"))
-    got = sorted((r.subject, r.text) for r in spark.read.parquet(f"{base}/merged").collect())
-    assert got == [("A", "x y"), ("B", "z")]
+    schema = "subject STRING, speaker STRING, text STRING, seq LONG"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/src")
+        IN.merge_stream(stream, f"{base}/turns", f"{base}/merged", f"{base}/ckpt", bucket_count=64).awaitTermination()
+        return sorted((r.subject, r.text) for r in spark.read.parquet(f"{base}/merged").collect())
+
+    def files():
+        return {f for d, _, names in os.walk(f"{base}/merged") for f in names if f.startswith("part-")}
+    assert arrive([("A", "0", "x", 0), ("A", "0", "y", 1), ("B", "1", "z", 0)]) == [("A", "x y"), ("B", "z")]
+    before = files()
+    assert arrive([("A", "0", "w", 2), ("C", "0", "c", 0)]) == [("A", "x y w"), ("B", "z"), ("C", "c")]
+    assert len(before & files()) == 1  # the file of B
+
+
+def test_ledger_of_batch_and_stream_is_one(spark):
+    base = _scratch()
+    fn = IN.ledger_batch_writer(f"{base}/ledger", f"{base}/data")
+    fn(spark.createDataFrame([("A", 1)], "subject STRING, seq LONG"), 0)
+    W.append_rows(spark.createDataFrame([("B",)], "subject STRING").withColumn("processed_at", F.current_timestamp()), f"{base}/ledger")
+    fn(spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "subject STRING, seq LONG"), 1)
+    assert sorted((r.subject, r.batch_id) for r in R.read_ledger(spark, f"{base}/ledger").collect()) == [("A", 0), ("B", -1), ("C", 1)]
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from turnscore import session
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Cluster)
+
+
+def test_release_deletes_the_files(spark):
+    from turnscore.session import materialize, release
+    df = materialize(spark.range(5), "gone")
+    path = df._shared_path.replace("file:", "")
+    assert df.count() == 5 and os.path.isdir(path)
+    release(df)
+    assert not os.path.exists(path)
 
 
 def test_source_order_seq(spark):

@@ -121,8 +121,9 @@ def test_merge_by_subject_null_subject_rows_stay_apart(spark, bucket_rows):
     assert got == [("", "a"), ("", "b"), ("A", "c d")]
 
 
-@pytest.mark.parametrize("bin_ms", [None, 7, 1000])
-def test_align_segments_matches_brute_force(spark, bin_ms):
+@pytest.mark.parametrize("longest", [900, 86_400_000])
+def test_align_segments_matches_brute_force(spark, longest):
+    """Also with one interval of a day among tiny ones, on either side."""
     rng = random.Random(3)
     segs, turns = [], []
     for i in range(150):
@@ -131,8 +132,9 @@ def test_align_segments_matches_brute_force(spark, bin_ms):
         segs.append((i, subj, a, a + rng.choice([1, 2, 5, 40, 400])))
         b = rng.randrange(0, 5000)
         turns.append((i, subj, b, b + rng.choice([1, 3, 30, 900])))
+    segs.append((150, "A", 0, longest)), turns.append((150, "B", 1, longest)), turns.append((151, "A", 3, 3))
     schema = "id LONG, subject STRING, start_ms LONG, end_ms LONG"
-    got = TU.align_segments(spark.createDataFrame(turns, schema), spark.createDataFrame(segs, schema), bin_ms=bin_ms)
+    got = TU.align_segments(spark.createDataFrame(turns, schema), spark.createDataFrame(segs, schema))
     got = sorted((r.t_id, r.s_id, r.overlap_ms) for r in got.collect())
     exp = sorted((t[0], s[0], min(t[3], s[3]) - max(t[2], s[2])) for t in turns for s in segs
                  if t[1] == s[1] and max(t[2], s[2]) < min(t[3], s[3]))

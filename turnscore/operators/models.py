@@ -43,8 +43,10 @@ def topic_mean_cv_means(folded: DataFrame, topic: str = "topic", label: str = "l
     """Out-of-fold topic means by subtraction: one aggregation by (fold, topic, label)
     and no per-fold re-scan. Returns (histogram, means per (fold, topic)); a topic
     absent from the training folds gets the global training mean."""
+    from turnscore.session import materialize
     hist = folded.groupBy(F.col(fold).alias("fold"), F.col(topic).alias("topic"),
                           F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
+    hist = materialize(hist, "fold-histogram")  # folds x topics x labels rows, read by several branches
     ft = hist.groupBy("fold", "topic").agg(
         F.sum(F.col("label") * F.col("cnt")).alias("s_ft"), F.sum("cnt").alias("c_ft"))
     by_topic = Window.partitionBy("topic")
@@ -100,14 +102,16 @@ def learning_curve_mean(folded: DataFrame, keys: Sequence[str], topic: str = "to
     means of all k x len(fractions) subsets; the validation fold is scored from
     its (topic, label) histogram. Output: outer_fold (1-based), fraction, topic,
     strict_acc, flexible_acc for the topics of each validation fold."""
+    from turnscore.session import materialize as written
     nf = len(fractions)
     pools = nested_prefix(folded, keys, k, seed, fractions)
-    train = pools.where(F.col("frac_idx").isNotNull()).groupBy(
-        "outer_fold", "frac_idx", F.col(topic).alias("topic")).agg(
-        F.sum(F.col(label).cast("long")).alias("s"), F.count(F.lit(1)).alias("c"))
-    if materialize:  # small (folds x fractions x topics) and read by two branches
-        from turnscore.session import materialize as _m
-        train = _m(train, "curve-train")
+    # the one pass over the pools; folds x fractions x topics x folds x labels rows
+    small = pools.groupBy("outer_fold", "frac_idx", "fold", F.col(topic).alias("topic"), F.col(label).cast("int").alias("label")) \
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    if materialize:
+        small = written(small, "curve-counts")
+    train = small.where(F.col("frac_idx").isNotNull()).groupBy("outer_fold", "frac_idx", "topic").agg(
+        F.sum(F.col("label").cast("long") * F.col("cnt")).alias("s"), F.sum("cnt").alias("c"))
     spine = train.select("outer_fold", "topic").distinct() \
         .withColumn("frac_idx", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))))
     cum_w = Window.partitionBy("outer_fold", "topic").orderBy("frac_idx") \
@@ -117,8 +121,9 @@ def learning_curve_mean(folded: DataFrame, keys: Sequence[str], topic: str = "to
         F.sum(F.coalesce("s", F.lit(0))).over(cum_w).alias("s_t"),
         F.sum(F.coalesce("c", F.lit(0))).over(cum_w).alias("c_t"))
     glob = cum.groupBy("outer_fold", "frac_idx").agg(F.sum("s_t").alias("s_g"), F.sum("c_t").alias("c_g"))
-    val = folded.groupBy(F.col("fold").alias("outer_fold"), F.col(topic).alias("topic"),
-                         F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
+    # every example is in the pool of the fold after its own exactly once
+    val = small.where(F.col("outer_fold") == F.pmod(F.col("fold") + 1, F.lit(k))).groupBy(
+        F.col("fold").alias("outer_fold"), "topic", "label").agg(F.sum("cnt").alias("cnt"))
     val_spine = val.withColumn("frac_idx", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))))
     scored = val_spine.join(cum, ["outer_fold", "frac_idx", "topic"], "left") \
         .join(glob, ["outer_fold", "frac_idx"], "left") \

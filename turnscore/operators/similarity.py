@@ -229,18 +229,20 @@ TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 def term_weights(df: DataFrame, idc: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """Text -> sparse L2-normalised bag-of-words rows (id, keep..., term, w).
 
-    Whole texts are tokenised (lower case, split on non letter/digit runs); the
-    per-document norm is a window over one document's terms only."""
-    keep = list(keep)
-    # one shuffle of the documents by id: the (id, term) counts and the
-    # per-document norm window then run on that partitioning without another
-    docs = df.select(F.col(idc).alias("id"), *keep, F.col(text)).repartition("id")
-    toks = docs.select("id", *keep, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("term")) \
-        .where(F.col("term") != "")
-    tf = toks.groupBy("id", *keep, "term").agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("id")))
-    return tf.withColumn("w", F.col("c") / norm).drop("c")
+    Whole texts are tokenised (lower case, split on non letter/digit runs). Terms are
+    counted inside the row, as runs of its sorted tokens, so no text is shuffled."""
+    # the generator computes the sorted tokens once; plain columns would be put into every use below
+    docs = df.select(F.col(idc).alias("id"), *keep, F.explode(F.array(F.array_sort(F.filter(
+        F.split(F.lower(F.col(text)), TOKEN_SPLIT), lambda t: t != "")))).alias("_t"))
+    size = F.size("_t")
+    docs = docs.where(size > 0).withColumn("_starts", F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (
+        F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1))))))
+    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(size + 1))
+    docs = docs.withColumn("_terms", F.zip_with("_starts", ends, lambda a, b: F.struct(
+        F.element_at("_t", a).alias("term"), (b - a).alias("c"))))
+    norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda s, x: s + x["c"].cast("double") * x["c"]))
+    return docs.withColumn("_norm", norm).select("id", *keep, "_norm", F.explode("_terms").alias("x")) \
+        .select("id", *keep, F.col("x.term").alias("term"), (F.col("x.c") / F.col("_norm")).alias("w"))
 
 
 def cosine_mean_terms(docs: DataFrame, weights: DataFrame, by: Sequence[str] = (),

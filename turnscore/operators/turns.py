@@ -112,39 +112,61 @@ def segments_ms(segments: DataFrame, start: str = "start_s", end: str = "end_s")
     return d.withColumn("segment_key", segment_key("subject", "speaker", "start_ms", "end_ms"))
 
 
+#: Bins of a level are this many times as wide as those of the level below.
+LEVEL_BITS = 3
+
+
 def align_segments(turns: DataFrame, segments: DataFrame, key: str = "subject",
                    t_start: str = "start_ms", t_end: str = "end_ms",
-                   s_start: str = "start_ms", s_end: str = "end_ms",
-                   bin_ms: int | None = None) -> DataFrame:
+                   s_start: str = "start_ms", s_end: str = "end_ms") -> DataFrame:
     """Interval join: each turn with every segment of the same key whose time
     range overlaps it (overlap_ms > 0).
 
-    Both sides are exploded to fixed time bins, so the join is an equi-join on
-    (key, bin), never a theta join. A pair is emitted only in the first bin both
-    share, so overlaps are not duplicated. The bin width defaults to the 90th
-    percentile of segment length (a one-value scalar subquery, at least 1 ms):
-    a typical interval spans one or two bins and a bin holds about one interval
-    per key, so candidate pairs stay proportional to real overlaps even when a
-    key has very many intervals."""
-    if bin_ms is None:
-        q = segments.select(F.percentile_approx(F.col(s_end) - F.col(s_start), 0.9).alias("q")) \
-            .select(F.greatest(F.coalesce(F.col("q"), F.lit(1)), F.lit(1)).cast("bigint").alias("q"))
-        width = q.scalar()
-    else:
-        width = F.lit(int(bin_ms))
-
-    def binned(df, s, e, prefix):
-        cols = [F.col(c).alias(f"{prefix}{c}") for c in df.columns]
-        return df.select(*cols, F.explode(F.sequence(
-            F.floor(F.col(s) / width).cast("bigint"), F.floor(F.col(e) / width).cast("bigint"))).alias("_bin"))
-    t = binned(turns, t_start, t_end, "t_")
-    s = binned(segments, s_start, s_end, "s_")
-    j = t.join(s, (t[f"t_{key}"] == s[f"s_{key}"]) & (t["_bin"] == s["_bin"]))
-    lo = F.greatest(F.col(f"t_{t_start}"), F.col(f"s_{s_start}"))
-    hi = F.least(F.col(f"t_{t_end}"), F.col(f"s_{s_end}"))
-    first_shared = F.greatest(F.floor(F.col(f"t_{t_start}") / width), F.floor(F.col(f"s_{s_start}") / width))
-    return j.where((lo < hi) & (t["_bin"] == first_shared)) \
-        .drop("_bin").withColumn("overlap_ms", hi - lo)
+    Levels of bins, each 8 times as wide as the one below: an interval lives on the
+    lowest level whose bins are at least as long as itself, where it touches two bins
+    at most. It is matched there with the other side's intervals of that level and of
+    the levels below, which look up their bins (again two at most) on every level
+    above their own. So the joins are equi-joins on (key, level, bin), the rows of one
+    interval are bounded by the number of levels (about log8 of the longest interval)
+    whatever its length, and AQE splits a hot bin. A pair is emitted only in the first
+    bin both share."""
+    def width(level):
+        return F.pow(F.lit(2.0), level * LEVEL_BITS).cast("bigint")
+
+    def levelled(df, s, e, prefix):
+        size = F.greatest(F.col(e) - F.col(s), F.lit(1))
+        level = F.ceil(F.log2(size.cast("double")) / LEVEL_BITS).cast("int")
+        level = F.when(width(level) < size, level + 1).otherwise(level)
+        return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns], level.alias(f"{prefix}level"))
+
+    def bins(df, prefix, s, e, level):
+        w = width(level)
+        return F.sequence(F.floor(F.col(f"{prefix}{s}") / w).cast("bigint"), F.floor(F.col(f"{prefix}{e}") / w).cast("bigint"))
+
+    def at_home(df, prefix, s, e):
+        return df.withColumn("_level", F.col(f"{prefix}level")).withColumn("_bin", F.explode(bins(df, prefix, s, e, F.col("_level"))))
+
+    def look_up(df, prefix, s, e, top, above):
+        first = F.col(f"{prefix}level") + above
+        df = df.where(first <= top).withColumn("_level", F.explode(F.sequence(first, top)))
+        return df.withColumn("_bin", F.explode(bins(df, prefix, s, e, F.col("_level"))))
+
+    t, s = levelled(turns, t_start, t_end, "t_"), levelled(segments, s_start, s_end, "s_")
+    t_top, s_top = t.select(F.coalesce(F.max("t_level"), F.lit(-1))).scalar(), s.select(F.coalesce(F.max("s_level"), F.lit(-1))).scalar()
+
+    def joined(a, b):
+        j = a.alias("a").join(b.alias("b"), (F.col(f"t_{key}") == F.col(f"s_{key}")) & (F.col("a._level") == F.col("b._level"))
+                              & (F.col("a._bin") == F.col("b._bin")))
+        w = width(F.col("a._level"))
+        first_shared = F.greatest(F.floor(F.col(f"t_{t_start}") / w), F.floor(F.col(f"s_{s_start}") / w))
+        lo = F.greatest(F.col(f"t_{t_start}"), F.col(f"s_{s_start}"))
+        hi = F.least(F.col(f"t_{t_end}"), F.col(f"s_{s_end}"))
+        return j.where((lo < hi) & (F.col("a._bin") == first_shared)).select(
+            *[f"t_{c}" for c in turns.columns], *[f"s_{c}" for c in segments.columns], (hi - lo).alias("overlap_ms"))
+
+    longer_segments = joined(look_up(t, "t_", t_start, t_end, s_top, 0), at_home(s, "s_", s_start, s_end))
+    longer_turns = joined(at_home(t, "t_", t_start, t_end), look_up(s, "s_", s_start, s_end, t_top, 1))
+    return longer_segments.unionByName(longer_turns)
 
 
 __all__ = ["clean_turns", "merge_turns", "segments_ms", "align_segments"]

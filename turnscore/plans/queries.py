@@ -78,17 +78,22 @@ register("mean_baseline_overall", "AG8", round_sql(
 # ------------------------------------------------------- ranks, folds, subsets
 
 
-def _folded_wide(spark: SparkSession, sf: str, reused: bool = True) -> DataFrame:
+def _folded_wide(spark: SparkSession, sf: str, reused: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
     """Fold assignment. When several branches of a plan read it (``reused``), it is
     computed once and written to the shared checkpoint folder; a single reader
     keeps it in the plan."""
     folded = SA.kfold(X.predictions_wide(spark, sf), ["example_id"])
+    if columns:
+        folded = SA.kfold(X.predictions_wide(spark, sf).select(*columns), ["example_id"])
     if not reused:
         return folded
     from turnscore.session import materialize
     return materialize(folded, "folds")
 
 
+KEYED = ("example_id", "topic", "label")
+
+
 def _fold_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Two models' predictions tagged with the example's fold (folds assigned
     before the model explode, so no join)."""
@@ -177,7 +182,7 @@ def _nested_prefix(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT fold, 'ALL' AS topic, CAST(NULL AS DOUBLE) AS train_mean, {METRICS_SQL} FROM pr GROUP BY fold""",
     ["train_mean", *METRIC_COLS]))
 def _topic_mean_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(ML.topic_mean_cv(_folded_wide(spark, sf)))
+    return round_doubles(ML.topic_mean_cv(_folded_wide(spark, sf, False, KEYED)))
 
 
 _FRAC_VALUES = ", ".join(f"({i}, CAST({f!r} AS DOUBLE))" for i, f in enumerate(S.FRACTIONS))
@@ -195,10 +200,11 @@ CURVE_SQL = POOL_SQL + f""", fr AS (SELECT * FROM (VALUES {_FRAC_VALUES}) t(frac
 """
 
 
-@register("learning_curve_mean", "ML7 AG14 PR19", round_sql(CURVE_SQL + "SELECT * FROM curve",
+@register("learning_curve_mean", "ML7 AG14 PR19", round_sql(CURVE_SQL + "SELECT *, CAST(CAST(trunc(fraction * 1e2) AS INTEGER) AS VARCHAR) || '%' AS fraction_label FROM curve",
                                                            ["fraction", "strict_acc", "flexible_acc"]))
 def _learning_curve_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(ML.learning_curve_mean(_folded_wide(spark, sf), ["example_id"]))
+    curve = ML.learning_curve_mean(_folded_wide(spark, sf, False, KEYED), ["example_id"])
+    return round_doubles(curve.withColumn("fraction_label", TX.fraction_label(F.col("fraction"))))
 
 
 @register("learning_curve_agg", "AG18 ST3 UD2", round_sql(CURVE_SQL + """SELECT fraction, topic,
@@ -207,7 +213,7 @@ def _learning_curve_mean(spark: SparkSession, sf: str) -> DataFrame:
     stddev_pop(flexible_acc) / sqrt(count(flexible_acc)) AS flexible_sem FROM curve GROUP BY fraction, topic""",
     ["fraction", "strict_acc", "flexible_acc", "strict_sem", "flexible_sem"]))
 def _learning_curve_agg(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(ML.learning_curve_agg(ML.learning_curve_mean(_folded_wide(spark, sf), ["example_id"])))
+    return round_doubles(ML.learning_curve_agg(ML.learning_curve_mean(_folded_wide(spark, sf, False, KEYED), ["example_id"])))
 
 
 # ------------------------------------------------------- turns and dialogues
@@ -624,26 +630,38 @@ def _segment_align(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(F.col("t_id").alias("turn_id"), F.col("s_id").alias("segment_id"), "overlap_ms")
 
 
-@register("ingest_ledger", "SS1 SS2 SK7 SK8", X.with_views("manifest") + """SELECT DISTINCT
+def _two_batches(spark: SparkSession, first: DataFrame, second: DataFrame, start) -> None:
+    """Two runs of one query on a growing folder: the first files, then the second ones."""
+    path = shared_path(spark, "arrivals")
+    for part in (first, second):
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(part.schema).parquet(path)).awaitTermination()
+
+
+@register("ingest_ledger", "SS1 SK8 SC8 FI2", X.with_views("manifest", "ledger") + """, m AS (SELECT doc_id, path,
     split_part(regexp_extract(path, '[^/]+$'), '_', 1) || '_' || split_part(regexp_extract(path, '[^/]+$'), '_', 2)
-    AS subject FROM manifest""")
+    AS subject FROM manifest)
+    SELECT path, subject, CAST(doc_id % 2 AS INTEGER) AS batch_id FROM m
+    WHERE subject NOT IN (SELECT subject FROM ledger)""")
 def _ingest_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Stream the documents table through the ledgered ingest (availableNow) with a
-    ledger pre-seeded by the fixture's processed subjects; returns the final ledger."""
-    from turnscore.session import shared_path
+    """Recordings of even documents arrive first, then those of all documents; the ledger already
+    has the fixture's subjects from a batch registration. Returns what the sink got, and when."""
     base = shared_path(spark, "ingest")
-    ledger_path, sink, ckpt = f"{base}/ledger", f"{base}/data", f"{base}/checkpoint"
-    X.ledger(spark, sf).withColumn("processed_at", F.current_timestamp()) \
-        .write.mode("overwrite").parquet(f"{ledger_path}/batch_id=-1")
-    docs_schema = X.table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(docs_schema).option("pathGlobFilter", "documents.parquet") \
-        .option("maxFilesPerTrigger", 1).parquet(sf)
-    code = F.concat(F.lit("MC_1"), F.col("doc_id").cast("string"))
-    rows = stream.select(F.concat(F.lit("Video/"), code, F.lit("/"), code, F.lit("_MADRS.mp4")).alias("path")) \
-        .withColumn("subject", TX.subject_key(F.col("path")))
-    q = IN.ingest_stream(rows, ledger_path, sink, ckpt)
-    q.awaitTermination()
-    return spark.read.parquet(ledger_path).select("subject").distinct()
+    WR.append_rows(X.ledger(spark, sf).withColumn("processed_at", F.current_timestamp()), f"{base}/ledger")
+    rows = X.manifest(spark, sf).withColumn("subject", TX.subject_key(F.col("path")))
+    _two_batches(spark, rows.where("doc_id % 2 = 0").select("path", "subject"), rows.select("path", "subject"),
+                 lambda s: IN.ingest_stream(s, f"{base}/ledger", f"{base}/data", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/data").select("path", "subject", F.col("batch_id").cast("int").alias("batch_id"))
+
+
+@register("merged_turns_stream", "SS2 SK7 AG1")
+def _merged_turns_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations arrive in two batches; after each the touched subjects are merged anew."""
+    base = shared_path(spark, "turn-store")
+    turns = X.conversation_turns(spark, sf)
+    _two_batches(spark, turns.where("seq < 3"), turns.where("seq >= 3"),
+                 lambda s: IN.merge_stream(s, f"{base}/turns", f"{base}/merged", f"{base}/checkpoint", bucket_count=16))
+    return spark.read.parquet(f"{base}/merged").drop("sbucket")
 
 
 # ------------------------------------------------------ models and reports
@@ -731,7 +749,7 @@ def _predictions_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @register("learning_curve_csv_roundtrip", "SK6 SC6")
 def _learning_curve_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "curve-csv")
-    WR.write_table(ML.learning_curve_mean(_folded_wide(spark, sf), ["example_id"]), path, fmt="csv")
+    WR.write_table(ML.learning_curve_mean(_folded_wide(spark, sf, False, KEYED), ["example_id"]), path, fmt="csv")
     return round_doubles(ML.learning_curve_agg(RD.read_learning_curve(spark, path)))
 
 
@@ -756,6 +774,7 @@ _R["examples_jsonl_roundtrip"].sql = DIALOGUE_SQL + f"""SELECT
 _R["confusion_doc_roundtrip"].sql = _R["confusion_matrices"].sql
 _R["predictions_roundtrip"].sql = _R["eval_by_topic"].sql
 _R["learning_curve_csv_roundtrip"].sql = _R["learning_curve_agg"].sql
+_R["merged_turns_stream"].sql = _R["merge_turns_by_subject"].sql
 _R["turns_csv_roundtrip"].sql = _merge_sql("dense_turns", True)
 
 

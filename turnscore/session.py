@@ -40,13 +40,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names shared storage and is used as is. Only
-    when it is unset (local tests) a folder of our own is created and set.
+    when it is unset on a local master (tests) a folder of our own is created
+    and set: elsewhere executors would write to disks of their own.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="turnscore-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
@@ -66,7 +69,18 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(df) -> None:
+    """Delete the files of a ``materialize`` result that nothing reads any more."""
+    path = getattr(df, "_shared_path", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:

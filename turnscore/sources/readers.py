@@ -103,16 +103,15 @@ def media_manifest(spark: SparkSession, root: str, folder_prefix: str = "MC_1",
     ``suffix`` inside a folder starting with ``folder_prefix``. File contents are
     never read (the ``content`` column is pruned from the scan)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", f"*{suffix}").load(root)
-    parent = F.element_at(F.split(F.col("path"), "/"), -2)
+        .option("pathGlobFilter", f"*{suffix}").load(f"{root.rstrip('/')}/{folder_prefix}*")
     return df.select("path", "length", "modificationTime") \
-        .where(parent.startswith(folder_prefix)) \
         .withColumn("file_name", F.element_at(F.split(F.col("path"), "/"), -1)) \
         .withColumn("subject", subject_key(F.col("file_name")))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Processed-subject ledger (SC8); an empty frame when the table does not exist."""
+    """Processed-subject ledger (SC8): subject, processed_at and the ``batch_id`` whose folder holds
+    the row (batch registration writes to one below 0); an empty frame when there is none yet."""
     try:
         return spark.read.schema(S.LEDGER).parquet(path)
     except Exception as exc:  # noqa: BLE001 - a missing path is the first run

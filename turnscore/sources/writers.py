@@ -45,9 +45,13 @@ def write_lines(lines: DataFrame, path: str, col: str = "line", mode: str = "ove
     lines.select(F.col(col).alias("value")).write.mode(mode).text(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """SK7 / SK8: append rows to a table (created on first write)."""
-    df.write.mode("append").parquet(path)
+#: Batch registration's folder among the ``batch_id`` folders that streams write.
+BATCH_FOLDER = -1
+
+
+def append_rows(df: DataFrame, path: str, batch_id: int = BATCH_FOLDER) -> None:
+    """SK7 / SK8: append rows to a table of ``batch_id`` folders (created on first write)."""
+    df.write.mode("append").parquet(f"{path}/batch_id={batch_id}")
 
 
 def save_model(model, path: str) -> None:

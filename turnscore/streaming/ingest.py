@@ -18,9 +18,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from turnscore import schemas as S
 from turnscore.operators.turns import merge_turns
+from turnscore.sources.readers import read_ledger
 
 
 def pending(manifest: DataFrame, ledger: DataFrame, key: str = "subject") -> DataFrame:
@@ -28,26 +29,19 @@ def pending(manifest: DataFrame, ledger: DataFrame, key: str = "subject") -> Dat
     return manifest.join(ledger.select(key).distinct(), key, "left_anti")
 
 
-def _ledger_before(spark: SparkSession, ledger_path: str, batch_id: int) -> DataFrame:
-    try:
-        led = spark.read.parquet(ledger_path)
-    except Exception as exc:  # noqa: BLE001 - first batch: no ledger yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER" in str(exc):
-            return spark.createDataFrame([], "subject STRING")
-        raise
-    return led.where(F.col("batch_id") < batch_id).select("subject")
-
-
 def ledger_batch_writer(ledger_path: str, sink_path: str, key: str = "subject",
                         transform: Callable[[DataFrame], DataFrame] | None = None):
-    """The ``foreachBatch`` function of SS1 (and SS2 when ``transform`` merges)."""
+    """The ``foreachBatch`` function of SS1. ``transform`` keeps the ``key`` column."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = pending(batch, _ledger_before(spark, ledger_path, batch_id), key)
+        before = read_ledger(spark, ledger_path).where(F.col("batch_id") < batch_id)
+        fresh = pending(batch, before, key)
         out = transform(fresh) if transform is not None else fresh
         out.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
-        done = fresh.select(key).distinct().withColumn("processed_at", F.current_timestamp())
-        done.write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
+        # from what was written: the source and the ledger are not read again
+        done = spark.read.parquet(f"{sink_path}/batch_id={batch_id}").select(key).distinct()
+        done.withColumn("processed_at", F.current_timestamp()) \
+            .write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
     return run
 
 
@@ -62,19 +56,34 @@ def ingest_stream(stream: DataFrame, ledger_path: str, sink_path: str, checkpoin
     return w.start()
 
 
-def merge_touched(turns_path: str, merged_path: str, spark: SparkSession, touched: DataFrame,
-                  bucket_count: int = 1024) -> None:
-    """SS2: re-merge the full turn history of the subject hash-buckets touched by a
-    batch and overwrite only those buckets (dynamic partition overwrite).
-    ``turns_path`` holds every turn appended so far (subject, speaker, text, seq)."""
-    sb = F.pmod(F.xxhash64("subject"), F.lit(bucket_count)).cast("int")
-    buckets = touched.select(sb.alias("sbucket")).distinct()
-    turns = spark.read.parquet(turns_path).withColumn("sbucket", sb)
-    mine = turns.join(F.broadcast(buckets), "sbucket", "left_semi")  # at most bucket_count rows
-    merged = merge_turns(mine.drop("sbucket"), order="subject").withColumn("sbucket", sb)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+def _bucket(bucket_count: int):
+    return F.pmod(F.xxhash64("subject"), F.lit(bucket_count)).cast("int")
+
+
+def append_turns(batch: DataFrame, turns_path: str, batch_id: int, bucket_count: int) -> list[int]:
+    """Store a batch's turns by subject bucket (SK7; a replay overwrites its own folder) and return
+    the touched buckets: at most ``bucket_count`` numbers."""
+    path = f"{turns_path}/batch_id={batch_id}"
+    batch.withColumn("sbucket", _bucket(bucket_count)).write.mode("overwrite").partitionBy("sbucket").parquet(path)
+    return [r.sbucket for r in batch.sparkSession.read.parquet(path).select("sbucket").distinct().collect()]
+
+
+def merge_touched(spark: SparkSession, turns_path: str, merged_path: str, buckets: list[int], schema, bucket_count: int) -> None:
+    """SS2: re-merge the full history of the touched subject buckets and overwrite only them.
+    The store is partitioned by bucket, so the other buckets' files are not read."""
+    turns = spark.read.schema(schema).parquet(turns_path).where(F.col("sbucket").isin(buckets))
+    merged = merge_turns(turns.select("subject", "speaker", "text", "seq"), order="subject")
+    merged.withColumn("sbucket", _bucket(bucket_count)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("sbucket").parquet(merged_path)
 
 
-def ledger_schema():
-    return S.LEDGER
+def merge_stream(stream: DataFrame, turns_path: str, merged_path: str, checkpoint: str, bucket_count: int = 1024):
+    """SS2 as a query over a stream of (subject, speaker, text, seq): every batch appends its turns and
+    re-merges the subject buckets it touched."""
+    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType()), StructField("sbucket", IntegerType())])
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        buckets = append_turns(batch, turns_path, batch_id, bucket_count)
+        if buckets:
+            merge_touched(batch.sparkSession, turns_path, merged_path, buckets, schema, bucket_count)
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF001
+from turnscore.plans.registry import REGISTRY
 
 PYTHON_ALLOWED = {"batch_map_tokens", "cosine_extremes", "near_pairs"}
 SKIP = {"text_regression_cv", "gbt_regression_cv"}  # Spark ML internals
@@ -16,7 +17,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n not in SKIP])
+@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in SKIP])
 def test_plan_shape(spark, name):
     p = _plan(E.queries()[name](spark, SF001))
     assert "CartesianProduct" not in p
@@ -26,6 +27,18 @@ def test_plan_shape(spark, name):
         assert "ArrowEvalPython" not in p and "MapInPandas" not in p and "PythonUDF" not in p
 
 
+@pytest.mark.parametrize("name", ["confusion_matrices", "confusion_trace", "model_comparisons", "error_reduction"])
+def test_predictions_are_scanned_once(spark, name):
+    assert _plan(E.queries()[name](spark, SF001)).count("FileScan parquet") == 1
+
+
+def test_text_is_not_shuffled_for_cosines(spark):
+    df = E.queries()["text_cosine_by_score"](spark, SF001)
+    for line in _plan(df).splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "text#" not in line and "_t#" not in line
+
+
 def test_scan_prunes_columns(spark):
     p = _plan(E.queries()["eval_by_topic"](spark, SF001))
     # the events scan reads only the columns the predictions need

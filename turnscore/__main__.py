@@ -28,6 +28,7 @@ def main(argv=None) -> None:
     a.add_argument("examples"), a.add_argument("out_dir")
     a.add_argument("--model", default="text_linear", choices=["text_linear", "text_gbt", "topic_mean"])
     a.add_argument("--folds", type=int, default=5)
+    a.add_argument("--features", type=int, help="number of hashed text features")
     a = sub.add_parser("curve", help="learning curve")
     a.add_argument("examples"), a.add_argument("out_dir")
     a = sub.add_parser("compare", help="McNemar comparison of two confusion documents")
@@ -51,7 +52,7 @@ def main(argv=None) -> None:
     elif args.step == "baseline":
         flows.mean_baseline(spark, args.examples, args.out_dir)
     elif args.step == "cv":
-        flows.cross_validate(spark, args.examples, args.out_dir, k=args.folds, model=args.model)
+        flows.cross_validate(spark, args.examples, args.out_dir, k=args.folds, model=args.model, features=args.features)
     elif args.step == "curve":
         flows.learning_curve(spark, args.examples, args.out_dir)
     elif args.step == "compare":

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from turnscore import schemas as S
 from turnscore.functions.ordinal import to_ordinal
 from turnscore.operators.sampling import nested_prefix
+from turnscore.sources.writers import save_model
 
 
 def histogram_metrics(pred: str = "pred", label: str = "label", cnt: str = "cnt",
@@ -183,15 +184,18 @@ def _per_fold(fit_one, k: int, parallel: int) -> list:
 def text_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "text",
                        label: str = "label", topic: str = "topic", k: int = S.N_FOLDS,
                        num_features: int = 1 << 14, reg_param: float = 0.1,
-                       model_name: str = "text_linear", parallel: int = S.N_FOLDS) -> DataFrame:
+                       model_name: str = "text_linear", parallel: int = S.N_FOLDS,
+                       models_path: str | None = None) -> DataFrame:
     """Out-of-fold predictions of a text regression with squared-error loss
     (ML2): tokens -> hashed term frequencies -> IDF fitted on the training
     folds only -> ridge LinearRegression. Features are computed once and
     written to the shared checkpoint folder (no cache to release, nothing to
-    recompute after an executor loss); each fold is one distributed fit.
+    recompute after an executor loss); each fold is one distributed fit, saved as
+    ``models_path``/fold=f (IDF and regression in one pipeline model) if a path is given.
     Output is the prediction table (ML8)."""
     from functools import reduce
 
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import IDF
     from pyspark.ml.regression import LinearRegression
 
@@ -205,6 +209,8 @@ def text_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "
         lr = LinearRegression(featuresCol="features", labelCol=label, regParam=reg_param,
                               elasticNetParam=0.0, maxIter=50)
         model = lr.fit(idf.transform(train))
+        if models_path:
+            save_model(PipelineModel([idf, model]), f"{models_path}/fold={f}")
         return model.transform(idf.transform(val)).select(
             key, F.lit(model_name).alias("model"), F.col("fold").cast("int").alias("fold"),
             F.col(topic).alias("topic"), F.col(label).cast("int").alias("label"),
@@ -216,7 +222,7 @@ def gbt_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "t
                       label: str = "label", topic: str = "topic", k: int = S.N_FOLDS,
                       num_features: int = 256, loss: str = "absolute", max_iter: int = 20,
                       validation_tol: float = 0.01, model_name: str = "text_gbt",
-                      parallel: int = S.N_FOLDS) -> DataFrame:
+                      parallel: int = S.N_FOLDS, models_path: str | None = None) -> DataFrame:
     """Out-of-fold predictions of gradient-boosted trees (ML3 / ML4) with early
     stopping on the validation fold (``validationIndicatorCol``: the held-out
     fold is scored during boosting and boosting stops when it stops improving,
@@ -234,6 +240,8 @@ def gbt_regression_cv(folded: DataFrame, key: str = "example_id", text: str = "t
         gbt = GBTRegressor(featuresCol="tf", labelCol=label, lossType=loss, maxIter=max_iter, maxDepth=3,
                            validationIndicatorCol="is_val", validationTol=validation_tol, seed=S.SEED)
         model = gbt.fit(data)
+        if models_path:
+            save_model(model, f"{models_path}/fold={f}")
         return model.transform(feats.where(F.col("fold") == f)).select(
             key, F.lit(model_name).alias("model"), F.col("fold").cast("int").alias("fold"),
             F.col(topic).alias("topic"), F.col(label).cast("int").alias("label"),

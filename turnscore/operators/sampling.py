@@ -28,11 +28,11 @@ def shuffle_key(keys: Sequence[str | Column], seed) -> Column:
 
 def exact_rank(df: DataFrame, keys: Sequence[str], seed=S.SEED, partition_by: Sequence[str] = (),
                rank_col: str = "rank", total_col: str = "n_total",
-               hex_digits: int = DEFAULT_HEX_DIGITS, extra_hash_keys: Sequence[str] = ()) -> DataFrame:
+               hex_digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
     """1-based dense rank of each row in md5 order within ``partition_by``, and the
     partition size. ``partition_by`` must be low-cardinality (e.g. an outer fold)."""
     part = list(partition_by)
-    h = df.withColumn("_h", shuffle_key([*keys, *extra_hash_keys], seed)) \
+    h = df.withColumn("_h", shuffle_key(keys, seed)) \
         .withColumn("_b", F.substring("_h", 1, hex_digits))
     counts = h.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     # windows over the bucket counts only: at most 16**hex_digits rows per partition value
@@ -41,8 +41,8 @@ def exact_rank(df: DataFrame, keys: Sequence[str], seed=S.SEED, partition_by: Se
         *part, "_b",
         (F.sum("_cnt").over(running) - F.col("_cnt")).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*part)).alias(total_col))
-    # bounded: at most 16**hex_digits rows per partition value
-    ranked = h.join(F.broadcast(offsets), [*part, "_b"])
+    # at most 16**hex_digits rows per partition value: a hint only where that is all there is
+    ranked = h.join(offsets if part else F.broadcast(offsets), [*part, "_b"])
     in_bucket = Window.partitionBy(*part, "_b").orderBy("_h", *keys)
     return ranked.withColumn(rank_col, (F.col("_off") + F.row_number().over(in_bucket)).cast("bigint")) \
         .drop("_h", "_b", "_off")

@@ -56,7 +56,7 @@ def cosine_mean(df: DataFrame, by: Sequence[str] = (), side: str = "synthetic",
         (F.col("dot") / (F.col("n_real") * F.col("n_synthetic"))).alias("mean_cosine"))
 
 
-LSH_BITS = 10     # at most 2**10 sign-of-projection cells per side
+LSH_BITS = 30     # sign-of-projection cells per side: 2**30 blocks of block_rows vectors
 _SLACK = 1e-9     # rounding slack that keeps the block bounds conservative
 
 
@@ -73,7 +73,7 @@ def _blocks(df: DataFrame, side: str, idc: str, emb: str, block_rows: int, bits:
     The number of sign bits used is log2(largest side / block_rows) + 2, clamped
     to 0..``bits`` (a scalar subquery), so cells hold about a quarter block; a cell is
     hash-split into ceil(n / block_rows) blocks. Blocks are numbered 0..nb-1 per
-    side from the cell counts (at most 2 x 2**bits rows, broadcast)."""
+    side from the cell counts, one small row per cell that is not empty."""
     u = with_unit(df.select(side, F.col(idc).alias("id"), emb), emb).drop(emb)
 
     sig = F.lit(0)
@@ -92,7 +92,7 @@ def _blocks(df: DataFrame, side: str, idc: str, emb: str, block_rows: int, bits:
     cells = cells.select(*[F.col(c).alias(f"_k{c}") for c in (side, "_cell")], "_sub", "_off", "_nb")
     # null-safe keys: no not-null filter is inferred and pushed below the unit-vector projection
     on = u[side].eqNullSafe(cells[f"_k{side}"]) & u["_cell"].eqNullSafe(cells["_k_cell"])
-    u = u.join(F.broadcast(cells), on).drop(f"_k{side}", "_k_cell")
+    u = u.join(cells, on).drop(f"_k{side}", "_k_cell")
     u = u.withColumn("blk", F.col("_off") + F.pmod(F.xxhash64("id"), F.col("_sub")))
     return u.groupBy(side, "blk", "_nb").agg(F.collect_list("id").alias("ids"),
                                              F.collect_list("u").alias("us"))

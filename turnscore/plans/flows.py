@@ -100,6 +100,9 @@ def _labelled_examples(spark: SparkSession, examples_path: str) -> DataFrame:
     JSON-lines files (identical examples stay distinct)."""
     ex = R.with_source_order(R.read_examples(spark, examples_path), "example_id")
     ex = DG.parse_examples(ex)
+    bad = ex.where(F.col("label").isNull()).count()
+    if bad:
+        raise ValueError(f"{bad} examples have an output without a score")
     return ex.select("example_id", "input", F.col("parsed_topic").alias("topic"), "label")
 
 
@@ -131,17 +134,20 @@ def mean_baseline(spark: SparkSession, examples_path: str, out_dir: str) -> None
 
 
 def cross_validate(spark: SparkSession, examples_path: str, out_dir: str, k: int = S.N_FOLDS,
-                   model: str = "text_linear") -> DataFrame:
+                   model: str = "text_linear", features: int | None = None) -> DataFrame:
     """k-fold training and evaluation (step 05): text regression per fold
     (``model='text_linear'``), boosted trees with early stopping and absolute
-    loss (``'text_gbt'``), or the out-of-fold topic mean (``'topic_mean'``)."""
+    loss (``'text_gbt'``), or the out-of-fold topic mean (``'topic_mean'``). ``features``
+    is the number of hashed text features; fitted models are kept per fold."""
     folded = materialize(SA.kfold(_labelled_examples(spark, examples_path), ["example_id"], k=k), "folds")
     if model == "topic_mean":
         preds = ML.topic_mean_cv_predictions(folded)
     elif model == "text_gbt":
-        preds = ML.gbt_regression_cv(folded.withColumnRenamed("input", "text"), k=k)
+        preds = ML.gbt_regression_cv(folded.withColumnRenamed("input", "text"), k=k, models_path=f"{out_dir}/models",
+                                     **({"num_features": features} if features else {}))
     else:
-        preds = ML.text_regression_cv(folded.withColumnRenamed("input", "text"), k=k)
+        preds = ML.text_regression_cv(folded.withColumnRenamed("input", "text"), k=k, models_path=f"{out_dir}/models",
+                                      **({"num_features": features} if features else {}))
     evaluate(spark, preds, out_dir)
     return spark.read.parquet(f"{out_dir}/fold_metrics")
 

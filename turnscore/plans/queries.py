@@ -518,7 +518,7 @@ p AS (SELECT r.id AS rid, s.id AS sid, r.score AS rscore, s.score AS sscore,
 """
 
 
-@register("cosine_mean", "SI1 JO5 SC3", round_sql(COS_SQL + """SELECT count(DISTINCT rid) AS n_real,
+@register("cosine_mean", "SI1 JO5", round_sql(COS_SQL + """SELECT count(DISTINCT rid) AS n_real,
     count(DISTINCT sid) AS n_synthetic, avg(cos) AS mean_cosine FROM p""", ["mean_cosine"]))
 def _cosine_mean(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(SI.cosine_mean(X.text_pairs(spark, sf)))
@@ -536,7 +536,7 @@ def _cosine_by_score(spark: SparkSession, sf: str) -> DataFrame:
     min(cos) AS min_cosine, arg_min(rid, cos) AS min_real_id, arg_min(sid, cos) AS min_synthetic_id,
     count(*) AS n_pairs FROM p""", ["max_cosine", "min_cosine"]))
 def _cosine_extremes(spark: SparkSession, sf: str) -> DataFrame:
-    e = SI.cosine_extremes(X.text_pairs(spark, sf), block_rows=128)
+    e = SI.cosine_extremes(X.text_pairs(spark, sf))
     return round_doubles(e.select(
         "max_cosine", F.col("max_pair.real_id").alias("max_real_id"),
         F.col("max_pair.synthetic_id").alias("max_synthetic_id"), "min_cosine",
@@ -547,7 +547,7 @@ def _cosine_extremes(spark: SparkSession, sf: str) -> DataFrame:
 @register("near_pairs", "SI4", round_sql(COS_SQL + """SELECT rid AS real_id, sid AS synthetic_id, cos AS cosine
     FROM p WHERE cos >= 0.4e0""", ["cosine"]))
 def _near_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return round_doubles(SI.near_pairs(X.text_pairs(spark, sf), threshold=0.4, block_rows=128))
+    return round_doubles(SI.near_pairs(X.text_pairs(spark, sf), threshold=0.4))
 
 
 @register("text_cosine_by_score", "SI5 SI2", round_sql(X.with_views("regression_docs") + """,
@@ -578,7 +578,7 @@ def _manifest_keyed(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("subject", TX.subject_key(F.col("file_name")))
 
 
-@register("ledger_pending", "JO1 FI2 FI3 FI1 SC8", X.with_views("manifest", "ledger") + """SELECT path,
+@register("ledger_pending", "JO1 FI2 FI1 SC8", X.with_views("manifest", "ledger") + """SELECT path,
     split_part(regexp_extract(path, '[^/]+$'), '_', 1) || '_' || split_part(regexp_extract(path, '[^/]+$'), '_', 2)
       AS subject FROM manifest
     WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.subject = split_part(regexp_extract(path, '[^/]+$'), '_', 1)
@@ -671,7 +671,7 @@ def _folded_docs(spark: SparkSession, sf: str) -> DataFrame:
     return SA.kfold(X.regression_docs(spark, sf), ["example_id"])
 
 
-@register("text_regression_cv", "ML2 ML8 SK9")
+@register("text_regression_cv", "ML2 ML8")
 def _text_regression_cv(spark: SparkSession, sf: str) -> DataFrame:
     preds = ML.text_regression_cv(_folded_docs(spark, sf))
     return round_doubles(M.evaluate_folds(preds, ["model"]))
@@ -690,15 +690,15 @@ def _batch_map_tokens(spark: SparkSession, sf: str) -> DataFrame:
     # load / predict are defined here so they are shipped by value: the Python
     # workers need no import of this package
     def load():
-        import regex
-        return regex.compile(r"[\p{L}\p{N}]+")
+        import pyarrow.compute as pc
+        return lambda texts: (pc.count_substring_regex(texts, r"[\p{L}\p{N}]+"), pc.utf8_length(texts))
 
     def predict(model, batch):
         import pandas as pd
-        texts = batch["text"].fillna("")
-        return pd.DataFrame({"doc_id": batch["doc_id"],
-                             "n_tokens": texts.map(lambda t: len(model.findall(t))).astype("int64"),
-                             "n_chars": texts.map(len).astype("int64")})
+        import pyarrow as pa
+        tokens, chars = model(pa.array(batch["text"].fillna(""), pa.string()))
+        return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": tokens.to_numpy().astype("int64"),
+                             "n_chars": chars.to_numpy().astype("int64")})
     docs = X.table(spark, sf, "documents").select("doc_id", "text")
     return ML.batch_map(docs, load, predict, "doc_id LONG, n_tokens LONG, n_chars LONG")
 
@@ -778,12 +778,83 @@ _R["merged_turns_stream"].sql = _R["merge_turns_by_subject"].sql
 _R["turns_csv_roundtrip"].sql = _merge_sql("dense_turns", True)
 
 
-@register("media_manifest", "SC7 FI1 PR1")
+@register("media_manifest", "SC7 FI1 PR1", "SELECT DISTINCT 'source=' || source AS folder FROM documents WHERE source LIKE 'src1%'")
 def _media_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """The binaryFile manifest over the table folder itself: every parquet file
-    under folders named like the scale-factor folder (content never read)."""
-    import os
-    root = os.path.dirname(sf.rstrip("/"))
-    prefix = os.path.basename(sf.rstrip("/"))
-    return RD.media_manifest(spark, root, folder_prefix=prefix, suffix=".parquet") \
-        .select("path", "length", "file_name", "subject")
+    """Documents written to a folder per source; the manifest lists the files below folders of one
+    prefix, never reading them."""
+    path = shared_path(spark, "media")
+    X.table(spark, sf, "documents").select("doc_id", "source").write.partitionBy("source").parquet(path)
+    files = RD.media_manifest(spark, path, folder_prefix="source=src1", suffix=".parquet")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+
+
+@register("output_pending", "FI3", X.with_views("manifest") + """SELECT path FROM manifest WHERE doc_id % 4 <> 0""")
+def _output_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings whose audio file is not among the outputs (every fourth document has one)."""
+    m = _manifest_keyed(spark, sf)
+    audio = TX.audio_name(F.col("subject"))
+    outputs = m.where("doc_id % 4 = 0").select(audio.alias("path"))
+    return IN.without_output(m.select("path", "subject"), outputs, audio).select("path")
+
+
+@register("scored_turns_roundtrip", "SC2 AG3")
+def _scored_turns_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores written with NaN for missing ones, read back as null."""
+    path = shared_path(spark, "scored")
+    X.scored_turns(spark, sf).withColumn("score", F.coalesce("score", F.lit(float("nan")))).write.parquet(path)
+    return DG.first_score(RD.read_scored_turns(spark, path))
+
+
+_R["scored_turns_roundtrip"].sql = _R["first_score_any"].sql
+
+
+@register("text_pairs_read", "SC3 FI4", X.with_views("regression_docs") + """SELECT example_id % 2 = 1 AS synthetic,
+    CAST(label AS DOUBLE) AS score, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM regression_docs
+    WHERE example_id % 7 <> 0 AND example_id % 5 <> 0 GROUP BY ALL""")
+def _text_pairs_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Two written collections, some texts null and some scores NaN, stacked without those."""
+    path = shared_path(spark, "pairs")
+    d = X.regression_docs(spark, sf).select(
+        "example_id", F.when(F.col("example_id") % 7 != 0, F.col("text")).alias("text"),
+        F.when(F.col("example_id") % 5 != 0, F.col("label").cast("double")).otherwise(F.lit(float("nan"))).alias("score"))
+    d.where("example_id % 2 = 0").select("text", "score").write.parquet(f"{path}/real")
+    d.where("example_id % 2 = 1").select("text", "score").write.parquet(f"{path}/synthetic")
+    return RD.read_text_pairs(spark, f"{path}/real", f"{path}/synthetic").groupBy("synthetic", "score").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@register("rubric_scores", "PR23", X.with_views("scored_turns") + f"""SELECT f.topic, f.subject, f.score,
+    CASE WHEN td.topic IS NOT NULL AND f.score <= 4 THEN td.label_en || ', ' || f.score END AS criterion
+    FROM (SELECT topic, subject, CAST(trunc(arg_min(score, seq)) AS INTEGER) AS score FROM scored_turns
+          WHERE score IS NOT NULL AND NOT isnan(score) AND subject IS NOT NULL AND topic IS NOT NULL GROUP BY topic, subject) AS f
+    LEFT JOIN {TOPIC_DIM_SQL} ON td.topic = f.topic""")
+def _rubric_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """First scores with the text of a rubric that ends at score 4."""
+    rubric = SC.score_spine(S.topic_dim(spark)).where("score <= 4").select(
+        "topic", "score", F.lit("").alias("description"), F.concat_ws(", ", "label_en", "score").alias("criterion"))
+    return SC.rubric_lookup(DG.first_score(X.scored_turns(spark, sf)), rubric).select("topic", "subject", "score", "criterion")
+
+
+@register("topic_mean_predictions", "ML8 ML1", round_sql(FOLDED_SQL + """, tm AS (SELECT v.fold, t.topic, avg(t.label) AS mu
+    FROM (SELECT DISTINCT fold FROM folded) v JOIN folded t ON t.fold <> v.fold GROUP BY v.fold, t.topic),
+    gm AS (SELECT v.fold, avg(t.label) AS mu FROM (SELECT DISTINCT fold FROM folded) v JOIN folded t ON t.fold <> v.fold GROUP BY v.fold)
+    SELECT f.example_id, 'topic_mean' AS model, f.fold, f.topic, f.label, coalesce(tm.mu, gm.mu) AS pred
+    FROM folded f LEFT JOIN tm ON tm.fold = f.fold AND tm.topic = f.topic JOIN gm ON gm.fold = f.fold""", ["pred"]))
+def _topic_mean_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(ML.topic_mean_cv_predictions(_folded_wide(spark, sf, False, KEYED)))
+
+
+@register("baseline_report", "SK5 AG7 AG8", X.with_views("predictions_wide") + """, m AS (SELECT topic, avg(label) AS mu FROM predictions_wide
+      GROUP BY topic),
+    t AS (SELECT p.topic, m.mu, avg(pow(m.mu - p.label, 2)) AS mse, avg(abs(m.mu - p.label)) AS mae
+          FROM predictions_wide p JOIN m USING (topic) GROUP BY p.topic, m.mu),
+    o AS (SELECT avg(pow(m.mu - p.label, 2)) AS mse, avg(abs(m.mu - p.label)) AS mae, stddev_pop(m.mu - p.label) AS sd
+          FROM predictions_wide p JOIN m USING (topic))
+    SELECT CAST(0 AS BIGINT) AS line_no, '=== Baseline MSE and MAE Per Topic (Mean Predictor) ===' AS line UNION ALL SELECT 1, ''
+    UNION ALL SELECT 1 + row_number() OVER (ORDER BY encode(topic)), topic || printf(': Mean Score=%.2f, MSE=%.4f, MAE=%.4f', mu, mse, mae) FROM t
+    UNION ALL SELECT 1000000, '' UNION ALL SELECT 1000001, '=== Overall Baseline Results (All Topics Combined) ==='
+    UNION ALL SELECT 1000002, printf('Overall MSE: %.4f', mse) FROM o UNION ALL SELECT 1000003, printf('Overall MAE: %.4f', mae) FROM o
+    UNION ALL SELECT 1000004, printf('Std of Errors: %.4f', sd) FROM o""")
+def _baseline_report(spark: SparkSession, sf: str) -> DataFrame:
+    p = X.predictions_wide(spark, sf)
+    return RP.baseline_lines(M.mean_baseline_topic(p), M.mean_baseline_overall(p))

@@ -22,7 +22,7 @@ def with_source_order(df: DataFrame, col: str = "seq") -> DataFrame:
 
     Must be applied directly on a scan (no shuffle before it). Rows are grouped
     by (file, input partition) - the upper bits of ``monotonically_increasing_id``
-    - whose sizes give offsets (one row per input split, broadcast); positions
+    - whose sizes give offsets (one row per input split); positions
     inside a split come from the id's lower bits. Persist the result: the
     position is the order of the files as listed."""
     d = df.withColumn("_file", F.input_file_name()).withColumn("_mid", F.monotonically_increasing_id())
@@ -33,8 +33,8 @@ def with_source_order(df: DataFrame, col: str = "seq") -> DataFrame:
     running = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_fh", "_split", "_min",
                            F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"))
-    # one row of four longs per (file, input split): ~32 MB at 100 TB in 128 MB splits
-    out = d.join(F.broadcast(offsets), ["_fh", "_split"])
+    # one row of four longs per (file, input split); Spark broadcasts it if it measures small
+    out = d.join(offsets, ["_fh", "_split"])
     return out.withColumn(col, (F.col("_off") + F.col("_mid") - F.col("_min")).cast("bigint")) \
         .drop("_file", "_fh", "_mid", "_split", "_min", "_off")
 

@@ -29,6 +29,12 @@ def pending(manifest: DataFrame, ledger: DataFrame, key: str = "subject") -> Dat
     return manifest.join(ledger.select(key).distinct(), key, "left_anti")
 
 
+def without_output(manifest: DataFrame, outputs: DataFrame, expected, path: str = "path") -> DataFrame:
+    """Manifest rows whose expected output (a Column) is not among the listed outputs (FI3)."""
+    done = outputs.select(F.col(path).alias("_done")).distinct()
+    return manifest.withColumn("_expected", expected).join(done, F.col("_expected") == F.col("_done"), "left_anti").drop("_expected")
+
+
 def ledger_batch_writer(ledger_path: str, sink_path: str, key: str = "subject",
                         transform: Callable[[DataFrame], DataFrame] | None = None):
     """The ``foreachBatch`` function of SS1. ``transform`` keeps the ``key`` column."""

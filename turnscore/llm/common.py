@@ -9,9 +9,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscore.session import materialize
+from turnscore.session import materialize, release
 
-__all__ = ["materialize", "read_table", "ship", "text_or_empty", "hash_bitmap", "split_likely", "connected_components"]
+__all__ = ["materialize", "release", "read_table", "ship", "text_or_empty", "hash_bitmap", "split_likely", "connected_components"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +71,14 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
-        large = materialize(large, "cc")
+        large, before = materialize(large, "cc"), e
         # small star: the node and its smaller neighbours are linked to the smallest one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = (small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
              .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         e = materialize(e, "cc")
+        release(large), release(before)
         mark = e.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
         if mark == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

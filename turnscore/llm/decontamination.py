@@ -77,7 +77,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                  pa.array([min(int(p), window) for p in out["place"]], pa.int64()), pa.array(out["words"], pa.binary())],
                 ["item", "seed", "place", "words"])
 
-    test = materialize(items.mapInArrow(item_seeds, f"item {item_kind}, seed long, place long, words binary"), "seeds")
+    test = materialize(items.mapInArrow(kernels.tidy(item_seeds), f"item {item_kind}, seed long, place long, words binary"), "seeds")
     shared_bits = spark.sparkContext.broadcast(hash_bitmap(test, "seed", BITS))
     lengths = {r.n for r in test.where(F.length("words") < 8 * window).select((F.length("words") / 8).cast("int").alias("n"))
                .distinct().collect()}
@@ -106,7 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                  pa.array(np.array(seed, np.uint64).view(np.int64)), pa.array(at, pa.int64()), pa.array(words, pa.binary()),
                  pa.array(place, pa.int64())], ["id", "text_hash", "seed", "at", "own_words", "own_place"])
 
-    hits = own.mapInArrow(scan, f"id {kind}, text_hash long, seed long, at long, own_words binary, own_place long")
+    hits = own.mapInArrow(kernels.tidy(scan), f"id {kind}, text_hash long, seed long, at long, own_words binary, own_place long")
 
     def verify(batches):
         for batch in batches:
@@ -131,8 +131,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                                               pa.array(equal, pa.int64())],
                                              ["id", "text_hash", "item", "first_word", "last_word", "n_equal"])
 
-    found = hits.join(test, "seed").select("id", "text_hash", "item", "at", "own_words", "own_place", "words", "place").mapInArrow(
-        verify, f"id {kind}, text_hash long, item {item_kind}, first_word long, last_word long, n_equal long")
+    found = hits.join(test, "seed").select("id", "text_hash", "item", "at", "own_words", "own_place", "words", "place").mapInArrow(kernels.tidy(verify), f"id {kind}, text_hash long, item {item_kind}, first_word long, last_word long, n_equal long")
     return (found.groupBy("id", "text_hash", "item")
             .agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("n_equal").alias("n_equal"))
             .select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col if item_col != id_col else "item"),

@@ -23,6 +23,18 @@ NONSPACE = np.ones(256, bool)  # [^\x20\x09-\x0D]
 NONSPACE[[0x20, *range(0x09, 0x0E)]] = False
 
 
+def tidy(run):
+    """The same function over batches, after whose end the worker returns its free memory to the system."""
+    def tidied(batches):
+        import ctypes
+        import gc
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda n: None)(0)
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)

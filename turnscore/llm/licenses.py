@@ -133,7 +133,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, types.get(n, pa.int64())) for n, v in out.items())],
                                              ["id", *out])
 
-    return source.mapInArrow(run, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
+    return source.mapInArrow(kernels.tidy(run), f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
                                   "labels string, score double, spans array<struct<label string, first_word long, "
                                   "last_word long, edits long>>").withColumnRenamed("id", id_col)
 

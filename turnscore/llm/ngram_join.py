@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import kernels
-from turnscore.llm.common import connected_components, hash_bitmap, materialize, ship, split_likely, text_or_empty
+from turnscore.llm.common import connected_components, hash_bitmap, materialize, release, ship, split_likely, text_or_empty
 
 #: Shingles of a cluster that are searched in one task; larger clusters are cut into blocks.
 CLUSTER_SHINGLES = 1 << 23
+#: Signatures that a task packs at once.
+SIGNATURES = 1 << 19
 #: Bits of the bitmap that spares most sets the second scan's shuffle; its size does not depend on the data.
 BITS = 1 << 23
 #: DivideSkip's weight between merging and probing.
@@ -146,10 +148,18 @@ def similar_links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
     rank = np.argsort(size, kind="stable")
     sets, size = [sets[i] for i in rank], size[rank]
     other = side[rank] if side is not None else None
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(token, kind="stable")
-    owner, edge = owner[order], np.append(0, np.cumsum(np.bincount(token)))
+    # inverted lists in 32 bits a posting: the sets' numbers by token, and each token's number in place
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.append(True, flat[1:] != flat[:-1])
+    del flat
+    edge = np.append(np.flatnonzero(first), len(first))
+    token = np.empty(len(first), np.int32)
+    token[order] = np.cumsum(first, dtype=np.int32) - 1
+    owner = owner[order]
+    del order, first
     begin = np.append(0, np.cumsum(size))
     forest, label, links = Forest(len(sets)), np.arange(len(sets)), []
     for q in range(len(sets) - 1, 0, -1):  # against all sets of at most its size
@@ -191,32 +201,40 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
         parts = Parts(num, den)
         for batch in batches:
             data, off = kernels.buffers(batch.column("text"))
-            fp, size, sig, node = [], [], [], []
+            at, fp, size, sig, node, held = 0, [], [], [], [], 0
             for _, part, o in kernels.blocks(data, off):
                 for s in kernels.shingle_sets(part, o, kernels.NONSPACE, width):
                     fp.append(fingerprint(s)), size.append(len(s))
                     x = signatures(s, parts)
                     sig.append(x), node.append(np.full(len(x), fp[-1], np.uint64))
-            n = len(fp)
-            bucket, packed = [-2] * n, [None] * n
-            if n:
-                sig, node, a, b = star(np.concatenate(sig), np.concatenate(node))
-                bucket.append(-1), packed.append(np.stack([a, b], 1).tobytes())
-                to = (sig % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                pairs, edge = np.stack([sig, node], 1)[order], np.searchsorted(to[order], np.arange(buckets + 1))
-                for k in range(buckets):
-                    if edge[k] < edge[k + 1]:
-                        bucket.append(k), packed.append(pairs[edge[k]:edge[k + 1]].tobytes())
-            more = len(bucket) - n
-            ids = pa.concat_arrays([batch.column("id"), pa.nulls(more, batch.column("id").type)])
-            th = pa.concat_arrays([batch.column("th"), pa.nulls(more, pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [ids, th, pa.array(np.array(fp + [0] * more, np.uint64).view(np.int64)), pa.array(size + [0] * more, pa.int64()),
-                 pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["id", "th", "fp", "n", "bucket", "packed"])
-
-    scanned = materialize(own.mapInArrow(scan, f"id {kind}, th long, fp long, n long, bucket int, packed binary"), "signatures")
-    rows = scanned.where("bucket = -2").select("id", "th", "fp", "n")
+                    held += len(x)
+                if held >= SIGNATURES:
+                    yield packed_rows(batch.slice(at, len(fp)), fp, size, sig, node)
+                    at, fp, size, sig, node, held = at + len(fp), [], [], [], [], 0
+            yield packed_rows(batch.slice(at, len(fp)), fp, size, sig, node)
+
+    def packed_rows(rows, fp, size, sig, node):
+        """A row per document, one with the links found here, and one per bucket of signatures."""
+        n = len(fp)
+        bucket, packed = [-2] * n, [None] * n
+        if n:
+            sig, node, a, b = star(np.concatenate(sig), np.concatenate(node))
+            bucket.append(-1), packed.append(np.stack([a, b], 1).tobytes())
+            to = (sig % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            pairs, edge = np.stack([sig, node], 1)[order], np.searchsorted(to[order], np.arange(buckets + 1))
+            for k in range(buckets):
+                if edge[k] < edge[k + 1]:
+                    bucket.append(k), packed.append(pairs[edge[k]:edge[k + 1]].tobytes())
+        more = len(bucket) - n
+        ids = pa.concat_arrays([rows.column("id"), pa.nulls(more, rows.column("id").type)])
+        th = pa.concat_arrays([rows.column("th"), pa.nulls(more, pa.int64())])
+        return pa.RecordBatch.from_arrays(
+            [ids, th, pa.array(np.array(fp + [0] * more, np.uint64).view(np.int64)), pa.array(size + [0] * more, pa.int64()),
+             pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["id", "th", "fp", "n", "bucket", "packed"])
+
+    scanned = materialize(own.mapInArrow(kernels.tidy(scan), f"id {kind}, th long, fp long, n long, bucket int, packed binary"), "signatures")
+    rows = materialize(scanned.where("bucket = -2").select("id", "th", "fp", "n"), "set-sizes")
 
     def pairs_out(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
@@ -244,10 +262,11 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
                 held.append(x.as_py())
         yield from flush()
 
-    edges = (scanned.where("bucket = -1").select("packed").mapInArrow(local, "u long, v long").unionByName(
+    edges = (scanned.where("bucket = -1").select("packed").mapInArrow(kernels.tidy(local), "u long, v long").unionByName(
         scanned.where("bucket >= 0").select("bucket", "packed").repartition(n_parts, "bucket")
-        .sortWithinPartitions("bucket").mapInArrow(across, "u long, v long")))
+        .sortWithinPartitions("bucket").mapInArrow(kernels.tidy(across), "u long, v long")))
     clusters = materialize(connected_components(edges, "u", "v"), "clusters")
+    release(scanned)  # the signatures have done their work
 
     shared_bits = spark.sparkContext.broadcast(hash_bitmap(clusters, "node", BITS))
 
@@ -267,7 +286,7 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
     sizes = (clusters.join(rows.select(F.col("fp").alias("node"), "n").distinct(), "node")
              .groupBy("component").agg(F.sum("n").alias("total"))
              .select("component", F.ceil(F.col("total") / cluster_shingles).cast("int").alias("blocks")))
-    sets = (own.select("text").mapInArrow(clustered_sets, "node long, packed binary")
+    sets = (own.select("text").mapInArrow(kernels.tidy(clustered_sets), "node long, packed binary")
             .join(clusters.join(sizes, "component"), "node"))
     # a block meets every block of its cluster, itself included
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -296,7 +315,7 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
         yield from flush()
 
     links = materialize(tasks.repartition(n_parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-                        .mapInArrow(search, "u long, v long"), "links")
+                        .mapInArrow(kernels.tidy(search), "u long, v long"), "links")
     groups = connected_components(links, "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
     return materialize(rows.join(groups, "fp", "left").select(

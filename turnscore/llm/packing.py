@@ -25,6 +25,8 @@ OPEN_BINS = 8192
 GROUP = 4096
 #: Distinct text pieces whose ids a worker keeps before it starts afresh.
 CACHE = 1 << 20
+#: Text pieces handed to the library at once.
+ENCODE = 10_000
 
 
 class BatchTokenizer:
@@ -88,16 +90,17 @@ class BatchTokenizer:
         known[inside] = self.keys[place[inside]] == uniq[inside]
         if not known.all():
             raw = data.tobytes()
-            new = [raw[start[i]:end[i]].decode("utf-8", "replace") for i in first[~known]]
-            got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))
-            keys = np.concatenate([self.keys, uniq[~known]])
-            order = np.argsort(keys, kind="stable")
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])[order]
-            self.len = np.concatenate([self.len, size])[order]
-            self.ids = np.concatenate([self.ids, flat])
-            self.keys = keys[order]
+            fresh, sizes, parts = first[~known], [], []
+            for k in range(0, len(fresh), ENCODE):  # the library's results are large objects
+                texts = [raw[start[i]:end[i]].decode("utf-8", "replace") for i in fresh[k:k + ENCODE]]
+                got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+                parts.append(np.fromiter((x for g in got for x in g), np.uint32, int(sizes[-1].sum())))
+            size, where = np.concatenate(sizes), place[~known]
+            self.at = np.insert(self.at, where, len(self.ids) + np.cumsum(size) - size)
+            self.len = np.insert(self.len, where, size)
+            self.ids = np.concatenate([self.ids, *parts])
+            self.keys = np.insert(self.keys, where, uniq[~known])
             place = np.searchsorted(self.keys, uniq)
         size, at = self.len[place][inverse], self.at[place][inverse]
         stop = np.cumsum(size)
@@ -119,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
         for batch in batches:
             data, off = kernels.buffers(batch.column("text"))
             names = batch.column("doc_id")
-            for at, part, o in kernels.blocks(data, off, 4 << 20):
+            for at, part, o in kernels.blocks(data, off, 2 << 20):
                 ids, begun = encode(part, o)
                 doc, piece, first, length, crc = [], [], [], [], []
                 for d in range(len(o) - 1):
@@ -136,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(kernels.tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class OpenBins:
@@ -208,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     packed = (rest.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
               .repartition(groups, "grp").sortWithinPartitions("grp", F.desc("length"), "row")
-              .mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
+              .mapInPandas(kernels.tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
                                 "sequence_id long, offset long"))
     whole = (pieces.where(F.col("length") == capacity)
              .select(*schema.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))

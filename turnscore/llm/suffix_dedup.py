@@ -144,9 +144,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, part_limit: int = PART
                      pa.array(s1, pa.int64()), pa.array(a, pa.int64()), pa.array(anchor.view(np.int64)),
                      pa.array(run.view(np.int64))], ["id", "th", "s0", "s1", "a", "anchor", "run"])
 
-    runs = materialize(docs.mapInArrow(
-        scan, f"id {kind}, th long, s0 long, s1 long, a long, anchor long, run long"), "anchors")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    runs = materialize(docs.mapInArrow(kernels.tidy(scan), f"id {kind}, th long, s0 long, s1 long, a long, anchor long, run long"), "anchors")
+    # written first, so that the join with it is a plain one whose skewed anchors can be split
+    often = materialize(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     runs = materialize(runs.join(often, "anchor"), "shared-anchors")
     classes = materialize(runs.groupBy("anchor", "run").agg(
         F.count("*").alias("n"), F.min(F.struct("th", "s0", "s1", "a", "id")).alias("one")), "runs")
@@ -191,10 +191,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, part_limit: int = PART
                 ["key", "id", "th", "lo", "first", "left", "right", "n"])
 
     columns = f"key binary, id {kind}, th long, lo long, first long, left binary, right binary, n long"
-    likely_docs = docs.mapInArrow(likely, docs.schema)
+    likely_docs = docs.mapInArrow(kernels.tidy(likely), docs.schema)
     one_text = likely_docs.join(reps.withColumnRenamed("id", "rid").withColumnRenamed("th", "rth"),
                                 F.col("th").eqNullSafe(F.col("rth")) & F.col("id").eqNullSafe(F.col("rid")))
-    strings = materialize(one_text.select("id", "th", "text", "at").mapInArrow(flanks, columns), "strings")
+    strings = materialize(one_text.select("id", "th", "text", "at").mapInArrow(kernels.tidy(flanks), columns), "strings")
     sizes = strings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     strings = materialize(strings.join(sizes, "key"), "parts")
 
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, part_limit: int = PART
     n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spans = f"id {kind}, th long, start long, end long"
     sorted_parts = (strings.where(F.col("size") <= part_limit).repartition(n_parts, "key").sortWithinPartitions("key")
-                    .mapInPandas(sort_parts, spans))
+                    .mapInPandas(kernels.tidy(sort_parts), spans))
 
     def windows(frames):
         for f in frames:
@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, part_limit: int = PART
                         out.append((d.digest(), i, th, s, n))
             yield pd.DataFrame(out, columns=["w", "id", "th", "s", "n"])
 
-    single = strings.where(F.col("size") > part_limit).mapInPandas(windows, f"w binary, id {kind}, th long, s long, n long")
+    single = strings.where(F.col("size") > part_limit).mapInPandas(kernels.tidy(windows), f"w binary, id {kind}, th long, s long, n long")
     twice = single.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     large_parts = single.where("n = 1").join(twice, "w").select("id", "th", F.col("s").alias("start"), (F.col("s") + length).alias("end"))
     return (whole.unionByName(sorted_parts).unionByName(large_parts)
@@ -283,8 +283,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = both.select("id", "text", "spans").mapInArrow(
-        cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = both.select("id", "text", "spans").mapInArrow(kernels.tidy(cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return (out if with_text else out.drop("kept")).withColumnRenamed("id", id_col)
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnscore.llm import kernels
 from turnscore.llm.common import hash_bitmap, materialize, ship, text_or_empty
 
 #: Rounds of drawing; later ones lengthen the form, so that even a small form has room.
@@ -217,7 +218,7 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     open_, taken = entities, None
     real = entities.select("kind", F.col("value").alias("surrogate"))
     for draw in range(ROUNDS):
-        drawn = open_.mapInArrow(drawing(draw), "kind string, value string, surrogate string").join(real, ["kind", "surrogate"], "left_anti")
+        drawn = open_.mapInArrow(kernels.tidy(drawing(draw)), "kind string, value string, surrogate string").join(real, ["kind", "surrogate"], "left_anti")
         if taken is not None:
             drawn = drawn.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         drawn = materialize(drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"), "drawn")
@@ -248,7 +249,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), b.column("th").take(pa.array(row, pa.int64())),
                                               pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["id", "th", "kind", "value"])
 
-    found = materialize(own.mapInArrow(mentions, f"id {kind}, th long, kind string, value string"), "mentions")
+    found = materialize(own.mapInArrow(kernels.tidy(mentions), f"id {kind}, th long, kind string, value string"), "mentions")
     table = surrogate_table(found.select("kind", "value").distinct(), key)
     changes = materialize(found.join(table, ["kind", "value"]).groupBy("id", "th")
                           .agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("changes")), "changes")
@@ -277,10 +278,10 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                                              ["id", "text", "n_entities", "n_distinct"])
 
     changes = changes.withColumnRenamed("id", "rid").withColumnRenamed("th", "rth")
-    changed = (own.mapInArrow(some(1), own.schema).join(changes, (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid")), "left")
-               .select("id", "text", "changes").mapInArrow(rewrite, f"id {kind}, text string, n_entities long, n_distinct long"))
+    changed = (own.mapInArrow(kernels.tidy(some(1)), own.schema).join(changes, (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid")), "left")
+               .select("id", "text", "changes").mapInArrow(kernels.tidy(rewrite), f"id {kind}, text string, n_entities long, n_distinct long"))
     zero = F.lit(0).cast("long")
-    same = own.mapInArrow(some(0), own.schema).select("id", "text", zero.alias("n_entities"), zero.alias("n_distinct"))
+    same = own.mapInArrow(kernels.tidy(some(0)), own.schema).select("id", "text", zero.alias("n_entities"), zero.alias("n_distinct"))
     return changed.unionByName(same).withColumnRenamed("id", id_col)
 
 

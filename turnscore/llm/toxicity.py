@@ -193,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                             "value": np.concatenate([each.ravel(), model.thresholds]),
                             "kind": np.concatenate([np.tile(np.arange(each.shape[1]), len(each)), np.full(len(model.thresholds), -1)])})
 
-    got = (rows.mapInArrow(features, "lid string, toxic int, packed binary").repartition(1)
-           .mapInPandas(learn, "word long, value double, kind long").toPandas())
+    got = (rows.mapInArrow(kernels.tidy(features), "lid string, toxic int, packed binary").repartition(1)
+           .mapInPandas(kernels.tidy(learn), "word long, value double, kind long").toPandas())
     w, t = got[got["kind"] >= 0].sort_values(["word", "kind"]), got[got["kind"] < 0].sort_values("word")
     if not len(t):
         return fit_ordinal([], np.zeros(0, np.int64))
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
                 [batch.column("id"), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(each.argmax(1)),
                  pa.array(above[:, 0] >= reject)], ["id", "expected_severity", "p_toxic", "grade", "toxic"])
 
-    return source.mapInArrow(run, f"id {kind}, expected_severity double, p_toxic double, grade long, toxic boolean"
+    return source.mapInArrow(kernels.tidy(run), f"id {kind}, expected_severity double, p_toxic double, grade long, toxic boolean"
                              ).withColumnRenamed("id", id_col)
 
 
@@ -237,7 +237,7 @@ def drop_toxic(docs: DataFrame, model: Ordinal, text_col: str = "text", reject:
             s = np.concatenate([model.scores(p, o) for _, p, o in kernels.blocks(data, off)] or [np.zeros(0)])
             yield batch.filter(pa.array(model.above(s)[:, 0] < reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernels.tidy(run), docs.schema)
 
 
 ship(__name__)

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from turnscore.llm.licenses import NOTICES, PHRASES, edits_allowed, pieces, scan_licenses
+from turnscore.llm.licenses import NOTICES, PHRASES, Finder, edits_allowed, pieces, scan_licenses
 from turnscore.llm.queries import op1_license_scan
 
 
@@ -70,6 +70,49 @@ def test_spans_and_repeated_rows(spark):
     assert scan_licenses(df.limit(0)).collect() == []
 
 
+def all_spans(notice, text):
+    """Best matches first (fewest edits, first end, shortest), none over another."""
+    k, found = edits_allowed(notice), []
+    for s in range(len(text)):
+        part = text[s:s + len(notice) + k]
+        row = list(range(len(part) + 1))
+        for i, c in enumerate(notice):
+            new = [i + 1]
+            for j, d in enumerate(part):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        found += [(e, s + j, -s) for j, e in enumerate(row) if e <= k]
+    out = []
+    for e, y, x in sorted(found):
+        if all(y <= a or b <= -x for a, b, _ in out):
+            out.append((-x, y, e))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_spans_of_runs_against_brute_force(seed):
+    r = random.Random(seed)
+    find = Finder(NOTICES)
+    for _ in range(6):
+        own, text = r.sample(["general public license", "lesser general public license", "all rights reserved"], 2), ""
+        for _ in range(r.randint(1, 6)):
+            n = list(r.choice(own))
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                at = r.randrange(len(n))
+                n[at:at + r.randint(0, 1)] = r.choice(["", "x", "é", " ", "e"])
+            text += "".join(n)[r.choice([0, 0, 0, 9]):] + r.choice([" ", " ", "", " the "])
+        text = " ".join(text.split())
+        got = find(text)
+        for n in NOTICES:
+            assert [(x, y, e) for m, x, y, e in got if m == n] == all_spans(n, text), (n, text)
+
+
+def test_edited_notice_before_a_better_one(spark):
+    df = spark.createDataFrame([(1, "x generl publc license\nGeneral Public License y\ngeneral publik license")], "doc_id long, text string")
+    spans = [(s.label, s.first_word, s.last_word, s.edits) for s in scan_licenses(df).first().spans]
+    assert spans == [("gpl", 1, 3, 2), ("gpl", 4, 6, 0), ("gpl", 8, 10, 1)]
+
+
 def test_query_base_columns_on_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = result(op1_license_scan(spark, "/root/testdata/sf0.001"))

@@ -2,10 +2,14 @@
 
 A notice of n characters with at most k edits contains one of k + 1 pieces of it
 unchanged (pigeonhole), so the pieces are searched for exactly, all in one pass, and
-only the surroundings of a hit are matched with bounded errors by the regex library."""
+only the surroundings of a hit, each on its own, are compared by edit distance."""
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,13 +46,29 @@ def pieces(notice: str) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(edge, edge[1:])]
 
 
+def best_match(notice: str, part: str) -> tuple[int, int, int] | None:
+    """(edits, end, start) of the part's match with fewest edits, of these the first to end, then the shortest."""
+    at = part.find(notice)
+    if at >= 0:
+        return 0, at + len(notice), at
+    big = len(part) + 1  # a cell is edits * big - start
+    steps = np.arange(big) * big
+    codes = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+    row = -np.arange(big)
+    for c in notice:
+        new = row + big
+        np.minimum(new[1:], row[:-1] + big * (codes != ord(c)), out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps
+    edits = -(-row // big)
+    end = int(edits.argmin())
+    e = int(edits[end])
+    return (e, end, e * big - int(row[end])) if e <= edits_allowed(notice) else None
+
+
 class Finder:
     def __init__(self, notices: dict[str, str]):
         import ahocorasick
-        import regex
-        self.labels = notices
-        self.match = {n: regex.compile("(?b)(?:%s){e<=%d}" % (regex.escape(n, literal_spaces=True), edits_allowed(n)))
-                      for n in notices}
+        self.best = lru_cache(1 << 14)(best_match)
         seeds: dict[str, list[tuple[str, int]]] = {}
         for n in notices:
             for piece, at in pieces(n):
@@ -59,25 +79,41 @@ class Finder:
         self.seeds.make_automaton()
 
     def __call__(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(notice, start, end, edits) of matches in words joined by spaces; overlapping ones of a notice once."""
-        around: dict[str, list[list[int]]] = {}
+        """(notice, start, end, edits) of matches in words joined by spaces. Of overlapping ones of a notice
+        that with fewest edits stays, of these the first to end, then the shortest."""
+        around: dict[str, set[tuple[int, int]]] = {}
         for last, (size, of) in self.seeds.iter(text):
             for n, at in of:
                 k = edits_allowed(n)
                 begin = last - size + 1 - at
-                a, b = max(0, begin - k), min(len(text), begin + len(n) + k)
-                spans = around.setdefault(n, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
-        out = []
-        for n, spans in around.items():
-            for a, b in spans:
-                for m in self.match[n].finditer(text, a, b):
-                    out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                around.setdefault(n, set()).add((max(0, begin - k), min(len(text), begin + len(n) + k)))
+        out = [(n, x, y, e) for n, parts in around.items() for x, y, e in self.apart(n, text, parts)]
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
+    def apart(self, notice: str, text: str, parts: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of a notice's matches in the parts, best first and none over another."""
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            m = self.best(notice, text[a:b]) if b - a >= len(notice) - edits_allowed(notice) else None
+            if m:
+                heapq.heappush(heap, (m[0], a + m[1], -a - m[2], a, b))
+
+        for a, b in parts:
+            search(a, b)
+        taken: list[tuple[int, int, int]] = []
+        while heap:
+            e, end, start, a, b = heapq.heappop(heap)
+            i = bisect.bisect_right(taken, a, key=lambda t: t[1])  # those before end at or before the part's start
+            j = bisect.bisect_left(taken, b, key=lambda t: t[0])
+            if all(y <= -start or end <= x for x, y, _ in taken[i:j]):
+                bisect.insort(taken, (-start, end, e))
+                i, j = bisect.bisect_right(taken, a, key=lambda t: t[1]), bisect.bisect_left(taken, b, key=lambda t: t[0])
+            edges = [a, *(p for x, y, _ in taken[i:j] for p in (x, y)), b]
+            for x, y in zip(edges[::2], edges[1::2]):  # what is free of the part
+                search(x, y)
+        return taken
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES,
                   notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -88,7 +124,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     them; first_word and last_word are the least and greatest of their first words
     (from 0), null without any. ``labels`` adds those of notices matched with at most
     one edit in ten characters; ``spans`` lists label, first word, last word and edits of
-    these matches. ``score`` is 1 for an exact place, else one less the share of edited
+    these matches, also of all that stand back to back; of overlapping ones of a notice
+    that with fewest edits. ``score`` is 1 for an exact place, else one less the share of edited
     characters of the best match, and 0 without a match. Null and empty texts have no
     words. Repeated rows and null ids are kept as given. An empty table gives no rows.
     Other columns are not read, whatever their names."""

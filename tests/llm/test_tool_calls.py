@@ -55,3 +55,28 @@ def test_empty_tables(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [], [(1, "a", "b")])[1, "a"].status == "orphan_result"
     assert run(spark, [(1, "a", None, "add", "{}")], [], [])[1, "a"].errors == "unknown tool"
+
+
+def test_every_distinct_row_stays(spark):
+    calls = [(1, None, None, "add", '{"a": 1}'), (1, None, None, "add", '{"a": 2}'), (1, None, "d", "sub", "{}"), (None, None, None, None, None),
+             (1, "d", None, "add", '{"a": 5}'), (1, "d", "e", "add", '{"a": 6}'), (1, "d", "d", "add", '{"a": 7}'), (1, "d", "d", "add", '{"a": 7}'),
+             (1, "e", "d", "add", '{"a": 8}')]
+    results = [(1, None, "r1"), (1, None, "r2"), (1, None, "r2"), (None, None, None), (1, "d", "r4"), (1, "d", "r3"), (1, "d", None),
+               (1, "d", "r4"), (1, "z", "r5"), (1, "z", "r6")]
+    df = link_tool_calls(spark.createDataFrame([(*c, "clash") for c in calls], CALLS),
+                         spark.createDataFrame([(*r, 1) for r in results], RESULTS), spark.createDataFrame(ADD, TOOLS))
+    got = []
+    for r in df.collect():
+        m = json.loads(r.message)
+        got.append((r.conv_id, r.call_id, r.depth, r.status, r.errors, (m.get("arguments") or {}).get("a"), m.get("parent"), m.get("result")))
+    none, call, result = "no identifier", "repeated call", "repeated result"
+    want = [(1, None, None, "invalid", none, 1, None, None), (1, None, None, "invalid", none, 2, None, None),
+            (1, None, None, "invalid", none + "; unknown tool", None, "d", None),
+            (None, None, None, "invalid", "arguments are not JSON; no identifier; unknown tool", None, None, None),
+            (1, "d", 0, "invalid", f"{call}; {result}", 5, None, "r3"), (1, "d", 2, "invalid", call, 6, "e", None),
+            (1, "d", None, "invalid", "cycle; " + call, 7, "d", None), (1, "e", 1, "no_result", "", 8, "d", None),
+            *((1, None, None, "orphan_result", "", None, None, r) for r in ("r1", "r2", "r2")),
+            (None, None, None, "orphan_result", "", None, None, None),
+            *((1, "d", None, "orphan_result", result, None, None, r) for r in ("r4", None)),
+            *((1, "z", None, "orphan_result", result, None, None, r) for r in ("r5", "r6"))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -56,3 +56,17 @@ def test_odd_rows(spark):
 def test_query_scores_every_row(spark):
     df = op2_toxicity(spark, "/root/testdata/sf0.001")
     assert df.count() == 200
+
+
+def test_rows_of_one_task_are_bounded(spark):
+    """One labelled id holds many rows, equal and distinct ones."""
+    rows = [(0, f"you idiot {i % 40}") for i in range(400)] + [(i, f"a fine day {i}" if i % 2 else "you scum") for i in range(1, 9)]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, th string")
+    chosen = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(9)], "lid long, toxic int")
+    got = [tuple(r) for r in toxicity.sample_rows(docs, chosen, "doc_id", "text", 100).collect()]
+    assert sorted(got) == sorted({(str(i) if i % 2 else "2" if t == "you scum" else "0", t, int(i % 2 == 0)) for i, t in rows})
+    few = toxicity.sample_rows(docs, chosen, "doc_id", "text", 3).collect()
+    assert sorted(r.toxic for r in few) == [0] * 4 + [1] * 6
+    labels = chosen.withColumnRenamed("lid", "doc_id")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.distinct(), labels)
+    assert a.words.tolist() == b.words.tolist() and np.array_equal(a.total, b.total) and len(a.words)

@@ -152,10 +152,23 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return grade
 
 
+def sample_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """(lid, text, toxic) of the distinct texts that ``chosen`` (lid, toxic) names, each with the least id as text:
+    of each class at most ``2 * sample``, those with the least hash, however many rows an id has."""
+    rows = (docs.select(F.col(id_col).alias("lid"), text_or_empty(text_col).alias("text"))
+            .join(F.broadcast(chosen), "lid").withColumn("lid", F.col("lid").cast("string")).withColumn("th", F.xxhash64("text")))
+    texts = rows.groupBy("toxic", "th").agg(F.min("lid").alias("lid"))  # hashes only, so many rows are no load
+    least = (texts.where("toxic > 0").orderBy("th", "toxic").limit(2 * sample).unionByName(
+        texts.where("toxic <= 0").orderBy("th", "toxic").limit(2 * sample)))  # at most 4 * sample rows
+    return (rows.join(F.broadcast(least), ["lid", "toxic", "th"]).groupBy("lid", "toxic", "th").agg(F.first("text").alias("text"))
+            .select("lid", "text", "toxic"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic",
         sample: int = SAMPLE) -> Ordinal:
     """The model, from at most ``sample`` labelled rows of each class, those with the least hash of
     their id. Rows without id or label are left out; of several labels of an id the greatest counts.
+    Where ids repeat, at most ``2 * sample`` distinct texts of a class are taken, those with the least hash.
     Equal texts are fitted once, and a feature must occur in two texts."""
     known = (labels.select(F.col(id_col).alias("lid"), F.col(toxic_col).cast("int").alias("toxic"))
              .where("lid is not null and toxic is not null").groupBy("lid").agg(F.max("toxic").alias("toxic")))
@@ -163,8 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.where("toxic > 0").orderBy(order, "lid").limit(sample).unionByName(
         known.where("toxic <= 0").orderBy(order, "lid").limit(sample))
     shares = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    rows = (docs.select(F.col(id_col).alias("lid"), text_or_empty(text_col).alias("text"))
-            .join(F.broadcast(chosen), "lid"))  # at most 2 * sample rows
+    rows = sample_rows(docs, chosen, id_col, text_col, sample)
 
     def features(batches):
         for batch in batches:
@@ -176,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 doc, f = doc[order], f[order]
                 edge = np.searchsorted(doc, np.arange(len(o)))
                 packed += [f[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("lid").cast(pa.string()), batch.column("toxic"), pa.array(packed, pa.binary())],
+            yield pa.RecordBatch.from_arrays([batch.column("lid"), batch.column("toxic"), pa.array(packed, pa.binary())],
                                              ["lid", "toxic", "packed"])
 
     def learn(frames):

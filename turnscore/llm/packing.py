@@ -2,9 +2,10 @@
 
 Texts are tokenised in batches inside the tasks; only piece lengths and checksums
 leave them. Pieces are dealt at random into groups of about GROUP rows, and each
-group is packed online: a fixed number of open bins, a bitset whose bit f says
+group is packed longest first, by best-fit decreasing: a bitset whose bit f says
 that some open bin has exactly f free tokens, and the lowest set bit at or above
-the piece's length as the best fit. When all bins are open, the fullest closes."""
+the piece's length as the best fit. Were all OPEN_BINS bins open, the fullest would
+close, but a group has fewer pieces than that, so none does with the values below."""
 
 from __future__ import annotations
 

@@ -10,6 +10,7 @@ from turnscore.llm.exact_dedup import exact_dedup
 from turnscore.llm import toxicity
 from turnscore.llm.licenses import scan_licenses
 from turnscore.llm.line_dedup import dedup_lines
+from turnscore.llm.merkle import verified_manifest
 from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
@@ -140,3 +141,52 @@ def op6_tool_calls(spark, sf_dir):
 @query("op4_pii_surrogates")
 def op4_pii_surrogates(spark, sf_dir):
     return replace_entities(read_table(spark, sf_dir, "documents"), key=b"op4 surrogate key")
+
+
+#: crc32 bit by bit; the trees level by level; then every leaf's way up with its siblings.
+SQL_MERKLE = r"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256(concat(f(CAST(doc_id AS VARCHAR)), f(source), f(lang), f(CAST(n_chars AS VARCHAR)), f(text))) AS leaf,
+         sha256(concat(f(CAST(doc_id AS VARCHAR)), f(source), f(lang), f(CAST(n_chars AS VARCHAR)),
+                       f(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END))) AS now
+  FROM (SELECT *, coalesce(list_reduce(flatten([[ascii(c) + 256, 0, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+               lambda a, e: CASE WHEN e >= 256 THEN xor(a, e - 256) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295) & 1 = 1, false) AS even
+        FROM documents) AS d),
+groups AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents) AS s),
+placed AS (SELECT l.*, g.tree, row_number() OVER (PARTITION BY g.tree ORDER BY l.doc_id NULLS FIRST, l.leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY g.tree) AS n FROM leaves AS l JOIN groups AS g ON l.source IS NOT DISTINCT FROM g.source),
+nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1
+  GROUP BY tree, level, pos // 3, n),
+tops AS (
+  SELECT 0 AS level, tree AS pos, count(*) OVER () AS n, digest FROM nodes WHERE n = 1
+  UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+all_nodes AS (SELECT tree, level, pos, n, digest FROM nodes UNION ALL SELECT -1, level, pos, n, digest FROM tops),
+up AS (
+  SELECT doc_id, leaf, tree, tree AS own, 0 AS level, pos, n, '' AS proof, now AS acc FROM placed
+  UNION ALL
+  SELECT u.doc_id, u.leaf, CASE WHEN u.n = 1 THEN -1 ELSE u.tree END, u.own, CASE WHEN u.n = 1 THEN 0 ELSE u.level + 1 END,
+         CASE WHEN u.n = 1 THEN u.own ELSE u.pos // 3 END, CASE WHEN u.n = 1 THEN (SELECT max(n) FROM tops) ELSE (u.n + 2) // 3 END,
+         u.proof || CASE WHEN u.n = 1 THEN '' ELSE s.lft || s.rgt END, CASE WHEN u.n = 1 THEN u.acc ELSE sha256(s.lft || u.acc || s.rgt) END
+  FROM up AS u LEFT JOIN (
+    SELECT x.tree, x.level, x.pos, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (WHERE y.pos < x.pos), '') AS lft,
+           coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (WHERE y.pos > x.pos), '') AS rgt
+    FROM all_nodes AS x JOIN all_nodes AS y ON x.tree = y.tree AND x.level = y.level AND x.pos // 3 = y.pos // 3
+    GROUP BY x.tree, x.level, x.pos) AS s ON s.tree = u.tree AND s.level = u.level AND s.pos = u.pos
+  WHERE u.n > 1 OR u.tree >= 0)
+SELECT u.doc_id, u.leaf, s.digest AS subroot, t.digest AS root, sha256(u.proof) AS proof_sha256, u.acc AS folded_root, u.acc = t.digest AS verified
+FROM up AS u JOIN nodes AS s ON s.tree = u.own AND s.n = 1 JOIN tops AS t ON t.n = 1 WHERE u.tree = -1 AND u.n = 1""".replace(
+    "f(CAST(doc_id AS VARCHAR))", "coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')").replace(
+    "f(CAST(n_chars AS VARCHAR))", "coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')").replace(
+    "f(source)", "coalesce(strlen(source) || ':' || source, '-')").replace("f(lang)", "coalesce(strlen(lang) || ':' || lang, '-')").replace(
+    "f(text)", "coalesce(strlen(text) || ':' || text, '-')").replace(
+    "f(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END)",
+    "coalesce(strlen(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END) || ':' || CASE WHEN even THEN replace(text, chr(10), '') ELSE text END, '-')")
+
+
+@query("op11_merkle_manifest", SQL_MERKLE)
+def op11_merkle_manifest(spark, sf_dir):
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return verified_manifest(read_table(spark, sf_dir, "documents"), {"text": text})

@@ -14,6 +14,7 @@ from turnscore.llm.merkle import verified_manifest
 from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
 from turnscore.llm.registry import query
+from turnscore.llm.simhash import near_groups
 from turnscore.llm.suffix_dedup import remove_repeats
 from turnscore.llm.surrogates import replace_entities
 from turnscore.llm.tool_calls import TOOLS, link_tool_calls
@@ -190,3 +191,8 @@ def op11_merkle_manifest(spark, sf_dir):
     even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return verified_manifest(read_table(spark, sf_dir, "documents"), {"text": text})
+
+
+@query("op12_simhash_groups")
+def op12_simhash_groups(spark, sf_dir):
+    return near_groups(read_table(spark, sf_dir, "documents"))

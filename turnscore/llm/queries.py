@@ -13,6 +13,7 @@ from turnscore.llm.line_dedup import dedup_lines
 from turnscore.llm.merkle import verified_manifest
 from turnscore.llm.ngram_join import similar_groups
 from turnscore.llm.packing import pack
+from turnscore.llm.phrases import collocations
 from turnscore.llm.registry import query
 from turnscore.llm.simhash import near_groups
 from turnscore.llm.suffix_dedup import remove_repeats
@@ -196,3 +197,36 @@ def op11_merkle_manifest(spark, sf_dir):
 @query("op12_simhash_groups")
 def op12_simhash_groups(spark, sf_dir):
     return near_groups(read_table(spark, sf_dir, "documents"))
+
+
+SQL_PHRASES = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) AS d),
+words AS (SELECT lang, p, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS (SELECT lang, x, lead(x, 1) OVER s AS y, lead(x, 2) OVER s AS z FROM words WINDOW s AS (PARTITION BY p ORDER BY i)),
+total AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+f1 AS (SELECT lang, x, count(*) AS f FROM runs GROUP BY lang, x),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM runs WHERE y IS NOT NULL GROUP BY lang, x, y),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM runs WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= 10),
+held AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) AS t GROUP BY lang, x, y),
+cuts AS (
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, 1 AS k, u.f AS l, v.f AS r
+  FROM f2 AS c JOIN f1 AS u ON u.lang = c.lang AND u.x = c.x JOIN f1 AS v ON v.lang = c.lang AND v.x = c.y
+  LEFT JOIN held AS h ON h.lang = c.lang AND h.x = c.x AND h.y = c.y WHERE c.f >= 10 AND (h.f IS NULL OR 100 * h.f < 50 * c.f)
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, u.f, v.f
+  FROM f3 AS c JOIN f1 AS u ON u.lang = c.lang AND u.x = c.x JOIN f2 AS v ON v.lang = c.lang AND v.x = c.y AND v.y = c.z
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, u.f, v.f
+  FROM f3 AS c JOIN f2 AS u ON u.lang = c.lang AND u.x = c.x AND u.y = c.y JOIN f1 AS v ON v.lang = c.lang AND v.x = c.z),
+scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_phrase_mining", SQL_PHRASES)
+def op13_phrase_mining(spark, sf_dir):
+    return collocations(read_table(spark, sf_dir, "documents"))

@@ -85,3 +85,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         last = mark
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+
+
+ship(__name__)  # modules that are sent by value hold functions of this one

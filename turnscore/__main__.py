@@ -31,6 +31,8 @@ def main(argv=None) -> None:
     a.add_argument("--features", type=int, help="number of hashed text features")
     a = sub.add_parser("curve", help="learning curve")
     a.add_argument("examples"), a.add_argument("out_dir")
+    a.add_argument("--model", default="topic_mean", choices=["topic_mean", "text_linear"])
+    a.add_argument("--features", type=int, help="number of hashed text features")
     a = sub.add_parser("compare", help="McNemar comparison of two confusion documents")
     a.add_argument("base_docs"), a.add_argument("tuned_docs"), a.add_argument("out_dir")
     a = sub.add_parser("similarity", help="real vs synthetic text similarity")
@@ -54,7 +56,7 @@ def main(argv=None) -> None:
     elif args.step == "cv":
         flows.cross_validate(spark, args.examples, args.out_dir, k=args.folds, model=args.model, features=args.features)
     elif args.step == "curve":
-        flows.learning_curve(spark, args.examples, args.out_dir)
+        flows.learning_curve(spark, args.examples, args.out_dir, model=args.model, features=args.features)
     elif args.step == "compare":
         flows.compare_models(spark, args.base_docs, args.tuned_docs, args.out_dir)
     elif args.step == "similarity":

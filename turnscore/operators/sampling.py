@@ -71,21 +71,15 @@ def prefix_sizes(n_total: Column, fractions: Sequence[float]) -> Column:
     return F.array(*[F.floor(n_total.cast("double") * F.lit(float(f))).cast("bigint") for f in fractions])
 
 
-def nested_prefix(folded: DataFrame, keys: Sequence[str], k: int = S.N_FOLDS, seed=S.SEED,
-                  fractions: Sequence[float] = S.FRACTIONS, fold_col: str = "fold",
-                  hex_digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
-    """For every outer fold f, the training pool (rows not in f) in a shuffled
-    order, ``pool_rank`` (1-based) and ``frac_idx`` = index of the smallest fraction
-    whose prefix ``int(N*frac)`` (N = whole data set) contains the row (null when
-    none does). Prefixes are nested by construction.
+def pool_ranks(folded: DataFrame, keys: Sequence[str], k: int = S.N_FOLDS, seed=S.SEED, fold_col: str = "fold",
+               hex_digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
+    """Adds ``pools``: an array of (outer_fold, pool_rank) with the row's 1-based rank in the shuffled training
+    pool (the rows not in that fold) of every other fold.
 
     All pools share one seeded order (md5 of ``key:seed:pool``); a row's rank in
     pool f is its rank in that order minus the fold-f rows ahead of it. So the
     rows are ranked once - bucket counts per fold give offsets, one window per
-    md5 bucket gives positions and running fold counts - and each row is
-    expanded to its k-1 pools only after ranking.
-
-    Input must carry ``fold`` and ``n_total`` (from ``kfold``)."""
+    md5 bucket gives positions and running fold counts."""
     h = folded.withColumn("_h", shuffle_key(keys, f"{seed}:pool")) \
         .withColumn("_b", F.substring("_h", 1, hex_digits))
     in_fold = [F.when(F.col(fold_col) == f, 1).otherwise(0) for f in range(k)]
@@ -107,11 +101,39 @@ def nested_prefix(folded: DataFrame, keys: Sequence[str], k: int = S.N_FOLDS, se
                                         (F.col("_r") - F.col(f"_a{f}")).alias("pool_rank"))
                                for f in range(k)]),
                      lambda p: p["outer_fold"] != F.col(fold_col))
-    out = ranked.withColumn("_p", F.explode(pools)) \
+    return ranked.withColumn("pools", pools).drop("_h", "_b", "_r", "_o", *[f"_o{f}" for f in range(k)], *[f"_a{f}" for f in range(k)])
+
+
+def _step(rank: Column, fractions: Sequence[float]) -> Column:
+    """Index of the smallest fraction whose prefix holds the rank; null when none does."""
+    below = F.size(F.filter(prefix_sizes(F.col("n_total"), fractions), lambda s: s < rank))
+    return F.when(below < len(fractions), below).cast("int")
+
+
+def nested_prefix(folded: DataFrame, keys: Sequence[str], k: int = S.N_FOLDS, seed=S.SEED,
+                  fractions: Sequence[float] = S.FRACTIONS, fold_col: str = "fold",
+                  hex_digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
+    """For every outer fold f, the training pool (rows not in f) in a shuffled
+    order, ``pool_rank`` (1-based) and ``frac_idx`` = index of the smallest fraction
+    whose prefix ``int(N*frac)`` (N = whole data set) contains the row (null when
+    none does). Prefixes are nested by construction. Each row is expanded to its
+    k-1 pools only after the ranking of ``pool_ranks``.
+
+    Input must carry ``fold`` and ``n_total`` (from ``kfold``)."""
+    out = pool_ranks(folded, keys, k, seed, fold_col, hex_digits).withColumn("_p", F.explode("pools")) \
         .withColumn("outer_fold", F.col("_p.outer_fold")) \
-        .withColumn("pool_rank", F.col("_p.pool_rank").cast("bigint"))
-    out = out.drop("_p", "_h", "_b", "_r", "_o", "_cnt", *[f"_o{f}" for f in range(k)],
-                   *[f"_a{f}" for f in range(k)], *[f"_c{f}" for f in range(k)])
-    sizes = prefix_sizes(F.col("n_total"), fractions)
-    below = F.size(F.filter(sizes, lambda s: s < F.col("pool_rank")))
-    return out.withColumn("frac_idx", F.when(below < len(fractions), below).cast("int"))
+        .withColumn("pool_rank", F.col("_p.pool_rank").cast("bigint")).drop("_p", "pools")
+    return out.withColumn("frac_idx", _step(F.col("pool_rank"), fractions))
+
+
+def nested_steps(folded: DataFrame, keys: Sequence[str], k: int = S.N_FOLDS, seed=S.SEED,
+                 fractions: Sequence[float] = S.FRACTIONS) -> DataFrame:
+    """One row per input row: ``steps``, an array with the row's ``frac_idx`` of ``nested_prefix`` for each
+    outer fold 0..k-1; null for the row's own fold, and where no prefix holds the row."""
+    ranked = pool_ranks(folded, keys, k, seed)
+    rank = [F.get(F.transform(F.filter("pools", _is_fold(f)), lambda p: p["pool_rank"]), F.lit(0)) for f in range(k)]
+    return ranked.withColumn("steps", F.array(*[F.when(r.isNotNull(), _step(r, fractions)) for r in rank])).drop("pools")
+
+
+def _is_fold(f: int):
+    return lambda p: p["outer_fold"] == f

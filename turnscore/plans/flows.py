@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from turnscore import schemas as S
 from turnscore.operators import compare as CP
 from turnscore.operators import confusion as CF
+from turnscore.operators import curve as CU
 from turnscore.operators import dialogue as DG
 from turnscore.operators import metrics as M
 from turnscore.operators import models as ML
@@ -152,11 +153,16 @@ def cross_validate(spark: SparkSession, examples_path: str, out_dir: str, k: int
     return spark.read.parquet(f"{out_dir}/fold_metrics")
 
 
-def learning_curve(spark: SparkSession, examples_path: str, out_dir: str) -> DataFrame:
-    """Nested-subset learning curve of the topic-mean predictor (steps 06, 07):
-    raw and aggregated CSV tables."""
+def learning_curve(spark: SparkSession, examples_path: str, out_dir: str, model: str = "topic_mean",
+                   features: int | None = None) -> DataFrame:
+    """Nested-subset learning curve of the topic-mean predictor or, with ``model='text_linear'``, of a text
+    regression (steps 06, 07): raw and aggregated CSV tables."""
     folded = materialize(SA.kfold(_labelled_examples(spark, examples_path), ["example_id"]), "folds")
-    curve = materialize(ML.learning_curve_mean(folded, ["example_id"]), "curve")
+    if model == "text_linear":
+        curve = CU.learning_curve_text(folded, ["example_id"], text="input", **({"num_features": features} if features else {}))
+    else:
+        curve = ML.learning_curve_mean(folded, ["example_id"])
+    curve = materialize(curve, "curve")
     W.write_table(curve, f"{out_dir}/results_by_fraction", fmt="csv", sort_by=["outer_fold", "fraction", "topic"])
     W.write_table(ML.learning_curve_agg(curve), f"{out_dir}/aggregated_results", fmt="csv",
                   sort_by=["fraction", "topic"])

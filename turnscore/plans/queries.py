@@ -10,6 +10,7 @@ from turnscore.functions import text as TX
 from turnscore.operators import metrics as M
 from turnscore.operators import compare as CP
 from turnscore.operators import confusion as CF
+from turnscore.operators import curve as CU
 from turnscore.operators import dialogue as DG
 from turnscore.operators import models as ML
 from turnscore.operators import report as RP
@@ -677,6 +678,11 @@ def _text_regression_cv(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(M.evaluate_folds(preds, ["model"]))
 
 
+@register("learning_curve_text", "ML7 AG14")
+def _learning_curve_text(spark: SparkSession, sf: str) -> DataFrame:
+    return round_doubles(CU.learning_curve_text(_folded_docs(spark, sf), ["example_id"]))
+
+
 @register("gbt_regression_cv", "ML3 ML4")
 def _gbt_regression_cv(spark: SparkSession, sf: str) -> DataFrame:
     preds = ML.gbt_regression_cv(_folded_docs(spark, sf))

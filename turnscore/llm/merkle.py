@@ -11,14 +11,15 @@ reversed for proofs, which run from the leaf. Only DataFrame and SQL functions r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnscore.llm.common import materialize, release
 
-#: Children of a node.
-FAN = 3
+#: Children of a node, and levels that are built or descended in one job.
+FAN, STEP = 3, 4
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -53,41 +54,47 @@ def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return materialize(out, "numbered")
 
 
-@dataclass
-class Levels:
-    """Trees level by level: ``nodes[k]`` holds (tree, pos, n, digest, children), n being the tree's nodes
-    at level k; level 0 are leaves (no children), and a tree ends where n is 1."""
-    nodes: list[DataFrame]
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
-    def roots(self) -> DataFrame:
-        """(tree, height, digest) of every tree."""
-        out = [x.where("n = 1").select("tree", F.lit(k).alias("height"), "digest") for k, x in enumerate(self.nodes)]
-        return _union(out)
 
-    def records(self) -> DataFrame:
-        """(digest, children) of all inner nodes."""
-        return _union([x.select("digest", "children") for x in self.nodes[1:]]) if len(self.nodes) > 1 else None
+def _levels(leaves: Column, n: Column) -> Column:
+    """STEP levels over the leaves' digests of a group, fewer where the tree ends: (levels, n, h), the first
+    level being the leaves, n the tree's nodes at the last one, and h the levels added."""
+    def one(below, i):
+        run = F.transform(F.slice(below, i * FAN + 1, FAN), lambda x: x.digest)
+        return F.struct(F.sha2(F.array_join(run, ""), 256).alias("digest"), run.alias("children"))
 
+    def up(acc, _):
+        below = F.element_at(acc.levels, -1)
+        level = F.transform(F.sequence(F.lit(0), F.ceil(F.size(below) / FAN).cast("int") - 1), lambda i: one(below, i))
+        return F.when(acc.n <= 1, acc).otherwise(F.struct(
+            F.array_append(acc.levels, level).alias("levels"), F.ceil(acc.n / FAN).cast("long").alias("n"), (acc.h + 1).alias("h")))
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionByName(x)
-    return out
+    first = F.transform(leaves, lambda x: F.struct(x.alias("digest"), F.lit(None).cast("array<string>").alias("children")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEP)), F.struct(F.array(first).alias("levels"), n.cast("long").alias("n"), F.lit(0).alias("h")), up)
 
 
-def build(leaves: DataFrame) -> Levels:
-    """Levels over ``leaves`` (tree, pos, n, digest). A level is one aggregation of the level below."""
-    nodes = [leaves]
+def build(leaves: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """Trees over ``leaves`` (tree, pos, n, digest): their roots (tree, height, digest), the records (digest,
+    children) of their inner nodes, or None where there are none, and the greatest height. One aggregation
+    builds STEP levels, from groups of FAN**STEP neighbours."""
+    rows, roots, records, height = leaves.withColumn("height", F.lit(0)), [], [], 0
     n = leaves.agg(F.max("n")).first()[0] or 0
     while n > 1:
+        roots.append(rows.where("n = 1"))
         run = F.transform(F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x.digest)
-        up = (nodes[-1].where("n > 1")
-              .groupBy("tree", F.floor(F.col("pos") / FAN).alias("pos"), F.ceil(F.col("n") / FAN).alias("n"))
-              .agg(run.alias("children")).withColumn("digest", F.sha2(F.array_join("children", ""), 256)))
-        nodes.append(materialize(up, f"merkle-{len(nodes)}"))
-        n = -(-n // FAN)
-    return Levels(nodes)
+        up = (rows.where("n > 1").groupBy("tree", "height", F.floor(F.col("pos") / FAN**STEP).alias("pos"), "n").agg(run.alias("run"))
+              .select("tree", "height", "pos", _levels(F.col("run"), F.col("n")).alias("x")))
+        up = materialize(up.select("tree", "pos", "x.n", (F.col("height") + F.col("x.h")).alias("height"),
+                                   F.element_at("x.levels", -1)[0].digest.alias("digest"),
+                                   F.flatten(F.slice("x.levels", 2, STEP)).alias("records")), "merkle")
+        records.append(up.select(F.explode("records").alias("r")).select("r.digest", "r.children"))
+        rows = up.drop("records")
+        for _ in range(STEP):
+            height, n = height + (n > 1), -(-n // FAN)
+    roots.append(rows.where("n = 1"))
+    return _union(roots).select("tree", "height", "digest"), _union(records) if records else None, height
 
 
 @dataclass
@@ -123,15 +130,13 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     other = groups.select(F.col("grp").alias("_grp"), "tree")
     leaves = materialize(placed.join(other, placed.grp.eqNullSafe(other._grp)).drop("_grp", "grp"), "placed")
     release(rows), release(placed)
-    trees = build(leaves.select("tree", "pos", "n", "digest"))
-    starts = materialize(trees.roots(), "roots")
-    tops = build(starts.select(F.lit(-1).alias("tree"), F.col("tree").alias("pos"), F.lit(starts.count()).alias("n"), "digest"))
-    stored = [x for x in (trees.records(), tops.records()) if x is not None]
+    starts, low, below = build(leaves.select("tree", "pos", "n", "digest"))
+    starts = materialize(starts, "roots")
+    top, high, above = build(starts.select(F.lit(-1).alias("tree"), F.col("tree").alias("pos"), F.lit(starts.count()).alias("n"), "digest"))
+    stored = [x for x in (low, high) if x is not None]
     # by digest: equal subtrees are one record
     records = materialize(_union(stored).groupBy("digest").agg(F.min("children").alias("children")), "records") if stored else None
-    for x in trees.nodes[1:]:
-        release(x)
-    return Manifest(leaves, names, records, starts, materialize(tops.roots(), "top"), (len(trees.nodes) - 1, len(tops.nodes) - 1))
+    return Manifest(leaves, names, records, starts, materialize(top, "top"), (below, above))
 
 
 def step_down(at: DataFrame, records: DataFrame, wanted: DataFrame | None) -> DataFrame:
@@ -153,10 +158,11 @@ def descend(starts: DataFrame, height: int, records: DataFrame | None, requests:
     for level in range(height, stop - 1, -1):
         if at is not None:
             wanted = None if requests is None else requests.select("tree", F.floor(F.col("pos") / FAN**level).alias("pos")).distinct()
-            last, at = at, materialize(step_down(at, records, wanted), f"descent-{level}")
-            release(last)
+            at = step_down(at, records, wanted)
         here = starts.where(F.col("height") == level).select("tree", F.lit(0).cast("long").alias("pos"), "digest", "path")
-        at = materialize(here if at is None else at.unionByName(here), f"frontier-{level}")
+        at = here if at is None else at.unionByName(here)
+        if (height - level) % STEP == STEP - 1:  # the plan stays short
+            at = materialize(at, "frontier")
     low = starts.where(F.col("height") < stop).select("tree", F.lit(0).cast("long").alias("pos"), "digest", "path")
     return (at if at is not None else low.limit(0)), low
 

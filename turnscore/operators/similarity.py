@@ -3,13 +3,12 @@
 * Mean over all pairs (overall or per score group) uses
   mean_{i,j} u_i . v_j = (sum_i u_i) . (sum_j v_j) / (n m) on unit vectors:
   two linear aggregations, no pair is ever formed.
-* Exact max / min over all pairs is n x m in the worst case. Vectors are put in
-  bounded blocks of nearby directions; per-block centroid and radius bound the
-  cosine of every pair between two blocks, and only block pairs whose bounds
-  can hold an extreme are multiplied (one matrix product per block pair in an
+* Exact max / min over all pairs is n x m in the worst case. A metric tree bounds the
+  cosine of every pair between two nodes, and only leaf pairs whose bounds
+  can hold an extreme are multiplied (one matrix product per leaf pair in an
   Arrow batch, one output row), so no pair row is emitted.
-* Pairs above a threshold come from the same block grid, emitting only the
-  pairs that pass (output proportional to the answer).
+* Pairs above a threshold come from the same tree, emitting only the
+  pairs that pass (output proportional to the answer); hashing finds most of them.
 """
 
 from __future__ import annotations
@@ -19,9 +18,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnscore.operators import metric_tree as MT
+from turnscore.session import materialize
+
 
 def with_unit(df: DataFrame, emb: str, out: str = "u") -> DataFrame:
     """Adds the L2-normalised DOUBLE array ``out``; a zero vector stays zero (its
@@ -56,94 +58,9 @@ def cosine_mean(df: DataFrame, by: Sequence[str] = (), side: str = "synthetic",
         (F.col("dot") / (F.col("n_real") * F.col("n_synthetic"))).alias("mean_cosine"))
 
 
-LSH_BITS = 30     # sign-of-projection cells per side: 2**30 blocks of block_rows vectors
-_SLACK = 1e-9     # rounding slack that keeps the block bounds conservative
-
-
-def _dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _blocks(df: DataFrame, side: str, idc: str, emb: str, block_rows: int, bits: int = LSH_BITS) -> DataFrame:
-    """One row per (side, block): ids and unit vectors of at most ~block_rows rows.
-
-    Rows fall into cells by the signs of their first coordinates (cutting planes
-    through the origin, so a block holds nearby directions and has a smaller
-    angular radius).
-    The number of sign bits used is log2(largest side / block_rows) + 2, clamped
-    to 0..``bits`` (a scalar subquery), so cells hold about a quarter block; a cell is
-    hash-split into ceil(n / block_rows) blocks. Blocks are numbered 0..nb-1 per
-    side from the cell counts, one small row per cell that is not empty."""
-    u = with_unit(df.select(side, F.col(idc).alias("id"), emb), emb).drop(emb)
-
-    sig = F.lit(0)
-    for j in range(bits):  # sign of coordinate j: axis-aligned cutting planes, codegen-friendly
-        sig = sig + F.when(F.try_element_at("u", F.lit(j + 1)) > 0, F.lit(1 << j)).otherwise(F.lit(0))
-    largest = df.groupBy(side).count().select(F.max("count").alias("n"))
-    nbits = largest.select(F.greatest(F.lit(0), F.least(F.lit(bits), F.floor(
-        F.log2(F.col("n") / F.lit(float(block_rows)))) + 2)).cast("int").alias("b")).scalar()
-    u = u.withColumn("_cell", sig.bitwiseAND(F.pow(F.lit(2.0), nbits).cast("int") - F.lit(1)))
-    cells = u.groupBy(side, "_cell").agg(F.count(F.lit(1)).alias("_n")) \
-        .withColumn("_sub", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("bigint"))
-    before = Window.partitionBy(side).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(side, "_cell", "_sub",
-                         F.coalesce(F.sum("_sub").over(before), F.lit(0)).alias("_off"),
-                         F.sum("_sub").over(Window.partitionBy(side)).alias("_nb"))
-    cells = cells.select(*[F.col(c).alias(f"_k{c}") for c in (side, "_cell")], "_sub", "_off", "_nb")
-    # null-safe keys: no not-null filter is inferred and pushed below the unit-vector projection
-    on = u[side].eqNullSafe(cells[f"_k{side}"]) & u["_cell"].eqNullSafe(cells["_k_cell"])
-    u = u.join(cells, on).drop(f"_k{side}", "_k_cell")
-    u = u.withColumn("blk", F.col("_off") + F.pmod(F.xxhash64("id"), F.col("_sub")))
-    return u.groupBy(side, "blk", "_nb").agg(F.collect_list("id").alias("ids"),
-                                             F.collect_list("u").alias("us"))
-
-
-def _summaries(blocks: DataFrame) -> DataFrame:
-    """Per block: unit centroid ``c`` and angular radius ``r`` (largest angle of a
-    member to the centroid); built from the block's own arrays."""
-    zero = F.transform(F.col("us")[0], lambda x: x * 0.0)
-    s = blocks.withColumn("_sum", F.aggregate("us", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)))
-    s = s.withColumn("_norm", F.sqrt(_dot(F.col("_sum"), F.col("_sum"))))
-    s = s.withColumn("c", F.when(F.col("_norm") > 0, F.transform("_sum", lambda x: x / F.col("_norm")))
-                     .otherwise(F.transform("_sum", lambda x: x * 0.0)))
-    s = s.withColumn("_mind", F.aggregate("us", F.lit(1.0), lambda acc, v: F.least(acc, _dot(v, F.col("c")))))
-    r = F.when(F.col("_norm") > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_mind"))))) \
-        .otherwise(F.lit(math.pi))
-    return s.select("blk", "c", r.alias("r"))
-
-
-def _block_bounds(blocks: DataFrame, side: str) -> DataFrame:
-    """Every (real block, synthetic block) with bounds on the cosine of any pair
-    between them: ``ub`` >= every pair's cosine >= ``lb`` (angle of the centroids
-    minus / plus both radii). Summary rows only: the vectors are not touched."""
-    summ_r = _summaries(blocks.where(~F.col(side))).select(
-        F.col("blk").alias("blk_r"), F.col("c").alias("c_r"), F.col("r").alias("r_r"))
-    summ_s = _summaries(blocks.where(F.col(side))).select(
-        F.col("blk").alias("blk_s"), F.col("c").alias("c_s"), F.col("r").alias("r_s"))
-    nb_s = blocks.where(F.col(side)).select(F.max("_nb")).scalar()
-    pairs = summ_r.withColumn("blk_s", F.explode(F.sequence(F.lit(0).cast("bigint"), nb_s - 1))) \
-        .join(summ_s, "blk_s")
-    theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(F.col("c_r"), F.col("c_s")))))
-    spread = F.col("r_r") + F.col("r_s")
-    return pairs.select(
-        "blk_r", "blk_s",
-        (F.cos(F.greatest(F.lit(0.0), theta - spread)) + F.lit(_SLACK)).alias("ub"),
-        (F.cos(F.least(F.lit(math.pi), theta + spread)) - F.lit(_SLACK)).alias("lb"))
-
-
-def _candidate_pairs(df: DataFrame, side: str, idc: str, emb: str, block_rows: int, keep) -> DataFrame:
-    """Block pairs that survive ``keep(bounds)`` joined to their data: rows
-    ids_r, us_r, ids_s, us_s. Blocks and bounds are written once to the shared
-    checkpoint folder (each is read by several branches)."""
-    from turnscore.session import materialize
-    blocks = materialize(_blocks(df, side, idc, emb, block_rows), "cos-blocks")
-    bounds = materialize(_block_bounds(blocks, side), "cos-bounds")
-    cand = keep(bounds).select("blk_r", "blk_s")
-    r = blocks.where(~F.col(side)).select(F.col("blk").alias("blk_r"), F.col("ids").alias("ids_r"),
-                                          F.col("us").alias("us_r"))
-    s = blocks.where(F.col(side)).select(F.col("blk").alias("blk_s"), F.col("ids").alias("ids_s"),
-                                         F.col("us").alias("us_s"))
-    return cand.join(r, "blk_r").join(s, "blk_s").select("ids_r", "us_r", "ids_s", "us_s")
+def _tree(df: DataFrame, side: str, idc: str, emb: str, block_rows: int) -> MT.Tree:
+    vectors = with_unit(df.select(F.col(side).alias("side"), F.col(idc).alias("id"), emb), emb)
+    return MT.build(vectors.select("side", "id", "u"), block_rows)
 
 
 def _pair_count(df: DataFrame, side: str) -> Column:
@@ -153,21 +70,15 @@ def _pair_count(df: DataFrame, side: str) -> Column:
 
 
 def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb: str = "emb",
-                    block_rows: int = 1024) -> DataFrame:
+                    block_rows: int = MT.LEAF_ROWS) -> DataFrame:
     """Exact max and min cosine over all (real, synthetic) pairs, with the ids of
-    one maximising and one minimising pair.
-
-    Pruned block grid: from the block bounds, L = max lower bound (the max is at
-    least L) and U = min upper bound (the min is at most U); only block pairs
-    with ub >= L or lb <= U can hold an extreme, and only those are multiplied
-    (one numpy matrix product per block pair, one output row). The worst case
-    (no pruning) is every block pair; ``pairs_examined`` reports the work and
-    ``n_pairs`` the number of (real, synthetic) pairs the extremes are over."""
-    def keep(bounds: DataFrame) -> DataFrame:
-        lim = bounds.select(F.struct(F.max("lb").alias("lo_max"), F.min("ub").alias("hi_min"))).scalar()
-        return bounds.where((F.col("ub") >= lim["lo_max"]) | (F.col("lb") <= lim["hi_min"]))
-    pairs = _candidate_pairs(df, side, idc, emb, block_rows, keep)
+    one maximising and one minimising pair. ``idc`` is unique.
 
+    Best-first search in a metric tree (``metric_tree``): a dive finds a few leaf pairs
+    whose products (one numpy matrix product, one output row each) give limits; then only
+    node pairs that may hold a better value are expanded, and only such leaf pairs
+    multiplied. The worst case (no pruning) is every leaf pair; ``pairs_examined`` reports
+    the work and ``n_pairs`` the number of (real, synthetic) pairs the extremes are over."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # self-contained (numpy / pandas only): workers need no import of this package
         def stack(vectors):
@@ -182,7 +93,15 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
                             float(m[i_min]), int(ids_r[i_min[0]]), int(ids_s[i_min[1]]), int(m.size)))
             yield pd.DataFrame(out, columns=["mx", "mx_r", "mx_s", "mn", "mn_r", "mn_s", "pairs"])
     schema = "mx DOUBLE, mx_r LONG, mx_s LONG, mn DOUBLE, mn_r LONG, mn_s LONG, pairs LONG"
-    parts = pairs.select("ids_r", "us_r", "ids_s", "us_s").mapInPandas(run, schema)
+    tree = _tree(df, side, idc, emb, block_rows)
+    first = MT.search(tree, MT.dive, "cos-dive").select("a", "b")
+    known = materialize(MT.joined(first, tree).mapInPandas(run, schema), "cos-first")
+    limit = known.agg(F.max("mx").alias("hi"), F.min("mn").alias("lo")).first()
+    if limit.hi is None:  # one side is empty
+        parts = known
+    else:
+        rest = MT.search(tree, lambda p: p.where((F.col("ub") >= limit.hi) | (F.col("lb") <= limit.lo)), "cos-pairs")
+        parts = known.unionByName(MT.joined(rest.join(first, ["a", "b"], "left_anti"), tree).mapInPandas(run, schema))
     return parts.agg(
         F.max("mx").alias("max_cosine"),
         F.max_by(F.struct(F.col("mx_r").alias("real_id"), F.col("mx_s").alias("synthetic_id")),
@@ -195,15 +114,16 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
 
 
 def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: str = "id",
-               emb: str = "emb", block_rows: int = 1024) -> DataFrame:
+               emb: str = "emb", block_rows: int = MT.LEAF_ROWS) -> DataFrame:
     """All (real, synthetic) pairs with cosine >= ``threshold``, exactly (SI4).
 
-    Runs on the same blocks as ``cosine_extremes``: block pairs whose upper bound
-    is below the threshold are skipped; each remaining block pair is one matrix
+    Searches the same tree as ``cosine_extremes``: node pairs whose upper bound
+    is below the threshold are not expanded; each leaf pair reached is one matrix
     product and emits only the pairs at or above the threshold, so the output is
     proportional to the answer, never to the candidate count."""
     thr = float(threshold)
-    pairs = _candidate_pairs(df, side, idc, emb, block_rows, lambda b: b.where(F.col("ub") >= F.lit(thr)))
+    tree = _tree(df, side, idc, emb, block_rows)
+    pairs = MT.joined(MT.search(tree, lambda p: p.where(F.col("ub") >= F.lit(thr)), "cos-near"), tree)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def stack(vectors):
@@ -222,6 +142,67 @@ def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: st
     return pairs.mapInPandas(run, "real_id LONG, synthetic_id LONG, cosine DOUBLE")
 
 
+def hash_plan(threshold: float, n: int, recall: float, width: float = 1.0) -> tuple[int, int]:
+    """(projections of a key, keys) so that a pair at the threshold shares a key with probability ``recall``
+    or more, and a bucket of unrelated vectors has few of ``n``.
+
+    Two vectors at distance c fall into one bucket of a projection with width w with probability
+    1 - 2 P(w / c) - 2 c / (sqrt(2 pi) w) (1 - exp(-w^2 / 2 c^2)), P being the normal tail."""
+    def meets(c: float) -> float:
+        r = width / c
+        return 1 - math.erfc(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+    near, far = meets(math.sqrt(max(2 - 2 * threshold, 1e-6))), meets(math.sqrt(2.0))
+    best = None
+    for k in range(1, 25):
+        keys = math.ceil(math.log(1 - recall) / math.log(1 - near ** k))
+        work = keys * (1 + n * far ** k)  # keys and vectors met per vector
+        if best is None or work < best[0]:
+            best = work, k, keys
+    return best[1:]
+
+
+def near_pairs_hashed(df: DataFrame, threshold: float, side: str = "synthetic", idc: str = "id", emb: str = "emb",
+                      recall: float = 0.95, seed: int = 42) -> DataFrame:
+    """(real, synthetic) pairs with cosine >= ``threshold`` > 0 by random-projection buckets (SI4): each pair is
+    found with probability ``recall`` or more, and none is wrong. ``idc`` is unique; zero vectors have no pairs.
+
+    A key is the floor of several random projections of the unit vector; a vector has as many keys as the
+    recall needs (``hash_plan``). Sides are joined by key with ids only, pairs made distinct, and then their
+    cosines computed. Work follows the number of vectors and of pairs that share a bucket."""
+    u = with_unit(df.select(F.col(side).alias("side"), F.col(idc).alias("id"), emb), emb)
+    u = materialize(u.where(F.exists("u", lambda x: x != 0)).select("side", "id", "u"), "hash-vectors")
+    k, keys = hash_plan(threshold, u.count(), recall)
+
+    def hashes(batches):
+        import numpy as np
+        import pyarrow as pa
+        planes = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            if planes is None:
+                rng = np.random.default_rng(seed)
+                planes, shift = rng.normal(size=(x.shape[1], k * keys)), rng.random(k * keys)
+            cell = np.floor(x @ planes + shift).astype(np.int64).reshape(n, keys, k)
+            odd = np.random.default_rng(seed + 1).integers(1, 2**62, k) * 2 + 1
+            code = (cell * odd).sum(axis=2)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(batch.column("side").to_numpy(zero_copy_only=False), keys)), batch.column("id").take(pa.array(np.repeat(np.arange(n), keys))),
+                pa.array(np.tile(np.arange(keys, dtype=np.int32), n)), pa.array(code.ravel())], ["side", "id", "key", "code"])
+
+    kind = u.schema["id"].dataType.simpleString()
+    keyed = materialize(u.mapInArrow(hashes, f"side boolean, id {kind}, key int, code long"), "hash-keys")
+    met = keyed.where("not side").select("key", "code", F.col("id").alias("real_id")).join(
+        keyed.where("side").select("key", "code", F.col("id").alias("synthetic_id")), ["key", "code"])
+    met = met.select("real_id", "synthetic_id").distinct()
+    real = u.where("not side").select(F.col("id").alias("real_id"), F.col("u").alias("_r"))
+    synthetic = u.where("side").select(F.col("id").alias("synthetic_id"), F.col("u").alias("_s"))
+    scored = met.join(real, "real_id").join(synthetic, "synthetic_id").select("real_id", "synthetic_id", MT.dot(F.col("_r"), F.col("_s")).alias("cosine"))
+    return scored.where(F.col("cosine") >= threshold)
+
+
 # Token pattern: maximal runs of letters or digits (Unicode classes).
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 
@@ -267,4 +248,4 @@ def cosine_mean_terms(docs: DataFrame, weights: DataFrame, by: Sequence[str] = (
         (F.coalesce("dot", F.lit(0.0)) / (F.col("n_real") * F.col("n_synthetic"))).alias("mean_cosine"))
 
 
-__all__ = ["with_unit", "cosine_mean", "cosine_extremes", "near_pairs", "term_weights", "cosine_mean_terms"]
+__all__ = ["with_unit", "cosine_mean", "cosine_extremes", "near_pairs", "near_pairs_hashed", "term_weights", "cosine_mean_terms"]

@@ -91,6 +91,23 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("vec_id") % 2 == 1).alias("synthetic"))
 
 
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as the real side, and as the synthetic side each of them mixed with itself moved by one
+    dimension (cosine about 0.92)."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    moved = F.concat(F.slice("v", 2, F.size("v")), F.slice("v", 1, 1))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    copy = e.select((F.col("vec_id") * 2 + 1).alias("id"), F.zip_with("v", moved, lambda x, y: x * 0.85 + y * 0.35).alias("emb"), F.lit(True).alias("synthetic"))
+    return e.select((F.col("vec_id") * 2).alias("id"), F.col("v").alias("emb"), F.lit(False).alias("synthetic")).unionByName(copy)
+
+
+def clustered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_pairs`` with each vector drawn to the axis of its score (odd scores to the negative side)."""
+    axis, sign = F.floor(F.col("score") / 2), F.when(F.col("score") % 2 == 0, 4.0).otherwise(-4.0)
+    pull = F.transform("emb", lambda x, i: x.cast("double") + F.when(i == axis, sign).otherwise(0.0))
+    return text_pairs(spark, sf_dir).withColumn("emb", pull)
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(

@@ -551,6 +551,31 @@ def _near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(SI.near_pairs(X.text_pairs(spark, sf), threshold=0.4))
 
 
+@register("cosine_extremes_work", "SI3 SO4")
+def _cosine_extremes_work(spark: SparkSession, sf: str) -> DataFrame:
+    """The work of the tree search: vector pairs multiplied, of all, on vectors in clusters."""
+    e = SI.cosine_extremes(X.clustered_vectors(spark, sf), block_rows=64)
+    return round_doubles(e.select("max_cosine", "min_cosine", "pairs_examined", "n_pairs", (F.col("pairs_examined") / F.col("n_pairs")).alias("share")))
+
+
+@register("near_pairs_hashed", "SI4", """WITH e AS (SELECT vec_id AS id, embedding AS v FROM embeddings),
+    u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+    b AS (SELECT id, i, CAST(x AS DOUBLE) AS x, 0.85e0 * x + 0.35e0 * v[(i % len(v)) + 1] AS y FROM u JOIN e USING (id)),
+    n AS (SELECT id, sqrt(sum(x * x)) AS nx, sqrt(sum(y * y)) AS ny FROM b GROUP BY id),
+    p AS (SELECT r.id AS rid, s.id AS sid, sum(r.x * s.y) AS d FROM b AS r JOIN b AS s USING (i) GROUP BY r.id, s.id),
+    c AS (SELECT count(*) AS n FROM p JOIN n AS a ON a.id = rid JOIN n AS z ON z.id = sid WHERE d / (a.nx * z.ny) >= 0.9e0)
+    SELECT n AS n_near, CAST(0 AS BIGINT) AS n_wrong, true AS recall_reached FROM c""")
+def _near_pairs_hashed(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs found by hashing against the exact ones: nine tenths at least, and none besides."""
+    d = X.near_copies(spark, sf)
+    exact = SI.near_pairs(d, threshold=0.9).select("real_id", "synthetic_id", F.lit(1).alias("e"))
+    found = SI.near_pairs_hashed(d, threshold=0.9).select("real_id", "synthetic_id", F.lit(1).alias("f"))
+    both = exact.join(found, ["real_id", "synthetic_id"], "full")
+    n = lambda c: F.count(F.when(c, F.lit(1)))
+    return both.agg(n(F.col("e").isNotNull()).alias("n_near"), n(F.col("e").isNull()).alias("n_wrong"),
+                    (n(F.col("e").isNotNull() & F.col("f").isNotNull()) >= 0.9 * n(F.col("e").isNotNull())).alias("recall_reached"))
+
+
 @register("text_cosine_by_score", "SI5 SI2", round_sql(X.with_views("regression_docs") + """,
     d AS (SELECT example_id AS id, label AS score, example_id % 2 = 1 AS synthetic, text FROM regression_docs),
     t AS (SELECT id, score, synthetic, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM d),

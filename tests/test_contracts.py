@@ -229,3 +229,19 @@ def test_cosine_block_pruning_on_clustered_vectors(spark):
     near = SI.near_pairs(df, 0.999, block_rows=16).collect()
     exp = int((sims >= 0.999).sum())
     assert len(near) == exp
+
+
+def test_fixed_prints_exact_binary_values(spark):
+    import random
+    from turnscore.functions.text import fixed, formatted
+    r = random.Random(1)
+    xs = [0.0, -0.0, 0.5, 1.5, 2.5, 0.125, 0.375, 2.885, 5e-21, 5.000000000000001e-21, 1e-300, 5e-324, 1 - 2**-53, 0.99995, 9.99995,
+          -0.001, -2.675, 123456789012.125, math.nan, math.inf, -math.inf, 0.00005, 1e16 + 2]
+    xs += [r.random() * 10 ** r.randint(-12, 8) * r.choice([1, -1]) for _ in range(100_000)]
+    xs += [r.randint(0, 10**6) / 2 ** r.randint(1, 12) for _ in range(20_000)] + [r.randint(0, 10**5) / 1000 for _ in range(20_000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(4)
+    for row in df.select("x", *[fixed("x", n).alias(f"f{n}") for n in (2, 4, 20)]).collect():
+        assert [row.f2, row.f4, row.f20] == ["%.2f" % row.x, "%.4f" % row.x, "%.20f" % row.x]
+    one = spark.createDataFrame([("a", 2.885, None)], "s string, x double, y double").select(
+        formatted("%s: %.2f %%", "s", "x").alias("t"), fixed("y", 3).alias("n")).first()
+    assert (one.t, one.n) == ("a: 2.88 %", None)

@@ -6,6 +6,8 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,7 +130,81 @@ def slug(name) -> Column:
 
 def p_display(p_adj) -> Column:
     return F.when(_c(p_adj) < F.lit(1e-4), F.lit("P < 0.0001")) \
-        .when(_c(p_adj).isNotNull(), F.format_string("P = %.4f", _c(p_adj)))
+        .when(_c(p_adj).isNotNull(), F.concat(F.lit("P = "), fixed(p_adj, 4)))
+
+
+#: A fraction in fixed point: limbs of 28 bits; a double's bits beyond them only matter as a remainder.
+_LIMB, _LIMBS = 1 << 28, 8
+_GROUP = 7  # digits taken at once: a limb times 10**7 fits a long
+
+
+def _limbs(fraction: Column) -> Column:
+    """(limbs, rest): the binary digits of a fraction in [0, 1), exact, the most significant limb first."""
+    def limb(acc, _):
+        t = acc["rest"] * F.lit(float(_LIMB))
+        return F.struct(F.array_append(acc["limbs"], F.floor(t).cast("bigint")).alias("limbs"), (t - F.floor(t)).alias("rest"))
+    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("limbs"), fraction.alias("rest"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_LIMBS)), start, limb)
+
+
+def _times(limbs: Column, power: Column) -> Column:
+    """(limbs, carry) of a fraction times a power of ten: its next digits are the carry."""
+    def one(acc, limb):
+        v = limb * power + acc["carry"]
+        return F.struct(F.concat(F.array(v % _LIMB), acc["limbs"]).alias("limbs"), F.floor(v / _LIMB).alias("carry"))
+    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("limbs"), F.lit(0).cast("bigint").alias("carry"))
+    return F.aggregate(F.reverse(limbs), start, one)
+
+
+def fixed(x, digits: int) -> Column:
+    """A DOUBLE with ``digits`` (1 to 20) decimals, as C and Python print it: the exact binary value, rounded half
+    to even. ``nan``, ``inf`` and ``-inf`` by name, null stays null, a negative zero keeps its sign. For
+    magnitudes below 10**17.
+
+    The fraction becomes limbs in fixed point, exactly; each group of digits is the carry of a
+    multiplication by a power of ten, and what remains decides the rounding."""
+    x = _c(x).cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    powers = [_GROUP] * (digits // _GROUP) + [digits % _GROUP] * (digits % _GROUP > 0)
+    powers = F.array(*[F.lit(10 ** p).cast("bigint") for p in powers])
+
+    def group(acc, power):
+        def take(t):
+            return F.struct(t["limbs"].alias("limbs"), (acc["n"] * power.cast("decimal(8,0)") + t["carry"].cast("decimal(19,0)")).cast(
+                "decimal(38,0)").alias("n"))
+        return F.transform(F.array(_times(acc["limbs"], power)), take)[0]
+
+    def text(r):
+        """``r`` has the limbs that remain, the number without its point, and the bits beyond all limbs."""
+        first, others = r["limbs"][0], F.exists(F.slice(r["limbs"], 2, _LIMBS), lambda v: v != 0) | (r["rest"] > 0)
+        up = (first > _LIMB // 2) | ((first == _LIMB // 2) & (others | (r["n"] % 2 == 1)))
+        n = F.lpad((r["n"] + F.when(up, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")).cast("decimal(38,0)").cast("string"), 38, "0")
+        return F.concat(F.coalesce(F.nullif(F.ltrim(F.substring(n, 1, 38 - digits), F.lit("0")), F.lit("")), F.lit("0")),
+                        F.lit("."), F.substring(n, 39 - digits, digits))
+
+    def digits_of(f):
+        start = F.struct(f["limbs"].alias("limbs"), whole.cast("decimal(38,0)").alias("n"))
+        return F.transform(F.array(F.aggregate(powers, start, group)),
+                           lambda g: F.struct(g["limbs"].alias("limbs"), g["n"].alias("n"), f["rest"].alias("rest")))[0]
+
+    number = F.transform(F.transform(F.array(_limbs(size - whole)), digits_of), text)[0]
+    negative = (x < 0) | (x.cast("string") == "-0.0")
+    return F.when(F.isnan(x), F.lit("nan")).when(size == F.lit(float("inf")), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf"))) \
+        .otherwise(F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), number))
+
+
+def formatted(template: str, *values) -> Column:
+    """A template with ``%s``, ``%.Nf`` (``fixed``) and ``%%`` filled in; null if a value is."""
+    parts, rest = [], [_c(v) for v in values]
+    for piece in re.split(r"(%s|%\.\d+f|%%)", template):
+        if piece == "%s":
+            parts.append(rest.pop(0).cast("string"))
+        elif re.fullmatch(r"%\.\d+f", piece):
+            parts.append(fixed(rest.pop(0), int(piece[2:-1])))
+        elif piece:
+            parts.append(F.lit("%" if piece == "%%" else piece))
+    return F.concat(*parts)
 
 
 def side_name(name, side: int) -> Column:

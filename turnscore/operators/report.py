@@ -2,8 +2,7 @@
 
 Every table formatted here is small (comparisons x topics, topics x metrics);
 lines carry ordering keys so a text sink writes them in report order. Numbers
-use Java formatting: identical to Python's for %.2f / %.4f on these values and
-for %.20f up to 17 significant digits (later digits print as 0).
+are printed from their exact binary value (``functions.text.fixed``).
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnscore import schemas as S
-from turnscore.functions.text import slug
+from turnscore.functions.text import formatted, slug
 
 
 def _matrix_lines(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -38,14 +37,14 @@ def comparison_report(tests: DataFrame, errors: DataFrame) -> DataFrame:
         F.flatten(F.array(
             F.array(topic, F.lit(w["table"])),
             _matrix_lines(F.col("n11"), F.col("n10"), F.col("n01"), F.col("n00")),
-            F.array(F.format_string(w["p"], F.col("p_value")), F.format_string(w["p_adj"], F.col("p_adj")), F.lit("")))))
+            F.array(formatted(w["p"], F.col("p_value")), formatted(w["p_adj"], F.col("p_adj")), F.lit("")))))
     body = tests.select("comparison", "rank", F.posexplode(body_lines).alias("pos", "line")) \
         .withColumn("line_no", (F.lit(100) + F.col("rank") * 100 + F.col("pos")).cast("bigint"))
     tail = errors.select("comparison", F.posexplode(F.array(
         F.concat(F.lit(w["errors"]), F.col("comparison"), F.lit(":")),
         F.concat(F.lit(w["errors_a"]), F.col("errors_a").cast("string")),
         F.concat(F.lit(w["errors_b"]), F.col("errors_b").cast("string")),
-        F.format_string(w["reduction"], F.col("error_reduction_pct")),
+        formatted(w["reduction"], F.col("error_reduction_pct")),
         F.concat(F.lit(w["samples"]), F.col("total_samples").cast("string")),
         F.lit(""))).alias("pos", "line")) \
         .withColumn("line_no", (F.lit(1_000_000) + F.col("pos")).cast("bigint"))
@@ -62,10 +61,10 @@ def baseline_lines(per_topic: DataFrame, overall: DataFrame) -> DataFrame:
     # one row per topic
     topics = per_topic.select(
         (F.lit(1) + F.row_number().over(Window.orderBy("topic"))).cast("bigint").alias("line_no"),
-        F.format_string(w["baseline_topic"], "topic", "mean_prediction", "mse", "mae").alias("line"))
+        formatted(w["baseline_topic"], "topic", "mean_prediction", "mse", "mae").alias("line"))
     tail = overall.select(F.posexplode(F.array(
-        F.lit(""), F.lit(w["baseline_all"]), F.format_string(w["mse"], "mse"), F.format_string(w["mae"], "mae"),
-        F.format_string(w["std"], "std_of_errors"))).alias("pos", "line")) \
+        F.lit(""), F.lit(w["baseline_all"]), formatted(w["mse"], "mse"), formatted(w["mae"], "mae"),
+        formatted(w["std"], "std_of_errors"))).alias("pos", "line")) \
         .select((F.lit(1_000_000) + F.col("pos")).cast("bigint").alias("line_no"), "line")
     return head.unionByName(topics).unionByName(tail)
 
@@ -75,7 +74,7 @@ def fold_summary_lines(summary: DataFrame) -> DataFrame:
     line per metric in name order, and a blank line."""
     w = S.REPORT
     lines = F.transform(F.array_sort(F.collect_list(F.struct("metric", "mean", "std"))),
-                        lambda m: F.format_string(w["metric"], m["metric"], m["mean"], m["std"]))
+                        lambda m: formatted(w["metric"], m["metric"], m["mean"], m["std"]))
     block = summary.groupBy("model", "topic").agg(lines.alias("lines"))
     return block.select("model", "topic", F.posexplode(F.concat(
         F.array(F.concat(F.lit(w["metrics_topic"]), F.col("topic"))), "lines", F.array(F.lit("")))).alias("line_no", "line"))

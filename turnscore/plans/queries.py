@@ -734,13 +734,35 @@ def _batch_map_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return ML.batch_map(docs, load, predict, "doc_id LONG, n_tokens LONG, n_chars LONG")
 
 
-@register("report_lines", "SK5 PR20 PR21 PR22")
+def _report_sql() -> str:
+    """The comparison reports' lines; p-values are rounded to 6 decimals before they are printed."""
+    w = {k: str(v).replace("'", "''") for k, v in S.REPORT.items()}
+    cells = ["n11", "n10", "n01", "n00"]
+    wide = "CAST(greatest(" + ", ".join(f"length(CAST({c} AS VARCHAR))" for c in cells) + ") AS INTEGER)"
+    pad = [f"lpad(CAST({c} AS VARCHAR), {wide}, ' ')" for c in cells]
+    body = [f"'{w['topic']}' || label_en", f"'{w['table']}'", f"'[[' || {pad[0]} || ' ' || {pad[1]} || ']'", f"' [' || {pad[2]} || ' ' || {pad[3]} || ']]'",
+            f"printf('{w['p']}', p_value)", f"printf('{w['p_adj']}', p_adj)", "''"]
+    tail = [f"'{w['errors']}' || comparison || ':'", f"'{w['errors_a']}' || errors_a", f"'{w['errors_b']}' || errors_b",
+            f"printf('{w['reduction']}', error_reduction_pct)", f"'{w['samples']}' || total_samples", "''"]
+    head = [f"'{w['head']}' || comparison", f"repeat('=', length(comparison) + {w['rule_extra']})", "''"]
+    out = [f"SELECT comparison, CAST({i} AS BIGINT) AS line_no, {x} AS line FROM red" for i, x in enumerate(head)]
+    out += [f"SELECT comparison, CAST(100 + rank * 100 + {i} AS BIGINT), {x} FROM rounded" for i, x in enumerate(body)]
+    out += [f"SELECT comparison, CAST({1_000_000 + i} AS BIGINT), {x} FROM red" for i, x in enumerate(tail)]
+    return _marginal_sql(CONFUSION_SQL, S.COMPARISONS) + "," + _test_cols_sql("cells") + f""",
+    rounded AS (SELECT * REPLACE (round(p_value, 6) AS p_value, round(p_adj, 6) AS p_adj) FROM adj),
+    red AS ({_reduction_sql("", S.COMPARISONS).replace(_marginal_sql("", S.COMPARISONS) + ", e AS", "WITH e AS")})
+    SELECT *, lower(replace(replace(comparison, ' ', '_'), '.', '')) || '_results.txt' AS file_slug,
+           trim(split_part(comparison, 'vs.', 1)) AS side_a, trim(split_part(comparison, 'vs.', 2)) AS side_b
+    FROM ({' UNION ALL '.join(out)}) AS q"""
+
+
+@register("report_lines", "SK5 PR20 PR21 PR22", _report_sql())
 def _report_lines(spark: SparkSession, sf: str) -> DataFrame:
     from turnscore.session import materialize
     tr = materialize(CF.trace(_dense_confusion(spark, sf)), "trace")  # tiny, read twice
     td = S.topic_dim(spark)
-    tests = CP.marginal_comparisons(tr, td)
-    errors = CP.error_reduction(tr, td)
+    tests = round_doubles(CP.marginal_comparisons(tr, td))
+    errors = round_doubles(CP.error_reduction(tr, td))
     lines = RP.comparison_report(tests, errors)
     return lines.withColumn("side_a", TX.side_name(F.col("comparison"), 1)) \
         .withColumn("side_b", TX.side_name(F.col("comparison"), 2))
@@ -881,11 +903,11 @@ def _topic_mean_predictions(spark: SparkSession, sf: str) -> DataFrame:
           FROM predictions_wide p JOIN m USING (topic) GROUP BY p.topic, m.mu),
     o AS (SELECT avg(pow(m.mu - p.label, 2)) AS mse, avg(abs(m.mu - p.label)) AS mae, stddev_pop(m.mu - p.label) AS sd
           FROM predictions_wide p JOIN m USING (topic))
-    SELECT CAST(0 AS BIGINT) AS line_no, '=== Baseline MSE and MAE Per Topic (Mean Predictor) ===' AS line UNION ALL SELECT 1, ''
-    UNION ALL SELECT 1 + row_number() OVER (ORDER BY encode(topic)), topic || printf(': Mean Score=%.2f, MSE=%.4f, MAE=%.4f', mu, mse, mae) FROM t
-    UNION ALL SELECT 1000000, '' UNION ALL SELECT 1000001, '=== Overall Baseline Results (All Topics Combined) ==='
-    UNION ALL SELECT 1000002, printf('Overall MSE: %.4f', mse) FROM o UNION ALL SELECT 1000003, printf('Overall MAE: %.4f', mae) FROM o
-    UNION ALL SELECT 1000004, printf('Std of Errors: %.4f', sd) FROM o""")
+    SELECT CAST(0 AS BIGINT) AS line_no, '{baseline_head}' AS line UNION ALL SELECT 1, ''
+    UNION ALL SELECT 1 + row_number() OVER (ORDER BY encode(topic)), printf('{baseline_topic}', topic, mu, mse, mae) FROM t
+    UNION ALL SELECT 1000000, '' UNION ALL SELECT 1000001, '{baseline_all}'
+    UNION ALL SELECT 1000002, printf('{mse}', mse) FROM o UNION ALL SELECT 1000003, printf('{mae}', mae) FROM o
+    UNION ALL SELECT 1000004, printf('{std}', sd) FROM o""".format(**S.REPORT))
 def _baseline_report(spark: SparkSession, sf: str) -> DataFrame:
     p = X.predictions_wide(spark, sf)
     return RP.baseline_lines(M.mean_baseline_topic(p), M.mean_baseline_overall(p))

@@ -9,7 +9,8 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 from turnscore.plans.registry import REGISTRY
 
-PYTHON_ALLOWED = {"batch_map_tokens", "cosine_extremes", "cosine_extremes_work", "near_pairs", "near_pairs_hashed", "learning_curve_text"}
+PYTHON_ALLOWED = {"batch_map_tokens", "cosine_extremes", "cosine_extremes_work", "near_pairs", "near_pairs_hashed", "learning_curve_text",
+                  "encoded_similarity"}
 SKIP = {"text_regression_cv", "gbt_regression_cv"}  # Spark ML internals
 
 

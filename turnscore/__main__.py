@@ -37,6 +37,7 @@ def main(argv=None) -> None:
     a.add_argument("base_docs"), a.add_argument("tuned_docs"), a.add_argument("out_dir")
     a = sub.add_parser("similarity", help="real vs synthetic text similarity")
     a.add_argument("real"), a.add_argument("synthetic"), a.add_argument("out_dir")
+    a.add_argument("--encoder", help="Python file that defines load() and encode(model, texts)")
     args = p.parse_args(argv)
 
     from pyspark.sql import SparkSession
@@ -60,7 +61,7 @@ def main(argv=None) -> None:
     elif args.step == "compare":
         flows.compare_models(spark, args.base_docs, args.tuned_docs, args.out_dir)
     elif args.step == "similarity":
-        flows.similarity_report(spark, args.real, args.synthetic, args.out_dir)
+        flows.similarity_report(spark, args.real, args.synthetic, args.out_dir, encoder=args.encoder)
 
 
 if __name__ == "__main__":

@@ -203,6 +203,51 @@ def near_pairs_hashed(df: DataFrame, threshold: float, side: str = "synthetic",
     return scored.where(F.col("cosine") >= threshold)
 
 
+def encode_texts(df: DataFrame, text: str, load, encode, keep: Sequence[str], out: str = "emb") -> DataFrame:
+    """Columns ``keep`` and ``out``, the vectors that a user's encoder gives the texts (SI5): ``load()`` returns the
+    model, once per Python worker, and ``encode(model, texts)`` one vector of numbers for each text. Null
+    texts are empty. Texts move in Arrow batches and only the vectors leave the workers; write the result
+    (``materialize``) where several steps read it."""
+    import uuid
+    key = uuid.uuid4().hex
+
+    def run(batches):
+        # self-contained (numpy / pyarrow only): workers need no import of this package
+        import sys
+        import types
+        import pyarrow as pa
+        models = sys.modules.setdefault("_turnscore_models", types.ModuleType("_turnscore_models")).__dict__
+        for batch in batches:
+            if key not in models:  # a worker runs many tasks
+                models[key] = load()
+            n = batch.num_rows
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            v = np.asarray(encode(models[key], texts), dtype=np.float64).reshape(n, -1)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], rows], [*keep, out])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, `{out}` array<double>")
+
+
+def file_encoder(spark, path: str):
+    """(load, encode) of an encoder kept in a Python file that defines both. The file goes to every executor with
+    the session's files, so neither the package nor a shared disk is needed there."""
+    import os
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def load():
+        import importlib.util
+        from pyspark import SparkFiles
+        spec = importlib.util.spec_from_file_location("turnscore_encoder", SparkFiles.get(name))
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        return module.encode, module.load()
+
+    return load, lambda model, texts: model[0](model[1], texts)
+
+
 # Token pattern: maximal runs of letters or digits (Unicode classes).
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 
@@ -248,4 +293,4 @@ def cosine_mean_terms(docs: DataFrame, weights: DataFrame, by: Sequence[str] = (
         (F.coalesce("dot", F.lit(0.0)) / (F.col("n_real") * F.col("n_synthetic"))).alias("mean_cosine"))
 
 
-__all__ = ["with_unit", "cosine_mean", "cosine_extremes", "near_pairs", "near_pairs_hashed", "term_weights", "cosine_mean_terms"]
+__all__ = ["with_unit", "cosine_mean", "cosine_extremes", "near_pairs", "near_pairs_hashed", "encode_texts", "file_encoder", "term_weights", "cosine_mean_terms"]

@@ -190,15 +190,35 @@ def compare_models(spark: SparkSession, base_docs: str, tuned_docs: str, out_dir
 
 
 def similarity_report(spark: SparkSession, real_path: str, synthetic_path: str, out_dir: str,
-                      text: str = "text", score: str = "score") -> DataFrame:
-    """Real vs synthetic text similarity (step 09): mean cosine of bag-of-words
-    vectors overall and per score group."""
+                      text: str = "text", score: str = "score", encoder=None) -> DataFrame:
+    """Real vs synthetic text similarity (step 09): mean cosines overall and per score group (``similarity``).
+
+    ``encoder`` is a user's encoder, as the path of a Python file or as a pair (load, encode), see
+    ``similarity.encode_texts``; its vectors are written once. The most and the least similar texts
+    follow with their ids and texts (``extremes``). Without an encoder, vectors are counts of words,
+    and there are no extremes."""
     pairs = R.read_text_pairs(spark, real_path, synthetic_path, text=text, score=score) \
         .withColumn("id", F.monotonically_increasing_id())
-    docs = materialize(pairs.select("id", text, F.col(score).cast("int").alias("score"), "synthetic"), "pairs")
-    w = SI.term_weights(docs, "id", text, keep=["score", "synthetic"])
-    overall = SI.cosine_mean_terms(docs, w).withColumn("score", F.lit(None).cast("int"))
-    per = SI.cosine_mean_terms(docs, w, by=["score"])
-    out = per.unionByName(overall)
+    docs = materialize(pairs.select("id", F.col(text).alias("text"), F.col(score).cast("int").alias("score"), "synthetic"), "pairs")
+    if encoder is None:
+        w = materialize(SI.term_weights(docs, "id", "text", keep=["score", "synthetic"]), "terms")
+        overall, per = SI.cosine_mean_terms(docs, w), SI.cosine_mean_terms(docs, w, by=["score"])
+    else:
+        load, encode = SI.file_encoder(spark, encoder) if isinstance(encoder, str) else encoder
+        vectors = materialize(SI.encode_texts(docs, "text", load, encode, ["id", "score", "synthetic"]), "vectors")
+        overall, per = SI.cosine_mean(vectors), SI.cosine_mean(vectors, by=["score"])
+        W.write_table(similarity_extremes(vectors, docs), f"{out_dir}/extremes")
+    out = per.unionByName(overall.withColumn("score", F.lit(None).cast("int")))
     W.write_table(out, f"{out_dir}/similarity")
     return spark.read.parquet(f"{out_dir}/similarity")
+
+
+def similarity_extremes(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """The most and the least similar pair: kind, cosine, real_id, synthetic_id and both texts."""
+    ext = SI.cosine_extremes(vectors).select(F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_cosine").alias("cosine"), F.col(f"{kind}_pair.real_id").alias("real_id"),
+                 F.col(f"{kind}_pair.synthetic_id").alias("synthetic_id")) for kind in ("max", "min")])).alias("e")).select("e.*")
+    def side(name):
+        return docs.select(F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_text"))
+    return ext.join(side("real"), "real_id", "left").join(side("synthetic"), "synthetic_id", "left") \
+        .select("kind", "cosine", "real_id", "synthetic_id", "real_text", "synthetic_text")

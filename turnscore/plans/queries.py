@@ -595,6 +595,40 @@ def _text_cosine_by_score(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(SI.cosine_mean_terms(docs, w, by=["score"]))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTER_SQL = X.with_views("regression_docs") + """, e AS (SELECT example_id AS id, label AS score, example_id % 2 = 1 AS synthetic, [""" + \
+    ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in _LETTERS) + """] AS v FROM (
+        SELECT example_id, label, lower(coalesce(text, '')) AS text FROM regression_docs) AS d),
+    u AS (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS n FROM e),
+    p AS (SELECT r.score AS rscore, s.score AS sscore, r.id AS rid, s.id AS sid,
+                 CASE WHEN r.n > 0 AND s.n > 0 THEN list_dot_product(r.v, s.v) / (r.n * s.n) ELSE 0e0 END AS cos
+          FROM u r JOIN u s ON NOT r.synthetic AND s.synthetic),
+    g AS (SELECT rscore AS score, avg(cos) AS mean_cosine, count(*) AS n_pairs FROM p WHERE rscore = sscore GROUP BY rscore
+          UNION ALL SELECT NULL, avg(cos), count(*) FROM p)
+    SELECT *, (SELECT max(cos) FROM p) AS max_cosine, (SELECT min(cos) FROM p) AS min_cosine FROM g"""
+
+
+@register("encoded_similarity", "SI5 SI2 SI3 ML5", round_sql(_LETTER_SQL, ["mean_cosine", "max_cosine", "min_cosine"]))
+def _encoded_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Means and extremes over the vectors of a user's encoder (letter counts), written once."""
+    from turnscore.session import materialize
+    letters = _LETTERS
+
+    def load():
+        import numpy as np
+        return np.frombuffer(letters.encode(), np.uint8)
+
+    def encode(alphabet, texts):
+        import numpy as np
+        return np.array([np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=256)[alphabet] for t in texts])
+    docs = X.regression_docs(spark, sf).select("example_id", "text", F.col("label").alias("score"), (F.col("example_id") % 2 == 1).alias("synthetic"))
+    v = materialize(SI.encode_texts(docs.withColumnRenamed("example_id", "id"), "text", load, encode, ["id", "score", "synthetic"]), "vectors")
+    ext = SI.cosine_extremes(v).first()  # one row
+    means = SI.cosine_mean(v, by=["score"]).unionByName(SI.cosine_mean(v).withColumn("score", F.lit(None).cast("int")))
+    return round_doubles(means.select("score", "mean_cosine", (F.col("n_real") * F.col("n_synthetic")).alias("n_pairs"),
+                                      F.lit(ext.max_cosine).alias("max_cosine"), F.lit(ext.min_cosine).alias("min_cosine")))
+
+
 # ------------------------------------------- manifest, ledger, keys, segments
 
 

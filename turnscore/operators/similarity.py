@@ -257,17 +257,19 @@ def term_weights(df: DataFrame, idc: str, text: str, keep: Sequence[str] = ()) -
 
     Whole texts are tokenised (lower case, split on non letter/digit runs). Terms are
     counted inside the row, as runs of its sorted tokens, so no text is shuffled."""
-    # the generator computes the sorted tokens once; plain columns would be put into every use below
-    docs = df.select(F.col(idc).alias("id"), *keep, F.explode(F.array(F.array_sort(F.filter(
-        F.split(F.lower(F.col(text)), TOKEN_SPLIT), lambda t: t != "")))).alias("_t"))
+    # a generator computes its array once; a plain column would be put into every use below
+    def once(frame, name, array):
+        return frame.select("*", F.explode(F.array(array)).alias(name))
+    docs = once(df.select(F.col(idc).alias("id"), *keep, F.lower(F.col(text)).alias("_l")), "_t",
+                F.sort_array(F.array_remove(F.split("_l", TOKEN_SPLIT), ""))).drop("_l")
     size = F.size("_t")
-    docs = docs.where(size > 0).withColumn("_starts", F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (
+    docs = once(docs.where(size > 0), "_starts", F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (
         F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1))))))
     ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(size + 1))
-    docs = docs.withColumn("_terms", F.zip_with("_starts", ends, lambda a, b: F.struct(
-        F.element_at("_t", a).alias("term"), (b - a).alias("c"))))
+    docs = once(docs, "_terms", F.zip_with("_starts", ends, lambda a, b: F.struct(
+        F.element_at("_t", a).alias("term"), (b - a).alias("c")))).drop("_t", "_starts")
     norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda s, x: s + x["c"].cast("double") * x["c"]))
-    return docs.withColumn("_norm", norm).select("id", *keep, "_norm", F.explode("_terms").alias("x")) \
+    return once(docs, "_norm", norm).select("id", *keep, "_norm", F.explode("_terms").alias("x")) \
         .select("id", *keep, F.col("x.term").alias("term"), (F.col("x.c") / F.col("_norm")).alias("w"))
 
 

@@ -11,7 +11,7 @@ from turnscore.plans.registry import REGISTRY
 
 PYTHON_ALLOWED = {"batch_map_tokens", "cosine_extremes", "cosine_extremes_work", "near_pairs", "near_pairs_hashed", "learning_curve_text",
                   "encoded_similarity"}
-SKIP = {"text_regression_cv", "gbt_regression_cv"}  # Spark ML internals
+SKIP = {"text_regression_cv", "gbt_regression_cv", "text_absolute_cv"}  # Spark ML internals
 
 
 def _plan(df):

@@ -26,7 +26,7 @@ def main(argv=None) -> None:
     a.add_argument("examples"), a.add_argument("out_dir")
     a = sub.add_parser("cv", help="k-fold training and evaluation")
     a.add_argument("examples"), a.add_argument("out_dir")
-    a.add_argument("--model", default="text_linear", choices=["text_linear", "text_gbt", "topic_mean"])
+    a.add_argument("--model", default="text_linear", choices=["text_linear", "text_absolute", "text_gbt", "topic_mean"])
     a.add_argument("--folds", type=int, default=5)
     a.add_argument("--features", type=int, help="number of hashed text features")
     a = sub.add_parser("curve", help="learning curve")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscore import schemas as S
+from turnscore.operators import absolute as AB
 from turnscore.operators import compare as CP
 from turnscore.operators import confusion as CF
 from turnscore.operators import curve as CU
@@ -138,7 +139,8 @@ def cross_validate(spark: SparkSession, examples_path: str, out_dir: str, k: int
                    model: str = "text_linear", features: int | None = None) -> DataFrame:
     """k-fold training and evaluation (step 05): text regression per fold
     (``model='text_linear'``), boosted trees with early stopping and absolute
-    loss (``'text_gbt'``), or the out-of-fold topic mean (``'topic_mean'``). ``features``
+    loss (``'text_gbt'``), a linear regression with absolute loss, its epochs kept and the
+    best restored (``'text_absolute'``), or the out-of-fold topic mean (``'topic_mean'``). ``features``
     is the number of hashed text features; fitted models are kept per fold."""
     folded = materialize(SA.kfold(_labelled_examples(spark, examples_path), ["example_id"], k=k), "folds")
     if model == "topic_mean":
@@ -146,6 +148,9 @@ def cross_validate(spark: SparkSession, examples_path: str, out_dir: str, k: int
     elif model == "text_gbt":
         preds = ML.gbt_regression_cv(folded.withColumnRenamed("input", "text"), k=k, models_path=f"{out_dir}/models",
                                      **({"num_features": features} if features else {}))
+    elif model == "text_absolute":
+        preds = AB.text_absolute_cv(folded.withColumnRenamed("input", "text"), k=k, models_path=f"{out_dir}/models",
+                                    **({"num_features": features} if features else {}))
     else:
         preds = ML.text_regression_cv(folded.withColumnRenamed("input", "text"), k=k, models_path=f"{out_dir}/models",
                                       **({"num_features": features} if features else {}))

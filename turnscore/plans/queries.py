@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnscore import schemas as S
 from turnscore.functions import text as TX
+from turnscore.operators import absolute as AB
 from turnscore.operators import metrics as M
 from turnscore.operators import compare as CP
 from turnscore.operators import confusion as CF
@@ -742,6 +743,26 @@ def _learning_curve_text(spark: SparkSession, sf: str) -> DataFrame:
     return round_doubles(CU.learning_curve_text(_folded_docs(spark, sf), ["example_id"]))
 
 
+@register("absolute_regression_topics", "ML4 ML3 ML8", round_sql(FOLDED_SQL + """, folds AS (SELECT DISTINCT fold FROM folded),
+    md AS (SELECT v.fold, t.topic, quantile_cont(t.label, 0.5) AS mid FROM folds v JOIN folded t ON t.fold <> v.fold GROUP BY v.fold, t.topic)
+    SELECT f.fold, f.topic, max(mid) AS train_median, count(*) AS n, avg(abs(mid - f.label)) AS mae
+    FROM folded f JOIN md ON md.fold = f.fold AND md.topic = f.topic GROUP BY f.fold, f.topic""", ["train_median", "mae"]))
+def _absolute_regression_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """The absolute-error regression on topic indicators finds every topic's median over the other folds."""
+    topics = [S.GENERAL_TOPIC, *[t for t, _ in S.TOPICS]]
+    feats = AB.indicator_features(_folded_wide(spark, sf, False, KEYED), "example_id", "label", "topic", topics)
+    table = AB.fit_epochs(feats, S.N_FOLDS, len(topics), shared_path(spark, "epochs"), reg=1e-9, epochs=40)
+    p = AB.predictions(feats, AB.chosen_epochs(table, best=False), "absolute", "example_id").withColumn("pred", F.round("pred", 3))
+    return round_doubles(p.groupBy("fold", "topic").agg(F.max("pred").alias("train_median"), F.count("*").alias("n"),
+                                                        F.avg(F.abs(F.col("pred") - F.col("label"))).alias("mae")))
+
+
+@register("text_absolute_cv", "ML4 ML3 SK9")
+def _text_absolute_cv(spark: SparkSession, sf: str) -> DataFrame:
+    preds = AB.text_absolute_cv(_folded_docs(spark, sf), num_features=64, epochs=20)
+    return round_doubles(M.evaluate_folds(preds, ["model"]))
+
+
 @register("gbt_regression_cv", "ML3 ML4")
 def _gbt_regression_cv(spark: SparkSession, sf: str) -> DataFrame:
     preds = ML.gbt_regression_cv(_folded_docs(spark, sf))

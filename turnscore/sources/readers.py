@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnscore import schemas as S
+from turnscore.sources import ledger
 from turnscore.functions.ordinal import nan_to_null
 from turnscore.functions.text import subject_key
 
@@ -110,14 +111,10 @@ def media_manifest(spark: SparkSession, root: str, folder_prefix: str = "MC_1",
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Processed-subject ledger (SC8): subject, processed_at and the ``batch_id`` whose folder holds
-    the row (batch registration writes to one below 0); an empty frame when there is none yet."""
-    try:
-        return spark.read.schema(S.LEDGER).parquet(path)
-    except Exception as exc:  # noqa: BLE001 - a missing path is the first run
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return spark.createDataFrame([], S.LEDGER)
-        raise
+    """Processed-subject ledger (SC8): subject, processed_at and the ``batch_id`` whose folder held
+    the row (batch registration writes to one below 0); an empty frame when there is none yet.
+    Reads one snapshot and the batches behind it (``sources.ledger``)."""
+    return ledger.read(spark, path)
 
 
 def read_segments(spark: SparkSession, path, fmt: str = "parquet") -> DataFrame:

@@ -6,7 +6,8 @@ A file-source stream is processed with ``foreachBatch``:
      the same ledger),
   2. write the batch's rows to ``<sink>/batch_id=<id>`` (overwrite: a replay
      replaces, never duplicates),
-  3. append the batch's subjects to ``<ledger>/batch_id=<id>`` (overwrite too).
+  3. append the batch's subjects to ``<ledger>/batch_id=<id>`` (overwrite too); every few
+     batches the ledger becomes a snapshot, so a batch reads one and the folders since.
 The stream's checkpoint records committed batch ids, so a restarted job
 continues after the last committed batch. Data are written before the ledger,
 so a failure between the two never marks an unwritten subject as done.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from turnscore.operators.turns import merge_turns
-from turnscore.sources.readers import read_ledger
+from turnscore.sources import ledger
 
 
 def pending(manifest: DataFrame, ledger: DataFrame, key: str = "subject") -> DataFrame:
@@ -40,14 +41,13 @@ def ledger_batch_writer(ledger_path: str, sink_path: str, key: str = "subject",
     """The ``foreachBatch`` function of SS1. ``transform`` keeps the ``key`` column."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = read_ledger(spark, ledger_path).where(F.col("batch_id") < batch_id)
+        before = ledger.read(spark, ledger_path, before=batch_id)
         fresh = pending(batch, before, key)
         out = transform(fresh) if transform is not None else fresh
         out.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
         # from what was written: the source and the ledger are not read again
         done = spark.read.parquet(f"{sink_path}/batch_id={batch_id}").select(key).distinct()
-        done.withColumn("processed_at", F.current_timestamp()) \
-            .write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
+        ledger.append(done.withColumn("processed_at", F.current_timestamp()), ledger_path, batch_id)
     return run
 
 

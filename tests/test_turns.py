@@ -3,6 +3,8 @@ every bucket-border case is exercised."""
 
 import random
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,14 @@ def test_hot_subject_is_split_across_buckets(spark):
     dplan = DG.dialogues(scored, bucket_rows=64)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(subject#\d+, [^,]+, _b#\d+L?, \d+\)", dplan)
     assert sum(r.n_turns for r in merged.collect()) == n
+
+
+@pytest.mark.parametrize("outliers", [[], [10**15], [-10**12, 10**12, 10**12 + 1]])
+def test_buckets_follow_counts(spark, outliers):
+    from turnscore.operators.ordered import bucket_of, bucket_width
+    seqs = [*range(1, 6001), *range(10**6, 10**6 + 4000 * 50, 50), *outliers]
+    df = spark.createDataFrame([(x,) for x in seqs], "seq long").repartition(4)
+    rows = df.withColumn("b", bucket_of("seq", bucket_width(df, "seq", 100))).orderBy("seq").collect()
+    assert all(x.b <= y.b for x, y in zip(rows, rows[1:]))
+    sizes = Counter(r.b for r in rows)
+    assert max(sizes.values()) <= 200 and len(sizes) >= 75

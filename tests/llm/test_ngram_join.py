@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from turnscore.llm.ngram_join import Parts, divide_skip, signatures, keep_one_of_each_group, similar_groups, similar_links
+from turnscore.llm.ngram_join import Sizes, divide_skip, part_signatures, rare_signatures, keep_one_of_each_group, similar_groups, similar_links
 from turnscore.llm.queries import op9_ngram_join
 
 
@@ -81,13 +81,14 @@ def test_empty_table(spark):
 
 def test_similar_sets_share_a_signature():
     r = np.random.default_rng(3)
-    parts = Parts(90, 100)
+    sizes, rare = Sizes(90, 100), r.integers(0, 4, 1 << 10).astype(np.uint8)
     for n in [9, 10, 11, 12, 15, 20, 33, 70, 150, 600]:
         for _ in range(200):
             a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
             most = n - (-(-n * 90 // 100))  # replaced by nothing: still similar
             b = np.sort(r.permutation(a)[most:])
-            assert np.intersect1d(signatures(a, parts), signatures(b, parts)).size
+            assert np.intersect1d(rare_signatures(a, sizes, rare), rare_signatures(b, sizes, rare)).size
+            assert np.intersect1d(part_signatures(a, sizes), part_signatures(b, sizes)).size
 
 
 def test_divide_skip_counts():
@@ -127,3 +128,9 @@ def test_one_of_each_group_stays(spark):
     assert [k for k in kept if k[0] is not None] == sorted(
         [(i, t) for i, t in dict(rows).items() if i is not None and (i in full and full[i] == i or (i, t) in empty)], key=str)
     assert [t for i, t in kept if i is None] == sorted(null_only)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3)], "doc_id long, text string, _nj_id int, _nj_th int, _bm_bits int")
+    got = keep_one_of_each_group(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", 1, 2, 3)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnscore.session import materialize, release
 
-__all__ = ["materialize", "release", "read_table", "ship", "text_or_empty", "hash_bitmap", "split_likely", "connected_components"]
+__all__ = ["materialize", "release", "read_table", "ship", "text_or_empty", "hash_bitmap", "split_likely", "renamed", "connected_components"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def renamed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, ..., so that none clashes with what an operator adds, and the new
+    names of ``names``. ``toDF`` with the old names undoes it."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), [new[docs.columns.index(n)] for n in names]
+
+
 def hash_bitmap(df: DataFrame, col: str, bits: int) -> np.ndarray:
     """Which values modulo ``bits`` (a multiple of 2**15) the column has, as packed little-endian
     bits. Its size is ``bits`` whatever the data: a filter that may pass too much, never too little."""

@@ -24,17 +24,28 @@ NONSPACE[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def tidy(run):
-    """The same function over batches, after whose end the worker returns its free memory to the system."""
+    """The same function over batches; the worker returns its free memory to the system every second and at the end."""
     def tidied(batches):
-        import ctypes
-        import gc
-        yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        getattr(ctypes.CDLL(None), "malloc_trim", lambda n: None)(0)
+        import time
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            del out
+            if time.monotonic() - last > 1:
+                trim()
+                last = time.monotonic()
+        trim()
     return tidied
 
 
+def trim() -> None:
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda n: None)(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)

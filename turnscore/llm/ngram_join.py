@@ -1,17 +1,20 @@
 """Jaccard join of word n-gram sets, and the groups its links form.
 
 1. Equal sets are one node from the start (a fingerprint of the set).
-2. Candidate clusters: the hash range is cut into more parts than two similar sets
-   can differ in, so similar sets agree wholly in some part that is not empty. Nodes
-   that share a part's signature are linked to the least of them, first within each
-   task's batch, then across tasks; the connected clusters of these links hold all
-   similar pairs.
+2. Candidate clusters. For high thresholds the hash range is cut into more parts than two
+   similar sets can differ in, so similar sets agree wholly in some part. For lower ones,
+   where parts are small, a sketch of fixed size orders shingles by rarity, and similar sets
+   share one of their rarest, as many as may be missing from the other and one more.
+   Nodes of a size class that share such a signature are linked to the least of them, first
+   within each task's batch, then across tasks; the connected clusters of these links hold
+   all similar pairs.
 3. Within a cluster, T-occurrence search by DivideSkip: of a set's inverted lists the
    longest few are set aside, the short ones are merged, sets that occur often
    enough are probed by binary search in the long lists, and those that reach the
    required overlap are linked. Pairs already connected are not counted again.
-4. Clusters too large for a task are cut into blocks, every pair of blocks is
-   searched, and the links are joined by connected components."""
+4. Clusters too large for a task are searched by classes of sizes that may be similar,
+   large classes in blocks of which every pair is searched; the links are joined by
+   connected components."""
 
 from __future__ import annotations
 
@@ -21,22 +24,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from turnscore.llm import kernels
-from turnscore.llm.common import connected_components, hash_bitmap, materialize, release, ship, split_likely, text_or_empty
+from turnscore.llm.common import connected_components, hash_bitmap, materialize, release, renamed, ship, split_likely, text_or_empty
 
 #: Shingles of a cluster that are searched in one task; larger clusters are cut into blocks.
-CLUSTER_SHINGLES = 1 << 23
+CLUSTER_SHINGLES = 1 << 22
 #: Signatures that a task packs at once.
-SIGNATURES = 1 << 19
+SIGNATURES = 1 << 18
 #: Bits of the bitmap that spares most sets the second scan's shuffle; its size does not depend on the data.
 BITS = 1 << 23
+#: Counters of the sketch that orders shingles by rarity, whatever the data, and those of a row of it.
+SLOTS, ROW = 1 << 24, 1 << 16
+#: A part of a set has about num / (den - num) shingles; where that is fewer than this, parts are shared by chance
+#: too often, and sets are told by their rarest shingles instead.
+PART_SHINGLES = 6
+#: A signature's upper half (its bucket tells of the lower one; what meets by chance is told apart in the search) and its node.
+PAIR = np.dtype([("sig", "<u4"), ("node", "<u8")])
 #: DivideSkip's weight between merging and probing.
 MU = 0.01
 
 
-class Parts:
-    """How sets of about one size are cut, for a threshold of num / den."""
+class Sizes:
+    """Classes of set sizes, so that similar sets have a class in common."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -47,10 +58,13 @@ class Parts:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 5 // 4))
         return int(np.searchsorted(self.tops, n))
 
-    def of(self, n: int):
-        """(class, parts, spare parts) a set of ``n`` takes part in, as the larger or the smaller of a pair."""
-        least = -(-n * self.num // self.den)
-        for c in range(self.number(max(1, least)), self.number(n) + 1):
+    def of(self, n: int) -> range:
+        """The classes of all sets that one of ``n`` may be similar to and that are not larger."""
+        return range(self.number(max(1, -(-n * self.num // self.den))), self.number(n) + 1)
+
+    def parts(self, n: int):
+        """(class, parts, spare parts) that a set of ``n`` is cut into for each of its classes."""
+        for c in self.of(n):
             differ = self.tops[c] * (self.den - self.num) // self.num
             if differ:  # else only equal sets are similar
                 spare = 1 + differ // 16
@@ -68,13 +82,19 @@ def fingerprint(s: np.ndarray) -> int:
 BIG = 0xA0761D6478BD642F
 
 
-def signatures(s: np.ndarray, parts: Parts) -> np.ndarray:
-    """Signatures of the parts of a sorted set. Empty parts have one only where the
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Sketch counts on a scale of 256 steps."""
+    return np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
+
+
+def part_signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """Signatures of the parts of a sorted set. The hash range is cut into more parts than two similar sets can
+    differ in, so they agree wholly in some part. Empty parts have a signature only where the
     set has more of them than the spare parts can make up for."""
     out = []
     total = np.append(np.uint64(0), np.cumsum(set_hash(s)))
     top = s >> np.uint64(32)
-    for c, m, spare in parts.of(len(s)):
+    for c, m, spare in sizes.parts(len(s)) if len(s) else ():
         edge = np.searchsorted(top * np.uint64(m) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
         sums = total[edge[1:]] - total[edge[:-1]]
         code = np.arange(m, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.uint64(c * 0x8EBC6AF09C88C6E3 % 2**64)
@@ -85,6 +105,18 @@ def signatures(s: np.ndarray, parts: Parts) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def rare_signatures(s: np.ndarray, sizes: Sizes, rare: np.ndarray) -> np.ndarray:
+    """Signatures of a set: its shingles but for the most frequent ones, of which similar sets share one at
+    least, each once per size class. ``rare`` orders shingles; any order is right if all sets use it."""
+    n = len(s)
+    if not n:
+        return s
+    key = (rare[(s % np.uint64(len(rare))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    k = n - -(-n * sizes.num // sizes.den)  # at most so many shingles of the set are not in a similar one
+    chosen = s[key <= np.partition(key, k)[k]]
+    return np.concatenate([kernels.mix(chosen + np.uint64(c * 0x8EBC6AF09C88C6E3 % 2**64)) for c in sizes.of(n)])
+
+
 def star(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per distinct signature its least node, and distinct links (node, least) of the others."""
     order = np.lexsort((node, sig))
@@ -196,77 +228,110 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
     kind = own.schema["id"].dataType.simpleString()
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n_parts
+    by_parts = num >= (den - num) * PART_SHINGLES
 
-    def scan(batches):
-        parts = Parts(num, den)
+    def measure(batches):
+        """A row per document, and a task's part of the sketch in rows of ROW counters (up to 255)."""
+        seen, sizes = np.zeros(SLOTS, np.uint8), Sizes(num, den)
+        for batch in batches:
+            data, off = kernels.buffers(batch.column("text"))
+            fp, size, classes = [], [], []
+            for _, part, o in kernels.blocks(data, off):
+                sets = kernels.shingle_sets(part, o, kernels.NONSPACE, width)
+                fp += [fingerprint(x) for x in sets]
+                size += [len(x) for x in sets]
+                classes += [list(sizes.of(len(x))) for x in sets]
+                if by_parts:
+                    continue
+                slot, c = np.unique((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
+                seen[slot] = np.minimum(seen[slot] + c, 255)
+            n = len(fp)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("th"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()),
+                 pa.array(classes, pa.list_(pa.int32())), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary())],
+                ["id", "th", "fp", "n", "classes", "block", "packed"])
+        seen = seen.reshape(-1, ROW)
+        at = np.flatnonzero(seen.any(axis=1))
+        none = [pa.nulls(len(at), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array([seen[k].tobytes() for k in at], pa.binary())],
+                                         ["id", "th", "fp", "n", "classes", "block", "packed"])
+
+    def total(batches):
+        seen = {}
+        for batch in batches:
+            for k, x in zip(batch.column("block").to_pylist(), batch.column("packed")):
+                x = np.frombuffer(x.as_py(), np.uint8).astype(np.uint32)
+                seen[k] = seen[k] + x if k in seen else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([rarity(x).tobytes() for x in seen.values()], pa.binary())],
+                                         ["block", "packed"])
+
+    id_type = to_arrow_type(own.schema["id"].dataType)
+    measured = materialize(own.mapInArrow(kernels.tidy(measure), f"id {kind}, th long, fp long, n long, classes array<int>, block int, packed binary"), "set-sizes")
+    rows = measured.where("block = -1").select("id", "th", "fp", "n")
+    rare = np.zeros((SLOTS // ROW, ROW), np.uint8)
+    for r in (measured.where("block >= 0").select("block", "packed").repartition(min(n_parts, SLOTS // ROW), "block")
+              .mapInArrow(kernels.tidy(total), "block int, packed binary").toLocalIterator()):
+        rare[r.block] = np.frombuffer(bytes(r.packed), np.uint8)
+    shared_order = spark.sparkContext.broadcast(rare.ravel())
+
+    def sign(batches):
+        """Rows with the links found here, and one per bucket of signatures."""
+        sizes, order = Sizes(num, den), shared_order.value
+        sig, node, held, at = [], [], 0, 0
         for batch in batches:
             data, off = kernels.buffers(batch.column("text"))
-            at, fp, size, sig, node, held = 0, [], [], [], [], 0
             for _, part, o in kernels.blocks(data, off):
                 for s in kernels.shingle_sets(part, o, kernels.NONSPACE, width):
-                    fp.append(fingerprint(s)), size.append(len(s))
-                    x = signatures(s, parts)
-                    sig.append(x), node.append(np.full(len(x), fp[-1], np.uint64))
+                    x = part_signatures(s, sizes) if by_parts else rare_signatures(s, sizes, order)
+                    sig.append(x), node.append(np.full(len(x), fingerprint(s), np.uint64))
                     held += len(x)
                 if held >= SIGNATURES:
-                    yield packed_rows(batch.slice(at, len(fp)), fp, size, sig, node)
-                    at, fp, size, sig, node, held = at + len(fp), [], [], [], [], 0
-            yield packed_rows(batch.slice(at, len(fp)), fp, size, sig, node)
-
-    def packed_rows(rows, fp, size, sig, node):
-        """A row per document, one with the links found here, and one per bucket of signatures."""
-        n = len(fp)
-        bucket, packed = [-2] * n, [None] * n
-        if n:
-            sig, node, a, b = star(np.concatenate(sig), np.concatenate(node))
-            bucket.append(-1), packed.append(np.stack([a, b], 1).tobytes())
-            to = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            pairs, edge = np.stack([sig, node], 1)[order], np.searchsorted(to[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                if edge[k] < edge[k + 1]:
-                    bucket.append(k), packed.append(pairs[edge[k]:edge[k + 1]].tobytes())
-        more = len(bucket) - n
-        ids = pa.concat_arrays([rows.column("id"), pa.nulls(more, rows.column("id").type)])
-        th = pa.concat_arrays([rows.column("th"), pa.nulls(more, pa.int64())])
-        return pa.RecordBatch.from_arrays(
-            [ids, th, pa.array(np.array(fp + [0] * more, np.uint64).view(np.int64)), pa.array(size + [0] * more, pa.int64()),
-             pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["id", "th", "fp", "n", "bucket", "packed"])
-
-    scanned = materialize(own.mapInArrow(kernels.tidy(scan), f"id {kind}, th long, fp long, n long, bucket int, packed binary"), "signatures")
-    rows = materialize(scanned.where("bucket = -2").select("id", "th", "fp", "n"), "set-sizes")
+                    at += 1
+                    yield packed_rows(sig, node, at)
+                    sig, node, held = [], [], 0
+        if held:
+            yield packed_rows(sig, node, at + 1)
+
+    def packed_rows(sig, node, at):
+        sig, node, a, b = star(np.concatenate(sig), np.concatenate(node))
+        to = (sig % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        pairs, to = np.empty(len(sig), PAIR), to[order]
+        pairs["sig"], pairs["node"] = (sig >> np.uint64(32))[order], node[order]
+        begin = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        stop = np.append(begin[1:], len(to))
+        bucket = [*to[begin].tolist(), (int(sig[0]) + at) % buckets if len(sig) else 0]
+        packed = [*[pairs[i:j].tobytes() for i, j in zip(begin, stop)], np.stack([a, b], 1).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([False] * len(begin) + [True]), pa.array(packed, pa.binary())],
+                                          ["bucket", "linked", "packed"])
 
     def pairs_out(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
-    def local(batches):
-        for batch in batches:
-            for x in batch.column("packed"):
-                p = np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2)
-                yield pairs_out(p[:, 0].copy(), p[:, 1].copy())
-
     def across(batches):
         now, held = None, []
 
         def flush():
             if len(held) > 1:
-                p = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in held])
-                _, _, a, b = star(p[:, 0], p[:, 1])
+                p = np.concatenate([np.frombuffer(x, PAIR) for x in held])
+                _, _, a, b = star(p["sig"], p["node"].copy())
                 yield pairs_out(a.copy(), b.copy())
 
         for batch in batches:
-            for k, x in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+            for k, done, x in zip(batch.column("bucket").to_pylist(), batch.column("linked").to_pylist(), batch.column("packed")):
+                if done:
+                    p = np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2)
+                    yield pairs_out(p[:, 0].copy(), p[:, 1].copy())
+                    continue
                 if k != now:
                     yield from flush()
                     now, held = k, []
                 held.append(x.as_py())
         yield from flush()
 
-    edges = (scanned.where("bucket = -1").select("packed").mapInArrow(kernels.tidy(local), "u long, v long").unionByName(
-        scanned.where("bucket >= 0").select("bucket", "packed").repartition(n_parts, "bucket")
-        .sortWithinPartitions("bucket").mapInArrow(kernels.tidy(across), "u long, v long")))
+    edges = (own.select("text").mapInArrow(kernels.tidy(sign), "bucket int, linked boolean, packed binary").repartition(n_parts, "bucket")
+             .sortWithinPartitions("bucket").mapInArrow(kernels.tidy(across), "u long, v long"))
     clusters = materialize(connected_components(edges, "u", "v"), "clusters")
-    release(scanned)  # the signatures have done their work
 
     shared_bits = spark.sparkContext.broadcast(hash_bitmap(clusters, "node", BITS))
 
@@ -283,16 +348,21 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
             yield pa.RecordBatch.from_arrays([pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(packed, pa.binary())],
                                              ["node", "packed"])
 
-    sizes = (clusters.join(rows.select(F.col("fp").alias("node"), "n").distinct(), "node")
-             .groupBy("component").agg(F.sum("n").alias("total"))
-             .select("component", F.ceil(F.col("total") / cluster_shingles).cast("int").alias("blocks")))
-    sets = (own.select("text").mapInArrow(kernels.tidy(clustered_sets), "node long, packed binary")
-            .join(clusters.join(sizes, "component"), "node"))
-    # a block meets every block of its cluster, itself included
+    # a large cluster is searched by size class, a large class of it in blocks that meet each other, themselves included
+    nodes = measured.where("n > 0").groupBy(F.col("fp").alias("node")).agg(F.max("n").alias("n"), F.first("classes").alias("classes"))
+    nodes = materialize(clusters.join(nodes, "node"), "nodes")
+    large = nodes.groupBy("component").agg((F.sum("n") > cluster_shingles).alias("large"))
+    nodes = nodes.join(large, "component").select("node", "component", "n", F.explode(
+        F.when(F.col("large"), F.col("classes")).otherwise(F.array(F.lit(-1)))).alias("class"))
+    nodes = materialize(nodes, "classes")
+    blocks = nodes.groupBy("component", "class").agg(F.ceil(F.sum("n") / cluster_shingles).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tasks = (sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("component", "blocks", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                     (F.col("mine") > F.col("other")).alias("second"), "node", "packed"))
+    places = nodes.join(blocks, ["component", "class"]).select("node", "component", "class", mine.alias("mine"), "blocks")
+    # placed and written first, so that the join below is a plain one
+    places = materialize(places.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", "component", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        (F.col("mine") > F.col("other")).alias("second")), "places")
+    tasks = own.select("text").mapInArrow(kernels.tidy(clustered_sets), "node long, packed binary").join(places, "node")
 
     def search(batches):
         now, nodes, held, second = None, [], [], []
@@ -305,16 +375,16 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
                                                   pa.array([nodes[b] for _, b in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("component", "i", "j", "node", "second")]
-            for c, i, j, node, sec, x in zip(*cols, batch.column("packed")):
-                if (c, i, j) != now:
+            cols = [batch.column(c).to_pylist() for c in ("component", "class", "i", "j", "node", "second")]
+            for c, k, i, j, node, sec, x in zip(*cols, batch.column("packed")):
+                if (c, i, j, k) != now:
                     yield from flush()
-                    now, nodes, held, second = (c, i, j), [], [], []
+                    now, nodes, held, second = (c, i, j, k), [], [], []
                 if not nodes or nodes[-1] != node:  # equal sets come from several batches
                     nodes.append(node), held.append(x.as_py()), second.append(sec)
         yield from flush()
 
-    links = materialize(tasks.repartition(n_parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    links = materialize(tasks.repartition(n_parts, "component", "class", "i", "j").sortWithinPartitions("component", "class", "i", "j", "node")
                         .mapInArrow(kernels.tidy(search), "u long, v long"), "links")
     groups = connected_components(links, "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
@@ -348,7 +418,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80,
                            den: int = 100) -> DataFrame:
     """``docs``, all columns, with one row of each group of ``similar_groups``: the least by id (null ids
-    last) and text hash; of rows that repeat both, any one. Rows with an empty set all stay."""
+    last) and text hash; of rows that repeat both, any one. Rows with an empty set all stay. Columns may have any name."""
+    columns = docs.columns
+    docs, (id_col, text_col) = renamed(docs, id_col, text_col)
     grouped = grouped_rows(_own(docs, id_col, text_col), width, num, den).where("n > 0")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
     best = materialize(grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1"), "best")
@@ -360,7 +432,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     some, rest = split_likely(docs, F.xxhash64(text_or_empty(text_col)), lost.unionByName(twice), "_nj_th")
     some = some.join(lost, same, "left_anti")
     return rest.unionByName(some.join(twice, same, "left_anti")).unionByName(
-        some.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+        some.join(twice, same, "left_semi").dropDuplicates([id_col, text_col])).toDF(*columns)
 
 
 ship(__name__)

@@ -85,3 +85,10 @@ def test_query_whole_table(spark):
     got = {(r.doc_id, r.item_id) for r in op7_decontamination(spark, sf).collect()}
     whole = {(d.doc_id, i) for d in docs for i, u in items if f" {' '.join(u)} " in f" {' '.join(words(d.text))} "}
     assert whole and whole <= got
+
+
+def test_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, text, 1, 2, 3), (2, "clean", 1, 2, 3), (3, None, 1, 2, 3)], "doc_id long, text string, _leak_id int, _leak_hash int, _bm_bits int")
+    got = drop_leaks(df, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [2, 3]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnscore.llm import kernels
-from turnscore.llm.common import hash_bitmap, materialize, ship, split_likely, text_or_empty
+from turnscore.llm.common import hash_bitmap, materialize, ship, renamed, split_likely, text_or_empty
 
 WINDOW, SUBSTITUTED = 13, 2
 #: 1 is a word that counts, 0 one that may differ; lossless for WINDOW and SUBSTITUTED (see tests).
@@ -139,12 +139,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all their columns, that share no leak with the benchmark."""
+    """The rows of ``docs``, all their columns whatever their names, that share no leak with the benchmark. Null and
+    empty texts stay, rows that repeat an id are judged by their own text, and null ids are kept."""
+    columns = docs.columns
+    docs, (id_col, text_col) = renamed(docs, id_col, text_col)
     bad = materialize(leaks(docs, benchmark, id_col, text_col, **options), "leaks")
     bad = bad.select(F.col(id_col).alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
     hashed = F.xxhash64(text_or_empty(text_col))
     some, rest = split_likely(docs, hashed, bad, "_leak_hash")
-    return rest.unionByName(some.join(bad, (hashed == F.col("_leak_hash")) & F.col(id_col).eqNullSafe(F.col("_leak_id")), "left_anti"))
+    some = some.join(bad, (hashed == F.col("_leak_hash")) & F.col(id_col).eqNullSafe(F.col("_leak_id")), "left_anti")
+    return rest.unionByName(some).toDF(*columns)
 
 
 ship(__name__)

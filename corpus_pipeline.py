@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns
-of ``documents``; the last returns one row per packed piece."""
+of ``documents``; the last returns one row per packed piece. Stages need doc_id and text,
+line_dedup also n_chars; other columns pass through whatever their names. Null and empty
+texts stay through all filters (they are not toxic, hold no lines or benchmark passages, and
+have an empty shingle set). Rows that repeat a doc_id are judged by their own text; rows that
+repeat doc_id and text are one document in line_dedup and one stays in ngram_join. Null
+doc_ids are kept and come last where the least doc_id stays. Empty tables give no rows."""
 
 from pyspark.sql import functions as F
 

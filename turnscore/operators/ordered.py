@@ -36,7 +36,8 @@ def bucket_of(seq: str, width) -> Column:
     if isinstance(width, int):
         return F.floor(F.col(seq) / F.lit(width)).cast("bigint")
     if not width.at or width.n <= width.rows:
-        return F.lit(0).cast("bigint")
+        # always 0, but no constant, which would take the key out of joins by bucket
+        return F.pmod(F.coalesce(F.col(seq).cast("bigint"), F.lit(0)), F.lit(1)).cast("bigint")
     value, last = F.col(seq).cast("double"), len(_SHARES) - 1
     shares, borders = F.array(*[F.lit(x) for x in _SHARES]), F.array(*[F.lit(x) for x in width.at])
 

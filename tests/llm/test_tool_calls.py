@@ -80,3 +80,16 @@ def test_every_distinct_row_stays(spark):
             *((1, "d", None, "orphan_result", result, None, None, r) for r in ("r4", None)),
             *((1, "z", None, "orphan_result", result, None, None, r) for r in ("r5", "r6"))]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_tool_listed_twice_has_its_least_parameters(spark):
+    more = [("add", [("a", "string", True)]), ("add", None)]
+    for tools in (ADD + more, more[::-1] + ADD):
+        got = run(spark, [(1, "x", None, "add", '{"a": 1}'), (1, "y", None, "add", '{"a": "1"}')], [], tools)
+        assert (got[1, "x"].errors, got[1, "y"].errors) == ("", "wrong type a")
+
+
+def test_long_arguments_and_contents(spark):
+    long = "é" * 300_000
+    got = run(spark, [(1, "x", None, "add", json.dumps({"a": 1, "tags": [long]}))], [(1, "x", long)])[1, "x"]
+    assert got.status == "ok" and json.loads(got.message)["result"] == long == json.loads(got.message)["arguments"]["tags"][0]

@@ -73,8 +73,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
     results orphans, and the repetition is an error of all. A parent that is no call of the
     conversation, and a cycle (depth null), are errors. Rows without call_id link with nothing
     and are all kept: such calls have an error and no depth, such results are orphans. A null
-    conv_id is a conversation of its own. Null arguments are no JSON. Empty tables give what
-    the others say. Other columns are not read, whatever their names."""
+    conv_id is a conversation of its own. Null arguments are no JSON. Of a tool that is listed
+    more than once the least list of parameters counts. Empty tables give what the others say. Other columns are not read, whatever their names."""
     calls = calls.select("conv_id", "call_id", "name", "arguments", F.col("parent_id").alias("wanted"))
     one_call, more_calls = parted(calls, F.struct("name", "arguments", "wanted"), "name", "arguments", "wanted")
     one_result, more_results = parted(results, F.struct(F.col("content").isNull(), "content"), "content")
@@ -93,7 +93,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
     own = F.when(F.col("parent_id").isNull(), F.lit(0).cast("long")).when(F.col("parent_id") != F.col("call_id"), F.col("above") + 1)
     placed = placed.withColumn("depth", F.when(F.col("call_id").isNotNull(), own)).drop("above")
 
-    schema = tools.groupBy("name").agg(F.first("params", ignorenulls=True).alias("params"), F.lit(True).alias("known"))
+    schema = tools.groupBy("name").agg(F.min("params").alias("params"), F.lit(True).alias("known"))
     checked = (placed.join(schema.withColumnRenamed("name", "tool"), F.col("name") == F.col("tool"), "left").drop("tool")
                .withColumn("is_call", F.lit(True)))
     res = one_result.select(F.col("conv_id").alias("c4"), F.col("call_id").alias("i4"), "content",

@@ -8,7 +8,7 @@ from turnscore.llm.line_dedup import dedup_lines
 BLANK = re.compile(r"[\x20\x09-\x0D]*\Z")
 
 
-def brute(rows, m, long_chars):
+def brute(rows, m, long_chars, many_words=50):
     """(id, text) with distinct ids -> id -> text."""
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]) + [r for r in rows if r[0] is None]
     seen, out = set(), {}
@@ -17,9 +17,10 @@ def brute(rows, m, long_chars):
         real = [i for i, x in enumerate(lines) if not BLANK.match(x)]
         gone = set()
         for s, i in enumerate(real):
-            for n in {1, m}:
+            for n in {1, m, min(2, m)}:
                 run = tuple(lines[j] for j in real[s:s + n])
-                if len(run) == n and (n == m or len(run[0]) >= long_chars):
+                words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in run)
+                if len(run) == n and (n == m or n == 1 and len(run[0]) >= long_chars or n <= 2 and words > many_words):
                     if run in seen:
                         gone.update(range(s, s + n))
                     seen.add(run)
@@ -44,10 +45,19 @@ def make(seed, n):
 @pytest.mark.parametrize("m", [1, 2, 3, 5, 8])
 def test_against_brute_force(spark, m):
     rows = make(m, 40)
-    df = spark.createDataFrame([(t, d, 7, "k") for d, t in rows], "text string, doc_id long, th int, seq string")
-    got = dedup_lines(df, min_lines=m, min_chars=30)
+    df = spark.createDataFrame([(t, d, 7, "k", 1, 2) for d, t in rows],
+                               "text string, doc_id long, th int, _ld_th string, _bm_bits int, _ld_spans int")
+    got = dedup_lines(df, min_lines=m, min_chars=30, min_words=3 if m > 3 else 50)
     assert got.columns == df.columns
-    assert {r.doc_id: r.text for r in got.collect()} == brute(rows, m, 30)
+    assert {r.doc_id: r.text for r in got.collect()} == brute(rows, m, 30, 3 if m > 3 else 50)
+
+
+def test_two_lines_of_many_words_are_a_run(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(21))
+    rows = [(1, f"{a}\n{b}\nend"), (2, f"x\n{a}\n\n{b}"), (3, f"{a}\n{b[:-4]}"), (4, f"{a} {b}"), (5, f"q\n{a} {b}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
+    assert got == brute(rows, 3, 200) and got[2] == "x" and got[3] == rows[2][1] and got[5] == "q"
 
 
 def test_rows_with_one_id(spark):

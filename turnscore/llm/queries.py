@@ -57,17 +57,20 @@ def op7_decontamination(spark, sf_dir):
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
-#: A line is a later copy if long and seen before, or inside three lines seen before.
+#: A line is a later copy if long and seen before, or inside two lines of over 50 words or three lines seen before.
 SQL_LINES = r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
-lines AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS i FROM parts),
+lines AS (SELECT doc_id, x, i, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w
+          FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS i FROM parts) AS t),
 seqs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq FROM lines
          WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-next AS (SELECT *, lead(x, 1) OVER d AS y, lead(x, 2) OVER d AS z FROM seqs WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
-marks AS (SELECT *, length(x) >= 200 AND row_number() OVER (PARTITION BY x ORDER BY doc_id, seq) > 1 AS alone,
+next AS (SELECT *, lead(x, 1) OVER d AS y, lead(x, 2) OVER d AS z, w + lead(w, 1) OVER d AS w2 FROM seqs WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
+marks AS (SELECT *, (length(x) >= 200 OR w > 50) AND row_number() OVER (PARTITION BY x ORDER BY doc_id, seq) > 1 AS alone,
+          y IS NOT NULL AND w2 > 50 AND row_number() OVER (PARTITION BY x, y ORDER BY doc_id, seq) > 1 AS two,
           z IS NOT NULL AND row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, seq) > 1 AS begins FROM next),
 gone AS (SELECT * FROM (SELECT *, alone OR bool_or(begins) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 2 PRECEDING
-         AND CURRENT ROW) AS g FROM marks) AS t WHERE g),
+         AND CURRENT ROW) OR bool_or(two) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g
+         FROM marks) AS t WHERE g),
 spans AS (SELECT doc_id, min(i) AS a, max(i) AS b, count(*) AS n
           FROM (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM gone) AS t
           GROUP BY doc_id, island),

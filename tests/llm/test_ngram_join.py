@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from turnscore.llm.ngram_join import Sizes, divide_skip, part_signatures, rare_signatures, keep_one_of_each_group, similar_groups, similar_links
+from turnscore.llm.ngram_join import ROW, Sizes, counts_of, divide_skip, packed_counts, part_signatures, rare_signatures, keep_one_of_each_group, similar_groups, similar_links
 from turnscore.llm.queries import op9_ngram_join
 
 
@@ -134,3 +134,14 @@ def test_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3)], "doc_id long, text string, _nj_id int, _nj_th int, _bm_bits int")
     got = keep_one_of_each_group(df)
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", 1, 2, 3)]
+
+
+def test_packed_counts_round_trip():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 500, ROW // 3, ROW // 3 + 1, ROW):
+        row = np.zeros(ROW, np.uint8)
+        row[r.permutation(ROW)[:n]] = r.integers(1, 256, n)
+        back = np.zeros(ROW, np.uint32)
+        at, c = counts_of(packed_counts(row))
+        back[at] += c
+        assert (back == row).all()

@@ -87,6 +87,20 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
 
 
+def packed_counts(row: np.ndarray) -> bytes:
+    """A row of the sketch: places and counts where few are not 0 (three bytes each), else all counts."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].tobytes() if 3 * len(at) < ROW else row.tobytes()
+
+
+def counts_of(packed: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
+    """(places, counts) of ``packed_counts``."""
+    if len(packed) == ROW:
+        return slice(None), np.frombuffer(packed, np.uint8)
+    n = len(packed) // 3
+    return np.frombuffer(packed, "<u2", n).astype(np.int64), np.frombuffer(packed, np.uint8, n, 2 * n)
+
+
 def part_signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Signatures of the parts of a sorted set. The hash range is cut into more parts than two similar sets can
     differ in, so they agree wholly in some part. Empty parts have a signature only where the
@@ -253,15 +267,15 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
         seen = seen.reshape(-1, ROW)
         at = np.flatnonzero(seen.any(axis=1))
         none = [pa.nulls(len(at), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array([seen[k].tobytes() for k in at], pa.binary())],
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array([packed_counts(seen[k]) for k in at], pa.binary())],
                                          ["id", "th", "fp", "n", "classes", "block", "packed"])
 
     def total(batches):
         seen = {}
         for batch in batches:
             for k, x in zip(batch.column("block").to_pylist(), batch.column("packed")):
-                x = np.frombuffer(x.as_py(), np.uint8).astype(np.uint32)
-                seen[k] = seen[k] + x if k in seen else x
+                slot, c = counts_of(x.as_py())
+                seen.setdefault(k, np.zeros(ROW, np.uint32))[slot] += c
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([rarity(x).tobytes() for x in seen.values()], pa.binary())],
                                          ["block", "packed"])
 

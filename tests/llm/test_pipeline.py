@@ -1,5 +1,7 @@
 """Every stage against a brute-force version, on what the stages before it kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 import __spark_entry__ as E
 from turnscore.llm import toxicity as tox
@@ -56,3 +58,25 @@ def test_whole_run_survives_empty_input(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_and_columns_through_the_chain(spark, tmp_path):
+    first = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame(
+        [(None, "only a null id here", "en", "s", 5), (900001, None, None, None, None), (900002, "", "en", None, 0), (900003, "one word", None, "s", 8),
+         (900003, "another text of this id", "de", "s", 3), (900004, "same row twice", "en", "s", 4), (900004, "same row twice", "en", "s", 4),
+         (900005, "ö" * 200_000, "de", "s", 200_000)], first.schema)
+    docs = first.unionByName(odd)
+    for c in ("_ld_th", "_bm_bits", "_leak_id", "_nj_th", "th", "id"):
+        docs = docs.withColumn(c, F.lit(7))
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    got = sorted([(r.doc_id, r.text) for r in docs.where("doc_id is null or doc_id > 900000").collect()], key=repr)
+    assert got == sorted([(None, "only a null id here"), (900001, None), (900002, ""), (900003, "one word"), (900003, "another text of this id"),
+                          (900004, "same row twice"), (900005, "ö" * 200_000)], key=repr)
+    packed = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.select("doc_id").collect()}

@@ -1,8 +1,9 @@
 """Search for short licence notices, exactly and with few edits.
 
 A notice of n characters with at most k edits contains one of k + 1 pieces of it
-unchanged (pigeonhole), so the pieces are searched for exactly, all in one pass, and
-only the surroundings of a hit, each on its own, are compared by edit distance."""
+unchanged (pigeonhole), so the pieces are searched for exactly, all in one pass. Only the
+surroundings of a hit, each on its own, are matched by the regex library with a bound on
+errors, which verifies edits and gives spans."""
 
 from __future__ import annotations
 
@@ -46,23 +47,28 @@ def pieces(notice: str) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(edge, edge[1:])]
 
 
+def pattern(notice: str, edits: int):
+    """The notice with at most so many characters inserted, deleted or replaced."""
+    import regex
+    return regex.compile("(?:%s){e<=%d}" % (regex.escape(notice, special_only=True, literal_spaces=True), edits))
+
+
 def best_match(notice: str, part: str) -> tuple[int, int, int] | None:
     """(edits, end, start) of the part's match with fewest edits, of these the first to end, then the shortest."""
     at = part.find(notice)
     if at >= 0:
         return 0, at + len(notice), at
-    big = len(part) + 1  # a cell is edits * big - start
-    steps = np.arange(big) * big
-    codes = np.frombuffer(part.encode("utf-32-le"), np.uint32)
-    row = -np.arange(big)
-    for c in notice:
-        new = row + big
-        np.minimum(new[1:], row[:-1] + big * (codes != ord(c)), out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-    edits = -(-row // big)
-    end = int(edits.argmin())
-    e = int(edits[end])
-    return (e, end, e * big - int(row[end])) if e <= edits_allowed(notice) else None
+    most = edits_allowed(notice)
+    if not pattern(notice, most).search(part):
+        return None
+    edits = next(e for e in range(1, most + 1) if pattern(notice, e).search(part))
+    near = pattern(notice, edits)
+    # what has a match in it has one in all that holds it, so its borders are found by halving
+    ends = range(len(notice) - edits, len(part) + 1)
+    end = ends[bisect.bisect_left(ends, True, key=lambda y: near.search(part, 0, y) is not None)]
+    starts = range(end, -1, -1)
+    start = starts[bisect.bisect_left(starts, True, key=lambda x: near.search(part, x, end) is not None)]
+    return edits, end, start
 
 
 class Finder:
@@ -133,15 +139,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = source.schema["id"].dataType.simpleString()
 
     def base_places(words: bytes) -> list[tuple[int, str]]:
-        out = []
+        out, blanks = [], None
         for phrase, label in phrases.items():
             need = b" " + phrase.encode() + b" "
             at = words.find(need)
             while at >= 0:
-                out.append((words.count(b" ", 0, at), label))
+                if blanks is None:
+                    blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20)
+                out.append((int(np.searchsorted(blanks, at)), label))
                 at = words.find(need, at + 1)
         return out
 
+    def word_of(text: str, places: list[int]) -> list[int]:
+        """The word (from 0) at each place of words joined by spaces."""
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0x20)
+        return np.searchsorted(blanks, places).tolist()
+
     def run(batches):
         find = Finder(notices)
         for batch in batches:
@@ -156,8 +169,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     text = joined.decode("utf-8", "replace")
                     base = base_places(b" " + joined + b" ")
                     near = find(text)
-                    spans = [{"label": notices[n], "first_word": text.count(" ", 0, x),
-                              "last_word": text.count(" ", 0, max(x, y - 1)), "edits": e} for n, x, y, e in near]
+                    at = word_of(text, [p for _, x, y, _ in near for p in (x, max(x, y - 1))]) if near else []
+                    spans = [{"label": notices[n], "first_word": at[2 * i], "last_word": at[2 * i + 1], "edits": e}
+                             for i, (n, _, _, e) in enumerate(near)]
                     places, own = [p for p, _ in base], {label for _, label in base}
                     out["n_words"].append(len(words)), out["n_base"].append(len(base))
                     out["first_word"].append(min(places, default=None)), out["last_word"].append(max(places, default=None))

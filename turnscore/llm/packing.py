@@ -1,11 +1,11 @@
 """Best-fit packing of token sequences.
 
 Texts are tokenised in batches inside the tasks; only piece lengths and checksums
-leave them. Pieces are dealt at random into groups of about GROUP rows, and each
-group is packed longest first, by best-fit decreasing: a bitset whose bit f says
-that some open bin has exactly f free tokens, and the lowest set bit at or above
-the piece's length as the best fit. Were all OPEN_BINS bins open, the fullest would
-close, but a group has fewer pieces than that, so none does with the values below."""
+leave them. Pieces are dealt at random into groups of about GROUP rows. In a group they
+arrive longest first and are packed online by best fit into at most OPEN_BINS open bins: a bitset
+whose bit f says that some open bin has exactly f free tokens, and the lowest set bit at
+or above the piece's length as the best fit. Where no bin fits and all are open, the fullest
+closes first. The bound lets about one bin in a hundred close early (see the README)."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from turnscore.llm.common import materialize, ship, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
-OPEN_BINS = 8192
+OPEN_BINS = 900
 #: Pieces packed together; each group wastes less than one sequence.
 GROUP = 4096
 #: Distinct text pieces whose ids a worker keeps before it starts afresh.
@@ -194,7 +194,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     pieces = materialize(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)
                          .withColumn("row", F.monotonically_increasing_id()), "pieces")
     rest = pieces.where(F.col("length") < capacity)
-    groups = max(1, rest.count() // group)
+    groups = max(1, -(-rest.count() // group))
+    parts = min(groups, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task packs several groups
     schema = pieces.drop("row")
     kind = schema.schema["doc_id"].dataType.simpleString()
 
@@ -211,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield f.drop(columns=["grp", "row"])
 
     packed = (rest.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
-              .repartition(groups, "grp").sortWithinPartitions("grp", F.desc("length"), "row")
+              .repartition(parts, "grp").sortWithinPartitions("grp", F.desc("length"), "row")
               .mapInPandas(kernels.tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
                                 "sequence_id long, offset long"))
     whole = (pieces.where(F.col("length") == capacity)

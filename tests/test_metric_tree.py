@@ -76,3 +76,24 @@ def test_hashing_finds_nine_tenths_of_near_pairs(spark, threshold):
     got = {(r.real_id, r.synthetic_id): r.cosine for r in SI.near_pairs_hashed(df, threshold).collect()}
     assert set(got) <= want and len(got) >= 0.9 * len(want) and len(want) > 200
     assert all(sims[a // 2, b // 2] == pytest.approx(c) for (a, b), c in got.items())
+
+
+def shuffled(plan):
+    """Bytes that the exchanges of an executed plan wrote."""
+    kind, m = plan.getClass().getSimpleName(), plan.metrics()
+    total = m.apply("shuffleBytesWritten").value() if m.contains("shuffleBytesWritten") else 0
+    if kind == "AdaptiveSparkPlanExec":
+        return total + shuffled(plan.finalPhysicalPlan())
+    if kind.endswith("QueryStageExec"):
+        return total + shuffled(plan.plan())
+    return total + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_vectors_shuffled_grow_as_the_table_when_nothing_is_pruned(spark):
+    moved = []
+    for n in (150, 600):
+        v = np.random.default_rng(2).normal(size=(n, 32))
+        near = SI.near_pairs(table(spark, v), -1.0, block_rows=4)
+        assert len(near.collect()) == n * n // 4
+        moved.append(shuffled(near._jdf.queryExecution().executedPlan()))
+    assert moved[1] < 7 * moved[0]

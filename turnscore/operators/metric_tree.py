@@ -25,6 +25,8 @@ from turnscore.session import materialize, release
 
 #: Children of a node, vectors of a leaf, and node pairs a dive follows at each end.
 FAN, LEAF_ROWS, DIVE = 16, 1024, 8
+#: Blocks of a side at least, bytes of a block's vectors at most, and numbers of a product at most.
+BLOCKS, BLOCK_BYTES, PRODUCT = 8, 64 << 20, 1 << 21
 #: Keeps the bounds safe from rounding (an angle near zero is off by up to 1e-8).
 _SLACK = 1e-6
 #: Cosines this close to one count as one direction.
@@ -41,8 +43,8 @@ def _angle(cosine: Column) -> Column:
 
 @dataclass
 class Tree:
-    """``children`` (parent, node, c, r, leaf): a node's children with centre and radius; a leaf is its own child.
-    ``leaves`` (node, ids, us). Nodes are paths that begin with the side, ``r`` or ``s``."""
+    """``children`` (parent, node, c, r, leaf, no): a node's children with centre and radius; a leaf is its own child
+    and has a number. ``leaves`` (node, ids, us, no). Nodes are paths that begin with the side, ``r`` or ``s``."""
     children: DataFrame
     leaves: DataFrame
 
@@ -86,14 +88,15 @@ def build(vectors: DataFrame, leaf_rows: int = LEAF_ROWS) -> Tree:
         release(last), release(size), release(placed), release(drawn)
         level += 1
     members = _union(done)
-    leaves = materialize(members.groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("u").alias("us")), "tree-leaves")
+    leaves = materialize(members.groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("u").alias("us"))
+                         .withColumn("no", F.monotonically_increasing_id()), "tree-leaves")
     # a leaf's own centroid and radius are tighter than its ball
-    own = _centred(leaves).select(F.col("node").alias("parent"), "node", "c", "r", F.lit(True).alias("leaf"))
+    own = _centred(leaves).select(F.col("node").alias("parent"), "node", "c", "r", F.lit(True).alias("leaf"), "no")
     edges = _union(inner) if inner else None
     if edges is not None:
-        tight = own.select(F.col("node").alias("_n"), F.col("c").alias("_c"), F.col("r").alias("_r"))
+        tight = own.select(F.col("node").alias("_n"), F.col("c").alias("_c"), F.col("r").alias("_r"), "no")
         edges = edges.join(tight, edges.node == tight._n, "left").select(
-            "parent", "node", F.coalesce("_c", "c").alias("c"), F.coalesce("_r", "r").alias("r"), F.col("_n").isNotNull().alias("leaf"))
+            "parent", "node", F.coalesce("_c", "c").alias("c"), F.coalesce("_r", "r").alias("r"), F.col("_n").isNotNull().alias("leaf"), "no")
         own = own.unionByName(edges)
     return Tree(materialize(own, "tree-nodes"), leaves)
 
@@ -120,39 +123,132 @@ def _centred(leaves: DataFrame) -> DataFrame:
     return s.withColumn("r", F.when(F.col("_norm") > 0, _angle(F.col("_mind"))).otherwise(F.lit(math.pi)))
 
 
-def expand(pairs: DataFrame, tree: Tree) -> DataFrame:
-    """Children of node pairs (a, b): (a, b, leaf, lb, ub) with bounds on the cosine of all their vectors
-    (angle of the centres minus and plus both radii)."""
+def expand(pairs: DataFrame, tree: Tree, spread_out: bool = False) -> DataFrame:
+    """Children of node pairs (a, b): (a, b, leaf, no_a, no_b, lb, ub) with bounds on the cosine of all their vectors
+    (angle of the centres minus and plus both radii) and the numbers of leaves."""
     def side(x):
         return tree.children.select(F.col("parent").alias(x), F.col("node").alias(f"n{x}"), F.col("c").alias(f"c{x}"),
-                                    F.col("r").alias(f"r{x}"), F.col("leaf").alias(f"leaf{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+                                    F.col("r").alias(f"r{x}"), F.col("leaf").alias(f"leaf{x}"), F.col("no").alias(f"no_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a")
+    if spread_out:  # few bytes, but much to compute
+        both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b")
+    both = both.join(side("b"), "b")
     theta = _angle(dot(F.col("ca"), F.col("cb")))
     spread = F.col("ra") + F.col("rb")
-    return both.select(F.col("na").alias("a"), F.col("nb").alias("b"), (F.col("leafa") & F.col("leafb")).alias("leaf"),
+    return both.select(F.col("na").alias("a"), F.col("nb").alias("b"), (F.col("leafa") & F.col("leafb")).alias("leaf"), "no_a", "no_b",
                        (F.cos(F.least(F.lit(math.pi), theta + spread)) - F.lit(_SLACK)).alias("lb"),
                        (F.cos(F.greatest(F.lit(0.0), theta - spread)) + F.lit(_SLACK)).alias("ub"))
 
 
-def search(tree: Tree, keep: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Leaf pairs (a, b, leaf, lb, ub) reached from the roots through pairs that ``keep`` keeps."""
-    roots = tree.children.sparkSession.range(1).select(F.lit("r").alias("a"), F.lit("s").alias("b"))
-    found, at = None, roots
+def search(tree: Tree, keep: Callable[[DataFrame], DataFrame], name: str, bounds: bool = True) -> DataFrame:
+    """Leaf pairs (a, b, leaf, no_a, no_b, lb, ub) reached from the roots through pairs that ``keep`` keeps; without
+    ``bounds`` (no_a, no_b) alone, which are a tenth of the bytes."""
+    at = tree.children.sparkSession.range(1).select(F.lit("r").alias("a"), F.lit("s").alias("b"))
+    found, inner = None, 1
     while True:
-        last, at = at, materialize(keep(expand(at, tree)), name)
-        leaves = at.where("leaf")
+        at = keep(expand(at, tree, inner > FAN))
+        if not bounds:
+            at = at.select(*[F.when(~F.col("leaf"), F.col(x)).alias(x) for x in ("a", "b")], "leaf", "no_a", "no_b")
+        at = materialize(at, name)
+        leaves = at.where("leaf") if bounds else at.where("leaf").select("no_a", "no_b")
         found = leaves if found is None else found.unionByName(leaves)
-        at_inner = at.where("not leaf")
-        if at_inner.isEmpty():
+        at = at.where("not leaf")
+        inner = at.count()
+        if not inner:
             return found
-        at = at_inner
 
 
-def joined(pairs: DataFrame, tree: Tree) -> DataFrame:
-    """(ids_r, us_r, ids_s, us_s) of leaf pairs."""
-    def side(x, y):
-        return tree.leaves.select(F.col("node").alias(x), F.col("ids").alias(f"ids_{y}"), F.col("us").alias(f"us_{y}"))
-    return pairs.select("a", "b").join(side("a", "r"), "a").join(side("b", "s"), "b").select("ids_r", "us_r", "ids_s", "us_s")
+def block(column: str, blocks: int) -> Column:
+    """The block, of so many, to which a leaf or vector belongs."""
+    return F.pmod(F.xxhash64(column, F.lit("block")), F.lit(blocks)).cast("int")
+
+
+def blocks_of(rows: int, dim: int) -> int:
+    """Blocks of a side with so many vectors: a task holds one, which takes BLOCK_BYTES at most."""
+    return max(BLOCKS, math.ceil(8 * rows * dim / BLOCK_BYTES))
+
+
+def products(pairs: DataFrame, tree: Tree, each: Callable, schema: str) -> DataFrame:
+    """Rows of ``schema`` that ``each`` makes of the products of leaf pairs: it is given, for a task, an iterator over
+    (real ids, synthetic ids, matrix of their cosines) and yields record batches.
+
+    Leaves of either side are dealt to a few blocks, and a pair of blocks is a cell. A leaf goes once to every cell
+    in which it has a partner, with the numbers of its partners, so a vector is shuffled as often as the other side has
+    blocks, however many leaf pairs there are. A task holds the real leaves of a cell; synthetic ones pass by."""
+    size = tree.children.agg(F.max(F.size("c"))).first()[0] or 1
+    rows = tree.leaves.where(F.col("node").startswith("r")).agg(F.sum(F.size("ids"))).first()[0] or 0
+    n_r, n_s = blocks_of(rows, size), BLOCKS
+    met = pairs.select("no_a", "no_b", block("no_a", n_r).alias("i"), block("no_b", n_s).alias("j"))
+
+    def vectors(no, own, other):
+        to = met.groupBy(F.col(no).alias("no")).agg(F.collect_set(other).alias(other), F.first(own).alias(own))
+        leaves = tree.leaves.join(to, "no").select("no", own, F.explode(other).alias(other), "ids", "us")
+        return leaves.select((F.col("i") * n_s + F.col("j")).alias("cell"), F.lit(no == "no_b").alias("synthetic"), "no",
+                             F.lit(None).cast("array<long>").alias("partners"), F.explode(F.arrays_zip("ids", "us")).alias("x")) \
+            .select("cell", "synthetic", "no", "partners", F.col("x.ids").cast("long").alias("id"), F.col("x.us").alias("u"))
+    real, synthetic = vectors("no_a", "i", "j"), vectors("no_b", "j", "i")
+    names = met.groupBy("i", "j", F.col("no_b").alias("no")).agg(F.collect_list("no_a").alias("partners")).select(
+        (F.col("i") * n_s + F.col("j")).alias("cell"), F.lit(True).alias("synthetic"), "no", "partners", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("u"))
+    dealt = real.unionByName(names).unionByName(synthetic).repartition(3 * n_r * n_s, "cell") \
+        .sortWithinPartitions("cell", "synthetic", "no", F.col("partners").isNull())
+    most = PRODUCT
+
+    def leaves_of(batches):
+        # self-contained (numpy / pyarrow only): workers need no import of this package
+        import numpy as np
+        import pyarrow as pa
+        at, ids, us = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, synthetic, named = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "synthetic", "no"))
+            partners, vectors = batch.column("partners"), batch.column("u")
+            new = (cell[1:] != cell[:-1]) | (synthetic[1:] != synthetic[:-1]) | (named[1:] != named[:-1])
+            cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(cell)]]).tolist()
+            for a, b in zip(cut, cut[1:]):
+                key = cell[a], bool(synthetic[a]), named[a]
+                if key != at:
+                    if ids:
+                        yield at, pa.concat_arrays(ids), np.concatenate(us)
+                    at, ids, us = key, [], []
+                if partners[a].is_valid:
+                    yield key, None, partners[a].as_py()
+                    a += 1
+                if b > a:
+                    ids.append(batch.column("id").slice(a, b - a))
+                    us.append(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+        if ids:
+            yield at, pa.concat_arrays(ids), np.concatenate(us)
+
+    def multiplied(batches):
+        import numpy as np
+        import pyarrow as pa
+        now, wanted = None, []
+        for (cell, synthetic, no), ids, x in leaves_of(batches):
+            if cell != now:
+                now, place, held, ids_r, us_r = cell, {}, 0, [], []
+            if not synthetic:
+                place[no] = held, held + len(ids)
+                held += len(ids)
+                ids_r.append(ids), us_r.append(x)
+                continue
+            if len(us_r) > 1:  # the block is whole
+                ids_r, us_r = [pa.concat_arrays(ids_r)], [np.concatenate(us_r)]
+            if ids is None:
+                wanted = sorted(place[p] for p in x)
+                continue
+            step, k = max(1, most // len(ids)), 0
+            while k < len(wanted):  # neighbours in the block are one product
+                a, b = wanted[k]
+                k += 1
+                while k < len(wanted) and wanted[k][0] == b:
+                    b = wanted[k][1]
+                    k += 1
+                for c in range(a, b, step):
+                    d = min(b, c + step)
+                    yield ids_r[0].slice(c, d - c), ids, us_r[0][c:d] @ x.T
+
+    return dealt.mapInArrow(lambda batches: each(multiplied(batches)), schema)
 
 
 def dive(pairs: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@
   two linear aggregations, no pair is ever formed.
 * Exact max / min over all pairs is n x m in the worst case. A metric tree bounds the
   cosine of every pair between two nodes, and only leaf pairs whose bounds
-  can hold an extreme are multiplied (one matrix product per leaf pair in an
-  Arrow batch, one output row), so no pair row is emitted.
+  can hold an extreme are multiplied (matrix products of leaves inside a few blocks
+  of vectors, one output row a task), so no pair row is emitted.
 * Pairs above a threshold come from the same tree, emitting only the
   pairs that pass (output proportional to the answer); hashing finds most of them.
 """
@@ -14,10 +14,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,33 +74,37 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
     one maximising and one minimising pair. ``idc`` is unique.
 
     Best-first search in a metric tree (``metric_tree``): a dive finds a few leaf pairs
-    whose products (one numpy matrix product, one output row each) give limits; then only
+    whose products (numpy matrix products, one output row a task) give limits; then only
     node pairs that may hold a better value are expanded, and only such leaf pairs
     multiplied. The worst case (no pruning) is every leaf pair; ``pairs_examined`` reports
     the work and ``n_pairs`` the number of (real, synthetic) pairs the extremes are over."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # self-contained (numpy / pandas only): workers need no import of this package
-        def stack(vectors):
-            return np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
-        for b in batches:
-            out = []
-            for ids_r, us_r, ids_s, us_s in zip(b["ids_r"], b["us_r"], b["ids_s"], b["us_s"]):
-                m = stack(us_r) @ stack(us_s).T
-                i_max = np.unravel_index(int(np.argmax(m)), m.shape)
-                i_min = np.unravel_index(int(np.argmin(m)), m.shape)
-                out.append((float(m[i_max]), int(ids_r[i_max[0]]), int(ids_s[i_max[1]]),
-                            float(m[i_min]), int(ids_r[i_min[0]]), int(ids_s[i_min[1]]), int(m.size)))
-            yield pd.DataFrame(out, columns=["mx", "mx_r", "mx_s", "mn", "mn_r", "mn_s", "pairs"])
+    def best(found):
+        # self-contained (numpy / pyarrow only): workers need no import of this package
+        import pyarrow as pa
+        hi = lo = None
+        pairs = 0
+        for ids_r, ids_s, m in found:
+            pairs += m.size
+            for k, better in ((int(np.argmax(m)), True), (int(np.argmin(m)), False)):
+                i, j = np.unravel_index(k, m.shape)
+                x = float(m[i, j])
+                if better and (hi is None or x > hi[0]):
+                    hi = x, ids_r[int(i)].as_py(), ids_s[int(j)].as_py()
+                if not better and (lo is None or x < lo[0]):
+                    lo = x, ids_r[int(i)].as_py(), ids_s[int(j)].as_py()
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64() if n in (0, 3) else pa.int64()) for n, x in enumerate((*hi, *lo, pairs))],
+                                             ["mx", "mx_r", "mx_s", "mn", "mn_r", "mn_s", "pairs"])
     schema = "mx DOUBLE, mx_r LONG, mx_s LONG, mn DOUBLE, mn_r LONG, mn_s LONG, pairs LONG"
     tree = _tree(df, side, idc, emb, block_rows)
-    first = MT.search(tree, MT.dive, "cos-dive").select("a", "b")
-    known = materialize(MT.joined(first, tree).mapInPandas(run, schema), "cos-first")
+    first = MT.search(tree, MT.dive, "cos-dive", bounds=False)
+    known = materialize(MT.products(first, tree, best, schema), "cos-first")
     limit = known.agg(F.max("mx").alias("hi"), F.min("mn").alias("lo")).first()
     if limit.hi is None:  # one side is empty
         parts = known
     else:
-        rest = MT.search(tree, lambda p: p.where((F.col("ub") >= limit.hi) | (F.col("lb") <= limit.lo)), "cos-pairs")
-        parts = known.unionByName(MT.joined(rest.join(first, ["a", "b"], "left_anti"), tree).mapInPandas(run, schema))
+        rest = MT.search(tree, lambda p: p.where((F.col("ub") >= limit.hi) | (F.col("lb") <= limit.lo)), "cos-pairs", bounds=False)
+        parts = known.unionByName(MT.products(rest.join(first, ["no_a", "no_b"], "left_anti"), tree, best, schema))
     return parts.agg(
         F.max("mx").alias("max_cosine"),
         F.max_by(F.struct(F.col("mx_r").alias("real_id"), F.col("mx_s").alias("synthetic_id")),
@@ -123,23 +126,16 @@ def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: st
     proportional to the answer, never to the candidate count."""
     thr = float(threshold)
     tree = _tree(df, side, idc, emb, block_rows)
-    pairs = MT.joined(MT.search(tree, lambda p: p.where(F.col("ub") >= F.lit(thr)), "cos-near"), tree)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def stack(vectors):
-            return np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
-        for b in batches:
-            rid, sid, cos = [], [], []
-            for ids_r, us_r, ids_s, us_s in zip(b["ids_r"], b["us_r"], b["ids_s"], b["us_s"]):
-                m = stack(us_r) @ stack(us_s).T
-                i, j = np.nonzero(m >= thr)
-                rid.extend(np.asarray(ids_r, dtype=np.int64)[i].tolist())
-                sid.extend(np.asarray(ids_s, dtype=np.int64)[j].tolist())
-                cos.extend(m[i, j].tolist())
-            yield pd.DataFrame({"real_id": pd.Series(rid, dtype="int64"),
-                                "synthetic_id": pd.Series(sid, dtype="int64"),
-                                "cosine": pd.Series(cos, dtype="float64")})
-    return pairs.mapInPandas(run, "real_id LONG, synthetic_id LONG, cosine DOUBLE")
+    pairs = MT.search(tree, lambda p: p.where(F.col("ub") >= F.lit(thr)), "cos-near", bounds=False)
+
+    def near(found):
+        import pyarrow as pa
+        for ids_r, ids_s, m in found:
+            i, j = np.nonzero(m >= thr)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([ids_r.take(pa.array(i)), ids_s.take(pa.array(j)), pa.array(m[i, j])],
+                                                 ["real_id", "synthetic_id", "cosine"])
+    return MT.products(pairs, tree, near, "real_id LONG, synthetic_id LONG, cosine DOUBLE")
 
 
 def hash_plan(threshold: float, n: int, recall: float, width: float = 1.0) -> tuple[int, int]:

@@ -91,9 +91,28 @@ def shuffled(plan):
 
 def test_vectors_shuffled_grow_as_the_table_when_nothing_is_pruned(spark):
     moved = []
-    for n in (150, 600):
+    for n in (100, 400):
         v = np.random.default_rng(2).normal(size=(n, 32))
-        near = SI.near_pairs(table(spark, v), -1.0, block_rows=4)
+        near = SI.near_pairs(table(spark, v), -1.0, block_rows=8)
         assert len(near.collect()) == n * n // 4
         moved.append(shuffled(near._jdf.queryExecution().executedPlan()))
     assert moved[1] < 7 * moved[0]
+
+
+def test_vectors_shuffled_for_hashing_grow_as_the_table_when_all_meet(spark):
+    moved = []
+    for n in (100, 400):
+        v = 1 + 0.01 * np.random.default_rng(2).normal(size=(n, 32))
+        near = SI.near_pairs_hashed(table(spark, v), 0.9)
+        assert 0.9 * n * n // 4 <= len({(r.real_id, r.synthetic_id) for r in near.collect()}) <= n * n // 4
+        moved.append(shuffled(near._jdf.queryExecution().executedPlan()))
+    assert moved[1] < 7 * moved[0]
+
+
+def test_null_vectors_have_no_pairs_and_shift_no_ids(spark):
+    v = np.random.default_rng(4).normal(size=(40, 8))
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else x.tolist(), i % 2 == 1) for i, x in enumerate(v)], SCHEMA)
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j): n[i] @ n[j] for i in range(0, 40, 2) for j in range(1, 40, 2) if i % 5 and j % 5}
+    got = {(r.real_id, r.synthetic_id): r.cosine for r in SI.near_pairs(df, -1.0, block_rows=64).collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)

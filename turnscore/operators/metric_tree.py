@@ -88,8 +88,9 @@ def build(vectors: DataFrame, leaf_rows: int = LEAF_ROWS) -> Tree:
         release(last), release(size), release(placed), release(drawn)
         level += 1
     members = _union(done)
-    leaves = materialize(members.groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("u").alias("us"))
-                         .withColumn("no", F.monotonically_increasing_id()), "tree-leaves")
+    kept = F.collect_list(F.when(F.col("u").isNotNull(), F.struct("id", "u"))).alias("x")  # null vectors have no pairs
+    leaves = materialize(members.groupBy("node").agg(kept).where(F.size("x") > 0).select(
+        "node", F.col("x.id").alias("ids"), F.col("x.u").alias("us"), F.monotonically_increasing_id().alias("no")), "tree-leaves")
     # a leaf's own centroid and radius are tighter than its ball
     own = _centred(leaves).select(F.col("node").alias("parent"), "node", "c", "r", F.lit(True).alias("leaf"), "no")
     edges = _union(inner) if inner else None
@@ -189,7 +190,7 @@ def products(pairs: DataFrame, tree: Tree, each: Callable, schema: str) -> DataF
     real, synthetic = vectors("no_a", "i", "j"), vectors("no_b", "j", "i")
     names = met.groupBy("i", "j", F.col("no_b").alias("no")).agg(F.collect_list("no_a").alias("partners")).select(
         (F.col("i") * n_s + F.col("j")).alias("cell"), F.lit(True).alias("synthetic"), "no", "partners", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("u"))
-    dealt = real.unionByName(names).unionByName(synthetic).repartition(3 * n_r * n_s, "cell") \
+    dealt = real.unionByName(names).unionByName(synthetic).repartition(n_r * n_s, "cell") \
         .sortWithinPartitions("cell", "synthetic", "no", F.col("partners").isNull())
     most = PRODUCT
 

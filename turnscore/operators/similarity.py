@@ -163,40 +163,76 @@ def near_pairs_hashed(df: DataFrame, threshold: float, side: str = "synthetic",
     found with probability ``recall`` or more, and none is wrong. ``idc`` is unique; zero vectors have no pairs.
 
     A key is the floor of several random projections of the unit vector; a vector has as many keys as the
-    recall needs (``hash_plan``). Sides are joined by key with ids only, pairs made distinct, and then their
-    cosines computed. Work follows the number of vectors and of pairs that share a bucket."""
-    u = with_unit(df.select(F.col(side).alias("side"), F.col(idc).alias("id"), emb), emb)
+    recall needs (``hash_plan``). Both sides are dealt to a few blocks, and every pair of blocks is a cell, whose task
+    sorts its vectors by key, meets them bucket by bucket and computes the cosines of those that share one. A vector is
+    shuffled as often as the other side has blocks, whatever the number of keys and of pairs that meet."""
+    u = with_unit(df.select(F.col(side).alias("side"), F.col(idc).cast("long").alias("id"), emb), emb)
     u = materialize(u.where(F.exists("u", lambda x: x != 0)).select("side", "id", "u"), "hash-vectors")
-    k, keys = hash_plan(threshold, u.count(), recall)
+    sizes = u.agg(F.count_if(~F.col("side")), F.count_if("side"), F.max(F.size("u"))).first()
+    n_r, n_s = (MT.blocks_of(n, sizes[2] or 1) for n in sizes[:2])
+    k, keys = hash_plan(threshold, sizes[0] + sizes[1], recall)
+    step = MT.PRODUCT // 8
 
-    def hashes(batches):
+    def met(r, s):
+        """(place in r, place in s, cosine) of the pairs found, each at the first key that it shares."""
+        import numpy as np
+        rng, odd = np.random.default_rng(seed), np.random.default_rng(seed + 1).integers(1, 2**62, k) * 2 + 1
+        planes, shift = rng.normal(size=(r.shape[1], k * keys)), rng.random(k * keys)
+
+        def codes(x):
+            out = np.empty((keys, len(x)), np.int32)
+            for t in range(keys):
+                cell = np.floor(x @ planes[:, t * k:(t + 1) * k] + shift[t * k:(t + 1) * k]).astype(np.int64)
+                out[t] = ((cell * odd).sum(axis=1) >> 32).astype(np.int32)
+            return out
+        code_r, code_s = codes(r), codes(s)
+        most = max(1, step // r.shape[1])  # pairs at once
+        for t in range(keys):
+            order = np.argsort(code_r[t], kind="stable")
+            ranked = code_r[t][order]
+            first = np.searchsorted(ranked, code_s[t], "left")
+            stop = np.cumsum(np.searchsorted(ranked, code_s[t], "right") - first)
+            for a in range(0, int(stop[-1]), most):
+                pair = np.arange(a, min(a + most, int(stop[-1])))
+                j = np.searchsorted(stop, pair, "right")
+                i = order[first[j] + pair - (stop[j - 1] * (j > 0))]
+                cos = np.einsum("ij,ij->i", r[i], s[j])
+                near = np.flatnonzero(cos >= threshold)
+                i, j, cos = i[near], j[near], cos[near]
+                new = np.ones(len(i), bool)
+                for e in range(t):
+                    new &= code_r[e][i] != code_s[e][j]
+                if new.any():
+                    yield i[new], j[new], cos[new]
+
+    def run(batches):
+        # self-contained (numpy / pyarrow only): workers need no import of this package
         import numpy as np
         import pyarrow as pa
-        planes = None
+
+        def found(rows):
+            if rows[0] and rows[1]:
+                (ids_r, r), (ids_s, s) = ((pa.concat_arrays([x for x, _ in one]), np.concatenate([x for _, x in one])) for one in rows)
+                for i, j, cos in met(r, s):
+                    yield pa.RecordBatch.from_arrays([ids_r.take(pa.array(i)), ids_s.take(pa.array(j)), pa.array(cos)], ["real_id", "synthetic_id", "cosine"])
+        now, rows = None, ([], [])
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            x = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            if planes is None:
-                rng = np.random.default_rng(seed)
-                planes, shift = rng.normal(size=(x.shape[1], k * keys)), rng.random(k * keys)
-            cell = np.floor(x @ planes + shift).astype(np.int64).reshape(n, keys, k)
-            odd = np.random.default_rng(seed + 1).integers(1, 2**62, k) * 2 + 1
-            code = (cell * odd).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(batch.column("side").to_numpy(zero_copy_only=False), keys)), batch.column("id").take(pa.array(np.repeat(np.arange(n), keys))),
-                pa.array(np.tile(np.arange(keys, dtype=np.int32), n)), pa.array(code.ravel())], ["side", "id", "key", "code"])
-
-    kind = u.schema["id"].dataType.simpleString()
-    keyed = materialize(u.mapInArrow(hashes, f"side boolean, id {kind}, key int, code long"), "hash-keys")
-    met = keyed.where("not side").select("key", "code", F.col("id").alias("real_id")).join(
-        keyed.where("side").select("key", "code", F.col("id").alias("synthetic_id")), ["key", "code"])
-    met = met.select("real_id", "synthetic_id").distinct()
-    real = u.where("not side").select(F.col("id").alias("real_id"), F.col("u").alias("_r"))
-    synthetic = u.where("side").select(F.col("id").alias("synthetic_id"), F.col("u").alias("_s"))
-    scored = met.join(real, "real_id").join(synthetic, "synthetic_id").select("real_id", "synthetic_id", MT.dot(F.col("_r"), F.col("_s")).alias("cosine"))
-    return scored.where(F.col("cosine") >= threshold)
+            cell, synthetic = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side"))
+            cut = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (synthetic[1:] != synthetic[:-1])) + 1, [len(cell)]]).tolist()
+            for a, b in zip(cut, cut[1:]):
+                if cell[a] != now:
+                    yield from found(rows)
+                    now, rows = cell[a], ([], [])
+                rows[int(synthetic[a])].append((batch.column("id").slice(a, b - a), batch.column("u").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)))
+        yield from found(rows)
+
+    def cells(one, own, other):
+        return u.where(one).select("side", "id", "u", MT.block("id", own).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
+    dealt = cells(~F.col("side"), n_r, n_s).select((F.col("own") * n_s + F.col("other")).alias("cell"), "side", "id", "u").unionByName(
+        cells(F.col("side"), n_s, n_r).select((F.col("other") * n_s + F.col("own")).alias("cell"), "side", "id", "u"))
+    return dealt.repartition(n_r * n_s, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, "real_id long, synthetic_id long, cosine double")
 
 
 def encode_texts(df: DataFrame, text: str, load, encode, keep: Sequence[str], out: str = "emb") -> DataFrame:

@@ -27,6 +27,41 @@ def test_batch_tokenizer_equals_library():
         assert [ids[a:b].tolist() + [0] for a, b in zip(begun, begun[1:])] == brute(ODD)
 
 
+def test_marks_and_joined_pieces_equal_library():
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    texts = [" ".join(f"{w}{m}{m}" for w in ("wort", "stra\u00dfe", "a\u00d7", "1", "z\u0142", "it's", "\u4e2d\u6587")) for m in marks]
+    texts += [" <|endoftext|>x<|endoftext|>y### <|endoftext", "|> a<|endoftext|> b", " a\u3000", " b \u00a0c \u2003d", "\u0085 e  f", " g\x1f h"]
+    texts += [" ".join(f"k{i:o}" for i in range(3000))]  # more than one joined text
+    rng = np.random.default_rng(5)
+    letters = list("ab's.,#$|<> \n\t1\u00e9\u00d7\u00f7\u0085\u00a0\u2003\u3000\u4e2d\u0301")
+    texts += ["".join(rng.choice(letters, 200)) for _ in range(300)]
+    enc = BatchTokenizer(tokenizer_path())
+    data, off = kernels.buffers(pa.array(texts))
+    ids, begun = enc(data, off)
+    assert [ids[a:b].tolist() + [0] for a, b in zip(begun, begun[1:])] == brute(texts)
+    # bytes that are no UTF-8, alone and where they would be joined
+    raw = [b" ok \xc3 no \xe1\x80 yes### \xa9# \xc3", b"\xa9## \xff\xfe, x\xc3\xa9## y"]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])])
+    ids, begun = enc(data, off)
+    assert [ids[a:b].tolist() + [0] for a, b in zip(begun, begun[1:])] == brute(r.decode("utf-8", "replace") for r in raw)
+
+
+def test_new_pieces_reach_the_library_joined():
+    """A call result for each piece cost half of the whole operator's time."""
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.texts = tok, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.tok.encode_batch_fast(texts, **more)
+
+    enc = BatchTokenizer(tokenizer_path())
+    enc.tok = Counting(enc.tok)
+    enc(*kernels.buffers(pa.array([" ".join(f"wo{i:o}{m}" for i in range(2000) for m in ("", "###", "$$$"))])))
+    assert enc.tok.texts < 20
+
+
 def test_open_bins_fullest_closes_first():
     bins = OpenBins(10, 2)
     # the bin with 7 closes for 8; 3 fits best beside 6; that bin, then the fullest, closes for 4

@@ -28,19 +28,46 @@ GROUP = 4096
 CACHE = 1 << 20
 #: Text pieces handed to the library at once.
 ENCODE = 10_000
+#: Pieces that are joined to one text for the library, which costs less than a call result for each.
+JOIN = 1000
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+LEAD = np.zeros(256, bool)  # lead bytes of non-ASCII white space, among others
+LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def maybe_space_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place may be white space."""
+    before = data[at - 1]
+    return SPACE[before] | (before >= 0x80) & ((data[np.maximum(at - 2, 0)] == 0xC2) | LEAD[data[np.maximum(at - 3, 0)]])
 
 
 class BatchTokenizer:
     """Ids of whole texts by the ``tokenizers`` library, each distinct piece encoded once.
 
     A byte-level BPE of this kind splits before a single space or line break between
-    two characters that are not white space, after such a line break, and between an
-    ASCII letter and a comma or full stop. Texts are cut there and the ids of the
-    pieces are joined."""
+    two characters that are not white space, after such a line break, and between a
+    letter (ASCII or Latin-1) and an ASCII punctuation mark. Texts are cut there and the
+    ids of the pieces are joined. Marks that occur in added tokens do not cut.
+
+    For the same reason new pieces that begin with a single space are encoded as one text;
+    its ids are dealt to them by the bytes that each id stands for."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        vocab, added = self.tok.get_vocab(with_added_tokens=True), self.tok.get_added_tokens_decoder()
+        self.width = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)  # bytes of each id
+        self.width[np.fromiter(vocab.values(), np.int64, len(vocab))] = np.fromiter(map(len, vocab), np.int64, len(vocab))
+        self.marks = np.zeros(256, bool)
+        self.marks[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+        for i, token in added.items():
+            content = token.content.encode()
+            self.width[i] = len(content)
+            # a mark at the front follows nothing inside the token
+            self.marks[list(content[1:])] = False
         self.clear()
 
     def clear(self):
@@ -49,34 +76,64 @@ class BatchTokenizer:
         self.len = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    @staticmethod
-    def starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Places where pieces begin. A neighbour that may belong to a white-space
         character (also a non-ASCII one) prevents a cut."""
-        space = np.zeros(256, bool)
-        space[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
-        lead = np.zeros(256, bool)
-        lead[[0xC2, 0xE1, 0xE2, 0xE3]] = True
         edge = np.zeros(len(data) + 1, bool)
         edge[off] = True
         begin = edge.copy()
         at = np.flatnonzero((data == 0x20) | (data == 0x0A))
         at = at[~edge[at] & ~edge[at + 1]]
-        before, after = data[at - 1], data[at + 1]
-        bad = space[before] | space[after] | lead[after]
-        bad |= (before >= 0x80) & (data[np.maximum(at - 2, 0)] == 0xC2)
-        bad |= (before >= 0x80) & lead[data[np.maximum(at - 3, 0)]]
-        at = at[~bad]
+        at = at[~(SPACE[data[at + 1]] | LEAD[data[at + 1]] | maybe_space_before(data, at))]
         begin[at] = True
         begin[at[data[at] == 0x0A] + 1] = True
-        at = np.flatnonzero((data == 0x2C) | (data == 0x2E))
+        at = np.flatnonzero(self.marks[data])
         at = at[~edge[at]]
-        letter = data[at - 1] | np.uint8(0x20)
-        at = at[(letter >= 0x61) & (letter <= 0x7A)]
-        after = np.append(data, np.uint8(0x20))[at + 1]
-        begin[at[edge[at + 1] | (after == 0x20) | (after == 0x0A)]] = True
+        before = data[at - 1]
+        letter = ((before | np.uint8(0x20)) >= 0x61) & ((before | np.uint8(0x20)) <= 0x7A)
+        # U+00C0 to U+00FF are letters but for the signs of multiplication and division
+        letter |= ((before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7) & ~edge[at - 1]
+                   & (data[np.maximum(at - 2, 0)] == 0xC3))
+        begin[at[letter]] = True
         return np.flatnonzero(begin[:-1])
 
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of every piece, where they begin among all ids, and these."""
+        size, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        parts, total = [], 0
+        second = data[np.minimum(start + 1, len(data) - 1)]
+        joins = (data[start] == 0x20) & (end - start > 1) & ~SPACE[second] & ~LEAD[second] & ~maybe_space_before(data, end)
+        joined, single = np.flatnonzero(joins), [np.flatnonzero(~joins)]
+        for k in range(0, len(joined), JOIN):
+            rows = joined[k:k + JOIN]
+            length = end[rows] - start[rows]
+            stop = np.cumsum(length)
+            raw = data[np.repeat(start[rows] - (stop - length), length) + np.arange(stop[-1])].tobytes()
+            try:
+                ids = np.array(self.tok.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            except UnicodeDecodeError:
+                single.append(rows)
+                continue
+            reach = np.cumsum(self.width[ids])
+            last = np.searchsorted(reach, stop)  # the id that ends a piece
+            if last[-1] >= len(reach) or (reach[last] != stop).any():
+                single.append(rows)
+                continue
+            size[rows] = np.diff(last, prepend=-1)
+            at[rows] = total + last + 1 - size[rows]
+            parts.append(ids)
+            total += len(ids)
+        single = np.concatenate(single)
+        for k in range(0, len(single), ENCODE):  # the library's results are large objects
+            rows = single[k:k + ENCODE]
+            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[rows], end[rows])]
+            got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            size[rows] = np.fromiter(map(len, got), np.int64, len(got))
+            at[rows] = total + np.cumsum(size[rows]) - size[rows]
+            parts.append(np.fromiter((x for g in got for x in g), np.uint32, int(size[rows].sum())))
+            total += len(parts[-1])
+        return size, at, np.concatenate(parts)
+
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin."""
         start = self.starts(data, off)
@@ -90,17 +147,11 @@ class BatchTokenizer:
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == uniq[inside]
         if not known.all():
-            raw = data.tobytes()
-            fresh, sizes, parts = first[~known], [], []
-            for k in range(0, len(fresh), ENCODE):  # the library's results are large objects
-                texts = [raw[start[i]:end[i]].decode("utf-8", "replace") for i in fresh[k:k + ENCODE]]
-                got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-                parts.append(np.fromiter((x for g in got for x in g), np.uint32, int(sizes[-1].sum())))
-            size, where = np.concatenate(sizes), place[~known]
-            self.at = np.insert(self.at, where, len(self.ids) + np.cumsum(size) - size)
+            fresh, where = first[~known], place[~known]
+            size, at, ids = self.encode(data, start[fresh], end[fresh])
+            self.at = np.insert(self.at, where, len(self.ids) + at)
             self.len = np.insert(self.len, where, size)
-            self.ids = np.concatenate([self.ids, *parts])
+            self.ids = np.concatenate([self.ids, ids])
             self.keys = np.insert(self.keys, where, uniq[~known])
             place = np.searchsorted(self.keys, uniq)
         size, at = self.len[place][inverse], self.at[place][inverse]

@@ -48,6 +48,17 @@ def test_equals_an_independent_solver(feats, tmp_path):
         assert np.abs(x @ (last[f] - want)[:-1] + (last[f] - want)[-1]).max() < 0.02
 
 
+def test_median_that_few_labels_decide(spark, tmp_path):
+    """11 more labels lie above the median than below, and 13 on it: plain reweighting stood at 2.011 after 40 epochs."""
+    labels = [x for x, n in enumerate([11, 15, 13, 12, 10, 5, 10]) for _ in range(n)]
+    near = [0] * 10 + [1] * 40 + [2] * 20 + [3] * 31
+    rows = [(i, 1, "a", y) for i, y in enumerate(labels)] + [(100 + i, 1, "b", y) for i, y in enumerate(near)] + [(900, 0, "a", 1), (901, 0, "b", 4)]
+    feats = AB.indicator_features(spark.createDataFrame(rows, "id long, fold int, topic string, label int"), "id", "label", "topic", ["a", "b"])
+    table = AB.fit_epochs(feats, 2, 2, str(tmp_path / "s"), reg=1e-9, epochs=40, settled=True)
+    got = {r.topic: r.pred for r in AB.predictions(feats, AB.chosen_epochs(table, best=False), "m", "id").where("fold = 0").collect()}
+    assert got["a"] == pytest.approx(2, abs=2e-4) and got["b"] == pytest.approx(np.median(near), abs=2e-4)
+
+
 def test_resumed_fit_is_the_same(feats, tmp_path, spark):
     whole = AB.fit_epochs(feats, 3, 12, str(tmp_path / "a"), epochs=8)
     AB.fit_epochs(feats, 3, 12, str(tmp_path / "b"), epochs=3)

@@ -1,12 +1,16 @@
-"""Linear regression by reweighted rounds, with absolute or squared loss, epoch by epoch.
+"""Linear regression with absolute or squared loss, epoch by epoch.
 
 The absolute loss is smoothed to sqrt(r^2 + eps^2), whose minimum follows from least-squares
-solves with the weights 1 / sqrt(r^2 + eps^2); eps halves every round down to ``EPS``. A round
+steps with the weights 1 / sqrt(r^2 + eps^2); eps halves every epoch down to ``EPS``. A step
 is one pass over the written features: every task sums the weighted Gram matrices of all folds,
 sums meet in two steps, and one bounded solve per fold gives the next weights. The pass also
 measures the loss of the current weights on each fold's training and validation examples.
 
-A round is an epoch. Its weights and losses are a small table of their own in shared
+An epoch is one such step, which leads downhill but crawls to a median that few labels decide. A
+settled fit goes on within an epoch until the smoothed objective of every fold has settled, by steps
+that mix in the true curvature; one that leads uphill is taken back and damped more.
+
+An epoch's weights and losses are a small table of their own in shared
 storage, so a lost driver resumes after the last complete epoch and gets the same model, and the
 epoch with the least validation loss can be restored.
 """
@@ -24,6 +28,8 @@ from turnscore.operators.models import _features
 from turnscore.session import materialize, shared_path
 
 EPS, EPOCHS = 1e-6, 60
+#: A fold has settled when its next step would gain less than this share of eps.
+SETTLED = 0.01
 EPOCH_SCHEMA = "epoch int, fold int, w array<double>, eps double, n_train long, train_loss double, n_validation long, validation_loss double"
 
 
@@ -44,31 +50,36 @@ def indicator_features(folded: DataFrame, key: str, label: str, topic: str, topi
                                      x.alias("x")), "indicator-features")
 
 
-def _pass(feats: DataFrame, weights: np.ndarray, eps: float | None) -> list[tuple]:
-    """(fold, n_train, train loss, n_validation, validation loss, weighted Gram matrix of (x, 1, y)) of every fold, by
-    one pass; without ``eps`` the loss is squared."""
-    k, side = weights.shape[0], weights.shape[1] + 1
+def _pass(feats: DataFrame, weights: np.ndarray, eps: float | None, curved: bool) -> list[tuple]:
+    """(fold, n_train, train loss, n_validation, validation loss, smoothed train loss, its negative slope, Gram matrix of
+    (x, 1) weighted by 1 / sqrt(r^2 + eps^2), if ``curved`` also by the curvature) of every fold, by one pass; without
+    ``eps`` the loss is squared. All but the numbers of examples are means."""
+    k, side = weights.shape
     shared = feats.sparkSession.sparkContext.broadcast(weights)
     schema = "fold int, packed binary"
 
     def sums(batches):
         import numpy as np
         import pyarrow as pa
-        w, total = shared.value, np.zeros((k, 4 + side * side))
+        w, total = shared.value, np.zeros((k, 5 + side + (1 + curved) * side * side))
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            z = np.concatenate([batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1), np.ones((n, 1)),
-                                batch.column("label").to_numpy(zero_copy_only=False)[:, None]], axis=1)
+            z = np.concatenate([batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1), np.ones((n, 1))], axis=1)
+            y = batch.column("label").to_numpy(zero_copy_only=False)
             fold = batch.column("fold").to_numpy(zero_copy_only=False)
             for f in range(k):
-                r = z[:, -1] - z[:, :-1] @ w[f]
-                loss = np.abs(r) if eps is not None else r * r
+                r = y - z @ w[f]
                 own = fold == f
-                a = np.where(own, 0.0, 1.0 if eps is None else 1 / np.sqrt(r * r + eps * eps))
+                loss = np.abs(r) if eps is not None else r * r
                 total[f, :4] += [n - own.sum(), loss[~own].sum(), own.sum(), loss[own].sum()]
-                total[f, 4:] += ((z * a[:, None]).T @ z).ravel()
+                x, r = z[~own], r[~own]
+                smooth = np.sqrt(r * r + eps * eps) if eps is not None else r * r
+                upper = 1 / smooth if eps is not None else np.full(len(r), 2.0)
+                total[f, 4] += smooth.sum()
+                grams = [upper, upper * (eps / smooth) ** 2] if curved else [upper]
+                total[f, 5:] += np.concatenate([x.T @ (upper * r), *[((x * a[:, None]).T @ x).ravel() for a in grams]])
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["fold", "packed"])
 
     def add(key, table):
@@ -83,10 +94,56 @@ def _pass(feats: DataFrame, weights: np.ndarray, eps: float | None) -> list[tupl
     out = []
     for r in sorted(parts.groupBy("fold").applyInArrow(add, schema).collect()):  # one row a fold
         v = np.frombuffer(bytes(r.packed))
-        out.append((r.fold, int(v[0]), v[1] / max(1, v[0]), int(v[2]), v[3] / max(1, v[2]), v[4:].reshape(side, side)))
+        n = max(1, v[0])
+        out.append((r.fold, int(v[0]), v[1] / n, int(v[2]), v[3] / max(1, v[2]), v[4] / n, v[5:5 + side] / n,
+                    *(v[5 + side:] / n).reshape(-1, side, side)))
     return out
 
 
+def _ridge(reg: float, side: int) -> np.ndarray:
+    ridge = reg * np.eye(side)
+    ridge[-1, -1] = 0
+    return ridge
+
+
+def _step(weights: np.ndarray, reg: float, stats: list[tuple]) -> np.ndarray:
+    """The weights after one step of every fold; ``stats`` is the pass at ``weights``."""
+    weights, ridge = weights.copy(), _ridge(reg, weights.shape[1])
+    for f, n, _, _, _, _, slope, upper, *_ in stats:
+        if n:
+            weights[f] += np.linalg.lstsq(upper + ridge, slope - ridge @ weights[f], rcond=None)[0]
+    return weights
+
+
+def _settle(feats: DataFrame, weights: np.ndarray, eps: float, reg: float, stats: list[tuple]) -> np.ndarray:
+    """The weights that minimise every fold's objective at ``eps``; ``stats`` is the pass at ``weights``. Damped fully, a
+    step gains at least what it promises, so the steps end; one that does not then is at the limit of the numbers."""
+    weights, ridge = weights.copy(), _ridge(reg, weights.shape[1])
+    value = lambda w, s: s[5] + w @ ridge @ w / 2
+    now = {s[0]: s for s in stats if s[1]}
+    damp = dict.fromkeys(now, 0.5)
+    while now:
+        trial = weights.copy()
+        for f, (*_, slope, upper, curve) in list(now.items()):
+            down = slope - ridge @ weights[f]
+            step = np.linalg.lstsq(damp[f] * upper + (1 - damp[f]) * curve + ridge, down, rcond=None)[0]
+            if down @ step / 2 <= SETTLED * eps:
+                del now[f]
+            else:
+                trial[f] += step
+        for new in _pass(feats, trial, eps, True) if now else ():
+            f = new[0]
+            if f not in now:
+                continue
+            if value(trial[f], new) <= value(weights[f], now[f]):
+                weights[f], now[f], damp[f] = trial[f], new, max(1e-4, damp[f] / 4)
+            elif damp[f] < 1:
+                damp[f] = min(1.0, damp[f] * 4)
+            else:
+                del now[f]
+    return weights
+
+
 def _done(spark, state: str, k: int) -> dict[int, list]:
     """The complete epochs of a state folder: those with a row for every fold."""
     from pyspark.errors import AnalysisException
@@ -101,15 +158,16 @@ def _done(spark, state: str, k: int) -> dict[int, list]:
 
 
 def fit_epochs(feats: DataFrame, k: int, num_features: int, state: str, loss: str = "absolute", reg: float = 1e-3, epochs: int = EPOCHS,
-               tol: float = 1e-10) -> DataFrame:
+               tol: float = 1e-10, settled: bool = False) -> DataFrame:
     """The table of epochs (EPOCH_SCHEMA) of ``k`` fits, fold f held out of the f-th: losses of the weights that an
     epoch began with, epoch 0 with zeros. Minimises mean(loss) + reg * |w|^2 / 2, the intercept (last weight) free.
 
     Epochs already complete in ``state`` (a folder in shared storage) are kept and the fit goes on behind
-    the last one. It ends after ``epochs`` or once no fold's training loss changes by more than ``tol`` of it."""
+    the last one. It ends after ``epochs`` or once no fold's training loss changes by more than ``tol`` of it. An
+    absolute fit that must reach the minimum, whatever the number of passes, is to be ``settled``."""
     spark = feats.sparkSession
     done = _done(spark, state, k)
-    at = max(done, default=-1)
+    at, curved = max(done, default=-1), settled and loss == "absolute"
     stats = None  # of the weights and eps of the last epoch, unless another driver made it
     start = feats.agg(F.coalesce(F.expr("percentile_approx(label, 0.5)"), F.lit(0.0))).first()[0]
     while at < epochs:
@@ -123,16 +181,12 @@ def fit_epochs(feats: DataFrame, k: int, num_features: int, state: str, loss: st
             if at > 1 and (eps is None or eps <= EPS) and all(
                     abs(r.train_loss - p.train_loss) <= tol * max(1e-12, p.train_loss) for r, p in zip(last, done[at - 1])):
                 break
-            stats, ridge = stats or _pass(feats, weights, eps), reg * np.eye(num_features + 1)
-            ridge[-1, -1] = 0
-            for f, n, _, _, _, m in stats:
-                if n:
-                    scale = 1 / n if loss == "absolute" else 2 / n
-                    weights[f] = np.linalg.lstsq(m[:-1, :-1] * scale + ridge, m[:-1, -1] * scale, rcond=None)[0]
+            stats = stats or _pass(feats, weights, eps, curved)
+            weights = _settle(feats, weights, eps, reg, stats) if curved else _step(weights, reg, stats)
         at += 1
         eps = max(EPS, 0.5 ** at)
-        stats = _pass(feats, weights, eps if loss == "absolute" else None)
-        rows = [(at, f, weights[f].tolist(), eps, n, float(a), v, float(b)) for f, n, a, v, b, _ in stats]
+        stats = _pass(feats, weights, eps if loss == "absolute" else None, curved)
+        rows = [(at, f, weights[f].tolist(), eps, n, float(a), v, float(b)) for f, n, a, v, b, *_ in stats]
         spark.createDataFrame(rows, EPOCH_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{state}/part={at}")
         done[at] = sorted(spark.createDataFrame(rows, EPOCH_SCHEMA).collect(), key=lambda r: r.fold)
     return spark.read.schema(EPOCH_SCHEMA).parquet(state)

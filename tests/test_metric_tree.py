@@ -116,3 +116,41 @@ def test_null_vectors_have_no_pairs_and_shift_no_ids(spark):
     want = {(i, j): n[i] @ n[j] for i in range(0, 40, 2) for j in range(1, 40, 2) if i % 5 and j % 5}
     got = {(r.real_id, r.synthetic_id): r.cosine for r in SI.near_pairs(df, -1.0, block_rows=64).collect()}
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def crossed(tree, **limits):
+    """(real id, synthetic id) of every vector pair that ``products`` multiplies."""
+    def each(found):
+        import pyarrow as pa
+        for a, b, m in found:
+            i, j = np.indices(m.shape)
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(i.ravel())), b.take(pa.array(j.ravel()))], ["r", "s"])
+    rows = [tuple(x) for x in MT.products(tree, each, "r long, s long", **limits).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize("low,high", [(-0.6, 0.95), (-2.0, -1.0)])
+def test_products_reach_the_pairs_of_a_search(spark, low, high):
+    v = np.concatenate([clustered(300, 3), np.zeros((6, 16)), np.repeat([[1.0] * 16], 40, axis=0)])
+    tree = SI._tree(table(spark, v), "synthetic", "id", "emb", 8)
+    ids = {r.no: r.ids for r in tree.leaves.collect()}
+    pairs = [(r.no_a, r.no_b) for r in MT.search(tree, lambda p: p.where((p.ub >= high) | (p.lb <= low)), "reached").collect()]
+    want = {(x, y) for a, b in pairs for x in ids[a] for y in ids[b]}
+    assert crossed(tree, low=low, high=high) == want and (high == -1.0) == (len(want) == (len(v) // 2) ** 2)
+    out = pairs[::3]
+    assert crossed(tree, low=low, high=high, without=out) == want - {(x, y) for a, b in out for x in ids[a] for y in ids[b]}
+    assert crossed(tree, pairs=out) == {(x, y) for a, b in out for x in ids[a] for y in ids[b]}
+
+
+def test_no_table_of_pairs_when_nothing_is_pruned(spark, monkeypatch):
+    written, write = [], MT.materialize
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        written.append((out.count(), name))
+        return out
+    monkeypatch.setattr(MT, "materialize", counted), monkeypatch.setattr(SI, "materialize", counted)
+    v = np.random.default_rng(2).normal(size=(400, 32))
+    assert SI.near_pairs(table(spark, v), -1.0, block_rows=4).count() == 200 * 200
+    assert max(written)[0] <= 3 * 400  # nodes and vectors; pairs of leaves are tens of thousands

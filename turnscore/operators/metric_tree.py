@@ -7,9 +7,10 @@ one direction, which no pivot divides, are dealt to leaves by hash. From centres
 pair has bounds on the cosine of all its vector pairs.
 
 A search starts at the pair of roots and expands, in rounds, only node pairs whose bounds
-can still hold a result, so no table of all pairs is made at any level. For extremes a
-dive through the most promising pairs comes first: it ends at a few leaf pairs, whose
-products give the limits that prune the search.
+can still hold a result. It runs inside the tasks that multiply the leaves (``products``),
+so no table of pairs is made at any level. For extremes a dive through the most promising
+pairs comes first: it ends at a few leaf pairs, whose products give the limits that prune
+the search.
 """
 
 from __future__ import annotations
@@ -127,9 +128,9 @@ def _centred(leaves: DataFrame) -> DataFrame:
 def expand(pairs: DataFrame, tree: Tree, spread_out: bool = False) -> DataFrame:
     """Children of node pairs (a, b): (a, b, leaf, no_a, no_b, lb, ub) with bounds on the cosine of all their vectors
     (angle of the centres minus and plus both radii) and the numbers of leaves."""
-    def side(x):
+    def side(x):  # merged, never broadcast: files of pairs are tiny for their rows, and the children grow with the table
         return tree.children.select(F.col("parent").alias(x), F.col("node").alias(f"n{x}"), F.col("c").alias(f"c{x}"),
-                                    F.col("r").alias(f"r{x}"), F.col("leaf").alias(f"leaf{x}"), F.col("no").alias(f"no_{x}"))
+                                    F.col("r").alias(f"r{x}"), F.col("leaf").alias(f"leaf{x}"), F.col("no").alias(f"no_{x}")).hint("merge")
     both = pairs.select("a", "b").join(side("a"), "a")
     if spread_out:  # few bytes, but much to compute
         both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b")
@@ -169,82 +170,159 @@ def blocks_of(rows: int, dim: int) -> int:
     return max(BLOCKS, math.ceil(8 * rows * dim / BLOCK_BYTES))
 
 
-def products(pairs: DataFrame, tree: Tree, each: Callable, schema: str) -> DataFrame:
+def products(tree: Tree, each: Callable, schema: str, low: float = -2.0, high: float = 2.0, pairs: list | None = None,
+             without: list = ()) -> DataFrame:
     """Rows of ``schema`` that ``each`` makes of the products of leaf pairs: it is given, for a task, an iterator over
     (real ids, synthetic ids, matrix of their cosines) and yields record batches.
 
-    Leaves of either side are dealt to a few blocks, and a pair of blocks is a cell. A leaf goes once to every cell
-    in which it has a partner, with the numbers of its partners, so a vector is shuffled as often as the other side has
-    blocks, however many leaf pairs there are. A task holds the real leaves of a cell; synthetic ones pass by."""
+    Multiplied are the leaf pairs that a search from the roots reaches through node pairs with lb <= ``low`` or
+    ub >= ``high``, but for those numbered in ``without``; or else just those numbered in ``pairs`` (few).
+
+    Leaves of either side are dealt to a few blocks, and a pair of blocks is a cell, to which also the nodes above its
+    leaves go. The search runs inside the cells, for one synthetic leaf after the other, so that no list of node or leaf
+    pairs is made anywhere, and a vector is shuffled as often as the other side has blocks, however many leaf pairs
+    there are. A task holds the real leaves of a cell; synthetic ones pass by."""
     size = tree.children.agg(F.max(F.size("c"))).first()[0] or 1
     rows = tree.leaves.where(F.col("node").startswith("r")).agg(F.sum(F.size("ids"))).first()[0] or 0
     n_r, n_s = blocks_of(rows, size), BLOCKS
-    met = pairs.select("no_a", "no_b", block("no_a", n_r).alias("i"), block("no_b", n_s).alias("j"))
-
-    def vectors(no, own, other):
-        to = met.groupBy(F.col(no).alias("no")).agg(F.collect_set(other).alias(other), F.first(own).alias(own))
-        leaves = tree.leaves.join(to, "no").select("no", own, F.explode(other).alias(other), "ids", "us")
-        return leaves.select((F.col("i") * n_s + F.col("j")).alias("cell"), F.lit(no == "no_b").alias("synthetic"), "no",
-                             F.lit(None).cast("array<long>").alias("partners"), F.explode(F.arrays_zip("ids", "us")).alias("x")) \
-            .select("cell", "synthetic", "no", "partners", F.col("x.ids").cast("long").alias("id"), F.col("x.us").alias("u"))
-    real, synthetic = vectors("no_a", "i", "j"), vectors("no_b", "j", "i")
-    names = met.groupBy("i", "j", F.col("no_b").alias("no")).agg(F.collect_list("no_a").alias("partners")).select(
-        (F.col("i") * n_s + F.col("j")).alias("cell"), F.lit(True).alias("synthetic"), "no", "partners", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("u"))
-    dealt = real.unionByName(names).unionByName(synthetic).repartition(n_r * n_s, "cell") \
-        .sortWithinPartitions("cell", "synthetic", "no", F.col("partners").isNull())
-    most = PRODUCT
-
-    def leaves_of(batches):
+    steps = F.split("node", "[.]")
+    above = F.when(F.size(steps) > 2, F.transform(F.sequence(F.lit(2), F.size(steps) - 1), lambda k: F.array_join(F.slice(steps, F.lit(1), k), ".")))
+
+    def side(letter, own, other, kind):
+        """Rows of the side's inner nodes (of ``kind``) and vectors (of the next one), in every cell of their blocks."""
+        leaves = tree.leaves.where(F.col("node").startswith(letter))
+        if pairs is not None:
+            leaves = leaves.where(F.col("no").isin([p[letter == "s"] for p in pairs]))
+        cell = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        cell = ("own", cell.alias("other")) if letter == "r" else (cell.alias("other"), "own")
+        number = (F.col("own") * n_s + F.col("other") if letter == "r" else F.col("other") * n_s + F.col("own")).alias("cell")
+        vectors = leaves.select("node", "no", block("no", own).alias("own"), F.explode(F.arrays_zip("ids", "us")).alias("x")).select(
+            *cell, F.lit(kind + 1).alias("kind"), "node", "no", F.lit(0.0).alias("r"), F.col("x.ids").cast("long").alias("id"), F.col("x.us").alias("u"))
+        inner = leaves.select(F.explode(above).alias("node"), block("no", own).alias("own")).distinct().join(
+            tree.children.where(~F.col("leaf")).select("node", "c", "r"), "node").select(
+            *cell, F.lit(kind).alias("kind"), "node", F.lit(-1).cast("long").alias("no"), "r", F.lit(-1).cast("long").alias("id"), F.col("c").alias("u"))
+        both = vectors if pairs is not None else inner.unionByName(vectors)
+        return both.select(number, "kind", "node", "no", "r", "id", "u")
+    dealt = side("r", n_r, n_s, 0).unionByName(side("s", n_s, n_r, 2)).repartition(n_r * n_s, "cell").sortWithinPartitions("cell", "kind", "node", "no")
+    most, slack, partners = PRODUCT, _SLACK, {}
+    for a, b in without if pairs is None else pairs:
+        partners.setdefault(b, []).append(a)
+
+    def nodes_of(batches):
+        """((cell, kind, node, number), radius, ids, vectors) of inner nodes and leaves."""
         # self-contained (numpy / pyarrow only): workers need no import of this package
         import numpy as np
         import pyarrow as pa
-        at, ids, us = None, [], []
+        at, r, ids, us = None, 0.0, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, synthetic, named = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "synthetic", "no"))
-            partners, vectors = batch.column("partners"), batch.column("u")
-            new = (cell[1:] != cell[:-1]) | (synthetic[1:] != synthetic[:-1]) | (named[1:] != named[:-1])
+            cell, kind, no = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "kind", "no"))
+            node, vectors = batch.column("node"), batch.column("u")
+            code = node.dictionary_encode().indices.to_numpy()
+            new = (cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1]) | (code[1:] != code[:-1])
             cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(cell)]]).tolist()
             for a, b in zip(cut, cut[1:]):
-                key = cell[a], bool(synthetic[a]), named[a]
+                key = int(cell[a]), int(kind[a]), node[a].as_py(), int(no[a])
                 if key != at:
                     if ids:
-                        yield at, pa.concat_arrays(ids), np.concatenate(us)
-                    at, ids, us = key, [], []
-                if partners[a].is_valid:
-                    yield key, None, partners[a].as_py()
-                    a += 1
-                if b > a:
-                    ids.append(batch.column("id").slice(a, b - a))
-                    us.append(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+                        yield at, r, pa.concat_arrays(ids), np.concatenate(us)
+                    at, r, ids, us = key, batch.column("r")[a].as_py(), [], []
+                ids.append(batch.column("id").slice(a, b - a))
+                us.append(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
         if ids:
-            yield at, pa.concat_arrays(ids), np.concatenate(us)
+            yield at, r, pa.concat_arrays(ids), np.concatenate(us)
+
+    def ball(x):
+        """Centroid and radius of a leaf's vectors."""
+        import numpy as np
+        c = x.sum(axis=0)
+        norm = np.sqrt(c @ c)
+        if not norm > 0:
+            return c * 0.0, np.pi
+        c = c / norm
+        d = x @ c
+        return c, float(np.arccos(np.clip(np.where(np.isnan(d), 1.0, d).min(), -1.0, 1.0)))
+
+    def chain(node):
+        """The node's ancestors below the root, and itself."""
+        at = node.split(".")
+        return [".".join(at[:k]) for k in range(2, len(at))] + [node]
+
+    def levels_of(leaves, inner):
+        """Per depth: centres and radii of the nodes there (a leaf is its own child), and each one's place in the depth above."""
+        import numpy as np
+        chains, out, seen = [chain(node) for node, _, _ in leaves], [], {}
+        for t in range(max(map(len, chains))):
+            place, up = {}, []
+            for x in chains:
+                node = x[min(t, len(x) - 1)]
+                if node not in place:
+                    place[node] = len(place)
+                    up.append(seen[x[min(t - 1, len(x) - 1)]] if t else 0)
+            balls = dict((node, (c, r)) for node, c, r in leaves)
+            balls = [balls[node] if node in balls else inner[node] for node in place]
+            out.append((np.stack([c for c, _ in balls]), np.array([r for _, r in balls]), np.array(up)))
+            seen = place
+        return out
+
+    def reached(levels, path, known):
+        """Which real leaves a search reaches beside a synthetic one, given as (node, centre, radius) from the root's
+        child on; ``known`` keeps what holds for nodes above it."""
+        import numpy as np
+        near = np.arccos(np.clip(high - slack, -1.0, 1.0)) if high - slack <= 1 else -np.inf
+        far = np.arccos(np.clip(low + slack, -1.0, 1.0)) if low + slack >= -1 else np.inf
+        same = True
+        for t in range(max(len(levels), len(path))):
+            node, c, r = path[min(t, len(path) - 1)]
+            same = same and t < len(known) and known[t][0] == node
+            if same:
+                continue
+            del known[t:]
+            centres, radii, up = levels[min(t, len(levels) - 1)]
+            before = known[t - 1][1] if t else np.ones(1, bool)
+            ok = before[up] if t < len(levels) else before.copy()
+            at = np.flatnonzero(ok)
+            if len(at):
+                cos = (centres[at] if len(at) < len(ok) else centres) @ c
+                theta = np.arccos(np.clip(np.where(np.isnan(cos), 1.0, cos), -1.0, 1.0))
+                spread = radii[at] + r
+                ok[at] = (theta - spread <= near) | (np.minimum(np.pi, theta + spread) >= far)
+            known.append((node, ok))
+        return known[max(len(levels), len(path)) - 1][1]
 
     def multiplied(batches):
         import numpy as np
         import pyarrow as pa
-        now, wanted = None, []
-        for (cell, synthetic, no), ids, x in leaves_of(batches):
+        now = None
+        for (cell, kind, node, no), r, ids, x in nodes_of(batches):
             if cell != now:
-                now, place, held, ids_r, us_r = cell, {}, 0, [], []
-            if not synthetic:
-                place[no] = held, held + len(ids)
-                held += len(ids)
+                now, inner, leaves, number, held, ids_r, us_r, levels, inner_s, known = cell, {}, [], [], [0], [], [], None, {}, []
+            if kind == 0 or kind == 2:
+                (inner if kind == 0 else inner_s)[node] = x[0], r
+                continue
+            if kind == 1:
+                leaves.append((node, *ball(x))), number.append(no), held.append(held[-1] + len(ids))
                 ids_r.append(ids), us_r.append(x)
                 continue
-            if len(us_r) > 1:  # the block is whole
+            if not leaves:
+                continue
+            if len(us_r) > 1 or isinstance(number, list):  # the block is whole
                 ids_r, us_r = [pa.concat_arrays(ids_r)], [np.concatenate(us_r)]
-            if ids is None:
-                wanted = sorted(place[p] for p in x)
+                number, held = np.array(number), np.array(held)
+            if pairs is not None:
+                wanted = np.isin(number, partners.get(no, []))
+            else:
+                levels = levels or levels_of(leaves, inner)
+                wanted = reached(levels, [(n, *inner_s[n]) for n in chain(node)[:-1]] + [(node, *ball(x))], known)
+                if no in partners:
+                    wanted = wanted & ~np.isin(number, partners[no])
+            at = np.flatnonzero(wanted)
+            if not len(at):
                 continue
-            step, k = max(1, most // len(ids)), 0
-            while k < len(wanted):  # neighbours in the block are one product
-                a, b = wanted[k]
-                k += 1
-                while k < len(wanted) and wanted[k][0] == b:
-                    b = wanted[k][1]
-                    k += 1
+            cut = np.flatnonzero(np.diff(at) != 1)  # neighbours in the block are one product
+            step = max(1, most // len(ids))
+            for a, b in zip(held[at[np.append(0, cut + 1)]].tolist(), held[at[np.append(cut, len(at) - 1)] + 1].tolist()):
                 for c in range(a, b, step):
                     d = min(b, c + step)
                     yield ids_r[0].slice(c, d - c), ids, us_r[0][c:d] @ x.T

@@ -97,14 +97,13 @@ def cosine_extremes(df: DataFrame, side: str = "synthetic", idc: str = "id", emb
                                              ["mx", "mx_r", "mx_s", "mn", "mn_r", "mn_s", "pairs"])
     schema = "mx DOUBLE, mx_r LONG, mx_s LONG, mn DOUBLE, mn_r LONG, mn_s LONG, pairs LONG"
     tree = _tree(df, side, idc, emb, block_rows)
-    first = MT.search(tree, MT.dive, "cos-dive", bounds=False)
-    known = materialize(MT.products(first, tree, best, schema), "cos-first")
+    first = [(p.no_a, p.no_b) for p in MT.search(tree, MT.dive, "cos-dive", bounds=False).collect()]  # 2 * DIVE a round at most
+    known = materialize(MT.products(tree, best, schema, pairs=first), "cos-first")
     limit = known.agg(F.max("mx").alias("hi"), F.min("mn").alias("lo")).first()
     if limit.hi is None:  # one side is empty
         parts = known
     else:
-        rest = MT.search(tree, lambda p: p.where((F.col("ub") >= limit.hi) | (F.col("lb") <= limit.lo)), "cos-pairs", bounds=False)
-        parts = known.unionByName(MT.products(rest.join(first, ["no_a", "no_b"], "left_anti"), tree, best, schema))
+        parts = known.unionByName(MT.products(tree, best, schema, low=limit.lo, high=limit.hi, without=first))
     return parts.agg(
         F.max("mx").alias("max_cosine"),
         F.max_by(F.struct(F.col("mx_r").alias("real_id"), F.col("mx_s").alias("synthetic_id")),
@@ -126,7 +125,6 @@ def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: st
     proportional to the answer, never to the candidate count."""
     thr = float(threshold)
     tree = _tree(df, side, idc, emb, block_rows)
-    pairs = MT.search(tree, lambda p: p.where(F.col("ub") >= F.lit(thr)), "cos-near", bounds=False)
 
     def near(found):
         import pyarrow as pa
@@ -135,7 +133,7 @@ def near_pairs(df: DataFrame, threshold: float, side: str = "synthetic", idc: st
             if len(i):
                 yield pa.RecordBatch.from_arrays([ids_r.take(pa.array(i)), ids_s.take(pa.array(j)), pa.array(m[i, j])],
                                                  ["real_id", "synthetic_id", "cosine"])
-    return MT.products(pairs, tree, near, "real_id LONG, synthetic_id LONG, cosine DOUBLE")
+    return MT.products(tree, near, "real_id LONG, synthetic_id LONG, cosine DOUBLE", high=thr)
 
 
 def hash_plan(threshold: float, n: int, recall: float, width: float = 1.0) -> tuple[int, int]:

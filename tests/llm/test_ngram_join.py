@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from turnscore.llm.ngram_join import ROW, Sizes, counts_of, divide_skip, packed_counts, part_signatures, rare_signatures, keep_one_of_each_group, similar_groups, similar_links
+from turnscore.llm.ngram_join import ROW, SLOTS, Sizes, counts_of, divide_skip, packed_counts, packed_rows_of, part_signatures, rare_signatures, rarity, keep_one_of_each_group, similar_groups, similar_links
+from turnscore.llm.kernels import mix
 from turnscore.llm.queries import op9_ngram_join
 
 
@@ -145,3 +146,41 @@ def test_packed_counts_round_trip():
         at, c = counts_of(packed_counts(row))
         back[at] += c
         assert (back == row).all()
+
+
+def test_rows_of_slots_hold_all_counts():
+    r = np.random.default_rng(2)
+    slots = [r.integers(0, 5 * ROW, 300_000).astype(np.uint32), np.full(700, 3 * ROW + 5, np.uint32), np.arange(ROW, 2 * ROW, dtype=np.uint32)]
+    want, got = np.bincount(np.concatenate(slots), minlength=5 * ROW).reshape(-1, ROW), np.zeros((5, ROW), np.int64)
+    for k, x in zip(*packed_rows_of(slots)):
+        at, c = counts_of(x)
+        got[k][at] += c
+    assert (got == np.minimum(want, 255)).all()
+
+
+def test_rare_shingles_are_told_at_several_gigabytes():
+    """Counters of a corpus of a thousand million shingles: those of passages of ten copies are not among a set's signatures."""
+    r = np.random.default_rng(5)
+    part = SLOTS >> 7  # the same load on an 128th of the counters
+    own = r.integers(0, 2**63, 10**9 >> 7).astype(np.uint64)
+    common = r.integers(0, 2**63, 20_000).astype(np.uint64)
+    counts = np.bincount((own % np.uint64(part)).astype(np.int64), minlength=part)
+    counts += 10 * np.bincount((common % np.uint64(part)).astype(np.int64), minlength=part)
+    sizes, rare, chosen = Sizes(80, 100), rarity(counts), 0
+    for k in range(100):
+        shared = common[k * 50:k * 50 + 50]
+        s = np.unique(np.append(own[k * 50:k * 50 + 50], shared))
+        mine = rare_signatures(s, sizes, rare, halves=True)
+        chosen += np.isin(mix(shared + np.uint64(sizes.number(len(s)) * 0x8EBC6AF09C88C6E3 % 2**64)), mine).sum()
+    assert chosen <= 0.05 * 100 * 21, chosen  # of 21 signatures a set
+
+
+def test_two_steps_to_a_byte_order_as_one():
+    r, sizes = np.random.default_rng(7), Sizes(80, 100)
+    counts = r.integers(0, 120, 1 << 10)
+    half = rarity(counts)
+    whole = np.stack([half & 15, half >> 4], 1).ravel()
+    assert (np.diff(whole[np.argsort(counts, kind="stable")].astype(int)) >= 0).all() and whole.max() == 15
+    for n in (1, 7, 40, 300):
+        s = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        assert (rare_signatures(s, sizes, half, halves=True) == rare_signatures(s, sizes, whole)).all()

@@ -35,8 +35,11 @@ CLUSTER_SHINGLES = 1 << 22
 SIGNATURES = 1 << 18
 #: Bits of the bitmap that spares most sets the second scan's shuffle; its size does not depend on the data.
 BITS = 1 << 23
-#: Counters of the sketch that orders shingles by rarity, whatever the data, and those of a row of it.
-SLOTS, ROW = 1 << 24, 1 << 16
+#: Counters of the sketch that orders shingles by rarity, whatever the data, and those of a row of it. Four bits of each
+#: are broadcast. Where many shingles share a counter, rarity blurs, common ones become signatures and clusters grow.
+SLOTS, ROW = 1 << 27, 1 << 16
+#: Shingles whose counters a task holds at once.
+COUNTED = 1 << 22
 #: A part of a set has about num / (den - num) shingles; where that is fewer than this, parts are shared by chance
 #: too often, and sets are told by their rarest shingles instead.
 PART_SHINGLES = 6
@@ -82,15 +85,38 @@ def fingerprint(s: np.ndarray) -> int:
 BIG = 0xA0761D6478BD642F
 
 
+#: Least counts of the steps of rarity but the first.
+STEPS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 17, 23, 32, 48, 96])
+
+
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Sketch counts on a scale of 256 steps."""
-    return np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
+    """Sketch counts on a scale of 16 steps, two to a byte (the lower half first)."""
+    step = np.searchsorted(STEPS, counts, "right").astype(np.uint8)
+    return step[0::2] | step[1::2] << np.uint8(4)
+
+
+def packed_slots(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """A row of the sketch by its places with counts (up to 255): three bytes each, or else all of the row's counts."""
+    if 3 * len(at) < ROW:
+        return at.astype("<u2").tobytes() + counts.astype(np.uint8).tobytes()
+    row = np.zeros(ROW, np.uint8)
+    row[at] = counts
+    return row.tobytes()
 
 
 def packed_counts(row: np.ndarray) -> bytes:
-    """A row of the sketch: places and counts where few are not 0 (three bytes each), else all counts."""
+    """``packed_slots`` of a whole row."""
     at = np.flatnonzero(row)
-    return at.astype("<u2").tobytes() + row[at].tobytes() if 3 * len(at) < ROW else row.tobytes()
+    return packed_slots(at, row[at])
+
+
+def packed_rows_of(slots: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """Numbers and ``packed_slots`` of the sketch's rows that ``slots`` (uint32, with repetitions) fall into."""
+    slot, c = np.unique(np.concatenate(slots), return_counts=True)
+    at, c = (slot % ROW).astype(np.int64), np.minimum(c, 255)
+    row = slot // ROW
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    return row[begin].tolist(), [packed_slots(at[i:j], c[i:j]) for i, j in zip(begin, np.append(begin[1:], len(row)))]
 
 
 def counts_of(packed: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
@@ -119,13 +145,16 @@ def part_signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def rare_signatures(s: np.ndarray, sizes: Sizes, rare: np.ndarray) -> np.ndarray:
+def rare_signatures(s: np.ndarray, sizes: Sizes, rare: np.ndarray, halves: bool = False) -> np.ndarray:
     """Signatures of a set: its shingles but for the most frequent ones, of which similar sets share one at
-    least, each once per size class. ``rare`` orders shingles; any order is right if all sets use it."""
+    least, each once per size class. ``rare`` orders shingles, with ``halves`` two steps to a byte; any order is right
+    if all sets use it."""
     n = len(s)
     if not n:
         return s
-    key = (rare[(s % np.uint64(len(rare))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    slot = (s % np.uint64(len(rare) * (1 + halves))).astype(np.int64)
+    step = rare[slot >> 1] >> (slot & 1).astype(np.uint8) * np.uint8(4) & np.uint8(15) if halves else rare[slot]
+    key = (step.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
     k = n - -(-n * sizes.num // sizes.den)  # at most so many shingles of the set are not in a similar one
     chosen = s[key <= np.partition(key, k)[k]]
     return np.concatenate([kernels.mix(chosen + np.uint64(c * 0x8EBC6AF09C88C6E3 % 2**64)) for c in sizes.of(n)])
@@ -246,7 +275,13 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
 
     def measure(batches):
         """A row per document, and a task's part of the sketch in rows of ROW counters (up to 255)."""
-        seen, sizes = np.zeros(SLOTS, np.uint8), Sizes(num, den)
+        slots, held, sizes = [], 0, Sizes(num, den)
+
+        def sketch_rows():
+            at, packed = packed_rows_of(slots)
+            none = [pa.nulls(len(at), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array(packed, pa.binary())],
+                                              ["id", "th", "fp", "n", "classes", "block", "packed"])
         for batch in batches:
             data, off = kernels.buffers(batch.column("text"))
             fp, size, classes = [], [], []
@@ -257,18 +292,18 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
                 classes += [list(sizes.of(len(x))) for x in sets]
                 if by_parts:
                     continue
-                slot, c = np.unique((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
-                seen[slot] = np.minimum(seen[slot] + c, 255)
+                slots.append((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.uint32))
+                held += len(slots[-1])
+                if held >= COUNTED:
+                    yield sketch_rows()
+                    slots, held = [], 0
             n = len(fp)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("th"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()),
                  pa.array(classes, pa.list_(pa.int32())), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary())],
                 ["id", "th", "fp", "n", "classes", "block", "packed"])
-        seen = seen.reshape(-1, ROW)
-        at = np.flatnonzero(seen.any(axis=1))
-        none = [pa.nulls(len(at), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array([packed_counts(seen[k]) for k in at], pa.binary())],
-                                         ["id", "th", "fp", "n", "classes", "block", "packed"])
+        if slots:
+            yield sketch_rows()
 
     def total(batches):
         seen = {}
@@ -282,11 +317,12 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
     id_type = to_arrow_type(own.schema["id"].dataType)
     measured = materialize(own.mapInArrow(kernels.tidy(measure), f"id {kind}, th long, fp long, n long, classes array<int>, block int, packed binary"), "set-sizes")
     rows = measured.where("block = -1").select("id", "th", "fp", "n")
-    rare = np.zeros((SLOTS // ROW, ROW), np.uint8)
-    for r in (measured.where("block >= 0").select("block", "packed").repartition(min(n_parts, SLOTS // ROW), "block")
+    rare = np.zeros((0 if by_parts else SLOTS // ROW, ROW // 2), np.uint8)
+    for r in (measured.where("block >= 0").select("block", "packed").repartition(min(n_parts, 256), "block")
               .mapInArrow(kernels.tidy(total), "block int, packed binary").toLocalIterator()):
         rare[r.block] = np.frombuffer(bytes(r.packed), np.uint8)
     shared_order = spark.sparkContext.broadcast(rare.ravel())
+    del rare
 
     def sign(batches):
         """Rows with the links found here, and one per bucket of signatures."""
@@ -296,7 +332,7 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
             data, off = kernels.buffers(batch.column("text"))
             for _, part, o in kernels.blocks(data, off):
                 for s in kernels.shingle_sets(part, o, kernels.NONSPACE, width):
-                    x = part_signatures(s, sizes) if by_parts else rare_signatures(s, sizes, order)
+                    x = part_signatures(s, sizes) if by_parts else rare_signatures(s, sizes, order, halves=True)
                     sig.append(x), node.append(np.full(len(x), fingerprint(s), np.uint64))
                     held += len(x)
                 if held >= SIGNATURES:
@@ -346,6 +382,7 @@ def grouped_rows(own: DataFrame, width: int, num: int, den: int, cluster_shingle
     edges = (own.select("text").mapInArrow(kernels.tidy(sign), "bucket int, linked boolean, packed binary").repartition(n_parts, "bucket")
              .sortWithinPartitions("bucket").mapInArrow(kernels.tidy(across), "u long, v long"))
     clusters = materialize(connected_components(edges, "u", "v"), "clusters")
+    shared_order.unpersist()
 
     shared_bits = spark.sparkContext.broadcast(hash_bitmap(clusters, "node", BITS))
 
